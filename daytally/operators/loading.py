@@ -97,8 +97,8 @@ def load(source, root: str, layouts: dict[str, Layout] | None = None, mode: str
     unique by construction (they are grouping keys) and are not checked again.
     """
     layouts = layouts or LAYOUTS
-    for table in ("stores", "items"):
-        write_dimension(getattr(source, table), f"{root}/{table}", table)
+    for table, df in {"stores": source.located_stores, "items": source.items}.items():
+        write_dimension(df, f"{root}/{table}", table)
     rejected = {}
     facts = {"da_stores_date": source.store_days(), "da_items_stores_date": source.item_days()}
     for table, df in facts.items():

@@ -171,7 +171,7 @@ ENTRIES: dict[str, Entry] = {
     "active_stores": lambda t: checks.active_stores(t.stores),
     "store_list": lambda t: checks.store_list(t.stores),
     "newest_facts": lambda t: checks.newest(t.store_days(), ["store_id"]),
-    "sample_stores": lambda t: checks.sample_rows(t.stores),
+    "sample_stores": lambda t: checks.sample_rows(t.located_stores),
     "capped_result": lambda t: checks.capped(t.store_days(_days(30), SALES), ["store_id", "date"]),
     "plain_values": lambda t: checks.plain_values(t.store_days(_days(30))),
 }

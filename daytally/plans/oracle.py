@@ -10,15 +10,15 @@ from __future__ import annotations
 TABLES = """
 stores AS (
   SELECT s_suppkey AS id, s_name AS name,
-         concat('S', lpad(CAST(s_suppkey AS STRING), 4, '0')) AS code,
+         concat('S', lpad(CAST(s_suppkey AS STRING), CAST(greatest(4, length(CAST(s_suppkey AS STRING))) AS INT), '0')) AS code,
          CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END AS status,
          n_name AS location, r_name AS sector
-  FROM supplier JOIN nation ON n_nationkey = s_nationkey
-                JOIN region ON r_regionkey = n_regionkey
+  FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey
+                LEFT JOIN region ON r_regionkey = n_regionkey
 ),
 items AS (
   SELECT p_partkey AS id,
-         concat('P', lpad(CAST(p_partkey AS STRING), 8, '0')) AS pcode,
+         concat('P', lpad(CAST(p_partkey AS STRING), CAST(greatest(8, length(CAST(p_partkey AS STRING))) AS INT), '0')) AS pcode,
          concat(p_name, ' ', CAST(p_partkey AS STRING)) AS description,
          CASE WHEN p_size % 10 = 0 THEN 0 ELSE 1 END AS status,
          CAST(replace(p_brand, 'Brand#', '') AS INT) AS family_id,

@@ -26,6 +26,8 @@ class Lake:
     def stores(self) -> DataFrame:
         return self.table("stores")
 
+    located_stores = stores
+
     @property
     def items(self) -> DataFrame:
         return self.table("items")

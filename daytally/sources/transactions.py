@@ -8,6 +8,7 @@ and the supplier (store) and part (item) lists.
 from __future__ import annotations
 
 from datetime import datetime, time
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,24 @@ STORE_MEASURES = (
 ITEM_MEASURES = ("total_quantity", "total_net", "total_price", "latest_price_cost", "total_discount")
 
 
-def _decimal(name: str, kind: str = "decimal(12,2)") -> Column:
-    return F.col(name).cast(kind)
+def _code(prefix: str, key: Column, width: int) -> Column:
+    """Zero-padded code; a key longer than the width is kept whole."""
+    digits = key.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
+
+
+def _hundredths(name: str) -> Column:
+    """An amount with two decimals as a whole number of hundredths.
+
+    Line amounts are multiplied and summed as scaled integers, which is exact
+    and much cheaper than decimals. A sum that leaves the range raises an error
+    (ANSI arithmetic); the limit, 9.2e12 with VAT per group, is that of MEASURE.
+    """
+    return F.rint(F.col(name) * 100).cast("bigint")
 
 
 def sale_lines(lineitem: DataFrame, window: Window | None = None) -> DataFrame:
-    """Sales lines with exact decimal amounts.
+    """Sales lines with amounts as scaled integers.
 
     The window is applied to the stored timestamp, not to the derived date, so
     that it reaches the Parquet scan.
@@ -42,72 +55,87 @@ def sale_lines(lineitem: DataFrame, window: Window | None = None) -> DataFrame:
     if window is not None:
         lo, hi = (F.lit(datetime.combine(d, time())).cast("timestamp_ntz") for d in window)
         lineitem = lineitem.filter((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi))
-    gross, disc = _decimal("l_extendedprice"), _decimal("l_discount", "decimal(4,2)")
-    net = (gross * (F.lit(1) - disc).cast("decimal(4,2)")).cast("decimal(15,4)")
+    gross, discount = _hundredths("l_extendedprice"), _hundredths("l_discount")
     return lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("item_id"),
         F.col("l_suppkey").alias("store_id"),
         F.to_date("l_shipdate").alias("date"),
         (F.col("l_returnflag") == "R").alias("returned"),
-        _decimal("l_quantity").alias("qty"),
-        net.alias("net"),
-        (F.lit(1) + _decimal("l_tax", "decimal(4,2)")).cast("decimal(4,2)").alias("tax_factor"),
-        (gross * disc).alias("discount"),
+        _hundredths("l_quantity").alias("quantity"),  # 1e-2
+        (gross * (100 - discount)).alias("net"),  # 1e-4
+        (_hundredths("l_tax") + 100).alias("vat_factor"),  # 1e-2
+        (gross * discount).alias("discount"),  # 1e-4
     )
 
 
-def _amounts() -> dict[str, Column]:
-    doc = F.sum(F.col("net") * F.col("tax_factor"))
+def _sums() -> dict[str, tuple[Column, int]]:
+    """Scaled sum of each measure, and its number of decimals."""
+    with_vat = F.sum(F.col("net") * F.col("vat_factor"))
     return {
-        "total_quantity": F.sum("qty"),
-        "total_net": F.sum("net"),
-        "total_doc": doc,
-        "total_price": doc,
-        "credits_total_net": F.sum(F.when(F.col("returned"), F.col("net")).otherwise(F.lit(0).cast("decimal(15,4)"))),
-        "total_discount": F.sum("discount"),
+        "total_quantity": (F.sum("quantity"), 2),
+        "total_net": (F.sum("net"), 4),
+        "total_doc": (with_vat, 6),
+        "total_price": (with_vat, 6),
+        "credits_total_net": (F.sum(F.when(F.col("returned"), F.col("net")).otherwise(0)), 4),
+        "total_discount": (F.sum("discount"), 4),
     }
 
 
+def _measure(scaled: Column, decimals: int) -> Column:
+    return (scaled.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-decimals))).cast(MEASURE)
+
+
 def roll_up_store_days(lines: DataFrame, orders: DataFrame, measures: tuple[str, ...] = STORE_MEASURES) -> DataFrame:
     """One row per store and day with the chosen measures.
 
     Counts of sales come from a first grouping per order, which leaves a single
-    distinct count (customers) for the second one: no row is multiplied for
-    several distinct counts, and a hot order, store or day is summed before it
-    is shuffled. Order headers are read only when customers are counted; a line
-    without a header still counts as a sale.
+    distinct count (customers) for the second one, so no row is multiplied for
+    several distinct counts. The header join and that grouping share one
+    partitioning by order. Order headers are read only when customers are
+    counted; a line without a header still counts as a sale.
     """
-    amounts = {name: expr for name, expr in _amounts().items() if name in measures}
+    sums = {name: made for name, made in _sums().items() if name in measures}
     keys = ["store_id", "date"]
     if not COUNTS & set(measures):
-        return lines.groupBy(*keys).agg(*[expr.cast(MEASURE).alias(name) for name, expr in amounts.items()])
-    per_order = lines.groupBy(*keys, "order_id").agg(
-        F.max("returned").alias("returned"), *[expr.alias(name) for name, expr in amounts.items()]
-    )
-    counts = {
-        "nr_sales": F.count("*"),
-        "nr_credits": F.count(F.when(F.col("returned"), F.lit(1))),
-        "nr_persons": F.countDistinct("customer_id"),
-    }
-    if "nr_persons" in measures:
-        headers = orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
-        per_order = per_order.join(headers, "order_id", "left")
-    made = {name: F.sum(name).cast(MEASURE) for name in amounts} | counts
-    return per_order.groupBy(*keys).agg(*[made[m].alias(m) for m in STORE_MEASURES if m in measures])
+        daily = lines.groupBy(*keys).agg(*[total.alias(name) for name, (total, _) in sums.items()])
+    else:
+        per_order = [*keys, "order_id"]
+        if "nr_persons" in measures:
+            headers = orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
+            lines = lines.join(headers, "order_id", "left")
+            per_order.append("customer_id")
+        counts = {
+            "nr_sales": F.count("*"),
+            "nr_credits": F.count(F.when(F.col("returned"), F.lit(1))),
+            "nr_persons": F.countDistinct("customer_id"),
+        }
+        daily = (
+            lines.groupBy(*per_order)
+            .agg(F.max("returned").alias("returned"), *[total.alias(name) for name, (total, _) in sums.items()])
+            .groupBy(*keys)
+            .agg(
+                *[F.sum(name).alias(name) for name in sums],
+                *[made.alias(name) for name, made in counts.items() if name in measures],
+            )
+        )
+    made = {name: _measure(F.col(name), decimals) for name, (_, decimals) in sums.items()}
+    return daily.select(*keys, *[made.get(name, F.col(name)).alias(name) for name in STORE_MEASURES if name in measures])
 
 
 def roll_up_item_days(lines: DataFrame, part: DataFrame, measures: tuple[str, ...] = ITEM_MEASURES) -> DataFrame:
     """One row per item, store and day. The unit cost is the item's list price."""
-    amounts = _amounts()
-    sums = [amounts[m].cast(MEASURE).alias(m) for m in measures if m != "latest_price_cost"]
-    facts = lines.groupBy("item_id", "store_id", "date").agg(*(sums or [F.count("*").alias("n")]))
+    keys = ["item_id", "store_id", "date"]
+    sums = {name: made for name, made in _sums().items() if name in measures}
+    facts = lines.groupBy(*keys).agg(*[total.alias(name) for name, (total, _) in sums.items()])
+    made = {name: _measure(F.col(name), decimals) for name, (_, decimals) in sums.items()}
     if "latest_price_cost" in measures:
         prices = part.select(
             F.col("p_partkey").alias("item_id"), F.col("p_retailprice").cast(MEASURE).alias("latest_price_cost")
         )
         facts = facts.join(prices, "item_id", "left")
-    return facts.select("item_id", "store_id", "date", *[m for m in ITEM_MEASURES if m in measures])
+        made["latest_price_cost"] = F.col("latest_price_cost")
+    return facts.select(*keys, *[made[name].alias(name) for name in ITEM_MEASURES if name in measures])
 
 
 class Transactions:
@@ -122,29 +150,36 @@ class Transactions:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _store_list(self, *more: str) -> DataFrame:
+        return self.table("supplier").select(
+            F.col("s_suppkey").alias("id"),
+            F.col("s_name").alias("name"),
+            _code("S", F.col("s_suppkey"), 4).alias("code"),
+            F.when(F.col("s_acctbal") < 0, 0).otherwise(1).alias("status"),
+            *more,
+        )
+
     @property
     def stores(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        return (
-            self.table("supplier")
-            .join(self.table("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
-            .join(self.table("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-            .select(
-                key.alias("id"),
-                F.col("s_name").alias("name"),
-                F.concat(F.lit("S"), F.lpad(key.cast("string"), 4, "0")).alias("code"),
-                F.when(F.col("s_acctbal") < 0, 0).otherwise(1).alias("status"),
-                F.col("n_name").alias("location"),
-                F.col("r_name").alias("sector"),
-            )
+        return self._store_list()
+
+    @property
+    def located_stores(self) -> DataFrame:
+        """Stores with their location and sector, which most analyses do not need."""
+        region = self.table("region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("sector"))
+        places = (
+            self.table("nation")
+            .join(region, "n_regionkey", "left")
+            .select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("location"), "sector")
         )
+        return self._store_list("s_nationkey").join(places, "s_nationkey", "left").drop("s_nationkey")
 
     @property
     def items(self) -> DataFrame:
         key = F.col("p_partkey")
         return self.table("part").select(
             key.alias("id"),
-            F.concat(F.lit("P"), F.lpad(key.cast("string"), 8, "0")).alias("pcode"),
+            _code("P", key, 8).alias("pcode"),
             F.concat_ws(" ", "p_name", key.cast("string")).alias("description"),
             F.when(F.col("p_size") % 10 == 0, 0).otherwise(1).alias("status"),
             F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("")).cast("int").alias("family_id"),
