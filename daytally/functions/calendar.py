@@ -129,3 +129,23 @@ def calendar(spark: SparkSession, years: Iterable[int]) -> DataFrame:
 def calendar_days(cal: DataFrame) -> DataFrame:
     """The calendar with one row per day of each event."""
     return cal.withColumn("date", F.explode(F.sequence("start", "end")))
+
+
+def is_holiday(day: Column) -> Column:
+    """National holiday: a fixed one, Good Friday, Easter Sunday or Corpus Christi."""
+    month_days = [month * 100 + dom for month, dom, _ in FIXED_HOLIDAYS]
+    fixed = (F.month(day) * 100 + F.dayofmonth(day)).isin(*month_days)
+    return fixed | F.datediff(day, easter_sunday(F.year(day))).isin(-2, 0, 60)
+
+
+def days_to_easter(day: Column) -> Column:
+    """Days until the next Easter Sunday, zero on the day itself."""
+    this_year = F.datediff(easter_sunday(F.year(day)), day)
+    next_year = F.datediff(easter_sunday(F.year(day) + 1), day)
+    return F.when(this_year >= 0, this_year).otherwise(next_year)
+
+
+def days_to_christmas(day: Column) -> Column:
+    this_year = F.datediff(F.make_date(F.year(day), F.lit(12), F.lit(25)), day)
+    next_year = F.datediff(F.make_date(F.year(day) + 1, F.lit(12), F.lit(25)), day)
+    return F.when(this_year >= 0, this_year).otherwise(next_year)

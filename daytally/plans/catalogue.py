@@ -16,7 +16,7 @@ from pyspark.sql.types import DecimalType, IntegralType
 
 from daytally.functions import windows as w
 from daytally.functions.calendar import calendar
-from daytally.operators import bundles, checks, compare, items, loading, periods, stores
+from daytally.operators import bundles, checks, compare, items, loading, periods, stores, trends
 from daytally.schemas import Layout
 from daytally.session import shared_folder
 from daytally.sources.lake import Lake
@@ -72,6 +72,15 @@ def _seasonal(source, k: int | None = None) -> DataFrame:
     return bundles.seasonal_items(source.item_days(HISTORY, TRADE), source.items, HISTORY, k=k)
 
 
+def _record_days(source) -> DataFrame:
+    """Each store's day of highest revenue in a year, as events to study."""
+    best = F.max(F.struct("total_net", F.date_diff(F.lit(date(2100, 1, 1)), "date").alias("early"))).alias("b")
+    days = source.store_days(w.year_of(2000), NET).groupBy("store_id").agg(best)
+    places = source.located_stores.select(F.col("id").alias("store_id"), F.col("name").alias("event"), "location")
+    day = F.date_sub(F.lit(date(2100, 1, 1)), F.col("b.early")).alias("day")
+    return days.join(places, "store_id").select("event", "location", day)
+
+
 ENTRIES: dict[str, Entry] = {
     # store analyses
     "sales_on_day": lambda t: stores.sales_on(t.store_days(_named_window("today")), t.stores, AS_OF),
@@ -174,6 +183,25 @@ ENTRIES: dict[str, Entry] = {
     "sample_stores": lambda t: checks.sample_rows(t.located_stores),
     "capped_result": lambda t: checks.capped(t.store_days(_days(30), SALES), ["store_id", "date"]),
     "plain_values": lambda t: checks.plain_values(t.store_days(_days(30))),
+    # extensions
+    "day_features": lambda t: trends.day_features(t.store_days(HISTORY, NET)),
+    "monthly_forecast": lambda t: trends.monthly_forecast(t.store_days((date(1999, 6, 1), date(2001, 6, 1)), NET), AS_OF),
+    "forecast_error": lambda t: trends.forecast_error(t.store_days((date(1999, 3, 1), date(2001, 6, 1)), NET), date(2001, 3, 15)),
+    "trend_alerts": lambda t: trends.trend_alerts(t.store_days((date(2001, 4, 1), date(2001, 6, 1)), NET), t.stores, AS_OF),
+    "daily_anomalies": lambda t: trends.daily_anomalies(
+        t.store_days((date(2001, 4, 1), date(2001, 7, 1)), NET), t.stores, w.month_of(2001, 6)
+    ),
+    "stale_items": lambda t: items.stale_items(t.item_days(None, ("total_quantity",)), t.items, AS_OF),
+    "correlated_items": lambda t: trends.correlated_items(t.item_days(SUMMER, ("total_quantity",)), t.items, TARGET, SUMMER),
+    "transfer_candidates": lambda t: trends.transfer_candidates(t.item_days(_days(90), ("total_quantity",)), t.items, t.stores, AS_OF),
+    "price_elasticity": lambda t: trends.price_elasticity(t.item_days(HISTORY, TRADE), t.items, HISTORY),
+    "kpi_strip": lambda t: trends.kpi_strip(t.store_days((date(2000, 1, 1), date(2001, 7, 1)), NET), t.stores, AS_OF),
+    "margin_by_category": lambda t: items.margin_by_category(t.item_days(w.month_of(2001, 6), COSTED), t.items, w.month_of(2001, 6)),
+    "weekday_month_profile": lambda t: trends.weekday_month_profile(t.store_days(w.year_of(2000), NET), t.stores, w.year_of(2000)),
+    "event_impact": lambda t: trends.event_impact(
+        t.store_days((date(1999, 12, 18), date(2001, 1, 14)), NET), t.located_stores, _record_days(t)
+    ),
+    "best_weekday": lambda t: trends.best_weekday(t.store_days(_days(90), NET), t.stores, AS_OF),
 }
 
 

@@ -62,8 +62,8 @@ f AS (SELECT d.*, s.name AS loja, s.status, s.location
       FROM da_stores_date d JOIN stores s ON s.id = d.store_id),
 act AS (SELECT * FROM f WHERE status = 1),
 g AS (SELECT d.*, i.description AS artigo, i.pcode AS codigo, i.family_id, i.group_id,
-             d.total_quantity * d.latest_price_cost AS spent,
-             d.total_net - d.total_quantity * d.latest_price_cost AS gain,
+             CAST(d.total_quantity AS DECIMAL(20,5)) * d.latest_price_cost AS spent,
+             d.total_net - CAST(d.total_quantity AS DECIMAL(20,5)) * d.latest_price_cost AS gain,
              CAST(CAST(d.total_net AS DOUBLE) / CAST(NULLIF(d.total_quantity, 0) AS DOUBLE) AS DECIMAL(20,10)) AS unit_net,
              CAST(CAST(d.total_price AS DOUBLE) / CAST(NULLIF(d.total_quantity, 0) AS DOUBLE) AS DECIMAL(20,10)) AS unit_gross
       FROM da_items_stores_date d JOIN items i ON i.id = d.item_id)
@@ -332,6 +332,201 @@ def _seasons() -> str:
       FROM act WHERE {HISTORY} AND month(date) IN (6, 7, 8, 12, 1, 2) GROUP BY loja"""
 
 
+FEAST_YEARS = """
+feasts (sunday) AS (VALUES (DATE '1998-04-12'), (DATE '1999-04-04'), (DATE '2000-04-23'), (DATE '2001-04-15'), (DATE '2002-03-31'))"""
+
+
+def _features() -> str:
+    holidays = ", ".join(f"'{a}'" for e, _, a, b in _FIXED[:10])
+    lags = ", ".join(
+        f"(SELECT {dbl('p.total_net')} FROM d p WHERE p.store_id = d.store_id AND p.date = d.date - {n}) AS sales_lag_{n}"
+        for n in (7, 30, 365)
+    )
+    means = ", ".join(
+        f"""(SELECT {rnd(div('SUM(p.total_net)', 'COUNT(p.total_net)'))} FROM d p
+             WHERE p.store_id = d.store_id AND p.date BETWEEN d.date - {n - 1} AND d.date) AS rolling_mean_{n}"""
+        for n in (7, 30)
+    )
+    return f"""
+      SELECT store_id, date, {dbl('total_net')} AS total_net, dayofweek(date) AS day_of_week, month(date) AS month,
+             quarter(date) AS quarter, {big("dayname(date) IN ('Saturday', 'Sunday')")} AS is_weekend,
+             {big(f"strftime(date, '%m-%d') IN ({holidays}) OR EXISTS (SELECT 1 FROM feasts WHERE date - sunday IN (-2, 0, 60))")}
+               AS is_holiday,
+             weekofyear(date) AS week_of_year,
+             {big('(SELECT MIN(sunday) FROM feasts WHERE sunday >= date) - date')} AS days_to_easter,
+             {big('make_date(year(date) + CASE WHEN month(date) = 12 AND day(date) > 25 THEN 1 ELSE 0 END, 12, 25) - date')}
+               AS days_to_christmas,
+             {lags}, {means}
+      FROM d"""
+
+
+def _forecast_ctes(first: str, end: str) -> str:
+    """Monthly totals m (index 1 to 24), growth, misses and forecasts."""
+    return f"""
+monthly AS (
+  SELECT store_id, CAST(date_diff('month', DATE '{first}', date) + 1 AS INT) AS i, SUM(total_net) AS net
+  FROM da_stores_date WHERE date >= DATE '{first}' AND date < DATE '{end}' GROUP BY store_id, i
+),
+growing AS (
+  SELECT store_id, {div('SUM(net) FILTER (i > 12)', 'SUM(net) FILTER (i <= 12)')} AS growth FROM monthly GROUP BY store_id
+),
+missed AS (
+  SELECT n.store_id, quantile_cont({dbl('n.net')} - {dbl('o.net')} * growth, 0.1) AS low,
+         quantile_cont({dbl('n.net')} - {dbl('o.net')} * growth, 0.9) AS high
+  FROM monthly n JOIN monthly o ON o.store_id = n.store_id AND o.i = n.i - 12
+                 JOIN growing w ON w.store_id = n.store_id GROUP BY n.store_id
+),
+ahead AS (
+  SELECT m.store_id, CAST(DATE '{end}' + to_months(m.i - 13) AS DATE) AS mes, {dbl('m.net')} * growth AS base, low, high
+  FROM monthly m JOIN growing USING (store_id) LEFT JOIN missed USING (store_id) WHERE m.i BETWEEN 13 AND 15
+    AND growth IS NOT NULL
+)"""
+
+
+def _net_between(first: str, last: str) -> str:
+    return f"COALESCE(SUM(total_net) FILTER (date BETWEEN DATE '{first}' AND DATE '{last}'), 0)"
+
+
+def _kpi() -> str:
+    mes, mes_ant = _net_between("2001-06-01", "2001-06-30"), _net_between("2001-05-01", "2001-05-31")
+    ano, ano_ant = _net_between("2001-01-01", "2001-06-30"), _net_between("2000-01-01", "2000-06-30")
+    return f"""
+      SELECT {dbl(_net_between('2001-06-30', '2001-06-30'))} AS hoje, {dbl(mes)} AS mes, {dbl(ano)} AS ano,
+             {dbl(mes_ant)} AS mes_anterior, {dbl(ano_ant)} AS ano_anterior,
+             {pct(f'({mes} - {mes_ant})', mes_ant)} AS mom_pct, {pct(f'({ano} - {ano_ant})', ano_ant)} AS yoy_pct
+      FROM act"""
+
+
+def _extensions() -> dict[str, tuple[str, str]]:
+    apr, may = _net_between("2001-04-01", "2001-04-30"), _net_between("2001-05-01", "2001-05-31")
+    before, after = ("COALESCE(SUM(a.total_net) FILTER (a.date < e.day), 0)", "COALESCE(SUM(a.total_net) FILTER (a.date >= e.day), 0)")
+    return {
+        "day_features": (f"d AS (SELECT * FROM da_stores_date WHERE {HISTORY}), {FEAST_YEARS}", _features()),
+        "monthly_forecast": (
+            _forecast_ctes("1999-06-01", "2001-06-01"),
+            f"SELECT store_id, mes, {rnd('base')} AS previsao, {rnd('base + low')} AS minimo, {rnd('base + high')} AS maximo FROM ahead",
+        ),
+        "forecast_error": (
+            _forecast_ctes("1999-03-01", "2001-03-01")
+            + """,
+actual AS (
+  SELECT store_id, CAST(date_trunc('month', date) AS DATE) AS mes, SUM(total_net) AS real
+  FROM da_stores_date WHERE date >= DATE '2001-03-01' AND date < DATE '2001-06-01' GROUP BY 1, 2
+),
+compared AS (
+  SELECT CAST(ABS(CAST(real AS DOUBLE) - ROUND(CAST(base AS DECIMAL(28,10)), 2)) / CAST(real AS DOUBLE) AS DECIMAL(20,10)) AS miss
+  FROM ahead JOIN actual USING (store_id, mes)
+)""",
+            f"SELECT COUNT(*) AS meses, {rnd('CAST(SUM(miss) AS DOUBLE) / NULLIF(COUNT(miss), 0) * 100')} AS mape_pct FROM compared",
+        ),
+        "trend_alerts": (
+            f"""both_months AS (
+              SELECT loja, {apr} AS a, {may} AS b FROM act
+              WHERE date BETWEEN DATE '2001-04-01' AND DATE '2001-05-31' GROUP BY store_id, loja)""",
+            f"""SELECT loja, {dbl('a')} AS mes_anterior, {dbl('b')} AS ultimo_mes, {pct('(b - a)', 'a')} AS variacao_pct
+                FROM both_months WHERE {pct('(b - a)', 'a')} < -15""",
+        ),
+        "daily_anomalies": (
+            f"""scored AS (
+              SELECT x.loja, x.date, x.total_net, COUNT(*) AS n, {div('SUM(p.total_net)', 'COUNT(*)')} AS mean,
+                     {div('SUM(CAST(p.total_net AS DECIMAL(20,5)) * p.total_net)', 'COUNT(*)')} AS square
+              FROM act x JOIN act p ON p.store_id = x.store_id AND p.date BETWEEN x.date - 28 AND x.date - 1
+              WHERE x.date BETWEEN DATE '2001-06-01' AND DATE '2001-06-30'
+              GROUP BY x.store_id, x.loja, x.date, x.total_net HAVING COUNT(*) > 1),
+            judged AS (
+              SELECT *, CASE WHEN {dbl('total_net')} < mean * 0.7 THEN 'queda'
+                             WHEN {dbl('total_net')} > mean + 3 * sqrt(greatest(square - mean * mean, 0)) THEN 'pico' END AS tipo
+              FROM scored)""",
+            f"""SELECT loja, date, {dbl('total_net')} AS total_net, {rnd('mean')} AS media_anterior, tipo
+                FROM judged WHERE tipo IS NOT NULL""",
+        ),
+        "stale_items": (
+            """last_sale AS (
+              SELECT item_id, MAX(date) AS ultima FROM da_items_stores_date
+              WHERE total_quantity > 0 AND date <= DATE '2001-06-30' GROUP BY item_id)""",
+            f"""SELECT description AS artigo, pcode AS codigo, ultima AS ultima_venda, {big("DATE '2001-06-30' - ultima")} AS dias_parado
+                FROM items LEFT JOIN last_sale ON item_id = id
+                WHERE status = 1 AND (ultima IS NULL OR DATE '2001-06-30' - ultima > 90)""",
+        ),
+        "correlated_items": (
+            """item_days AS (
+              SELECT item_id, artigo, codigo, date, SUM(total_quantity) AS q FROM g
+              WHERE date >= DATE '2000-06-01' AND date < DATE '2000-09-01' GROUP BY item_id, artigo, codigo, date),
+            days AS (SELECT DISTINCT date FROM item_days),
+            named_items AS (SELECT DISTINCT item_id, artigo, codigo FROM item_days WHERE item_id <> 7),
+            vectors AS (
+              SELECT n.item_id, n.artigo, n.codigo, COALESCE(CAST(v.q AS DOUBLE), 0) AS x, COALESCE(CAST(t.q AS DOUBLE), 0) AS y
+              FROM named_items n CROSS JOIN days
+              LEFT JOIN item_days v ON v.item_id = n.item_id AND v.date = days.date
+              LEFT JOIN item_days t ON t.item_id = 7 AND t.date = days.date),
+            scored AS (
+              SELECT item_id, artigo, codigo, SUM(x) AS qtd_vendida,
+                     ROUND(CAST((COUNT(*) * SUM(x * y) - SUM(x) * SUM(y))
+                       / NULLIF(sqrt((COUNT(*) * SUM(x * x) - SUM(x) * SUM(x)) * (COUNT(*) * SUM(y * y) - SUM(y) * SUM(y))), 0)
+                       AS DECIMAL(28,10)), 4) AS r
+              FROM vectors GROUP BY item_id, artigo, codigo)""",
+            f"""SELECT artigo, codigo, qtd_vendida, {dbl('r')} AS correlacao FROM scored
+                ORDER BY r DESC NULLS LAST, item_id LIMIT 20""",
+        ),
+        "transfer_candidates": (
+            """rates AS (
+              SELECT item_id, artigo, codigo, store_id, s.name AS loja, SUM(total_quantity) AS qtd
+              FROM g JOIN stores s ON s.id = store_id AND s.status = 1
+              WHERE date BETWEEN DATE '2001-04-01' AND DATE '2001-06-30' AND total_quantity > 0
+              GROUP BY item_id, artigo, codigo, store_id, s.name),
+            ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY qtd DESC, store_id) AS place FROM rates)""",
+            f"""SELECT r.artigo, r.codigo, r.loja AS de_loja, {dbl('r.qtd')} AS qtd, b.loja AS para_loja, {dbl('b.qtd')} AS qtd_melhor
+                FROM ranked r JOIN ranked b ON b.item_id = r.item_id AND b.place = 1
+                WHERE {dbl('r.qtd')} <= 0.1 * {dbl('b.qtd')}""",
+        ),
+        "price_elasticity": (
+            f"""logs AS (
+              SELECT item_id, artigo, codigo, CAST(ln({div('total_net', 'total_quantity')}) AS DECIMAL(12,8)) AS p,
+                     CAST(ln({dbl('total_quantity')}) AS DECIMAL(12,8)) AS q
+              FROM g WHERE {HISTORY} AND total_quantity > 0 AND total_net > 0),
+            sums AS (
+              SELECT item_id, artigo, codigo, COUNT(*) AS dias, {dbl('SUM(p)')} AS sp, {dbl('SUM(q)')} AS sq,
+                     {dbl('SUM(CAST(p AS DECIMAL(20,8)) * q)')} AS spq, {dbl('SUM(CAST(p AS DECIMAL(20,8)) * p)')} AS spp
+              FROM logs GROUP BY item_id, artigo, codigo HAVING COUNT(*) >= 10)""",
+            f"""SELECT artigo, codigo, dias,
+                       {rnd('CASE WHEN dias * spp - sp * sp > 0.000001 THEN (dias * spq - sp * sq) / (dias * spp - sp * sp) END', 4)}
+                         AS elasticidade FROM sums""",
+        ),
+        "kpi_strip": ("", _kpi()),
+        "margin_by_category": (
+            "",
+            f"""SELECT {big('family_id')} AS family_id, {big('group_id')} AS group_id, COUNT(DISTINCT item_id) AS artigos,
+                       {total('total_net', 'receita')}, {dbl('ROUND(SUM(gain), 2)')} AS margem,
+                       {pct('SUM(gain)', 'SUM(total_net)')} AS margem_pct
+                FROM g WHERE year(date) = 2001 AND month(date) = 6 GROUP BY ALL""",
+        ),
+        "weekday_month_profile": (
+            "",
+            f"""SELECT dayofweek(date) AS dia_num, month(date) AS mes, {total('total_net', 'receita_total')},
+                       {MEAN_NET} AS receita_media
+                FROM act WHERE year(date) = 2000 GROUP BY dia_num, mes""",
+        ),
+        "event_impact": (
+            """records AS (
+              SELECT store_id, loja AS event, location, date AS day,
+                     ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY total_net DESC, date) AS place
+              FROM f WHERE year(date) = 2000),
+            e AS (SELECT event, location, day FROM records WHERE place = 1)""",
+            f"""SELECT e.event, e.location, e.day, {dbl(before)} AS antes, {dbl(after)} AS depois,
+                       {pct(f'({after} - {before})', before)} AS variacao_pct
+                FROM e LEFT JOIN act a ON a.location = e.location AND a.date BETWEEN e.day - 14 AND e.day + 13
+                GROUP BY e.event, e.location, e.day""",
+        ),
+        "best_weekday": (
+            f"""means AS (
+              SELECT loja, dayofweek(date) AS dia_num, {MEAN_NET} AS receita_media FROM act
+              WHERE date BETWEEN DATE '2001-04-01' AND DATE '2001-06-30' GROUP BY loja, dia_num)""",
+            """SELECT loja, dia_num, receita_media FROM means
+               QUALIFY ROW_NUMBER() OVER (PARTITION BY loja ORDER BY receita_media DESC, dia_num) = 1""",
+        ),
+    }
+
+
 def _selects() -> dict[str, tuple[str, str]]:
     """Extra common table expressions and the final SELECT, per entry."""
     plain = {
@@ -539,7 +734,7 @@ def _selects() -> dict[str, tuple[str, str]]:
                 FROM act JOIN cal ON date BETWEEN first AND last GROUP BY event, city, first, last""",
         ),
     }
-    return {name: ("", select) for name, select in plain.items()} | together
+    return {name: ("", select) for name, select in plain.items()} | together | _extensions()
 
 
 def statements() -> dict[str, str]:
