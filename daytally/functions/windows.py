@@ -89,13 +89,14 @@ def clip(df: DataFrame, window: Window | None) -> DataFrame:
     return df.filter(keep)
 
 
-def trailing(df: DataFrame, as_of: date | None, days: int) -> DataFrame:
+def trailing(df: DataFrame, as_of: date | Column | None, days: int) -> DataFrame:
     """The last `days` days up to as_of, or up to the newest date of the table.
 
-    Without as_of the bound is a scalar subquery: Spark runs it once and the
-    scan filters on its value. Pass as_of where directories should be pruned.
+    as_of may be a scalar subquery, which Spark runs once and whose value the
+    scan then filters on. Pass a date where directories should be pruned.
     """
-    if as_of is not None:
+    if isinstance(as_of, date):
         return clip(df, trailing_days(as_of, days))
-    newest = df.agg(F.date_sub(F.max("date"), days).alias("bound")).scalar()
-    return df.filter(F.col("date") >= newest)
+    if as_of is None:
+        as_of = df.agg(F.max("date")).scalar()
+    return df.filter((F.col("date") >= F.date_sub(as_of, days)) & (F.col("date") <= as_of))

@@ -17,7 +17,7 @@ from daytally.functions import windows as w
 
 
 def selected(
-    g: DataFrame, as_of: date | None = None, days: int = 30, period: w.Window | None = None, active_stores: DataFrame | None = None
+    g: DataFrame, as_of: date | Column | None = None, days: int = 30, period: w.Window | None = None, active_stores: DataFrame | None = None
 ) -> DataFrame:
     """Facts of a period, or else of the trailing days up to as_of or the newest
     date; of active stores only when a store list is given."""
@@ -47,7 +47,7 @@ def top_items(
     g: DataFrame,
     i: DataFrame,
     by: str = "revenue",
-    as_of: date | None = None,
+    as_of: date | Column | None = None,
     days: int = 30,
     period: w.Window | None = None,
     k: int = 20,
@@ -114,7 +114,7 @@ def _mean_cost() -> Column:
 
 
 def loss_items(
-    g: DataFrame, i: DataFrame, as_of: date | None = None, days: int = 30, price_basis: str = "gross", period: w.Window | None = None
+    g: DataFrame, i: DataFrame, as_of: date | Column | None = None, days: int = 30, price_basis: str = "gross", period: w.Window | None = None
 ) -> DataFrame:
     """Items whose mean unit cost exceeds their mean selling price, worst first.
 
@@ -146,7 +146,7 @@ def loss_items(
 
 
 def unprofitable_items(
-    g: DataFrame, i: DataFrame, as_of: date | None = None, days: int = 30, price_basis: str = "net"
+    g: DataFrame, i: DataFrame, as_of: date | Column | None = None, days: int = 30, price_basis: str = "net"
 ) -> DataFrame:
     """The same test without a cost filter, largest quantity first."""
     sums = selected(g, as_of, days).filter(sold()).groupBy("item_id").agg(
@@ -165,7 +165,7 @@ def unprofitable_items(
     )
 
 
-def low_margin_items(g: DataFrame, i: DataFrame, as_of: date | None = None, days: int = 30, below: float = 0.1) -> DataFrame:
+def low_margin_items(g: DataFrame, i: DataFrame, as_of: date | Column | None = None, days: int = 30, below: float = 0.1) -> DataFrame:
     """Items whose margin is below a share of revenue, lowest first."""
     sums = selected(g, as_of, days).filter(sold()).groupBy("item_id").agg(
         F.sum("total_quantity").alias("qtd_vendida"),

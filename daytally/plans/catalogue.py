@@ -118,7 +118,7 @@ ENTRIES: dict[str, Entry] = {
     "comparable_stores": lambda t: compare.comparable_stores(t.store_days((LFL[0][0], LFL[1][1]), NET), list(LFL)),
     # item analyses
     "top_items_by_revenue": lambda t: items.top_items(t.item_days(_days(30), PRICED), t.items, "revenue", AS_OF),
-    "top_items_by_revenue_newest": lambda t: items.top_items(t.item_days(None, PRICED), t.items, "revenue"),
+    "top_items_by_revenue_newest": lambda t: items.top_items(t.item_days(None, PRICED), t.items, "revenue", t.newest_day()),
     "top_items_by_margin": lambda t: items.top_items(t.item_days(_days(30), COSTED), t.items, "margin", AS_OF),
     "top_items_by_quantity": lambda t: items.top_items(t.item_days(_days(30), TRADE), t.items, "quantity", AS_OF),
     "top_items_active_stores": lambda t: items.top_items(

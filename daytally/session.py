@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE coalesces small shuffle partitions, splits skewed joins (also where the
 # split costs one more shuffle) and splits hot partitions before a write.
@@ -24,6 +24,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Estimated size of a table, from its file listing; runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def size_shuffles(
+    spark: SparkSession, df: DataFrame, bytes_per_partition: int = 128 << 20, most: int = 30_000
+) -> SparkSession:
+    """Raise the number of shuffle partitions to suit a large input.
+
+    The number is only ever raised: AQE merges partitions that turn out small,
+    but cannot split a shuffle that has too few.
+    """
+    wanted = min(-(-input_bytes(df) // bytes_per_partition), most)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (

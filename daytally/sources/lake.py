@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytally.functions.windows import Window, clip
@@ -60,3 +60,7 @@ class Lake:
             for part in parts:
                 df = df.filter(F.col(part) == newest[part])
         return df.agg(F.max("date")).first()[0]
+
+    def newest_day(self) -> Column:
+        """Newest item fact date as a scalar subquery."""
+        return self.table("da_items_stores_date").agg(F.max("date")).scalar()

@@ -191,3 +191,7 @@ class Transactions:
 
     def item_days(self, window: Window | None = None, measures: tuple[str, ...] = ITEM_MEASURES) -> DataFrame:
         return roll_up_item_days(sale_lines(self.table("lineitem"), window), self.table("part"), measures)
+
+    def newest_day(self) -> Column:
+        """Newest sale date as a scalar subquery over the raw date column."""
+        return self.table("lineitem").agg(F.to_date(F.max("l_shipdate"))).scalar()

@@ -18,6 +18,7 @@ RAW_TABLES = "region nation customer supplier part orders lineitem".split()
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, 4, "4g")
+    session.conf.set("spark.sql.maxMetadataStringLength", "2000")  # whole scan descriptions in plans
     yield session
     session.stop()
 
