@@ -63,9 +63,10 @@ def date_window(name: str, as_of: date) -> Window:
 WINDOW_NAMES = ("today", "yesterday", "this_week", "this_month", "this_year", "last_month", "last_year")
 
 
-def in_window(window: Window, column: str = "date") -> Column:
+def in_window(window: Window, column: str = "date") -> str:
+    """SQL condition."""
     lo, hi = window
-    return (F.col(column) >= F.lit(lo)) & (F.col(column) < F.lit(hi))
+    return f"({column} >= DATE'{lo}' AND {column} < DATE'{hi}')"
 
 
 def clip(df: DataFrame, window: Window | None) -> DataFrame:
@@ -77,16 +78,14 @@ def clip(df: DataFrame, window: Window | None) -> DataFrame:
     """
     if window is None:
         return df
-    lo, hi = window
-    last = hi - timedelta(days=1)
-    keep = in_window(window)
-    if "year" in df.columns:
-        year = F.col("year")
-        keep = keep & year.between(lo.year, last.year)
-        if "month" in df.columns:
-            month = F.col("month")
-            keep = keep & ((year > lo.year) | (month >= lo.month)) & ((year < last.year) | (month <= last.month))
-    return df.filter(keep)
+    lo, last = window[0], window[1] - timedelta(days=1)
+    keep = [in_window(window)]
+    parts = set(df.columns) & {"year", "month"}
+    if "year" in parts:
+        keep.append(f"year BETWEEN {lo.year} AND {last.year}")
+    if "month" in parts:
+        keep.append(f"(year > {lo.year} OR month >= {lo.month}) AND (year < {last.year} OR month <= {last.month})")
+    return df.filter(" AND ".join(keep))
 
 
 def trailing(df: DataFrame, as_of: date | Column | None, days: int) -> DataFrame:

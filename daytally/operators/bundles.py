@@ -9,21 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daytally.functions import measures as m
 from daytally.functions import windows as w
-from daytally.operators.items import labelled, sold
+from daytally.functions.measures import columns, listed
+from daytally.operators.items import SOLD, labelled
 
 STORE_DAY = ["store_id", "date"]
 MAX_TARGETS = 60  # one bit each in a bigint
 
 
-def _store_days_counted(unique_keys: bool) -> Column:
+def _store_days_counted(unique_keys: bool) -> str:
     """Distinct store-days of an item. With unique keys an item has one row per
     store-day, and counting rows avoids shuffling every row for a distinct."""
-    return F.count("*") if unique_keys else F.countDistinct(F.struct(*STORE_DAY))
+    return "count(*)" if unique_keys else "count(DISTINCT struct(store_id, date))"
 
 
 def co_occurring(
@@ -39,7 +40,7 @@ def co_occurring(
     targets is a short list of item ids, or a table with an item_id column of
     any size. Set unique_keys=False for facts whose key was not checked.
     """
-    sales = w.clip(g, window).filter(sold())
+    sales = w.clip(g, window).filter(SOLD)
     if isinstance(targets, DataFrame):
         ids = targets.select("item_id").distinct()
         hits = sales.join(ids, "item_id", "left_semi")
@@ -52,15 +53,17 @@ def co_occurring(
         partners.join(target_days, STORE_DAY, "left_semi")
         .groupBy("item_id")
         .agg(
-            _store_days_counted(unique_keys).alias("co_occurrence_days"),
-            F.sum("total_quantity").alias("total_qty"),
-            F.sum("total_net").alias("total_revenue"),
+            *columns(
+                co_occurrence_days=_store_days_counted(unique_keys),
+                total_qty="sum(total_quantity)",
+                total_revenue="sum(total_net)",
+            )
         )
     )
     ranked = labelled(sums, i)
     if k is not None:
         ranked = ranked.orderBy(F.desc("co_occurrence_days"), "item_id").limit(k)
-    return ranked.select(F.col("artigo").alias("description"), "co_occurrence_days", "total_qty", "total_revenue")
+    return ranked.selectExpr("artigo AS description", "co_occurrence_days", "total_qty", "total_revenue")
 
 
 def seasonal_items(
@@ -75,16 +78,20 @@ def seasonal_items(
     """Items that sell at least min_ratio times as much in peak months as in
     off-season months, strongest first. An item that never sells off season has
     no ratio and comes before all others."""
-    month = F.month("date")
-    rows = w.clip(g, window).filter(sold() & month.isin(*peak, *off))
-    zero = F.lit(0).cast("decimal(18,5)")
-    quantity = F.col("total_quantity")
-    sums = rows.groupBy("item_id").agg(
-        F.sum(F.when(month.isin(*peak), quantity).otherwise(zero)).alias("qtd_pico"),
-        F.sum(F.when(month.isin(*off), quantity).otherwise(zero)).alias("qtd_fora"),
+    in_peak, off_season = (f"month(date) IN ({listed(months)})" for months in (peak, off))
+    sums = (
+        w.clip(g, window)
+        .filter(SOLD)
+        .filter(f"{in_peak} OR {off_season}")
+        .groupBy("item_id")
+        .agg(
+            *columns(
+                qtd_pico=m.sum_where(in_peak, "total_quantity"), qtd_fora=m.sum_where(off_season, "total_quantity")
+            )
+        )
     )
-    strong = sums.filter((F.col("qtd_pico") > 0) & (F.col("qtd_pico").cast("double") >= min_ratio * F.col("qtd_fora").cast("double")))
-    found = labelled(strong, i).withColumn("racio", m.ratio("qtd_pico", "qtd_fora"))
+    strong = sums.filter(f"qtd_pico > 0 AND CAST(qtd_pico AS DOUBLE) >= {min_ratio} * CAST(qtd_fora AS DOUBLE)")
+    found = labelled(strong, i).withColumn("racio", F.expr(m.ratio("qtd_pico", "qtd_fora")))
     if k is not None:
         found = found.orderBy(F.desc_nulls_first("racio"), F.desc("qtd_pico"), "item_id").limit(k)
     return found.select("item_id", "artigo", "codigo", "qtd_pico", "qtd_fora", "racio")
@@ -97,31 +104,31 @@ def bundles_per_target(g: DataFrame, i: DataFrame, targets: DataFrame, window: w
     bit per target that sold there; a partner adds up bits, so its row is never
     repeated per target. A target also counts as partner of the other targets.
     """
-    numbered = targets.select("item_id").distinct().orderBy("item_id").limit(MAX_TARGETS + 1)
-    ids = numbered.groupBy().agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    few = targets.select("item_id").distinct().orderBy("item_id").limit(MAX_TARGETS + 1)
     # more than MAX_TARGETS is an error, not a silent cut
-    ids = ids.select(
-        F.when(F.size("ids") <= MAX_TARGETS, F.col("ids")).otherwise(
-            F.raise_error(F.lit(f"at most {MAX_TARGETS} targets"))
-        ).alias("ids")
+    bits = few.agg(F.expr("sort_array(collect_list(item_id)) AS ids")).selectExpr(
+        f"posexplode(CASE WHEN size(ids) <= {MAX_TARGETS} THEN ids "
+        f"ELSE raise_error('at most {MAX_TARGETS} targets') END) AS (bit, item_id)"
     )
-    bits = ids.select(F.posexplode("ids").alias("bit", "item_id"))
-    sales = w.clip(g, window).filter(sold())
+    sales = w.clip(g, window).filter(SOLD)
     flags = (
         sales.join(F.broadcast(bits), "item_id")  # at most MAX_TARGETS rows
         .groupBy(*STORE_DAY)
-        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("flags"))
+        .agg(F.expr("bit_or(shiftleft(1L, bit)) AS flags"))
+    )
+    every_bit = range(MAX_TARGETS)
+    shared = (
+        sales.join(flags, STORE_DAY)
+        .groupBy("item_id")
+        .agg(*columns(**{f"b{b}": f"sum(shiftright(flags, {b}) & 1L)" for b in every_bit}))
     )
-    counters = [F.sum(F.expr(f"shiftright(flags, {b}) & 1L")).alias(f"b{b}") for b in range(MAX_TARGETS)]
-    shared = sales.join(flags, STORE_DAY).groupBy("item_id").agg(*counters)
-    counted = shared.select(
-        F.col("item_id").alias("partner_id"),
-        F.posexplode(F.array(*[F.col(f"b{b}") for b in range(MAX_TARGETS)])).alias("bit", "co_occurrence_days"),
-    ).filter(F.col("co_occurrence_days") >= max(min_days, 1))
+    counted = shared.selectExpr(
+        "item_id AS partner_id",
+        f"posexplode(array({', '.join(f'b{b}' for b in every_bit)})) AS (bit, co_occurrence_days)",
+    ).filter(f"co_occurrence_days >= {max(min_days, 1)}")
     pairs = counted.join(F.broadcast(bits.withColumnRenamed("item_id", "target_id")), "bit").filter("partner_id != target_id")
-    labels = i.select("id", "description")
     return (
-        pairs.join(labels.select(F.col("id").alias("partner_id"), F.col("description").alias("parceiro")), "partner_id")
-        .join(labels.select(F.col("id").alias("target_id"), F.col("description").alias("artigo")), "target_id")
+        pairs.join(i.selectExpr("id AS partner_id", "description AS parceiro"), "partner_id")
+        .join(i.selectExpr("id AS target_id", "description AS artigo"), "target_id")
         .select("artigo", "parceiro", "co_occurrence_days")
     )

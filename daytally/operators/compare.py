@@ -4,34 +4,24 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daytally.functions import measures as m
 from daytally.functions import windows as w
+from daytally.functions.measures import columns
 from daytally.operators.stores import named
 
 
-def _net_when(condition: Column) -> Column:
-    """Sum of revenue where the condition holds, zero elsewhere."""
-    return F.sum(F.when(condition, F.col("total_net")).otherwise(F.lit(0).cast("decimal(18,5)")))
-
-
-def _seen(condition: Column) -> Column:
-    return F.count(F.when(condition, F.lit(1)))
-
-
 def _hull(*periods: w.Window) -> w.Window:
     return min(lo for lo, _ in periods), max(hi for _, hi in periods)
 
 
 def comparable_stores(f: DataFrame, periods: list[w.Window]) -> DataFrame:
     """Ids of the stores with facts in every one of the periods, in one scan."""
-    counts = [_seen(w.in_window(p)).alias(f"n{i}") for i, p in enumerate(periods)]
-    seen = w.clip(f, _hull(*periods)).groupBy("store_id").agg(*counts)
-    for i in range(len(periods)):
-        seen = seen.filter(F.col(f"n{i}") > 0)
-    return seen.select("store_id")
+    counts = {f"n{i}": f"count_if({w.in_window(p)})" for i, p in enumerate(periods)}
+    seen = w.clip(f, _hull(*periods)).groupBy("store_id").agg(*columns(**counts))
+    return seen.filter(" AND ".join(f"{n} > 0" for n in counts)).select("store_id")
 
 
 def compare(
@@ -53,39 +43,37 @@ def compare(
     """
     a, b = w.in_window(period_a), w.in_window(period_b)
     if scope == "lfl":
-        f = w.clip(f, _hull(period_a, period_b)).filter(a | b)
+        f = w.clip(f, _hull(period_a, period_b)).filter(f"{a} OR {b}")
     elif since is not None:
         f = w.clip(f, (since, until or max(period_a[1], period_b[1])))
     per_id = f.groupBy("store_id").agg(
-        _net_when(a).alias("revenue_a"), _net_when(b).alias("revenue_b"), _seen(a).alias("in_a"), _seen(b).alias("in_b")
+        *columns(
+            revenue_a=m.sum_where(a), revenue_b=m.sum_where(b), in_a=f"count_if({a})", in_b=f"count_if({b})"
+        )
     )
     if scope == "lfl":
         per_id = per_id.filter("in_a > 0 and in_b > 0")
     return (
         named(per_id, s, active_only)
         .groupBy(F.col("loja").alias("name"))
-        .agg(F.sum("revenue_a").alias("revenue_a"), F.sum("revenue_b").alias("revenue_b"))
-        .withColumn("growth_pct", m.growth("revenue_b", "revenue_a"))
+        .agg(*columns(revenue_a="sum(revenue_a)", revenue_b="sum(revenue_b)"))
+        .withColumn("growth_pct", F.expr(m.growth("revenue_b", "revenue_a")))
         .orderBy(F.desc_nulls_last("growth_pct"), "name")
     )
 
 
-def yoy_by_store(f: DataFrame, s: DataFrame, as_of: date, active_only: bool = True, since: date | None = None) -> DataFrame:
+def yoy_by_store(
+    f: DataFrame, s: DataFrame, as_of: date, active_only: bool = True, since: date | None = None
+) -> DataFrame:
     """This year so far against the whole of last year, per store."""
+    last, this = w.date_window("last_year", as_of), w.date_window("this_year", as_of)
     return (
-        compare(
-            f,
-            s,
-            w.date_window("last_year", as_of),
-            w.date_window("this_year", as_of),
-            active_only=active_only,
-            since=since,
-        )
-        .select(
-            F.col("name").alias("loja"),
-            F.col("revenue_b").alias("vendas_este_ano"),
-            F.col("revenue_a").alias("vendas_ano_passado"),
-            F.col("growth_pct").alias("variacao_percentual"),
+        compare(f, s, last, this, active_only=active_only, since=since)
+        .selectExpr(
+            "name AS loja",
+            "revenue_b AS vendas_este_ano",
+            "revenue_a AS vendas_ano_passado",
+            "growth_pct AS variacao_percentual",
         )
         .orderBy(F.desc("vendas_este_ano"), "loja")
     )
@@ -96,17 +84,23 @@ def yoy_monthly(f: DataFrame, s: DataFrame, as_of: date, years_back: int = 2) ->
 
     A month seen only in an earlier year of the span appears with zeros.
     """
-    month = F.month("date")
-    span = w.clip(f, w.trailing_years(as_of, years_back)).filter(month <= as_of.month)
-    year = F.year("date")
-    per_id = span.groupBy("store_id", month.alias("mes")).agg(
-        _net_when(year == as_of.year).alias("vendas_ano"), _net_when(year == as_of.year - 1).alias("vendas_ano_anterior")
+    span = w.clip(f, w.trailing_years(as_of, years_back)).filter(f"month(date) <= {as_of.month}")
+    per_id = span.groupBy("store_id", F.expr("month(date) AS mes")).agg(
+        *columns(
+            vendas_ano=m.sum_where(f"year(date) = {as_of.year}"),
+            vendas_ano_anterior=m.sum_where(f"year(date) = {as_of.year - 1}"),
+        )
     )
     return (
         named(per_id, s)
         .groupBy("loja", "mes")
-        .agg(F.sum("vendas_ano").alias("vendas_ano"), F.sum("vendas_ano_anterior").alias("vendas_ano_anterior"))
-        .withColumn("diferenca", F.round(F.col("vendas_ano") - F.col("vendas_ano_anterior"), 2))
-        .withColumn("variacao_pct", m.growth("vendas_ano", "vendas_ano_anterior"))
+        .agg(*columns(vendas_ano="sum(vendas_ano)", vendas_ano_anterior="sum(vendas_ano_anterior)"))
+        .select(
+            "*",
+            *columns(
+                diferenca="round(vendas_ano - vendas_ano_anterior, 2)",
+                variacao_pct=m.growth("vendas_ano", "vendas_ano_anterior"),
+            ),
+        )
         .orderBy("loja", "mes")
     )

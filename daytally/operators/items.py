@@ -14,40 +14,42 @@ from pyspark.sql import functions as F
 
 from daytally.functions import measures as m
 from daytally.functions import windows as w
+from daytally.functions.measures import columns
+
+# Rows of goods sold; a zero or negative quantity is not a sale.
+SOLD = "total_quantity > 0"
+RANKED_BY = {"revenue": "receita_total", "margin": "margem_total", "quantity": "qtd_vendida"}
+MARGIN_SUM = f"sum({m.MARGIN})"
+MEAN_COST = m.average("latest_price_cost")
+
+AsOf = date | Column | None
 
 
 def selected(
-    g: DataFrame, as_of: date | Column | None = None, days: int = 30, period: w.Window | None = None, active_stores: DataFrame | None = None
+    g: DataFrame,
+    as_of: AsOf = None,
+    days: int = 30,
+    period: w.Window | None = None,
+    active_stores: DataFrame | None = None,
 ) -> DataFrame:
     """Facts of a period, or else of the trailing days up to as_of or the newest
     date; of active stores only when a store list is given."""
     facts = w.clip(g, period) if period else w.trailing(g, as_of, days)
     if active_stores is not None:
-        ids = active_stores.filter("status = 1").select(F.col("id").alias("store_id"))
+        ids = active_stores.filter("status = 1").selectExpr("id AS store_id")
         facts = facts.join(ids, "store_id", "left_semi")
     return facts
 
 
-def sold() -> Column:
-    """Rows of goods sold; a zero or negative quantity is not a sale."""
-    return F.col("total_quantity") > 0
-
-
 def labelled(df: DataFrame, items: DataFrame) -> DataFrame:
-    labels = items.select(
-        F.col("id").alias("item_id"), F.col("description").alias("artigo"), F.col("pcode").alias("codigo")
-    )
-    return df.join(labels, "item_id")
-
-
-RANKED_BY = {"revenue": "receita_total", "margin": "margem_total", "quantity": "qtd_vendida"}
+    return df.join(items.selectExpr("id AS item_id", "description AS artigo", "pcode AS codigo"), "item_id")
 
 
 def top_items(
     g: DataFrame,
     i: DataFrame,
     by: str = "revenue",
-    as_of: date | Column | None = None,
+    as_of: AsOf = None,
     days: int = 30,
     period: w.Window | None = None,
     k: int = 20,
@@ -62,160 +64,187 @@ def top_items(
     """
     facts = selected(g, as_of, days, period, active_stores)
     if by != "revenue":
-        facts = facts.filter(sold())
-    made: dict[str, Column] = {
-        "qtd_vendida": F.sum("total_quantity"),
-        "receita_total": F.sum("total_net"),
-    }
+        facts = facts.filter(SOLD)
+    made = {"qtd_vendida": "sum(total_quantity)", "receita_total": "sum(total_net)"}
     if by == "revenue":
-        made["preco_total"] = F.sum("total_price")
-        made["custo_medio"] = m.mean(F.sum("latest_price_cost"), F.count("latest_price_cost"))
+        made["preco_total"] = "sum(total_price)"
+        made["custo_medio"] = m.rounded(MEAN_COST)
     if by == "quantity":
-        price = m.unit_price("net")
-        made["preco_medio"] = m.mean(F.sum(price), F.count(price))
-        made["lojas_que_venderam"] = F.countDistinct("store_id")
+        made["preco_medio"] = m.rounded(m.average(m.unit_price("net")))
+        made["lojas_que_venderam"] = "count(DISTINCT store_id)"
     else:
-        made["margem_total"] = F.round(F.sum(m.margin()), 2)
-        made["margem_pct"] = m.percent(F.sum(m.margin()), F.sum("total_net"))
-    sums = facts.groupBy("item_id").agg(*[c.alias(name) for name, c in made.items()])
+        made["margem_total"] = f"round({MARGIN_SUM}, 2)"
+        made["margem_pct"] = m.percent(MARGIN_SUM, "sum(total_net)")
+    sums = facts.groupBy("item_id").agg(*columns(**made))
     if by == "margin":
-        sums = sums.filter(F.col("qtd_vendida") > min_qty)
+        sums = sums.filter(f"qtd_vendida > {min_qty}")
     best = labelled(sums, i).orderBy(F.desc_nulls_last(RANKED_BY[by]), "item_id").limit(k)
     return best.select("artigo", "codigo", *made)
 
 
-def product_summary(g: DataFrame, i: DataFrame, as_of: date, days: int = 30, period: w.Window | None = None, k: int = 10) -> DataFrame:
+def product_summary(
+    g: DataFrame, i: DataFrame, as_of: AsOf = None, days: int = 30, period: w.Window | None = None, k: int = 10
+) -> DataFrame:
     """The k items with most revenue: quantity, revenue, margin."""
-    sums = selected(g, as_of, days, period).groupBy("item_id").agg(
-        F.sum("total_quantity").alias("qtd_vendida"),
-        F.sum("total_net").alias("receita"),
-        F.round(F.sum(m.margin()), 2).alias("margem"),
+    sums = (
+        selected(g, as_of, days, period)
+        .groupBy("item_id")
+        .agg(
+            *columns(
+                qtd_vendida="sum(total_quantity)", receita="sum(total_net)", margem=f"round({MARGIN_SUM}, 2)"
+            )
+        )
     )
     best = labelled(sums, i).orderBy(F.desc_nulls_last("receita"), "item_id").limit(k)
-    return best.select(F.col("artigo").alias("produto"), "codigo", "qtd_vendida", "receita", "margem")
+    return best.selectExpr("artigo AS produto", "codigo", "qtd_vendida", "receita", "margem")
 
 
-def slow_items(g: DataFrame, i: DataFrame, as_of: date, days: int = 30, k: int = 20) -> DataFrame:
+def slow_items(g: DataFrame, i: DataFrame, as_of: AsOf = None, days: int = 30, k: int = 20) -> DataFrame:
     """The k items that sold the fewest units, among those that sold."""
-    sums = selected(g, as_of, days).filter(sold()).groupBy("item_id").agg(
-        F.sum("total_quantity").alias("qtd_vendida"), F.sum("total_net").alias("receita"), F.max("date").alias("ultima_venda")
+    sums = (
+        selected(g, as_of, days)
+        .filter(SOLD)
+        .groupBy("item_id")
+        .agg(*columns(qtd_vendida="sum(total_quantity)", receita="sum(total_net)", ultima_venda="max(date)"))
     )
     slow = labelled(sums, i).orderBy("qtd_vendida", "item_id").limit(k)
     return slow.select("artigo", "codigo", "qtd_vendida", "receita", "ultima_venda")
 
 
-def _mean_price(basis: str) -> Column:
-    price = m.unit_price(basis)
-    return m.ratio(F.sum(price), F.count(price))
-
-
-def _mean_cost() -> Column:
-    return m.ratio(F.sum("latest_price_cost"), F.count("latest_price_cost"))
-
-
 def loss_items(
-    g: DataFrame, i: DataFrame, as_of: date | Column | None = None, days: int = 30, price_basis: str = "gross", period: w.Window | None = None
+    g: DataFrame,
+    i: DataFrame,
+    as_of: AsOf = None,
+    days: int = 30,
+    price_basis: str = "gross",
+    period: w.Window | None = None,
 ) -> DataFrame:
     """Items whose mean unit cost exceeds their mean selling price, worst first.
 
     Means are over store-days and unweighted, the loss is a sum; an item may
     pass the test and still show a positive total.
     """
-    facts = selected(g, as_of, days, period).filter(sold() & (F.col("latest_price_cost") > 0))
-    sums = facts.groupBy("item_id").agg(
-        F.count("*").alias("ocorrencias"),
-        F.sum("total_quantity").alias("qtd_vendida"),
-        _mean_cost().alias("custo"),
-        _mean_price(price_basis).alias("preco"),
-        F.round(F.sum(m.margin()), 2).alias("prejuizo_total"),
+    sums = (
+        selected(g, as_of, days, period)
+        .filter(f"{SOLD} AND latest_price_cost > 0")
+        .groupBy("item_id")
+        .agg(
+            *columns(
+                ocorrencias="count(*)",
+                qtd_vendida="sum(total_quantity)",
+                custo=MEAN_COST,
+                preco=m.average(m.unit_price(price_basis)),
+                prejuizo_total=f"round({MARGIN_SUM}, 2)",
+            )
+        )
     )
     return (
         labelled(sums.filter("custo > preco"), i)
         .orderBy("prejuizo_total", "item_id")
-        .select(
+        .selectExpr(
             "artigo",
             "codigo",
             "ocorrencias",
             "qtd_vendida",
-            m.rounded("custo", 4).alias("custo_medio"),
-            m.rounded("preco", 4).alias("preco_venda_medio"),
-            m.rounded(F.col("preco") - F.col("custo"), 4).alias("margem_unitaria"),
+            f"{m.rounded('custo', 4)} AS custo_medio",
+            f"{m.rounded('preco', 4)} AS preco_venda_medio",
+            f"{m.rounded('preco - custo', 4)} AS margem_unitaria",
             "prejuizo_total",
         )
     )
 
 
 def unprofitable_items(
-    g: DataFrame, i: DataFrame, as_of: date | Column | None = None, days: int = 30, price_basis: str = "net"
+    g: DataFrame, i: DataFrame, as_of: AsOf = None, days: int = 30, price_basis: str = "net"
 ) -> DataFrame:
     """The same test without a cost filter, largest quantity first."""
-    sums = selected(g, as_of, days).filter(sold()).groupBy("item_id").agg(
-        _mean_cost().alias("custo"), _mean_price(price_basis).alias("preco"), F.sum("total_quantity").alias("qtd_vendida")
+    sums = (
+        selected(g, as_of, days)
+        .filter(SOLD)
+        .groupBy("item_id")
+        .agg(
+            *columns(custo=MEAN_COST, preco=m.average(m.unit_price(price_basis)), qtd_vendida="sum(total_quantity)")
+        )
     )
     return (
         labelled(sums.filter("custo > preco"), i)
         .orderBy(F.desc("qtd_vendida"), "item_id")
-        .select(
+        .selectExpr(
             "artigo",
             "codigo",
-            m.rounded("custo").alias("custo_medio"),
-            m.rounded("preco").alias("preco_venda_medio"),
+            f"{m.rounded('custo')} AS custo_medio",
+            f"{m.rounded('preco')} AS preco_venda_medio",
             "qtd_vendida",
         )
     )
 
 
-def low_margin_items(g: DataFrame, i: DataFrame, as_of: date | Column | None = None, days: int = 30, below: float = 0.1) -> DataFrame:
+def low_margin_items(
+    g: DataFrame, i: DataFrame, as_of: AsOf = None, days: int = 30, below: float = 0.1
+) -> DataFrame:
     """Items whose margin is below a share of revenue, lowest first."""
-    sums = selected(g, as_of, days).filter(sold()).groupBy("item_id").agg(
-        F.sum("total_quantity").alias("qtd_vendida"),
-        F.sum("total_net").alias("receita"),
-        F.sum(m.cost()).alias("custo_total"),
-        F.sum(m.margin()).alias("margem"),
+    sums = (
+        selected(g, as_of, days)
+        .filter(SOLD)
+        .groupBy("item_id")
+        .agg(
+            *columns(
+                qtd_vendida="sum(total_quantity)", receita="sum(total_net)", custo=f"sum({m.COST})", margem=MARGIN_SUM
+            )
+        )
     )
     return (
-        labelled(sums.filter(m.ratio("margem", "receita") < below), i)
-        .withColumn("margem_pct", m.percent("margem", "receita"))
+        labelled(sums.filter(f"{m.ratio('margem', 'receita')} < {below}"), i)
+        .withColumn("margem_pct", F.expr(m.percent("margem", "receita")))
         .orderBy("margem_pct", "item_id")
-        .select(
+        .selectExpr(
             "artigo",
             "codigo",
             "qtd_vendida",
             "receita",
-            F.col("custo_total").cast("decimal(28,5)").alias("custo_total"),
-            F.round("margem", 2).alias("margem_total"),
+            "CAST(custo AS DECIMAL(28,5)) AS custo_total",
+            "round(margem, 2) AS margem_total",
             "margem_pct",
         )
     )
 
 
-def product_store_sales(g: DataFrame, i: DataFrame, s: DataFrame, period: w.Window, active_only: bool = True) -> DataFrame:
+def product_store_sales(
+    g: DataFrame, i: DataFrame, s: DataFrame, period: w.Window, active_only: bool = True
+) -> DataFrame:
     """Quantity, revenue and margin per item and store, with both names."""
-    sums = selected(g, period=period).groupBy("item_id", "store_id").agg(
-        F.sum("total_quantity").alias("qtd_vendida"),
-        F.sum("total_net").alias("receita"),
-        F.round(F.sum(m.margin()), 2).alias("margem"),
+    sums = (
+        selected(g, period=period)
+        .groupBy("item_id", "store_id")
+        .agg(
+            *columns(
+                qtd_vendida="sum(total_quantity)", receita="sum(total_net)", margem=f"round({MARGIN_SUM}, 2)"
+            )
+        )
     )
     if active_only:
         s = s.filter("status = 1")
-    names = s.select(F.col("id").alias("store_id"), F.col("name").alias("loja"))
-    return labelled(sums, i).join(names, "store_id").select("artigo", "codigo", "loja", "qtd_vendida", "receita", "margem")
+    names = s.selectExpr("id AS store_id", "name AS loja")
+    return (
+        labelled(sums, i)
+        .join(names, "store_id")
+        .select("artigo", "codigo", "loja", "qtd_vendida", "receita", "margem")
+    )
 
 
 def margin_by_category(g: DataFrame, i: DataFrame, period: w.Window) -> DataFrame:
     """Revenue and margin per item family and group."""
-    sums = selected(g, period=period).groupBy("item_id").agg(
-        F.sum("total_net").alias("net"), F.sum(m.margin()).alias("margin")
-    )
-    category = i.select(F.col("id").alias("item_id"), "family_id", "group_id")
+    sums = selected(g, period=period).groupBy("item_id").agg(*columns(net="sum(total_net)", margin=MARGIN_SUM))
     return (
-        sums.join(category, "item_id")
+        sums.join(i.selectExpr("id AS item_id", "family_id", "group_id"), "item_id")
         .groupBy("family_id", "group_id")
         .agg(
-            F.count("*").alias("artigos"),
-            F.sum("net").alias("receita"),
-            F.round(F.sum("margin"), 2).alias("margem"),
-            m.percent(F.sum("margin"), F.sum("net")).alias("margem_pct"),
+            *columns(
+                artigos="count(*)",
+                receita="sum(net)",
+                margem="round(sum(margin), 2)",
+                margem_pct=m.percent("sum(margin)", "sum(net)"),
+            )
         )
         .orderBy("family_id", "group_id")
     )
@@ -223,14 +252,12 @@ def margin_by_category(g: DataFrame, i: DataFrame, period: w.Window) -> DataFram
 
 def stale_items(g: DataFrame, i: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """Active items without a sale for more than `days` days, or never sold."""
-    tomorrow = w.trailing_days(as_of, 0)[1]
-    last = g.filter(sold() & (F.col("date") < F.lit(tomorrow))).groupBy("item_id").agg(F.max("date").alias("ultima_venda"))
-    idle = F.datediff(F.lit(as_of), F.col("ultima_venda"))
+    last = g.filter(f"{SOLD} AND date <= DATE'{as_of}'").groupBy("item_id").agg(*columns(ultima_venda="max(date)"))
     return (
         i.filter("status = 1")
-        .select(F.col("id").alias("item_id"), F.col("description").alias("artigo"), F.col("pcode").alias("codigo"))
+        .selectExpr("id AS item_id", "description AS artigo", "pcode AS codigo")
         .join(last, "item_id", "left")
-        .withColumn("dias_parado", idle)
-        .filter(F.col("dias_parado").isNull() | (F.col("dias_parado") > days))
+        .withColumn("dias_parado", F.expr(f"datediff(DATE'{as_of}', ultima_venda)"))
+        .filter(f"dias_parado IS NULL OR dias_parado > {days}")
         .select("artigo", "codigo", "ultima_venda", "dias_parado")
     )

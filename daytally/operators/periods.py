@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daytally.functions import measures as m
 from daytally.functions.calendar import calendar_days
+from daytally.functions.measures import columns
 from daytally.operators.stores import again, named, per_store
 
 
@@ -17,38 +18,44 @@ def sales_in_periods(f: DataFrame, s: DataFrame, cal: DataFrame) -> DataFrame:
     equality. Facts are summed per day before they meet the calendar, whose
     size is fixed per year. Events without facts are left out.
     """
-    daily = again(named(per_store(f, F.col("date")), s), "date")
+    daily = again(named(per_store(f, date="date"), s), "date")
     return (
         daily.join(calendar_days(cal), "date")
         .groupBy("event", "city", "start", "end")
         .agg(
-            F.count("*").alias("dias"),
-            F.sum("nr_sales").alias("total_vendas"),
-            F.sum("nr_persons").alias("total_clientes"),
-            F.sum("total_quantity").alias("quantidade_total"),
-            F.sum("total_net").alias("vendas_sem_iva"),
-            F.sum("total_doc").alias("vendas_com_iva"),
-            m.mean(F.sum("total_net"), F.sum("net_rows")).alias("media_diaria"),
+            *columns(
+                dias="count(*)",
+                total_vendas="sum(nr_sales)",
+                total_clientes="sum(nr_persons)",
+                quantidade_total="sum(total_quantity)",
+                vendas_sem_iva="sum(total_net)",
+                vendas_com_iva="sum(total_doc)",
+                media_diaria=m.mean("sum(total_net)", "sum(net_rows)"),
+            )
         )
         .orderBy("start", "event")
     )
 
 
-def local_event_sales(f: DataFrame, s: DataFrame, cal: DataFrame) -> DataFrame:
+def local_event_sales(f: DataFrame, located_stores: DataFrame, cal: DataFrame) -> DataFrame:
     """Totals per event with a city, from the stores located in that city."""
     events = calendar_days(cal.filter("city is not null")).withColumn("location", F.explode(F.split("city", ", ")))
-    places = s.filter("status = 1").select(F.col("id").alias("store_id"), "location")
-    daily = f.join(places, "store_id").groupBy("location", "date").agg(
-        F.sum("nr_sales").alias("nr_sales"), F.sum("total_net").alias("total_net"), F.count("*").alias("rows")
+    places = located_stores.filter("status = 1").selectExpr("id AS store_id", "location")
+    daily = (
+        f.join(places, "store_id")
+        .groupBy("location", "date")
+        .agg(*columns(nr_sales="sum(nr_sales)", total_net="sum(total_net)", n_rows="count(*)"))
     )
     return (
         daily.join(events.select("event", "start", "end", "location", "date"), ["location", "date"])
         .groupBy("event", "location", "start", "end")
         .agg(
-            F.countDistinct("date").alias("dias"),
-            F.sum("rows").alias("lojas_dia"),
-            F.sum("nr_sales").alias("total_vendas"),
-            F.sum("total_net").alias("vendas_sem_iva"),
+            *columns(
+                dias="count(DISTINCT date)",
+                lojas_dia="sum(n_rows)",
+                total_vendas="sum(nr_sales)",
+                vendas_sem_iva="sum(total_net)",
+            )
         )
         .orderBy("start", "event", "location")
     )

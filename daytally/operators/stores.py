@@ -11,53 +11,53 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daytally.functions import measures as m
 from daytally.functions import windows as w
+from daytally.functions.measures import columns, listed
 
 SUMMED = ("nr_sales", "nr_persons", "total_quantity", "total_net", "total_doc", "total_discount")
+MEAN_NET = m.mean("sum(total_net)", "count(total_net)")
 
 
 def named(df: DataFrame, stores: DataFrame, active_only: bool = True) -> DataFrame:
     """Attach the store name as `loja`; keeps active stores only by default."""
     if active_only:
         stores = stores.filter("status = 1")
-    return df.join(stores.select(F.col("id").alias("store_id"), F.col("name").alias("loja")), "store_id")
+    return df.join(stores.selectExpr("id AS store_id", "name AS loja"), "store_id")
 
 
-def _sums(facts: DataFrame) -> list[Column]:
-    return [F.sum(c).alias(c) for c in SUMMED if c in facts.columns]
-
-
-def per_store(facts: DataFrame, *keys: Column) -> DataFrame:
-    """Sums per store id and keys; `rows` and `net_rows` count facts, for means."""
-    extra = [F.count("*").alias("rows")]
-    if "total_net" in facts.columns:
-        extra.append(F.count("total_net").alias("net_rows"))
-    return facts.groupBy("store_id", *keys).agg(*_sums(facts), *extra)
+def per_store(facts: DataFrame, **keys: str) -> DataFrame:
+    """Sums per store id and named key expressions; `n_rows` and `net_rows` count
+    facts, for means."""
+    present = facts.columns
+    sums = {c: f"sum({c})" for c in SUMMED if c in present}
+    if "total_net" in sums:
+        sums["net_rows"] = "count(total_net)"
+    return facts.groupBy("store_id", *columns(**keys)).agg(*columns(n_rows="count(*)", **sums))
 
 
 def again(df: DataFrame, *keys: str) -> DataFrame:
     """Add up partial sums under coarser keys."""
-    counts = [F.sum(c).alias(c) for c in ("rows", "net_rows") if c in df.columns]
-    return df.groupBy(*keys).agg(*_sums(df), *counts)
+    summed = (*SUMMED, "n_rows", "net_rows")
+    return df.groupBy(*keys).agg(*columns(**{c: f"sum({c})" for c in df.columns if c in summed}))
 
 
 def sales_on(f: DataFrame, s: DataFrame, day: date, active_only: bool = True) -> DataFrame:
     """Every store's figures of one day, best first."""
     return (
         named(w.clip(f, w.inclusive(day, day)), s, active_only)
-        .select(
+        .selectExpr(
             "loja",
-            F.col("date").alias("data"),
-            F.col("nr_sales").alias("num_vendas"),
-            F.col("nr_persons").alias("num_clientes"),
-            F.col("total_quantity").alias("quantidade_total"),
-            F.col("total_net").alias("vendas_sem_iva"),
-            F.col("total_doc").alias("vendas_com_iva"),
-            F.col("total_discount").alias("descontos"),
+            "date AS data",
+            "nr_sales AS num_vendas",
+            "nr_persons AS num_clientes",
+            "total_quantity AS quantidade_total",
+            "total_net AS vendas_sem_iva",
+            "total_doc AS vendas_com_iva",
+            "total_discount AS descontos",
         )
         .orderBy(F.desc_nulls_last("vendas_sem_iva"), "loja")
     )
@@ -66,9 +66,9 @@ def sales_on(f: DataFrame, s: DataFrame, day: date, active_only: bool = True) ->
 def store_day_totals(f: DataFrame, s: DataFrame, day: date) -> DataFrame:
     """Revenue and transactions per store name on one day."""
     sums = again(named(per_store(w.clip(f, w.inclusive(day, day))), s), "loja")
-    return sums.select(
-        "loja", F.col("total_net").alias("vendas"), F.col("nr_sales").alias("num_transacoes")
-    ).orderBy(F.desc_nulls_last("vendas"), "loja")
+    return sums.selectExpr("loja", "total_net AS vendas", "nr_sales AS num_transacoes").orderBy(
+        F.desc_nulls_last("vendas"), "loja"
+    )
 
 
 def day_total(f: DataFrame, day: date) -> DataFrame:
@@ -79,28 +79,30 @@ def day_total(f: DataFrame, day: date) -> DataFrame:
 def period_total(f: DataFrame, s: DataFrame, label: str, first: date, last: date) -> DataFrame:
     """One row of totals over an inclusive period. The daily mean is over
     store-days."""
-    daily = named(per_store(w.clip(f, w.inclusive(first, last)), F.col("date")), s)
+    daily = named(per_store(w.clip(f, w.inclusive(first, last)), date="date"), s)
     return daily.agg(
         F.lit(label).alias("periodo"),
-        F.countDistinct("date").alias("dias"),
-        F.sum("nr_sales").alias("total_vendas"),
-        F.sum("nr_persons").alias("total_clientes"),
-        F.sum("total_quantity").alias("quantidade_total"),
-        F.sum("total_net").alias("vendas_sem_iva"),
-        F.sum("total_doc").alias("vendas_com_iva"),
-        m.mean(F.sum("total_net"), F.sum("net_rows")).alias("media_diaria"),
+        *columns(
+            dias="count(DISTINCT date)",
+            total_vendas="sum(nr_sales)",
+            total_clientes="sum(nr_persons)",
+            quantidade_total="sum(total_quantity)",
+            vendas_sem_iva="sum(total_net)",
+            vendas_com_iva="sum(total_doc)",
+            media_diaria=m.mean("sum(total_net)", "sum(net_rows)"),
+        ),
     )
 
 
 def period_by_store(f: DataFrame, s: DataFrame, first: date, last: date) -> DataFrame:
     """Revenue, sales, customers and average ticket per store over a period."""
     sums = again(named(per_store(w.clip(f, w.inclusive(first, last))), s), "loja")
-    return sums.select(
+    return sums.selectExpr(
         "loja",
-        F.col("total_net").alias("vendas"),
-        F.col("nr_sales").alias("num_vendas"),
-        F.col("nr_persons").alias("num_clientes"),
-        m.ticket().alias("ticket_medio"),
+        "total_net AS vendas",
+        "nr_sales AS num_vendas",
+        "nr_persons AS num_clientes",
+        f"{m.ticket()} AS ticket_medio",
     ).orderBy(F.desc_nulls_last("vendas"), "loja")
 
 
@@ -108,13 +110,13 @@ def store_history(f: DataFrame, s: DataFrame, name: str, as_of: date, days: int
     """One store's daily figures, newest first; also for an inactive store."""
     return (
         named(w.trailing(f, as_of, days), s.filter(F.col("name") == name), active_only=False)
-        .select(
+        .selectExpr(
             "loja",
-            F.col("date").alias("data"),
-            F.col("nr_sales").alias("vendas"),
-            F.col("nr_persons").alias("clientes"),
-            F.col("total_net").alias("receita"),
-            F.col("total_discount").alias("descontos"),
+            "date AS data",
+            "nr_sales AS vendas",
+            "nr_persons AS clientes",
+            "total_net AS receita",
+            "total_discount AS descontos",
         )
         .orderBy(F.desc("data"))
     )
@@ -123,28 +125,32 @@ def store_history(f: DataFrame, s: DataFrame, name: str, as_of: date, days: int
 def ytd_by_store(f: DataFrame, s: DataFrame, as_of: date) -> DataFrame:
     """Year to date per store."""
     sums = again(named(per_store(w.clip(f, w.date_window("this_year", as_of))), s), "loja")
-    return sums.select(
+    return sums.selectExpr(
         "loja",
-        F.col("rows").alias("dias_operacao"),
-        F.col("nr_sales").alias("total_vendas"),
-        F.col("nr_persons").alias("total_clientes"),
-        F.col("total_net").alias("receita_total"),
-        m.mean("total_net", "net_rows").alias("media_diaria"),
-        m.ticket().alias("ticket_medio"),
+        "n_rows AS dias_operacao",
+        "nr_sales AS total_vendas",
+        "nr_persons AS total_clientes",
+        "total_net AS receita_total",
+        f"{m.mean('total_net', 'net_rows')} AS media_diaria",
+        f"{m.ticket()} AS ticket_medio",
     ).orderBy(F.desc_nulls_last("receita_total"), "loja")
 
 
 def annual_by_store(f: DataFrame, s: DataFrame, as_of: date, years: int = 5) -> DataFrame:
     """Totals per store and calendar year over the trailing years."""
-    by_year = per_store(w.clip(f, w.trailing_years(as_of, years)), F.year("date").alias("ano"))
-    return again(named(by_year, s), "loja", "ano").select(
-        "loja",
-        "ano",
-        F.col("total_net").alias("vendas_anuais"),
-        F.col("nr_sales").alias("num_vendas"),
-        F.col("nr_persons").alias("num_clientes"),
-        m.mean("total_net", "net_rows").alias("media_diaria"),
-    ).orderBy("loja", "ano")
+    by_year = per_store(w.clip(f, w.trailing_years(as_of, years)), ano="year(date)")
+    return (
+        again(named(by_year, s), "loja", "ano")
+        .selectExpr(
+            "loja",
+            "ano",
+            "total_net AS vendas_anuais",
+            "nr_sales AS num_vendas",
+            "nr_persons AS num_clientes",
+            f"{m.mean('total_net', 'net_rows')} AS media_diaria",
+        )
+        .orderBy("loja", "ano")
+    )
 
 
 def store_ranking(f: DataFrame, s: DataFrame, as_of: date, days: int = 30) -> DataFrame:
@@ -155,13 +161,15 @@ def store_ranking(f: DataFrame, s: DataFrame, as_of: date, days: int = 30) -> Da
         named(w.trailing(f, as_of, days), s)
         .groupBy("loja")
         .agg(
-            F.countDistinct("date").alias("dias_operacao"),
-            F.sum("total_net").alias("receita_total"),
-            m.mean(F.sum("total_net"), F.count("total_net")).alias("receita_media_dia"),
-            F.sum("nr_sales").alias("total_vendas"),
-            m.ticket(F.sum("total_net"), F.sum("nr_sales")).alias("ticket_medio"),
-            F.sum("nr_persons").alias("total_clientes"),
-            m.mean(F.sum("nr_sales"), F.sum("nr_persons")).alias("vendas_por_cliente"),
+            *columns(
+                dias_operacao="count(DISTINCT date)",
+                receita_total="sum(total_net)",
+                receita_media_dia=MEAN_NET,
+                total_vendas="sum(nr_sales)",
+                ticket_medio=m.ticket("sum(total_net)", "sum(nr_sales)"),
+                total_clientes="sum(nr_persons)",
+                vendas_por_cliente=m.mean("sum(nr_sales)", "sum(nr_persons)"),
+            )
         )
         .orderBy(F.desc_nulls_last("receita_total"), "loja")
     )
@@ -169,16 +177,17 @@ def store_ranking(f: DataFrame, s: DataFrame, as_of: date, days: int = 30) -> Da
 
 def weekly_trend(f: DataFrame, s: DataFrame, as_of: date, weeks: int = 12) -> DataFrame:
     """Totals per week (from Monday), newest first."""
-    week = F.date_trunc("week", "date").cast("date").alias("semana")
-    weekly = named(per_store(w.trailing(f, as_of, 7 * weeks), week), s)
+    weekly = named(per_store(w.trailing(f, as_of, 7 * weeks), semana="CAST(date_trunc('week', date) AS DATE)"), s)
     return (
         weekly.groupBy("semana")
         .agg(
-            F.count("*").alias("lojas_ativas"),  # one row per store and week here
-            F.sum("nr_sales").alias("total_vendas"),
-            F.sum("nr_persons").alias("total_clientes"),
-            F.sum("total_net").alias("receita_total"),
-            m.mean(F.sum("total_net"), F.sum("net_rows")).alias("media_diaria"),
+            *columns(
+                lojas_ativas="count(*)",  # one row per store and week here
+                total_vendas="sum(nr_sales)",
+                total_clientes="sum(nr_persons)",
+                receita_total="sum(total_net)",
+                media_diaria=m.mean("sum(total_net)", "sum(net_rows)"),
+            )
         )
         .orderBy(F.desc("semana"))
     )
@@ -186,36 +195,37 @@ def weekly_trend(f: DataFrame, s: DataFrame, as_of: date, weeks: int = 12) -> Da
 
 def weekday_profile(f: DataFrame, s: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """Totals per weekday, Sunday = 0."""
-    number = (F.dayofweek("date") - 1).alias("dia_num")
-    name = F.date_format("date", "EEEE").alias("dia_semana")
-    sums = again(named(per_store(w.trailing(f, as_of, days), name, number), s), "dia_semana", "dia_num")
-    return sums.select(
-        "dia_semana",
-        "dia_num",
-        F.col("rows").alias("ocorrencias"),
-        F.col("total_net").alias("receita_total"),
-        m.mean("total_net", "net_rows").alias("receita_media"),
-        F.col("nr_sales").alias("total_vendas"),
-        F.col("nr_persons").alias("total_clientes"),
-    ).orderBy("dia_num")
+    facts = w.trailing(f, as_of, days)
+    by_day = per_store(facts, dia_semana="date_format(date, 'EEEE')", dia_num="dayofweek(date) - 1")
+    return (
+        again(named(by_day, s), "dia_semana", "dia_num")
+        .selectExpr(
+            "dia_semana",
+            "dia_num",
+            "n_rows AS ocorrencias",
+            "total_net AS receita_total",
+            f"{m.mean('total_net', 'net_rows')} AS receita_media",
+            "nr_sales AS total_vendas",
+            "nr_persons AS total_clientes",
+        )
+        .orderBy("dia_num")
+    )
 
 
 def top_stores(f: DataFrame, s: DataFrame, window: w.Window, k: int = 5) -> DataFrame:
     """The k stores with most revenue in a window."""
     sums = again(named(per_store(w.clip(f, window)), s), "loja")
-    return (
-        sums.select("loja", F.col("total_net").alias("receita"))
-        .orderBy(F.desc_nulls_last("receita"), "loja")
-        .limit(k)
-    )
+    return sums.selectExpr("loja", "total_net AS receita").orderBy(F.desc_nulls_last("receita"), "loja").limit(k)
 
 
-def stores_averaging_above(f: DataFrame, s: DataFrame, threshold: float = 1000, window: w.Window | None = None) -> DataFrame:
+def stores_averaging_above(
+    f: DataFrame, s: DataFrame, threshold: float = 1000, window: w.Window | None = None
+) -> DataFrame:
     """Stores whose mean daily revenue exceeds a threshold."""
     sums = again(named(per_store(w.clip(f, window)), s), "loja")
     return (
-        sums.filter(m.ratio("total_net", "net_rows") > threshold)
-        .select("loja", m.mean("total_net", "net_rows").alias("media_diaria"))
+        sums.filter(f"{m.ratio('total_net', 'net_rows')} > {threshold}")
+        .selectExpr("loja", f"{m.mean('total_net', 'net_rows')} AS media_diaria")
         .orderBy(F.desc("media_diaria"), "loja")
     )
 
@@ -223,45 +233,35 @@ def stores_averaging_above(f: DataFrame, s: DataFrame, threshold: float = 1000,
 def window_totals(f: DataFrame, s: DataFrame, as_of: date) -> DataFrame:
     """Totals of every named window relative to as_of, in one scan.
 
-    Each fact row goes to the windows that hold its date; there is a fixed
-    number of windows, and facts are summed per store and day beforehand.
+    Each day goes to the windows that hold it; there is a fixed number of
+    windows, and facts are summed per day beforehand.
     """
     spans = {name: w.date_window(name, as_of) for name in w.WINDOW_NAMES}
     hull = min(lo for lo, _ in spans.values()), max(hi for _, hi in spans.values())
-    holds = [F.when(w.in_window(span), F.lit(name)) for name, span in spans.items()]
-    daily = again(named(per_store(w.clip(f, hull), F.col("date")), s), "date")
+    holds = ", ".join(f"CASE WHEN {w.in_window(span)} THEN '{name}' END" for name, span in spans.items())
+    daily = again(named(per_store(w.clip(f, hull), date="date"), s), "date")
     return (
-        daily.withColumn("janela", F.explode(F.array_compact(F.array(*holds))))
+        daily.withColumn("janela", F.expr(f"explode(array_compact(array({holds})))"))
         .groupBy("janela")
-        .agg(
-            F.count("*").alias("dias"),
-            F.sum("nr_sales").alias("total_vendas"),
-            F.sum("total_net").alias("receita_total"),
-        )
+        .agg(*columns(dias="count(*)", total_vendas="sum(nr_sales)", receita_total="sum(total_net)"))
     )
 
 
 def daily_sales(f: DataFrame, s: DataFrame, window: w.Window) -> DataFrame:
     """Totals per day over active stores."""
-    daily = again(named(per_store(w.clip(f, window), F.col("date")), s), "date")
-    return daily.select(
-        F.col("date").alias("data"),
-        F.col("rows").alias("lojas"),
-        F.col("nr_sales").alias("total_vendas"),
-        F.col("total_net").alias("receita_total"),
+    daily = again(named(per_store(w.clip(f, window), date="date"), s), "date")
+    return daily.selectExpr(
+        "date AS data", "n_rows AS lojas", "nr_sales AS total_vendas", "total_net AS receita_total"
     ).orderBy("data")
 
 
 def monthly_sales(f: DataFrame, s: DataFrame, year: int) -> DataFrame:
     """Totals per month of a year over active stores."""
-    months = per_store(w.clip(f, w.year_of(year)), F.month("date").alias("mes"))
+    months = per_store(w.clip(f, w.year_of(year)), mes="month(date)")
     return (
         again(named(months, s), "mes")
-        .select(
-            "mes",
-            F.col("nr_sales").alias("total_vendas"),
-            F.col("total_net").alias("receita_total"),
-            m.ticket().alias("ticket_medio"),
+        .selectExpr(
+            "mes", "nr_sales AS total_vendas", "total_net AS receita_total", f"{m.ticket()} AS ticket_medio"
         )
         .orderBy("mes")
     )
@@ -273,17 +273,19 @@ def worst_days(f: DataFrame, s: DataFrame, window: w.Window, k: int = 5) -> Data
 
 
 def season_comparison(
-    f: DataFrame, s: DataFrame, window: w.Window, summer: tuple[int, ...] = (6, 7, 8), winter: tuple[int, ...] = (12, 1, 2)
+    f: DataFrame,
+    s: DataFrame,
+    window: w.Window,
+    summer: tuple[int, ...] = (6, 7, 8),
+    winter: tuple[int, ...] = (12, 1, 2),
 ) -> DataFrame:
     """Revenue per store in summer and winter months, and the difference."""
-    month = F.month("date")
-    season = F.when(month.isin(*summer), "verao").when(month.isin(*winter), "inverno").alias("estacao")
-    in_season = w.clip(f, window).filter(month.isin(*summer, *winter))
-    sums = again(named(per_store(in_season, season), s), "loja", "estacao")
-    net = F.col("total_net")
-    none = F.lit(0).cast("decimal(28,5)")
-    both = sums.groupBy("loja").agg(
-        F.sum(F.when(F.col("estacao") == "verao", net).otherwise(none)).alias("verao"),
-        F.sum(F.when(F.col("estacao") == "inverno", net).otherwise(none)).alias("inverno"),
+    in_season = w.clip(f, window).filter(F.month("date").isin(*summer, *winter))
+    sums = in_season.groupBy("store_id").agg(
+        *columns(
+            verao=m.sum_where(f"month(date) IN ({listed(summer)})"),
+            inverno=m.sum_where(f"month(date) IN ({listed(winter)})"),
+        )
     )
-    return both.withColumn("variacao_pct", m.growth("verao", "inverno")).orderBy("loja")
+    both = named(sums, s).groupBy("loja").agg(*columns(verao="sum(verao)", inverno="sum(inverno)"))
+    return both.withColumn("variacao_pct", F.expr(m.growth("verao", "inverno"))).orderBy("loja")

@@ -9,23 +9,16 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daytally.functions import calendar as cal
 from daytally.functions import measures as m
 from daytally.functions import windows as w
-from daytally.operators.items import labelled, sold
+from daytally.functions.measures import columns
+from daytally.operators.items import SOLD, labelled
 from daytally.operators.stores import again, named, per_store
 
-ZERO = "cast(0 as decimal(18,5))"
-
-
-def _net_if(condition: Column) -> Column:
-    return F.sum(F.when(condition, F.col("total_net")).otherwise(F.expr(ZERO)))
-
-
 def day_features(f: DataFrame) -> DataFrame:
     """Calendar, lag and rolling-mean features of every store-day.
 
@@ -34,14 +27,14 @@ def day_features(f: DataFrame) -> DataFrame:
     that have facts. All frames share one sort per store.
     """
     day = F.col("date")
-    by_day = W.partitionBy("store_id").orderBy(F.unix_date(day))
+    by_day = "PARTITION BY store_id ORDER BY unix_date(date) RANGE BETWEEN"
 
-    def lag(days: int) -> Column:
-        return F.max("total_net").over(by_day.rangeBetween(-days, -days))
+    def lag(days: int) -> str:
+        return f"max(total_net) OVER ({by_day} {days} PRECEDING AND {days} PRECEDING)"
 
-    def rolling(days: int) -> Column:
-        frame = by_day.rangeBetween(1 - days, 0)
-        return m.mean(F.sum("total_net").over(frame), F.count("total_net").over(frame))
+    def rolling(days: int) -> str:
+        frame = f"OVER ({by_day} {days - 1} PRECEDING AND CURRENT ROW)"
+        return m.mean(f"sum(total_net) {frame}", f"count(total_net) {frame}")
 
     return f.select(
         "store_id",
@@ -55,15 +48,11 @@ def day_features(f: DataFrame) -> DataFrame:
         F.weekofyear(day).alias("week_of_year"),
         cal.days_to_easter(day).alias("days_to_easter"),
         cal.days_to_christmas(day).alias("days_to_christmas"),
-        *[lag(n).alias(f"sales_lag_{n}") for n in (7, 30, 365)],
-        *[rolling(n).alias(f"rolling_mean_{n}") for n in (7, 30)],
+        *columns(**{f"sales_lag_{n}": lag(n) for n in (7, 30, 365)}),
+        *columns(**{f"rolling_mean_{n}": rolling(n) for n in (7, 30)}),
     )
 
 
-def _month_index(day: Column) -> Column:
-    return F.year(day) * 12 + F.month(day)
-
-
 def monthly_forecast(f: DataFrame, as_of: date, horizon: int = 3) -> DataFrame:
     """Revenue per store for the months after the last complete one.
 
@@ -73,41 +62,32 @@ def monthly_forecast(f: DataFrame, as_of: date, horizon: int = 3) -> DataFrame:
     """
     first_open = as_of.replace(day=1)
     last = first_open.year * 12 + first_open.month - 1
-    span = (w.add_months(first_open, -24), first_open)
     monthly = (
-        w.clip(f, span)
-        .groupBy("store_id", _month_index(F.col("date")).alias("m"))
-        .agg(F.sum("total_net").cast("decimal(18,5)").alias("net"))
+        w.clip(f, (w.add_months(first_open, -24), first_open))
+        .groupBy("store_id", F.expr("year(date) * 12 + month(date) AS m"))
+        .agg(*columns(net="CAST(sum(total_net) AS DECIMAL(18,5))"))
     )
-    per_id = W.partitionBy("store_id")
-    recent = F.col("m") > last - 12
+    recent, per_id = f"m > {last - 12}", "OVER (PARTITION BY store_id)"
     growth = m.ratio(
-        F.sum(F.when(recent, F.col("net"))).over(per_id), F.sum(F.when(~recent, F.col("net"))).over(per_id)
+        f"sum(CASE WHEN {recent} THEN net END) {per_id}", f"sum(CASE WHEN NOT {recent} THEN net END) {per_id}"
     )
-    year_before = F.max("net").over(per_id.orderBy("m").rangeBetween(-12, -12))
-    fitted = monthly.withColumn("growth", growth).withColumn(
-        "miss", F.when(recent, (F.col("net").cast("double") - year_before.cast("double") * F.col("growth")))
-    )
-    ahead = [
-        F.struct(
-            F.lit(h).alias("h"), F.max(F.when(F.col("m") == last - 12 + h, F.col("net").cast("double") * F.col("growth"))).alias("base")
-        )
-        for h in range(1, horizon + 1)
-    ]
-    per_store_rows = fitted.groupBy("store_id").agg(
-        F.array(*ahead).alias("ahead"),
-        F.percentile("miss", F.lit(0.1)).alias("low"),
-        F.percentile("miss", F.lit(0.9)).alias("high"),
+    year_before = "max(net) OVER (PARTITION BY store_id ORDER BY m RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING)"
+    missed = f"CASE WHEN {recent} THEN CAST(net AS DOUBLE) - CAST(year_before AS DOUBLE) * growth END"
+    bases = ", ".join(
+        f"max(CASE WHEN m = {last - 12 + h} THEN CAST(net AS DOUBLE) * growth END)" for h in range(1, horizon + 1)
     )
     return (
-        per_store_rows.select("store_id", "low", "high", F.explode("ahead").alias("a"))
-        .filter("a.base is not null")
-        .select(
+        monthly.select("*", *columns(growth=growth, year_before=year_before))
+        .groupBy("store_id")
+        .agg(*columns(bases=f"array({bases})", low=f"percentile({missed}, 0.1)", high=f"percentile({missed}, 0.9)"))
+        .selectExpr("store_id", "low", "high", "posexplode(bases) AS (ahead, base)")
+        .filter("base IS NOT NULL")
+        .selectExpr(
             "store_id",
-            F.add_months(F.lit(w.add_months(first_open, -1)), F.col("a.h")).alias("mes"),
-            m.rounded("a.base").alias("previsao"),
-            m.rounded(F.col("a.base") + F.col("low")).alias("minimo"),
-            m.rounded(F.col("a.base") + F.col("high")).alias("maximo"),
+            f"add_months(DATE'{first_open}', ahead) AS mes",
+            f"{m.rounded('base')} AS previsao",
+            f"{m.rounded('base + low')} AS minimo",
+            f"{m.rounded('base + high')} AS maximo",
         )
     )
 
@@ -118,14 +98,14 @@ def forecast_error(f: DataFrame, as_of: date, horizon: int = 3) -> DataFrame:
     start = as_of.replace(day=1)
     actual = (
         w.clip(f, (start, w.add_months(start, horizon)))
-        .groupBy("store_id", F.trunc("date", "month").alias("mes"))
-        .agg(F.sum("total_net").alias("real"))
+        .groupBy("store_id", F.expr("trunc(date, 'month') AS mes"))
+        .agg(*columns(real="sum(total_net)"))
     )
-    miss = m.ratio(F.abs(F.col("real") - F.col("previsao")), "real").cast("decimal(20,10)")
+    miss = f"CAST({m.ratio('abs(real - previsao)', 'real')} AS DECIMAL(20,10))"
     return (
         monthly_forecast(f, as_of, horizon)
         .join(actual, ["store_id", "mes"])
-        .agg(F.count("*").alias("meses"), m.rounded(m.ratio(F.sum(miss), F.count(miss)) * 100).alias("mape_pct"))
+        .agg(*columns(meses="count(*)", mape_pct=m.rounded(f"{m.average(miss)} * 100")))
     )
 
 
@@ -137,12 +117,12 @@ def trend_alerts(f: DataFrame, s: DataFrame, as_of: date, fall: float = 15) -> D
     sums = (
         w.clip(f, (before[0], last[1]))
         .groupBy("store_id")
-        .agg(_net_if(w.in_window(before)).alias("mes_anterior"), _net_if(w.in_window(last)).alias("ultimo_mes"))
+        .agg(*columns(mes_anterior=m.sum_where(w.in_window(before)), ultimo_mes=m.sum_where(w.in_window(last))))
     )
     return (
         named(sums, s)
-        .withColumn("variacao_pct", m.growth("ultimo_mes", "mes_anterior"))
-        .filter(F.col("variacao_pct") < -fall)
+        .withColumn("variacao_pct", F.expr(m.growth("ultimo_mes", "mes_anterior")))
+        .filter(f"variacao_pct < {-fall}")
         .select("loja", "mes_anterior", "ultimo_mes", "variacao_pct")
         .orderBy("variacao_pct", "loja")
     )
@@ -159,22 +139,29 @@ def daily_anomalies(
     """
     lo, hi = window
     history = w.trailing_days(lo, days)[0]
-    before = W.partitionBy("store_id").orderBy(F.unix_date("date")).rangeBetween(-days, -1)
-    x = F.col("total_net").cast("decimal(18,5)")
-    n = F.count("total_net").over(before)
-    mean = m.ratio(F.sum(x).over(before), n)
+    frame = f"OVER (PARTITION BY store_id ORDER BY unix_date(date) RANGE BETWEEN {days} PRECEDING AND 1 PRECEDING)"
+    n = f"count(total_net) {frame}"
     # from exact sums, so that the value does not depend on row order
-    squares = F.sum(x * x).over(before).cast("double")
-    spread = F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0)))
     scored = (
         w.clip(f, (history, hi))
-        .select("store_id", "date", "total_net", n.alias("n"), mean.alias("mean"), F.when(n > 1, spread).alias("spread"))
-        .filter(w.in_window(window) & (F.col("n") > 1))
+        .select(
+            "store_id",
+            "date",
+            "total_net",
+            *columns(
+                n=n,
+                mean=m.ratio(f"sum(total_net) {frame}", n),
+                square=m.ratio(f"sum(total_net * total_net) {frame}", n),
+            ),
+        )
+        .filter(f"{w.in_window(window)} AND n > 1")
+    )
+    kind = (
+        f"CASE WHEN CAST(total_net AS DOUBLE) < mean * {1 - fall / 100} THEN 'queda' "
+        f"WHEN CAST(total_net AS DOUBLE) > mean + {peak} * sqrt(greatest(square - mean * mean, 0D)) THEN 'pico' END"
     )
-    net = F.col("total_net").cast("double")
-    kind = F.when(net < F.col("mean") * (1 - fall / 100), "queda").when(net > F.col("mean") + peak * F.col("spread"), "pico")
-    return named(scored.withColumn("tipo", kind).filter("tipo is not null"), s).select(
-        "loja", "date", "total_net", m.rounded("mean").alias("media_anterior"), "tipo"
+    return named(scored.withColumn("tipo", F.expr(kind)).filter("tipo IS NOT NULL"), s).selectExpr(
+        "loja", "date", "total_net", f"{m.rounded('mean')} AS media_anterior", "tipo"
     )
 
 
@@ -188,7 +175,7 @@ def correlated_items(g: DataFrame, i: DataFrame, target: int, window: w.Window,
     daily = (
         w.clip(g, window)
         .groupBy("item_id", "date")
-        .agg(F.sum("total_quantity").cast("decimal(18,5)").alias("q"))
+        .agg(*columns(q="CAST(sum(total_quantity) AS DECIMAL(18,5))"))
     )
     own = daily.filter(F.col("item_id") == target).select("date", F.col("q").alias("t"))
     n_days = daily.agg(F.countDistinct("date")).scalar()
@@ -199,18 +186,20 @@ def correlated_items(g: DataFrame, i: DataFrame, target: int, window: w.Window,
         .join(F.broadcast(own), "date", "left")  # at most one row per day of the window
         .groupBy("item_id")
         .agg(
-            F.sum("q").cast("double").alias("x"),
-            F.sum(F.col("q") * F.col("q")).cast("double").alias("xx"),
-            F.coalesce(F.sum(F.col("q") * F.col("t")).cast("double"), F.lit(0.0)).alias("xy"),
+            *columns(
+                x="CAST(sum(q) AS DOUBLE)",
+                xx="CAST(sum(q * q) AS DOUBLE)",
+                xy="coalesce(CAST(sum(q * t) AS DOUBLE), 0D)",
+            )
         )
         .withColumn("n", n_days.cast("double"))
         .withColumn("y", t_sum.cast("double"))
         .withColumn("yy", t_squares.cast("double"))
     )
-    spread = F.sqrt(F.expr("(n * xx - x * x) * (n * yy - y * y)"))
-    scored = sums.withColumn("correlacao", m.rounded(F.expr("n * xy - x * y") / F.nullif(spread, F.lit(0.0)), 4))
+    spread = "nullif(sqrt((n * xx - x * x) * (n * yy - y * y)), 0D)"
+    scored = sums.withColumn("correlacao", F.expr(m.rounded(f"(n * xy - x * y) / {spread}", 4)))
     best = labelled(scored, i).orderBy(F.desc_nulls_last("correlacao"), "item_id").limit(k)
-    return best.select("artigo", "codigo", F.col("x").alias("qtd_vendida"), "correlacao")
+    return best.selectExpr("artigo", "codigo", "x AS qtd_vendida", "correlacao")
 
 
 def price_elasticity(g: DataFrame, i: DataFrame, window: w.Window, min_days: int = 10) -> DataFrame:
@@ -221,24 +210,26 @@ def price_elasticity(g: DataFrame, i: DataFrame, window: w.Window, min_days: int
     price = m.ratio("total_net", "total_quantity")
     logs = (
         w.clip(g, window)
-        .filter(sold() & (F.col("total_net") > 0))
-        .select(
+        .filter(f"{SOLD} AND total_net > 0")
+        .selectExpr(
             "item_id",
-            F.ln(price).cast("decimal(12,8)").alias("p"),
-            F.ln(F.col("total_quantity").cast("double")).cast("decimal(12,8)").alias("q"),
+            f"CAST(ln({price}) AS DECIMAL(12,8)) AS p",
+            "CAST(ln(CAST(total_quantity AS DOUBLE)) AS DECIMAL(12,8)) AS q",
         )
     )
     sums = logs.groupBy("item_id").agg(
-        F.count("*").alias("dias"),
-        F.sum("p").cast("double").alias("sp"),
-        F.sum("q").cast("double").alias("sq"),
-        F.sum(F.col("p") * F.col("q")).cast("double").alias("spq"),
-        F.sum(F.col("p") * F.col("p")).cast("double").alias("spp"),
+        *columns(
+            dias="count(*)",
+            sp="CAST(sum(p) AS DOUBLE)",
+            sq="CAST(sum(q) AS DOUBLE)",
+            spq="CAST(sum(p * q) AS DOUBLE)",
+            spp="CAST(sum(p * p) AS DOUBLE)",
+        )
     )
-    spread = F.expr("dias * spp - sp * sp")
-    slope = F.expr("dias * spq - sp * sq") / F.when(spread > 1e-6, spread)
-    return labelled(sums.filter(F.col("dias") >= min_days), i).select(
-        "artigo", "codigo", "dias", m.rounded(slope, 4).alias("elasticidade")
+    spread = "(dias * spp - sp * sp)"
+    slope = f"CASE WHEN {spread} > 0.000001 THEN (dias * spq - sp * sq) / {spread} END"
+    return labelled(sums.filter(f"dias >= {min_days}"), i).selectExpr(
+        "artigo", "codigo", "dias", f"{m.rounded(slope, 4)} AS elasticidade"
     )
 
 
@@ -250,20 +241,19 @@ def transfer_candidates(
     active = s.filter("status = 1")
     sums = (
         w.trailing(g, as_of, days)
-        .filter(sold())
+        .filter(SOLD)
         .groupBy("item_id", "store_id")
-        .agg(F.sum("total_quantity").alias("qtd"))
-        .join(active.select(F.col("id").alias("store_id")), "store_id", "left_semi")
+        .agg(*columns(qtd="sum(total_quantity)"))
+        .join(active.selectExpr("id AS store_id"), "store_id", "left_semi")
     )
     # the lowest store id among equal quantities
-    best = sums.groupBy("item_id").agg(F.max(F.struct("qtd", (-F.col("store_id")).alias("minus_id"))).alias("b"))
-    slow = sums.join(best, "item_id").filter(F.col("qtd").cast("double") <= share * F.col("b.qtd").cast("double"))
-    names = active.select("id", "name")
+    best = sums.groupBy("item_id").agg(F.expr("max(struct(qtd, -store_id AS minus_id)) AS best"))
+    slow = sums.join(best, "item_id").filter(f"CAST(qtd AS DOUBLE) <= {share} * CAST(best.qtd AS DOUBLE)")
     return (
-        labelled(slow, i)
-        .join(names.select(F.col("id").alias("store_id"), F.col("name").alias("de_loja")), "store_id")
-        .join(names.select((-F.col("id")).alias("best_id"), F.col("name").alias("para_loja")), F.col("b.minus_id") == F.col("best_id"))
-        .select("artigo", "codigo", "de_loja", "qtd", "para_loja", F.col("b.qtd").alias("qtd_melhor"))
+        labelled(slow.selectExpr("*", "-best.minus_id AS best_id", "best.qtd AS qtd_melhor"), i)
+        .join(active.selectExpr("id AS store_id", "name AS de_loja"), "store_id")
+        .join(active.selectExpr("id AS best_id", "name AS para_loja"), "best_id")
+        .select("artigo", "codigo", "de_loja", "qtd", "para_loja", "qtd_melhor")
     )
 
 
@@ -281,30 +271,30 @@ def kpi_strip(f: DataFrame, s: DataFrame, as_of: date) -> DataFrame:
         "ano_anterior": year_ago,
     }
     hull = min(lo for lo, _ in spans.values()), year[1]
-    daily = again(named(per_store(w.clip(f, hull), F.col("date")), s), "date")
-    none = F.lit(0).cast("decimal(18,5)")
-    sums = daily.agg(
-        *[F.coalesce(F.sum(F.when(w.in_window(span), F.col("total_net"))), none).alias(name) for name, span in spans.items()]
-    )
-    return sums.withColumn("mom_pct", m.growth("mes", "mes_anterior")).withColumn("yoy_pct", m.growth("ano", "ano_anterior"))
+    daily = again(named(per_store(w.clip(f, hull), date="date"), s), "date")
+    sums = {name: f"coalesce({m.sum_where(w.in_window(span))}, 0)" for name, span in spans.items()}
+    changes = columns(mom_pct=m.growth("mes", "mes_anterior"), yoy_pct=m.growth("ano", "ano_anterior"))
+    return daily.agg(*columns(**sums)).select("*", *changes)
 
 
 def weekday_month_profile(f: DataFrame, s: DataFrame, window: w.Window) -> DataFrame:
     """Mean store-day revenue per weekday (Sunday = 0) and month."""
-    keys = (F.dayofweek("date") - 1).alias("dia_num"), F.month("date").alias("mes")
-    sums = again(named(per_store(w.clip(f, window), *keys), s), "dia_num", "mes")
-    return sums.select(
-        "dia_num", "mes", F.col("total_net").alias("receita_total"), m.mean("total_net", "net_rows").alias("receita_media")
+    by_cell = per_store(w.clip(f, window), dia_num="dayofweek(date) - 1", mes="month(date)")
+    return again(named(by_cell, s), "dia_num", "mes").selectExpr(
+        "dia_num", "mes", "total_net AS receita_total", f"{m.mean('total_net', 'net_rows')} AS receita_media"
     )
 
 
 def best_weekday(f: DataFrame, s: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """Each store's weekday with the highest mean revenue."""
-    number = (F.dayofweek("date") - 1).alias("dia_num")
-    sums = again(named(per_store(w.trailing(f, as_of, days), number), s), "loja", "dia_num")
-    mean = m.mean("total_net", "net_rows")
-    best = sums.groupBy("loja").agg(F.max(F.struct(mean.alias("receita_media"), (-F.col("dia_num")).alias("minus"))).alias("b"))
-    return best.select("loja", (-F.col("b.minus")).alias("dia_num"), F.col("b.receita_media").alias("receita_media")).orderBy("loja")
+    sums = again(named(per_store(w.trailing(f, as_of, days), dia_num="dayofweek(date) - 1"), s), "loja", "dia_num")
+    best = f"max(struct({m.mean('total_net', 'net_rows')} AS receita_media, -dia_num AS minus)) AS best"
+    return (
+        sums.groupBy("loja")
+        .agg(F.expr(best))
+        .selectExpr("loja", "-best.minus AS dia_num", "best.receita_media AS receita_media")
+        .orderBy("loja")
+    )
 
 
 def event_impact(f: DataFrame, located_stores: DataFrame, events: DataFrame, days: int = 14) -> DataFrame:
@@ -315,13 +305,19 @@ def event_impact(f: DataFrame, located_stores: DataFrame, events: DataFrame, day
     which turns the range condition into an equality; facts are summed per
     location and day first.
     """
-    places = located_stores.filter("status = 1").select(F.col("id").alias("store_id"), "location")
-    daily = f.join(places, "store_id").groupBy("location", "date").agg(F.sum("total_net").alias("total_net"))
-    offset = F.explode(F.sequence(F.lit(-days), F.lit(days - 1))).alias("offset")
-    around = events.select("event", "location", "day", offset).withColumn("date", F.expr("date_add(day, offset)"))
+    places = located_stores.filter("status = 1").selectExpr("id AS store_id", "location")
+    daily = f.join(places, "store_id").groupBy("location", "date").agg(*columns(total_net="sum(total_net)"))
+    around = events.selectExpr(
+        "event", "location", "day", f"explode(sequence({-days}, {days - 1})) AS offset"
+    ).withColumn("date", F.expr("date_add(day, offset)"))
     return (
         around.join(daily, ["location", "date"], "left")
         .groupBy("event", "location", "day")
-        .agg(_net_if(F.col("offset") < 0).alias("antes"), _net_if(F.col("offset") >= 0).alias("depois"))
-        .withColumn("variacao_pct", m.growth("depois", "antes"))
+        .agg(
+            *columns(
+                antes=m.sum_where("offset < 0 AND total_net IS NOT NULL"),
+                depois=m.sum_where("offset >= 0 AND total_net IS NOT NULL"),
+            )
+        )
+        .withColumn("variacao_pct", F.expr(m.growth("depois", "antes")))
     )

@@ -7,16 +7,33 @@ and the supplier (store) and part (item) lists.
 
 from __future__ import annotations
 
-from datetime import datetime, time
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daytally.functions.measures import columns
 from daytally.functions.windows import Window
 from daytally.schemas import MEASURE
 
-COUNTS = {"nr_sales", "nr_persons", "nr_credits"}
+# --- fixed values: columns of the transaction tables ---
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+# counts over one row per order
+COUNTS = {
+    "nr_sales": "count(*)",
+    "nr_persons": "count(DISTINCT customer_id)",
+    "nr_credits": "count_if(returned)",
+}
 STORE_MEASURES = (
     "nr_sales",
     "nr_persons",
@@ -30,20 +47,20 @@ STORE_MEASURES = (
 ITEM_MEASURES = ("total_quantity", "total_net", "total_price", "latest_price_cost", "total_discount")
 
 
-def _code(prefix: str, key: Column, width: int) -> Column:
+def _code(prefix: str, key: str, width: int) -> str:
     """Zero-padded code; a key longer than the width is kept whole."""
-    digits = key.cast("string")
-    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
+    digits = f"CAST({key} AS STRING)"
+    return f"concat('{prefix}', lpad({digits}, greatest(length({digits}), {width}), '0'))"
 
 
-def _hundredths(name: str) -> Column:
+def _hundredths(name: str) -> str:
     """An amount with two decimals as a whole number of hundredths.
 
     Line amounts are multiplied and summed as scaled integers, which is exact
     and much cheaper than decimals. A sum that leaves the range raises an error
     (ANSI arithmetic); the limit, 9.2e12 with VAT per group, is that of MEASURE.
     """
-    return F.rint(F.col(name) * 100).cast("bigint")
+    return f"CAST(rint({name} * 100) AS BIGINT)"
 
 
 def sale_lines(lineitem: DataFrame, window: Window | None = None) -> DataFrame:
@@ -53,37 +70,37 @@ def sale_lines(lineitem: DataFrame, window: Window | None = None) -> DataFrame:
     that it reaches the Parquet scan.
     """
     if window is not None:
-        lo, hi = (F.lit(datetime.combine(d, time())).cast("timestamp_ntz") for d in window)
-        lineitem = lineitem.filter((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi))
+        lo, hi = window
+        lineitem = lineitem.filter(f"l_shipdate >= TIMESTAMP_NTZ'{lo}' AND l_shipdate < TIMESTAMP_NTZ'{hi}'")
     gross, discount = _hundredths("l_extendedprice"), _hundredths("l_discount")
-    return lineitem.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("item_id"),
-        F.col("l_suppkey").alias("store_id"),
-        F.to_date("l_shipdate").alias("date"),
-        (F.col("l_returnflag") == "R").alias("returned"),
-        _hundredths("l_quantity").alias("quantity"),  # 1e-2
-        (gross * (100 - discount)).alias("net"),  # 1e-4
-        (_hundredths("l_tax") + 100).alias("vat_factor"),  # 1e-2
-        (gross * discount).alias("discount"),  # 1e-4
+    return lineitem.selectExpr(
+        "l_orderkey AS order_id",
+        "l_partkey AS item_id",
+        "l_suppkey AS store_id",
+        "CAST(l_shipdate AS DATE) AS date",
+        "l_returnflag = 'R' AS returned",
+        f"{_hundredths('l_quantity')} AS quantity",  # 1e-2
+        f"{gross} * (100 - {discount}) AS net",  # 1e-4
+        f"100 + {_hundredths('l_tax')} AS vat_factor",  # 1e-2
+        f"{gross} * {discount} AS discount",  # 1e-4
     )
 
 
-def _sums() -> dict[str, tuple[Column, int]]:
-    """Scaled sum of each measure, and its number of decimals."""
-    with_vat = F.sum(F.col("net") * F.col("vat_factor"))
-    return {
-        "total_quantity": (F.sum("quantity"), 2),
-        "total_net": (F.sum("net"), 4),
-        "total_doc": (with_vat, 6),
-        "total_price": (with_vat, 6),
-        "credits_total_net": (F.sum(F.when(F.col("returned"), F.col("net")).otherwise(0)), 4),
-        "total_discount": (F.sum("discount"), 4),
-    }
+# scaled sum of each measure, and its number of decimals
+SUMS = {
+    "total_quantity": ("sum(quantity)", 2),
+    "total_net": ("sum(net)", 4),
+    "total_doc": ("sum(net * vat_factor)", 6),
+    "total_price": ("sum(net * vat_factor)", 6),
+    "credits_total_net": ("sum(CASE WHEN returned THEN net ELSE 0 END)", 4),
+    "total_discount": ("sum(discount)", 4),
+}
 
 
-def _measure(scaled: Column, decimals: int) -> Column:
-    return (scaled.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-decimals))).cast(MEASURE)
+def _measure(name: str) -> str:
+    """A scaled sum as a decimal measure."""
+    unit = Decimal(1).scaleb(-SUMS[name][1])
+    return f"CAST(CAST({name} AS DECIMAL(19,0)) * {unit:f}BD AS {MEASURE.simpleString()})"
 
 
 def roll_up_store_days(lines: DataFrame, orders: DataFrame, measures: tuple[str, ...] = STORE_MEASURES) -> DataFrame:
@@ -95,47 +112,36 @@ def roll_up_store_days(lines: DataFrame, orders: DataFrame, measures: tuple[str,
     partitioning by order. Order headers are read only when customers are
     counted; a line without a header still counts as a sale.
     """
-    sums = {name: made for name, made in _sums().items() if name in measures}
+    sums = {name: SUMS[name][0] for name in measures if name in SUMS}
     keys = ["store_id", "date"]
-    if not COUNTS & set(measures):
-        daily = lines.groupBy(*keys).agg(*[total.alias(name) for name, (total, _) in sums.items()])
+    counts = {name: COUNTS[name] for name in measures if name in COUNTS}
+    if not counts:
+        daily = lines.groupBy(*keys).agg(*columns(**sums))
     else:
         per_order = [*keys, "order_id"]
-        if "nr_persons" in measures:
-            headers = orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
-            lines = lines.join(headers, "order_id", "left")
+        if "nr_persons" in counts:
+            lines = lines.join(orders.selectExpr("o_orderkey AS order_id", "o_custkey AS customer_id"), "order_id", "left")
             per_order.append("customer_id")
-        counts = {
-            "nr_sales": F.count("*"),
-            "nr_credits": F.count(F.when(F.col("returned"), F.lit(1))),
-            "nr_persons": F.countDistinct("customer_id"),
-        }
         daily = (
             lines.groupBy(*per_order)
-            .agg(F.max("returned").alias("returned"), *[total.alias(name) for name, (total, _) in sums.items()])
+            .agg(*columns(returned="max(returned)", **sums))
             .groupBy(*keys)
-            .agg(
-                *[F.sum(name).alias(name) for name in sums],
-                *[made.alias(name) for name, made in counts.items() if name in measures],
-            )
+            .agg(*columns(**{name: f"sum({name})" for name in sums}, **counts))
         )
-    made = {name: _measure(F.col(name), decimals) for name, (_, decimals) in sums.items()}
-    return daily.select(*keys, *[made.get(name, F.col(name)).alias(name) for name in STORE_MEASURES if name in measures])
+    made = [f"{_measure(name)} AS {name}" if name in sums else name for name in STORE_MEASURES if name in measures]
+    return daily.selectExpr(*keys, *made)
 
 
 def roll_up_item_days(lines: DataFrame, part: DataFrame, measures: tuple[str, ...] = ITEM_MEASURES) -> DataFrame:
     """One row per item, store and day. The unit cost is the item's list price."""
     keys = ["item_id", "store_id", "date"]
-    sums = {name: made for name, made in _sums().items() if name in measures}
-    facts = lines.groupBy(*keys).agg(*[total.alias(name) for name, (total, _) in sums.items()])
-    made = {name: _measure(F.col(name), decimals) for name, (_, decimals) in sums.items()}
+    sums = {name: SUMS[name][0] for name in measures if name in SUMS}
+    facts = lines.groupBy(*keys).agg(*columns(**sums))
     if "latest_price_cost" in measures:
-        prices = part.select(
-            F.col("p_partkey").alias("item_id"), F.col("p_retailprice").cast(MEASURE).alias("latest_price_cost")
-        )
-        facts = facts.join(prices, "item_id", "left")
-        made["latest_price_cost"] = F.col("latest_price_cost")
-    return facts.select(*keys, *[made[name].alias(name) for name in ITEM_MEASURES if name in measures])
+        price = f"CAST(p_retailprice AS {MEASURE.simpleString()}) AS latest_price_cost"
+        facts = facts.join(part.selectExpr("p_partkey AS item_id", price), "item_id", "left")
+    made = [f"{_measure(name)} AS {name}" if name in sums else name for name in ITEM_MEASURES if name in measures]
+    return facts.selectExpr(*keys, *made)
 
 
 class Transactions:
@@ -148,14 +154,14 @@ class Transactions:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def _store_list(self, *more: str) -> DataFrame:
-        return self.table("supplier").select(
-            F.col("s_suppkey").alias("id"),
-            F.col("s_name").alias("name"),
-            _code("S", F.col("s_suppkey"), 4).alias("code"),
-            F.when(F.col("s_acctbal") < 0, 0).otherwise(1).alias("status"),
+        return self.table("supplier").selectExpr(
+            "s_suppkey AS id",
+            "s_name AS name",
+            f"{_code('S', 's_suppkey', 4)} AS code",
+            "CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END AS status",
             *more,
         )
 
@@ -166,24 +172,23 @@ class Transactions:
     @property
     def located_stores(self) -> DataFrame:
         """Stores with their location and sector, which most analyses do not need."""
-        region = self.table("region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("sector"))
+        region = self.table("region").selectExpr("r_regionkey AS n_regionkey", "r_name AS sector")
         places = (
             self.table("nation")
             .join(region, "n_regionkey", "left")
-            .select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("location"), "sector")
+            .selectExpr("n_nationkey AS s_nationkey", "n_name AS location", "sector")
         )
         return self._store_list("s_nationkey").join(places, "s_nationkey", "left").drop("s_nationkey")
 
     @property
     def items(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.table("part").select(
-            key.alias("id"),
-            _code("P", key, 8).alias("pcode"),
-            F.concat_ws(" ", "p_name", key.cast("string")).alias("description"),
-            F.when(F.col("p_size") % 10 == 0, 0).otherwise(1).alias("status"),
-            F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("")).cast("int").alias("family_id"),
-            F.col("p_size").cast("int").alias("group_id"),
+        return self.table("part").selectExpr(
+            "p_partkey AS id",
+            f"{_code('P', 'p_partkey', 8)} AS pcode",
+            "concat(p_name, ' ', CAST(p_partkey AS STRING)) AS description",
+            "CASE WHEN p_size % 10 = 0 THEN 0 ELSE 1 END AS status",
+            "CAST(replace(p_brand, 'Brand#', '') AS INT) AS family_id",
+            "p_size AS group_id",
         )
 
     def store_days(self, window: Window | None = None, measures: tuple[str, ...] = STORE_MEASURES) -> DataFrame:

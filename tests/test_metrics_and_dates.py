@@ -9,9 +9,9 @@ from daytally.functions import measures as m
 from daytally.functions import windows as w
 
 
-def one(spark, column, **values):
+def one(spark, sql, **values):
     df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
-    return df.select(column).first()[0]
+    return df.select(F.expr(sql)).first()[0]
 
 
 def test_ratio_of_zero_is_null(spark):
@@ -26,9 +26,9 @@ def test_rounding_goes_away_from_zero(spark, value, expected):
 
 def test_margin_needs_a_cost(spark):
     amounts = {"total_net": Decimal("100"), "total_quantity": Decimal("2")}
-    assert one(spark, m.margin(), latest_price_cost=Decimal("30"), **amounts) == 40
+    assert one(spark, m.MARGIN, latest_price_cost=Decimal("30"), **amounts) == 40
     df = spark.sql("select 100.0bd total_net, 2.0bd total_quantity, cast(null as decimal(18,5)) latest_price_cost")
-    assert df.select(m.margin()).first()[0] is None
+    assert df.select(F.expr(m.MARGIN)).first()[0] is None
 
 
 def test_growth(spark):
