@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # --- fixed values -----------------------------------------------------------
 FIXED_HOLIDAYS = [
@@ -45,53 +44,44 @@ RETAIL_PERIODS = [
 # ----------------------------------------------------------------------------
 
 
-def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter of a year column, in integer column arithmetic.
+def easter_sunday(year: str) -> str:
+    """Gregorian Easter of a year expression, in integer SQL arithmetic.
 
     Works on the age of the moon: the golden number gives the epact, the epact
-    gives the days from 21 March to the paschal full moon, and Easter is the
+    gives the days from 1 March to the paschal full moon, and Easter is the
     Sunday strictly after that moon.
     """
-
-    def div(a: Column, b: int) -> Column:
-        return F.floor(a / F.lit(b)).cast("int")
-
-    century = div(year, 100) + 1
-    golden = year % 19 + 1
-    solar = div(century * 3, 4) - 12
-    lunar = div(century * 8 + 5, 25) - 5
-    epact = F.pmod(golden * 11 + 20 + lunar - solar, F.lit(30))
+    century = f"(({year}) DIV 100 + 1)"
+    golden = f"(({year}) % 19 + 1)"
+    solar = f"(3 * {century} DIV 4 - 12)"
+    lunar = f"((8 * {century} + 5) DIV 25 - 5)"
+    epact = f"pmod(11 * {golden} + 20 + {lunar} - {solar}, 30)"
     # the calendar never lets two moons of one cycle share the last day
-    late = (epact == 24) | ((epact == 25) & (golden > 11))
-    epact = F.when(late, epact + 1).otherwise(epact)
-    # full moon as days after 1 March, at the earliest 21 March
-    moon = F.when(epact > 23, F.lit(74) - epact).otherwise(F.lit(44) - epact)
-    moon_day = F.date_add(F.make_date(year, F.lit(3), F.lit(1)), moon - 1)
-    return F.next_day(moon_day, "Sun")
+    late = f"({epact} = 24 OR ({epact} = 25 AND {golden} > 11))"
+    age = f"({epact} + CAST({late} AS INT))"
+    # days after 1 March, at the earliest 21 March
+    moon = f"(CASE WHEN {age} > 23 THEN 73 ELSE 43 END - {age})"
+    return f"next_day(date_add(make_date({year}, 3, 1), CAST({moon} AS INT)), 'SUN')"
 
 
-def last_friday_of_november(year: Column) -> Column:
-    return F.next_day(F.date_sub(F.make_date(year, F.lit(12), F.lit(1)), 8), "Fri")
+def last_friday_of_november(year: str) -> str:
+    return f"next_day(make_date({year}, 11, 23), 'FRI')"
 
 
-def first_weekend_of_august(year: Column) -> Column:
+def first_weekend_of_august(year: str) -> str:
     """Saturday of the first full weekend."""
-    return F.next_day(F.make_date(year, F.lit(7), F.lit(31)), "Sat")
+    return f"next_day(make_date({year}, 7, 31), 'SAT')"
 
 
-def _period(kind: str, event: str, city: str | None, start: Column, end: Column, impact: str | None) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        F.lit(event).alias("event"),
-        F.lit(city).cast("string").alias("city"),
-        start.alias("start"),
-        end.alias("end"),
-        F.lit(impact).cast("string").alias("impact"),
-    )
+def _text(value: str | None) -> str:
+    return "CAST(NULL AS STRING)" if value is None else f"'{value}'"
 
 
-def _day(year: Column, month: int, day: int) -> Column:
-    return F.make_date(year, F.lit(month), F.lit(day))
+def _period(kind: str, event: str, city: str | None, start: str, end: str, impact: str | None) -> str:
+    return (
+        f"named_struct('kind', '{kind}', 'event', '{event}', 'city', {_text(city)}, "
+        f"'start', {start}, 'end', {end}, 'impact', {_text(impact)})"
+    )
 
 
 def calendar(spark: SparkSession, years: Iterable[int]) -> DataFrame:
@@ -99,53 +89,48 @@ def calendar(spark: SparkSession, years: Iterable[int]) -> DataFrame:
 
     Both ends are inclusive. The table has a fixed number of rows per year.
     """
-    y = F.col("year")
-    easter = F.col("easter")
-    periods = [
-        _period("holiday", name, None, _day(y, month, day), _day(y, month, day), None)
-        for month, day, name in FIXED_HOLIDAYS
-    ]
-    periods += [
-        _period("feast", name, None, F.date_add(easter, first), F.date_add(easter, last), None)
+
+    def day(month: int, dom: int, year: str = "year") -> str:
+        return f"make_date({year}, {month}, {dom})"
+
+    rows = [_period("holiday", name, None, day(month, dom), day(month, dom), None) for month, dom, name in FIXED_HOLIDAYS]
+    rows += [
+        _period("feast", name, None, f"date_add(easter, {first})", f"date_add(easter, {last})", None)
         for name, first, last in EASTER_PERIODS
     ]
     for name, city, first, last, impact in RETAIL_PERIODS:
-        end_year = y + 1 if last < first else y
-        periods.append(_period("retail", name, city, _day(y, *first), _day(end_year, *last), impact))
-    saturday = first_weekend_of_august(y)
-    friday = last_friday_of_november(y)
-    periods.append(
-        _period("retail", "Festas Gualterianas", "Guimarães", saturday, F.date_add(saturday, 1), "MEDIUM")
-    )
-    periods.append(_period("retail", "Black Friday", None, friday, friday, "HIGH"))
-    table = spark.createDataFrame([(int(v),) for v in sorted(set(years))], "year int")
+        end = day(*last, year="year + 1" if last < first else "year")
+        rows.append(_period("retail", name, city, day(*first), end, impact))
+    saturday, friday = first_weekend_of_august("year"), last_friday_of_november("year")
+    rows.append(_period("retail", "Festas Gualterianas", "Guimarães", saturday, f"date_add({saturday}, 1)", "MEDIUM"))
+    rows.append(_period("retail", "Black Friday", None, friday, friday, "HIGH"))
+    listed_years = ", ".join(str(int(y)) for y in sorted(set(years)))
     return (
-        table.withColumn("easter", easter_sunday(y))
-        .select(y, F.explode(F.array(*periods)).alias("p"))
-        .select("year", "p.kind", "p.event", "p.city", "p.start", "p.end", "p.impact")
+        spark.range(1)
+        .selectExpr(f"explode(array({listed_years})) AS year")
+        .selectExpr("year", f"{easter_sunday('year')} AS easter")
+        .selectExpr("year", f"inline(array({', '.join(rows)}))")
     )
 
 
 def calendar_days(cal: DataFrame) -> DataFrame:
     """The calendar with one row per day of each event."""
-    return cal.withColumn("date", F.explode(F.sequence("start", "end")))
+    return cal.selectExpr("*", "explode(sequence(start, end)) AS date")
 
 
-def is_holiday(day: Column) -> Column:
+def is_holiday(day: str = "date") -> str:
     """National holiday: a fixed one, Good Friday, Easter Sunday or Corpus Christi."""
-    month_days = [month * 100 + dom for month, dom, _ in FIXED_HOLIDAYS]
-    fixed = (F.month(day) * 100 + F.dayofmonth(day)).isin(*month_days)
-    return fixed | F.datediff(day, easter_sunday(F.year(day))).isin(-2, 0, 60)
+    fixed = ", ".join(str(month * 100 + dom) for month, dom, _ in FIXED_HOLIDAYS)
+    from_easter = f"datediff({day}, {easter_sunday(f'year({day})')})"
+    return f"(month({day}) * 100 + day({day}) IN ({fixed}) OR {from_easter} IN (-2, 0, 60))"
 
 
-def days_to_easter(day: Column) -> Column:
+def days_to_easter(day: str = "date") -> str:
     """Days until the next Easter Sunday, zero on the day itself."""
-    this_year = F.datediff(easter_sunday(F.year(day)), day)
-    next_year = F.datediff(easter_sunday(F.year(day) + 1), day)
-    return F.when(this_year >= 0, this_year).otherwise(next_year)
+    this_year, next_year = (f"datediff({easter_sunday(f'year({day}) + {n}')}, {day})" for n in (0, 1))
+    return f"CASE WHEN {this_year} >= 0 THEN {this_year} ELSE {next_year} END"
 
 
-def days_to_christmas(day: Column) -> Column:
-    this_year = F.datediff(F.make_date(F.year(day), F.lit(12), F.lit(25)), day)
-    next_year = F.datediff(F.make_date(F.year(day) + 1, F.lit(12), F.lit(25)), day)
-    return F.when(this_year >= 0, this_year).otherwise(next_year)
+def days_to_christmas(day: str = "date") -> str:
+    this_year, next_year = (f"datediff(make_date(year({day}) + {n}, 12, 25), {day})" for n in (0, 1))
+    return f"CASE WHEN {this_year} >= 0 THEN {this_year} ELSE {next_year} END"

@@ -26,7 +26,6 @@ def day_features(f: DataFrame) -> DataFrame:
     fact. Rolling means cover the day and the days before it, over the days
     that have facts. All frames share one sort per store.
     """
-    day = F.col("date")
     by_day = "PARTITION BY store_id ORDER BY unix_date(date) RANGE BETWEEN"
 
     def lag(days: int) -> str:
@@ -40,16 +39,18 @@ def day_features(f: DataFrame) -> DataFrame:
         "store_id",
         "date",
         "total_net",
-        (F.dayofweek(day) - 1).alias("day_of_week"),
-        F.month(day).alias("month"),
-        F.quarter(day).alias("quarter"),
-        F.dayofweek(day).isin(1, 7).cast("int").alias("is_weekend"),
-        cal.is_holiday(day).cast("int").alias("is_holiday"),
-        F.weekofyear(day).alias("week_of_year"),
-        cal.days_to_easter(day).alias("days_to_easter"),
-        cal.days_to_christmas(day).alias("days_to_christmas"),
-        *columns(**{f"sales_lag_{n}": lag(n) for n in (7, 30, 365)}),
-        *columns(**{f"rolling_mean_{n}": rolling(n) for n in (7, 30)}),
+        *columns(
+            day_of_week="dayofweek(date) - 1",
+            month="month(date)",
+            quarter="quarter(date)",
+            is_weekend="CAST(dayofweek(date) IN (1, 7) AS INT)",
+            is_holiday=f"CAST({cal.is_holiday()} AS INT)",
+            week_of_year="weekofyear(date)",
+            days_to_easter=cal.days_to_easter(),
+            days_to_christmas=cal.days_to_christmas(),
+            **{f"sales_lag_{n}": lag(n) for n in (7, 30, 365)},
+            **{f"rolling_mean_{n}": rolling(n) for n in (7, 30)},
+        ),
     )
 
 
