@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 FIXED_HOLIDAYS = [
@@ -118,19 +119,35 @@ def calendar_days(cal: DataFrame) -> DataFrame:
     return cal.selectExpr("*", "explode(sequence(start, end)) AS date")
 
 
+def with_easter(df: DataFrame, day: str = "date") -> DataFrame:
+    """Adds `easter` and `next_easter`, those of the day's year and of the year
+    after, from a table of all years of the Gregorian calendar up to 2999. The
+    rule runs once per year instead of once per row."""
+    years = (
+        df.sparkSession.range(1583, 3000)
+        .selectExpr("CAST(id AS INT) AS easter_year")
+        .selectExpr(
+            "easter_year",
+            f"{easter_sunday('easter_year')} AS easter",
+            f"{easter_sunday('easter_year + 1')} AS next_easter",
+        )
+    )
+    return df.join(F.broadcast(years), F.expr(f"year({day}) = easter_year"), "left").drop("easter_year")
+
+
 def is_holiday(day: str = "date") -> str:
-    """National holiday: a fixed one, Good Friday, Easter Sunday or Corpus Christi."""
+    """National holiday: a fixed one, Good Friday, Easter Sunday or Corpus Christi.
+    For a table made by `with_easter`."""
     fixed = ", ".join(str(month * 100 + dom) for month, dom, _ in FIXED_HOLIDAYS)
-    from_easter = f"datediff({day}, {easter_sunday(f'year({day})')})"
-    return f"(month({day}) * 100 + day({day}) IN ({fixed}) OR {from_easter} IN (-2, 0, 60))"
+    return f"(month({day}) * 100 + day({day}) IN ({fixed}) OR datediff({day}, easter) IN (-2, 0, 60))"
 
 
 def days_to_easter(day: str = "date") -> str:
-    """Days until the next Easter Sunday, zero on the day itself."""
-    this_year, next_year = (f"datediff({easter_sunday(f'year({day}) + {n}')}, {day})" for n in (0, 1))
-    return f"CASE WHEN {this_year} >= 0 THEN {this_year} ELSE {next_year} END"
+    """Days until the next Easter Sunday, zero on the day itself; for a table
+    made by `with_easter`."""
+    return f"datediff(CASE WHEN easter >= {day} THEN easter ELSE next_easter END, {day})"
 
 
 def days_to_christmas(day: str = "date") -> str:
-    this_year, next_year = (f"datediff(make_date(year({day}) + {n}, 12, 25), {day})" for n in (0, 1))
-    return f"CASE WHEN {this_year} >= 0 THEN {this_year} ELSE {next_year} END"
+    passed = f"CAST(month({day}) = 12 AND day({day}) > 25 AS INT)"
+    return f"datediff(make_date(year({day}) + {passed}, 12, 25), {day})"

@@ -94,14 +94,15 @@ def period_total(f: DataFrame, s: DataFrame, label: str, first: date, last: date
     )
 
 
-def period_by_store(f: DataFrame, s: DataFrame, first: date, last: date) -> DataFrame:
-    """Revenue, sales, customers and average ticket per store over a period."""
+def period_by_store(f: DataFrame, s: DataFrame, first: date, last: date, customers: bool = False) -> DataFrame:
+    """Revenue, sales and average ticket per store over an inclusive period;
+    customers too where asked for."""
     sums = again(named(per_store(w.clip(f, w.inclusive(first, last))), s), "loja")
     return sums.selectExpr(
         "loja",
         "total_net AS vendas",
         "nr_sales AS num_vendas",
-        "nr_persons AS num_clientes",
+        *(["nr_persons AS num_clientes"] if customers else []),
         f"{m.ticket()} AS ticket_medio",
     ).orderBy(F.desc_nulls_last("vendas"), "loja")
 

@@ -35,7 +35,7 @@ def day_features(f: DataFrame) -> DataFrame:
         frame = f"OVER ({by_day} {days - 1} PRECEDING AND CURRENT ROW)"
         return m.mean(f"sum(total_net) {frame}", f"count(total_net) {frame}")
 
-    return f.select(
+    return cal.with_easter(f).select(
         "store_id",
         "date",
         "total_net",

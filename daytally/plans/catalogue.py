@@ -64,8 +64,8 @@ def _load_and_count(source) -> DataFrame:
 
 
 def _load_delta(source) -> DataFrame:
-    before = source.item_days(w.year_of(1999), TRADE).count()
-    return checks.load_delta(before, source.item_days((date(1999, 1, 1), date(2001, 1, 1)), TRADE))
+    before = source.item_days(w.year_of(1999), ()).count()
+    return checks.load_delta(before, source.item_days((date(1999, 1, 1), date(2001, 1, 1)), ()))
 
 
 def _seasonal(source, k: int | None = None) -> DataFrame:
@@ -89,7 +89,10 @@ ENTRIES: dict[str, Entry] = {
     "day_total": lambda t: stores.day_total(t.store_days(_named_window("today"), NET), AS_OF),
     "period_total_easter": lambda t: stores.period_total(t.store_days(w.inclusive(*EASTER)), t.stores, "Páscoa 2001", *EASTER),
     "period_total_christmas": lambda t: stores.period_total(t.store_days(w.inclusive(*CHRISTMAS)), t.stores, "Natal 2000", *CHRISTMAS),
-    "period_by_store": lambda t: stores.period_by_store(t.store_days(w.inclusive(*EASTER), FLOW), t.stores, *EASTER),
+    "period_by_store": lambda t: stores.period_by_store(t.store_days(w.inclusive(*EASTER), SALES), t.stores, *EASTER),
+    "period_by_store_with_customers": lambda t: stores.period_by_store(
+        t.store_days(w.inclusive(*EASTER), FLOW), t.stores, *EASTER, customers=True
+    ),
     "store_history": lambda t: stores.store_history(t.store_days(_days(30)), t.stores, STORE, AS_OF),
     "ytd_by_store": lambda t: stores.ytd_by_store(t.store_days(_named_window("this_year"), FLOW), t.stores, AS_OF),
     "annual_by_store": lambda t: stores.annual_by_store(t.store_days(w.trailing_years(AS_OF, 5), FLOW), t.stores, AS_OF),
@@ -157,29 +160,29 @@ ENTRIES: dict[str, Entry] = {
     "facts_per_item_day": lambda t: t.item_days(),
     "load_and_count": _load_and_count,
     "load_delta": _load_delta,
-    "load_progress": lambda t: checks.load_progress(t.item_days(None, TRADE), 2_500_000),
-    "store_partitions": lambda t: loading.partition_sizes(t.store_days(None, NET), STORE_LAYOUT),
-    "item_partitions": lambda t: loading.partition_sizes(t.item_days(None, TRADE), ITEM_LAYOUT),
+    "load_progress": lambda t: checks.load_progress(t.item_days(None, ()), 2_500_000),
+    "store_partitions": lambda t: loading.partition_sizes(t.store_days(None, ()), STORE_LAYOUT),
+    "item_partitions": lambda t: loading.partition_sizes(t.item_days(None, ()), ITEM_LAYOUT),
     "rejected_facts": lambda t: loading.route(t.item_days(None, TRADE), ITEM_LAYOUT).rejected,
     "duplicate_line_keys": lambda t: loading.duplicate_keys(t.table("lineitem"), ["l_orderkey", "l_linenumber"]),
     "row_counts": lambda t: checks.row_counts(
         {
             "stores": t.stores,
             "items": t.items,
-            "da_stores_date": t.store_days(None, NET),
-            "da_items_stores_date": t.item_days(None, TRADE),
+            "da_stores_date": t.store_days(None, ()),
+            "da_items_stores_date": t.item_days(None, ()),
         }
     ),
-    "coverage": lambda t: checks.coverage(t.item_days(None, TRADE)),
-    "missing_days": lambda t: checks.missing_days(t.item_days(None, TRADE)),
+    "coverage": lambda t: checks.coverage(t.item_days(None, ())),
+    "missing_days": lambda t: checks.missing_days(t.item_days(None, ())),
     "missing_days_of_one_store": lambda t: checks.missing_days(
-        t.store_days(None, NET).join(t.stores.filter(F.col("name") == STORE).select(F.col("id").alias("store_id")), "store_id")
+        t.store_days(None, ()).join(t.stores.filter(F.col("name") == STORE).select(F.col("id").alias("store_id")), "store_id")
     ),
-    "missing_ranges_by_store": lambda t: checks.missing_ranges(t.store_days(None, NET)),
-    "data_context": lambda t: checks.data_context(t.store_days(None, NET), t.stores, t.items),
+    "missing_ranges_by_store": lambda t: checks.missing_ranges(t.store_days(None, ())),
+    "data_context": lambda t: checks.data_context(t.store_days(None, ()), t.stores, t.items),
     "active_stores": lambda t: checks.active_stores(t.stores),
     "store_list": lambda t: checks.store_list(t.stores),
-    "newest_facts": lambda t: checks.newest(t.store_days(), ["store_id"]),
+    "newest_facts": lambda t: checks.newest(t.store_days(), ["store_id"], days=t.store_days(None, ())),
     "sample_stores": lambda t: checks.sample_rows(t.located_stores),
     "capped_result": lambda t: checks.capped(t.store_days(_days(30), SALES), ["store_id", "date"]),
     "plain_values": lambda t: checks.plain_values(t.store_days(_days(30))),

@@ -539,6 +539,9 @@ def _selects() -> dict[str, tuple[str, str]]:
         "period_total_easter": _period_total("Páscoa 2001", "2001-04-13", "2001-04-15"),
         "period_total_christmas": _period_total("Natal 2000", "2000-12-24", "2000-12-25"),
         "period_by_store": f"""
+            SELECT loja, {total('total_net', 'vendas')}, {count('nr_sales', 'num_vendas')}, {TICKET} AS ticket_medio
+            FROM act WHERE date BETWEEN DATE '2001-04-13' AND DATE '2001-04-15' GROUP BY loja""",
+        "period_by_store_with_customers": f"""
             SELECT loja, {total('total_net', 'vendas')}, {count('nr_sales', 'num_vendas')},
                    {count('nr_persons', 'num_clientes')}, {TICKET} AS ticket_medio
             FROM act WHERE date BETWEEN DATE '2001-04-13' AND DATE '2001-04-15' GROUP BY loja""",

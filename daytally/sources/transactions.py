@@ -104,7 +104,7 @@ def _measure(name: str) -> str:
 
 
 def roll_up_store_days(lines: DataFrame, orders: DataFrame, measures: tuple[str, ...] = STORE_MEASURES) -> DataFrame:
-    """One row per store and day with the chosen measures.
+    """One row per store and day with the chosen measures, or none of them.
 
     Counts of sales come from a first grouping per order, which leaves a single
     distinct count (customers) for the second one, so no row is multiplied for
@@ -115,6 +115,8 @@ def roll_up_store_days(lines: DataFrame, orders: DataFrame, measures: tuple[str,
     sums = {name: SUMS[name][0] for name in measures if name in SUMS}
     keys = ["store_id", "date"]
     counts = {name: COUNTS[name] for name in measures if name in COUNTS}
+    if not measures:
+        return lines.select(*keys).distinct()
     if not counts:
         daily = lines.groupBy(*keys).agg(*columns(**sums))
     else:
@@ -136,7 +138,7 @@ def roll_up_item_days(lines: DataFrame, part: DataFrame, measures: tuple[str, ..
     """One row per item, store and day. The unit cost is the item's list price."""
     keys = ["item_id", "store_id", "date"]
     sums = {name: SUMS[name][0] for name in measures if name in SUMS}
-    facts = lines.groupBy(*keys).agg(*columns(**sums))
+    facts = lines.groupBy(*keys).agg(*columns(**sums)) if sums else lines.select(*keys).distinct()
     if "latest_price_cost" in measures:
         price = f"CAST(p_retailprice AS {MEASURE.simpleString()}) AS latest_price_cost"
         facts = facts.join(part.selectExpr("p_partkey AS item_id", price), "item_id", "left")

@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 from helpers import d, item_days, items, rows, store_days, stores
 
-from daytally.operators import bundles, checks, compare, loading, trends
+from daytally.functions.calendar import calendar
+from daytally.operators import bundles, checks, compare, loading, periods, trends
 from daytally.operators import items as it
 from daytally.operators import stores as st
 from daytally.schemas import LAYOUTS
@@ -199,6 +200,24 @@ def test_seasonal_item_without_off_season_sales_comes_first(spark):
     assert got == [(2, None), (1, 2.0)]
 
 
+def test_retail_periods_count_each_event_and_its_city(spark):
+    s = stores(spark, (1, "A", 1, "Braga"), (2, "B", 1, "Viseu"), (3, "C", 0, "Porto"))
+    f = store_days(spark, (1, "2024-06-23", 10), (1, "2024-06-24", 20), (2, "2024-06-24", 5), (3, "2024-06-24", 99), (2, "2024-08-31", 7))
+    cal = calendar(spark, [2024])
+    everywhere = {r.event: (r.dias, r.vendas_sem_iva, r.media_diaria) for r in periods.sales_in_periods(f, s, cal).collect()}
+    assert everywhere == {
+        "São João": (2, 35, Decimal("11.67")),
+        "São João (pico)": (2, 35, Decimal("11.67")),
+        "Feira de São Mateus": (1, 7, 7),
+    }
+    local = {(r.event, r.location): (r.dias, r.vendas_sem_iva) for r in periods.local_event_sales(f, s, cal).collect()}
+    assert local == {
+        ("São João", "Braga"): (2, 30),
+        ("São João (pico)", "Braga"): (2, 30),
+        ("Feira de São Mateus", "Viseu"): (1, 7),
+    }
+
+
 def test_partition_bounds(spark):
     layout = LAYOUTS["da_stores_date"]
     f = store_days(spark, (1, "2018-12-31", 1), (1, "2019-01-01", 1), (1, "2026-12-31", 1), (1, "2027-01-01", 1))

@@ -62,6 +62,52 @@ def test_roll_up_has_no_expand_and_shares_the_join_partitioning(source, spark):
     assert text.count("Exchange hashpartitioning") == 4
 
 
+def test_short_window_does_not_shuffle_all_order_headers(source, spark):
+    """With large tables a Bloom filter of the window's orders prunes headers."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    keep = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        assert "might_contain" in plan(source.store_days(w.date_window("today", catalogue.AS_OF)))
+    finally:
+        for key, value in keep.items():
+            spark.conf.set(key, value)
+
+
+def test_hot_store_day_in_a_bundle_is_split(spark):
+    """A third of all item rows on one store-day: AQE splits the semi-join."""
+    hot = spark.range(200_000).selectExpr(
+        "id AS item_id", "CAST(if(id % 3 = 0, 1, id % 500 + 2) AS BIGINT) AS store_id", "date'2024-06-01' AS date",
+        "CAST(2 AS DECIMAL(18,5)) AS total_quantity", "CAST(3 AS DECIMAL(18,5)) AS total_net",
+    )
+    items = spark.range(200_000).selectExpr("id", "concat('item ', id) AS description", "'x' AS pcode")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    keep = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = bundles.co_occurring(hot, items, [0], (date(2024, 6, 1), date(2024, 6, 2)), k=None)
+        got = df.agg(F.count("*"), F.sum("co_occurrence_days"), F.sum("total_qty")).first()
+        joined = bundles.co_occurring(hot, items, [0], (date(2024, 6, 1), date(2024, 6, 2)), k=None)
+        assert len(joined.collect()) == got[0]
+        assert "skew=true" in plan(joined)
+    finally:
+        for key, value in keep.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    others = 200_000 // 3 + 1 - 1  # ids divisible by three, less the target
+    assert tuple(got) == (others, others, 2 * others)
+
+
 def test_top_k_is_not_a_global_sort(source):
     text = plan(catalogue.ENTRIES["top_items_by_margin"](source))
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
