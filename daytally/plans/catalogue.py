@@ -102,7 +102,7 @@ ENTRIES: dict[str, Entry] = {
     "top_stores_last_month": lambda t: stores.top_stores(
         t.store_days(_named_window("last_month"), NET), t.stores, _named_window("last_month")
     ),
-    "stores_averaging_above": lambda t: stores.stores_averaging_above(t.store_days(None, NET), t.stores, 64000),
+    "stores_averaging_above": lambda t: stores.stores_averaging_above(t.store_days(None, NET), t.stores, 56500),
     "window_totals": lambda t: stores.window_totals(t.store_days(w.trailing_years(AS_OF, 2), SALES), t.stores, AS_OF),
     "daily_sales_30_days": lambda t: stores.daily_sales(t.store_days(_days(30), SALES), t.stores, _days(30)),
     "monthly_sales_of_year": lambda t: stores.monthly_sales(t.store_days(w.year_of(2000), SALES), t.stores, 2000),
@@ -146,7 +146,7 @@ ENTRIES: dict[str, Entry] = {
         t.item_days(w.month_of(2001, 6), COSTED), t.items, t.stores, w.month_of(2001, 6)
     ),
     # sold together, seasons, calendar
-    "co_occurring": lambda t: bundles.co_occurring(t.item_days(SUMMER, TRADE), t.items, [TARGET], SUMMER),
+    "co_occurring": lambda t: bundles.co_occurring(t.item_days(HISTORY, TRADE), t.items, [TARGET], HISTORY),
     "seasonal_items": lambda t: _seasonal(t),
     "seasonal_bundles": lambda t: bundles.co_occurring(t.item_days(SUMMER, TRADE), t.items, _seasonal(t), SUMMER),
     "bundles_per_seasonal_item": lambda t: bundles.bundles_per_target(

@@ -195,13 +195,13 @@ summer AS (
 )"""
 
 
-def _together(targets: str) -> str:
+def _together(targets: str, rows: str = "summer") -> str:
     return f"""
       SELECT artigo AS description, COUNT(DISTINCT (store_id, date)) AS co_occurrence_days,
              {total('total_quantity', 'total_qty')}, {total('total_net', 'total_revenue')}
-      FROM summer
+      FROM {rows}
       WHERE item_id NOT IN ({targets})
-        AND (store_id, date) IN (SELECT (store_id, date) FROM summer WHERE item_id IN ({targets}))
+        AND (store_id, date) IN (SELECT (store_id, date) FROM {rows} WHERE item_id IN ({targets}))
       GROUP BY item_id, artigo ORDER BY co_occurrence_days DESC, item_id LIMIT 20"""
 
 
@@ -579,7 +579,7 @@ def _selects() -> dict[str, tuple[str, str]]:
             ORDER BY SUM(total_net) DESC, loja LIMIT 5""",
         "stores_averaging_above": f"""
             SELECT loja, {MEAN_NET} AS media_diaria FROM act GROUP BY loja
-            HAVING {div('SUM(total_net)', 'COUNT(total_net)')} > 64000""",
+            HAVING {div('SUM(total_net)', 'COUNT(total_net)')} > 56500""",
         "window_totals": _window_totals(),
         "daily_sales_30_days": _daily(LAST_30),
         "monthly_sales_of_year": f"""
@@ -667,7 +667,7 @@ def _selects() -> dict[str, tuple[str, str]]:
             SELECT item_id, store_id, date, {dbl('total_quantity')} AS total_quantity, {dbl('total_net')} AS total_net
             FROM da_items_stores_date WHERE date >= DATE '2001-01-01'""",
         "duplicate_line_keys": """
-            SELECT l_orderkey, l_linenumber, COUNT(*) AS linhas FROM lineitem
+            SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, COUNT(*) AS linhas FROM lineitem
             GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""",
         "row_counts": _counts({t: t for t in ("stores", "items", "da_stores_date", "da_items_stores_date")}),
         "coverage": """
@@ -712,7 +712,7 @@ def _selects() -> dict[str, tuple[str, str]]:
     together = {
         "like_for_like": (COMPARABLE, _lfl()),
         "comparable_stores": (COMPARABLE, "SELECT store_id FROM both_periods"),
-        "co_occurring": (SUMMER_SALES, _together("7")),
+        "co_occurring": (f"sales AS (SELECT * FROM g WHERE {HISTORY} AND total_quantity > 0)", _together("7", "sales")),
         "seasonal_items": (
             SEASONAL,
             f"""SELECT item_id, artigo, codigo, {dbl('pico')} AS qtd_pico, {dbl('fora')} AS qtd_fora,
