@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daytally.functions import measures as m
 from daytally.functions.calendar import calendar_days
 from daytally.functions.measures import columns
-from daytally.operators.stores import again, named, per_store
+from daytally.operators.stores import per_day
 
 
 def sales_in_periods(f: DataFrame, s: DataFrame, cal: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def sales_in_periods(f: DataFrame, s: DataFrame, cal: DataFrame) -> DataFrame:
     equality. Facts are summed per day before they meet the calendar, whose
     size is fixed per year. Events without facts are left out.
     """
-    daily = again(named(per_store(f, date="date"), s), "date")
+    daily = per_day(f, s)
     return (
         daily.join(calendar_days(cal), "date")
         .groupBy("event", "city", "start", "end")

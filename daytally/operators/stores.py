@@ -39,6 +39,16 @@ def per_store(facts: DataFrame, **keys: str) -> DataFrame:
     return facts.groupBy("store_id", *columns(**keys)).agg(*columns(n_rows="count(*)", **sums))
 
 
+def per_day(facts: DataFrame, s: DataFrame) -> DataFrame:
+    """Sums per day over active stores. A store has one fact per day, so summing
+    per store first would not shrink anything here."""
+    active = s.filter("status = 1").selectExpr("id AS store_id")
+    present = facts.columns
+    sums = {c: f"sum({c})" for c in SUMMED if c in present}
+    kept = facts.join(active, "store_id", "left_semi")
+    return kept.groupBy("date").agg(*columns(n_rows="count(*)", net_rows="count(total_net)", **sums))
+
+
 def again(df: DataFrame, *keys: str) -> DataFrame:
     """Add up partial sums under coarser keys."""
     summed = (*SUMMED, "n_rows", "net_rows")
@@ -79,11 +89,11 @@ def day_total(f: DataFrame, day: date) -> DataFrame:
 def period_total(f: DataFrame, s: DataFrame, label: str, first: date, last: date) -> DataFrame:
     """One row of totals over an inclusive period. The daily mean is over
     store-days."""
-    daily = named(per_store(w.clip(f, w.inclusive(first, last)), date="date"), s)
+    daily = per_day(w.clip(f, w.inclusive(first, last)), s)
     return daily.agg(
         F.lit(label).alias("periodo"),
         *columns(
-            dias="count(DISTINCT date)",
+            dias="count(*)",
             total_vendas="sum(nr_sales)",
             total_clientes="sum(nr_persons)",
             quantidade_total="sum(total_quantity)",
@@ -240,7 +250,7 @@ def window_totals(f: DataFrame, s: DataFrame, as_of: date) -> DataFrame:
     spans = {name: w.date_window(name, as_of) for name in w.WINDOW_NAMES}
     hull = min(lo for lo, _ in spans.values()), max(hi for _, hi in spans.values())
     holds = ", ".join(f"CASE WHEN {w.in_window(span)} THEN '{name}' END" for name, span in spans.items())
-    daily = again(named(per_store(w.clip(f, hull), date="date"), s), "date")
+    daily = per_day(w.clip(f, hull), s)
     return (
         daily.withColumn("janela", F.expr(f"explode(array_compact(array({holds})))"))
         .groupBy("janela")
@@ -250,7 +260,7 @@ def window_totals(f: DataFrame, s: DataFrame, as_of: date) -> DataFrame:
 
 def daily_sales(f: DataFrame, s: DataFrame, window: w.Window) -> DataFrame:
     """Totals per day over active stores."""
-    daily = again(named(per_store(w.clip(f, window), date="date"), s), "date")
+    daily = per_day(w.clip(f, window), s)
     return daily.selectExpr(
         "date AS data", "n_rows AS lojas", "nr_sales AS total_vendas", "total_net AS receita_total"
     ).orderBy("data")

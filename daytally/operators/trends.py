@@ -17,7 +17,7 @@ from daytally.functions import measures as m
 from daytally.functions import windows as w
 from daytally.functions.measures import columns
 from daytally.operators.items import SOLD, labelled
-from daytally.operators.stores import again, named, per_store
+from daytally.operators.stores import again, named, per_day, per_store
 
 def day_features(f: DataFrame) -> DataFrame:
     """Calendar, lag and rolling-mean features of every store-day.
@@ -272,7 +272,7 @@ def kpi_strip(f: DataFrame, s: DataFrame, as_of: date) -> DataFrame:
         "ano_anterior": year_ago,
     }
     hull = min(lo for lo, _ in spans.values()), year[1]
-    daily = again(named(per_store(w.clip(f, hull), date="date"), s), "date")
+    daily = per_day(w.clip(f, hull), s)
     sums = {name: f"coalesce({m.sum_where(w.in_window(span))}, 0)" for name, span in spans.items()}
     changes = columns(mom_pct=m.growth("mes", "mes_anterior"), yoy_pct=m.growth("ano", "ano_anterior"))
     return daily.agg(*columns(**sums)).select("*", *changes)
