@@ -12,21 +12,29 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+COST = "total_quantity * latest_price_cost"
+# Revenue without VAT less units at their latest cost; NULL without a cost.
+MARGIN = f"total_net - {COST}"
+
+
 # The business vocabulary (fixed values): spoken term -> measure.
 VOCABULARY = {
     "vendas": "total_net",
     "receita": "total_net",
-    "margem": "margin",
+    "margem": MARGIN,
     "quantidade": "total_quantity",
+    "tiquets": "nr_sales",
     "transações": "nr_sales",
     "clientes": "nr_persons",
+    "pessoas": "nr_persons",
     "custo": "latest_price_cost",
     "desconto": "total_discount",
 }
 
-COST = "total_quantity * latest_price_cost"
-# Revenue without VAT less units at their latest cost; NULL without a cost.
-MARGIN = f"total_net - {COST}"
+
+def measure(term: str) -> str:
+    """The measure behind a spoken term, whatever its case."""
+    return VOCABULARY[term.strip().lower()]
 
 
 def columns(**named: str) -> list[Column]:

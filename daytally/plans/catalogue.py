@@ -6,9 +6,9 @@ measures it needs, and returns a DataFrame. AS_OF stands in for "today".
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +54,10 @@ def _named_window(name: str) -> w.Window:
 
 
 def _load_and_count(source) -> DataFrame:
-    """Load everything into a fresh folder and count what arrived."""
-    root = f"{shared_folder(source.spark)}/lake-{uuid.uuid4().hex}"
+    """Load everything and count what arrived. The folder belongs to this
+    application and source, so that a second run replaces the first."""
+    application = source.spark.sparkContext.applicationId
+    root = f"{shared_folder(source.spark)}/lake-{application}-{crc32(source.folder.encode()):08x}"
     layouts = {layout.table: layout for layout in (STORE_LAYOUT, ITEM_LAYOUT)}
     loading.load(source, root, layouts, mode="replace")
     lake = Lake(source.spark, root)

@@ -36,6 +36,14 @@ def test_growth(spark):
     assert one(spark, m.growth("new", "old"), new=150, old=0) is None
 
 
+def test_spoken_terms(spark):
+    df = spark.sql("select 100.0bd total_net, 2.0bd total_quantity, 30.0bd latest_price_cost, 7 nr_sales")
+    got = df.select(*[F.expr(m.measure(term)) for term in ("Vendas", "receita", "Margem", "Tiquets")]).first()
+    assert tuple(got) == (100, 100, 40, 7)
+    with pytest.raises(KeyError):
+        m.measure("stock")
+
+
 AS_OF = date(2001, 6, 30)
 
 

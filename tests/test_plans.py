@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from daytally import session
 from daytally.functions import windows as w
-from daytally.operators import bundles
+from daytally.operators import bundles, items
 from daytally.plans import catalogue
-from daytally.sources.transactions import roll_up_store_days, sale_lines
+from daytally.sources.transactions import roll_up_item_days, roll_up_store_days, sale_lines
 
 
 def plan(df):
@@ -78,34 +78,62 @@ def test_short_window_does_not_shuffle_all_order_headers(source, spark):
             spark.conf.set(key, value)
 
 
-def test_hot_store_day_in_a_bundle_is_split(spark):
-    """A third of all item rows on one store-day: AQE splits the semi-join."""
-    hot = spark.range(200_000).selectExpr(
-        "id AS item_id", "CAST(if(id % 3 = 0, 1, id % 500 + 2) AS BIGINT) AS store_id", "date'2024-06-01' AS date",
-        "CAST(2 AS DECIMAL(18,5)) AS total_quantity", "CAST(3 AS DECIMAL(18,5)) AS total_net",
-    )
-    items = spark.range(200_000).selectExpr("id", "concat('item ', id) AS description", "'x' AS pcode")
+@pytest.fixture
+def tiny_skew_limits(spark):
+    """Broadcasts off, and limits at which small test data counts as skewed."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "32",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
     }
     keep = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
-    try:
-        df = bundles.co_occurring(hot, items, [0], (date(2024, 6, 1), date(2024, 6, 2)), k=None)
-        got = df.agg(F.count("*"), F.sum("co_occurrence_days"), F.sum("total_qty")).first()
-        joined = bundles.co_occurring(hot, items, [0], (date(2024, 6, 1), date(2024, 6, 2)), k=None)
-        assert len(joined.collect()) == got[0]
-        assert "skew=true" in plan(joined)
-    finally:
-        for key, value in keep.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    others = 200_000 // 3 + 1 - 1  # ids divisible by three, less the target
-    assert tuple(got) == (others, others, 2 * others)
+    yield
+    for key, value in keep.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_hot_store_day_in_a_bundle_is_split(spark, tiny_skew_limits):
+    """A third of all item rows on one store-day: AQE splits the semi-join."""
+    hot = spark.range(200_000).selectExpr(
+        "id AS item_id",
+        "CAST(if(id % 3 = 0, 1, id % 500 + 2) AS BIGINT) AS store_id",
+        "date'2024-06-01' AS date",
+        "CAST(2 AS DECIMAL(18,5)) AS total_quantity",
+        "CAST(3 AS DECIMAL(18,5)) AS total_net",
+    )
+    names = spark.range(200_000).selectExpr("id", "concat('item ', id) AS description", "'x' AS pcode")
+    df = bundles.co_occurring(hot, names, [0], (date(2024, 6, 1), date(2024, 6, 2)), k=None)
+    got = df.collect()
+    assert "skew=true" in plan(df)
+    others = 200_000 // 3  # ids divisible by three, less the target
+    assert len(got) == others and sum(r.co_occurrence_days for r in got) == others
+
+
+def test_hot_item_is_split_where_its_cost_is_joined(spark, tiny_skew_limits):
+    """A third of all lines belong to one item, over many stores and days; its
+    partition is split although the next grouping is by item as well."""
+    lines = spark.range(600_000).selectExpr(
+        "id AS l_orderkey",
+        "CAST(if(id % 3 = 0, 1, id % 4999 + 2) AS BIGINT) AS l_partkey",
+        "id % 1009 AS l_suppkey",
+        "'A' AS l_returnflag",
+        "CAST(id % 50 + 1 AS DOUBLE) AS l_quantity",
+        "CAST(hash(id) % 100000 + 100001 AS DOUBLE) AS l_extendedprice",
+        "0D AS l_discount",
+        "0D AS l_tax",
+        "CAST(date_add(date'2024-01-01', CAST(id % 367 AS INT)) AS TIMESTAMP_NTZ) AS l_shipdate",
+    )
+    part = spark.range(6000).selectExpr("id AS p_partkey", "3D AS p_retailprice")
+    names = spark.range(6000).selectExpr("id", "concat('item ', id) AS description", "'x' AS pcode")
+    df = items.low_margin_items(roll_up_item_days(sale_lines(lines), part), names, date(2024, 12, 31), days=400, below=2)
+    got = df.collect()
+    assert "skew=true" in plan(df)
+    assert sum(r.qtd_vendida for r in got) == sum(n % 50 + 1 for n in range(600_000))
 
 
 def test_top_k_is_not_a_global_sort(source):
