@@ -126,7 +126,7 @@ def test_hot_item_is_split_where_its_cost_is_joined(spark, tiny_skew_limits):
         "CAST(hash(id) % 100000 + 100001 AS DOUBLE) AS l_extendedprice",
         "0D AS l_discount",
         "0D AS l_tax",
-        "CAST(date_add(date'2024-01-01', CAST(id % 367 AS INT)) AS TIMESTAMP_NTZ) AS l_shipdate",
+        "CAST(date_add(date'2024-01-01', CAST(id % 365 AS INT)) AS TIMESTAMP_NTZ) AS l_shipdate",
     )
     part = spark.range(6000).selectExpr("id AS p_partkey", "3D AS p_retailprice")
     names = spark.range(6000).selectExpr("id", "concat('item ', id) AS description", "'x' AS pcode")
