@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/daytally-llm/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
     return spark.read.schema(df.schema).parquet(path)
@@ -62,3 +63,54 @@ def each(one, columns: dict[str, pa.DataType]):
                 )
 
     return run
+
+
+#: bits of the filter of hashes met twice: 16 MB, whatever the input
+FILTER_BITS = 1 << 27
+
+
+def met_twice(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The bits that two or more rows of `hashes` (column h, long) fall on.
+
+    A Bloom filter with one bit a hash. What comes to the driver is its words
+    with a bit set, at most bits / 64 rows of 16 bytes. The filter errs towards
+    "met twice"; with more hashes than bits it lets more and more through, which
+    costs time and loses nothing.
+    """
+    at = hashes.select(F.pmod("h", F.lit(bits)).alias("at")).groupBy("at").agg(F.count("*").alias("n")).filter("n > 1")
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the signed hashes fall on a bit that is set."""
+    at = hashes.view(np.int64) & (len(bits) * 64 - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def components(links: DataFrame, node: str = "binary") -> DataFrame:
+    """node, component for every node that a link (a, b) names; the component is
+    its smallest node. Large-star and small-star in turn: each joins nodes to the
+    smallest neighbour, found by grouping before the shuffle, so a node with
+    very many links is one row in a group and a join side that can be split. Every
+    step is stored, and the steps number about the logarithm of the longest path.
+    """
+    links = stored(links.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "links")
+    last = None
+    while True:
+        # large star: neighbours above a node go to the smallest in its neighbourhood
+        both = links.unionAll(links.selectExpr("b AS a", "a AS b"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS u", "least(a, m) AS m"), "least")
+        large = both.join(least, F.expr("a = u")).filter("b > a").selectExpr("b AS a", "m AS b").filter("a <> b").distinct()
+        large = stored(large, "large")
+        # small star: a node and its neighbours below it go to the smallest of them
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS u", "m"), "least")
+        small = large.join(least, F.expr("a = u")).selectExpr("b AS a", "m AS b").unionAll(least.selectExpr("u AS a", "m AS b"))
+        links = stored(small.filter("a <> b").distinct(), "links")
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == last:
+            return links.selectExpr("a AS node", "b AS component").unionAll(links.selectExpr("b AS node", "b AS component").distinct())
+        last = now

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from daytally.llm import bpe, exact_dedup, mixing, quality
+from daytally.llm import bpe, exact_dedup, langid, licenses, line_dedup, mixing, quality
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
+    "op8_language_id": langid.op8_language_id,
 }
 
 SQL = {

@@ -9,7 +9,7 @@ from daytally.llm.common import BLANK, WORD, documents, stored
 
 #: the ratios the adaptive rules look at, each with the slack added to its
 #: fence, so that a ratio that hardly varies is not fenced in at its median
-RATIOS = {"mean_word": 2.0, "symbol_share": 0.1, "dup_line_share": 0.1, "repeat_share": 0.1}
+RATIOS = {"mean_word": 3.0, "symbol_share": 0.1, "dup_line_share": 0.1, "repeat_share": 0.2}
 #: ratios that may be too small as well as too large
 BOTH_ENDS = ("mean_word",)
 
