@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from daytally.llm import bpe, exact_dedup, langid, licenses, line_dedup, mixing, quality
+from daytally.llm import bpe, exact_dedup, langid, licenses, line_dedup, lm, mixing, ngram_join, quality
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,8 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
     "op8_language_id": langid.op8_language_id,
+    "op9_lm_scoring": lm.op9_lm_scoring,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 SQL = {
