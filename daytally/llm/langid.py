@@ -19,7 +19,7 @@ LETTERS = np.array([b if 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90
 
 @dataclass(frozen=True)
 class Settings:
-    orders: tuple[int, ...] = (1, 2, 3)
+    orders: tuple[int, ...] = (2, 3)
     dims: int = 1 << 14
     #: documents a language is learned from, at most; the rows are the ones with the smallest hashes
     per_language: int = 300
@@ -27,7 +27,7 @@ class Settings:
     #: a text is rejected when it is further than this share of the cosine that
     #: `quantile` of the centroid's own documents have
     quantile: float = 0.02
-    slack: float = 0.35
+    slack: float = 0.06
     seed: int = 0
 
 

@@ -39,8 +39,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken; one row per row of docs.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 0, key: str = "doc_id") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken; one row per row of
+    docs, and the column `key` if it is another one.
 
     A document of a source with rate r = target / source_size is expected r times.
     Documents are lined up within their source, the expected copies are summed
@@ -59,7 +60,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    sizes = stored(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    keys = dict.fromkeys(["doc_id", key])
+    sizes = stored(docs.select(*keys, "source", size.alias("size")), "sizes")
     blocks = max(1, math.isqrt(sizes.count()) // 20)
     lined = sizes.withColumns({"class": F.length(F.bin("size")), "block": F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(blocks))})
     cells = stored(lined.groupBy("source", "class", "block").agg(F.count("*").alias("rows")), "cells")
@@ -70,17 +72,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     cells = stored(
         cells.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select("c.*", "source_size", "target"), "blocks"
     ).withColumnsRenamed({"source": "s", "class": "k", "block": "b"})
-    within = Window.partitionBy("source", "class", "block").orderBy("size", "doc_id")
+    within = Window.partitionBy("source", "class", "block").orderBy("size", *keys)
     placed = lined.withColumn("nth", F.row_number().over(within)).join(cells, F.expr("source <=> s AND class = k AND block = b"))
     drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("\0")), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     placed = placed.withColumns({"rate": rate, "offset": drawn / float(1 << 32), "place": F.col("start") + F.col("nth")})
     copies = F.floor(F.col("place") * F.col("rate") + F.col("offset")) - F.floor((F.col("place") - 1) * F.col("rate") + F.col("offset"))
     return placed.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        *keys, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; see `mix`."""
+    row = F.xxhash64("doc_id", "source", "text")
+    drawn = mix(docs.withColumn("_row", row), **settings, key="_row").groupBy("_row").agg(F.sum("copies").alias("_copies"))
+    drawn = stored(drawn.filter("_copies > 0").withColumnRenamed("_row", "_drawn"), "drawn")
+    once = docs.withColumn("_row", row).dropDuplicates(["_row"])
+    taken = once.join(drawn, F.expr("_row = _drawn")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return taken.select(*docs.columns)
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -202,7 +202,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: int = 1 << 22) -> DataFrame:
-    """doc_id, row, n_shingles, component_id, one row per row of docs.
+    """doc_id, row, n_shingles, component_id, part, one row per row of docs; part is
+    the component's own key, null for an empty set.
 
     A document's set holds its distinct shingles of `width` words (white-space
     words, A-Z lower-cased), or its whole sequence where it has fewer. Two
@@ -294,12 +295,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     known = sigs.join(parts, F.expr("sig = node"), "left").select("sig", F.coalesce("component", "sig").alias("part"), "least_id")
     known = stored(known, "known")
     named = stored(known.groupBy("part").agg(F.min("least_id").alias("component_id")).withColumnRenamed("part", "p"), "named")
-    known = stored(known.join(named, F.expr("part = p")).select(F.col("sig").alias("of"), "component_id"), "ids")
+    known = stored(known.join(named, F.expr("part = p")).select(F.col("sig").alias("of"), "component_id", "part"), "ids")
     joined = rows.select("doc_id", "row", "n", "sig").join(known, F.expr("sig = of"), "left")
     return joined.select(
-        "doc_id", "row", F.col("n").alias("n_shingles"), F.expr("CASE WHEN sig IS NULL THEN doc_id ELSE component_id END AS component_id")
+        "doc_id",
+        "row",
+        F.col("n").alias("n_shingles"),
+        F.expr("CASE WHEN sig IS NULL THEN doc_id ELSE component_id END AS component_id"),
+        "part",
     )
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near duplicates: of each component the smallest doc_id stays (a
+    missing one only where there is no other), once. Documents without words stay."""
+    found = stored(near_duplicates(docs, width, percent), "near")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("best")
+    stay = found.filter("part IS NOT NULL").groupBy("part").agg(best).select("best.row")
+    stay = stay.unionAll(found.filter("part IS NULL").select("row")).distinct().withColumnRenamed("row", "_stay")
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return keyed.join(stored(stay, "stay"), F.expr("_row = _stay"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+
+
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
