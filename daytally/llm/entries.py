@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from daytally.llm import bpe, exact_dedup, langid, licenses, line_dedup, lm, mixing, ngram_join, quality
+from daytally.llm import bpe, exact_dedup, langid, licenses, line_dedup, lm, mixing, ngram_join, quality, substring_dedup
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_suffix_dedup": substring_dedup.op3_suffix_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
