@@ -26,7 +26,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The table cuts the lineage: losing an executor costs its running tasks
-    only. Each call has a folder of its own, deleted when the driver ends.
+    only. Each call has a folder of its own, deleted when the driver ends. The
+    session's default codec is used: zstd holds native memory per open column,
+    which put small executors over their limit when many small files are read.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/daytally-llm/{uuid.uuid4().hex}/{name}"
