@@ -12,9 +12,9 @@ from daytally.llm.common import BLANK, documents, stored
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised. The languages are learned from
     a bounded sample of the stage's own input."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    found = langid.identify(docs, "true", langid.Settings(), *others)
-    return found.filter("NOT rejected").select(*docs.columns)
+    whole = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("whole"))
+    found = langid.identify(whole, "true", langid.Settings(), "whole")
+    return found.filter("NOT rejected").select("whole.*")
 
 
 def line_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model
     whole = Window.partitionBy("language").orderBy("draw", "doc_id")
     drawn = rows.withColumn("n", F.row_number().over(part)).filter(F.col("n") <= s.per_language)
     drawn = drawn.withColumn("n", F.row_number().over(whole)).filter(F.col("n") <= s.per_language)
-    drawn = stored(drawn.select(F.col("doc_id").alias("id"), "language").distinct(), "sample")
+    drawn = stored(drawn.select(F.col("doc_id").alias("drawn_id"), "language").distinct(), "sample")
 
     def one(batch):
         counts = [ngram_counts(t, s) for t in batch.column("text").to_pylist()]
@@ -106,7 +106,8 @@ def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model
         return [batch.column("language"), [a.tolist() for a in at], [c[a].tolist() for c, a in zip(counts, at, strict=True)]]
 
     types = {"language": pa.string(), "at": pa.list_(pa.int64()), "n": pa.list_(pa.int64())}
-    sampled = docs.join(F.broadcast(drawn), F.expr("doc_id = id AND lang = language AND text IS NOT NULL"))
+    sampled = docs.select("doc_id", "lang", "text").filter("text IS NOT NULL")
+    sampled = sampled.join(F.broadcast(drawn), F.expr("doc_id = drawn_id AND lang = language"))
     got = sampled.select("language", "text").mapInArrow(each(one, types), "language string, at array<long>, n array<long>").toArrow()
     names, ats, ns = (got.column(c).to_pylist() for c in types)
     order = sorted(range(len(names)), key=lambda i: (names[i], ats[i], ns[i]))
