@@ -108,7 +108,7 @@ def calendar(spark: SparkSession, years: Iterable[int]) -> DataFrame:
     listed_years = ", ".join(str(int(y)) for y in sorted(set(years)))
     return (
         spark.range(1)
-        .selectExpr(f"explode(array({listed_years})) AS year")
+        .selectExpr(f"explode(CAST(array({listed_years}) AS ARRAY<INT>)) AS year")
         .selectExpr("year", f"{easter_sunday('year')} AS easter")
         .selectExpr("year", f"inline(array({', '.join(rows)}))")
     )
@@ -121,8 +121,8 @@ def calendar_days(cal: DataFrame) -> DataFrame:
 
 def with_easter(df: DataFrame, day: str = "date") -> DataFrame:
     """Adds `easter` and `next_easter`, those of the day's year and of the year
-    after, from a table of all years of the Gregorian calendar up to 2999. The
-    rule runs once per year instead of once per row."""
+    after, from a table of the Gregorian calendar's years up to 2999; a day beyond
+    them is an error. The rule runs once per year instead of once per row."""
     years = (
         df.sparkSession.range(1583, 3000)
         .selectExpr("CAST(id AS INT) AS easter_year")
@@ -132,7 +132,10 @@ def with_easter(df: DataFrame, day: str = "date") -> DataFrame:
             f"{easter_sunday('easter_year + 1')} AS next_easter",
         )
     )
-    return df.join(F.broadcast(years), F.expr(f"year({day}) = easter_year"), "left").drop("easter_year")
+    known = F.when(F.expr(f"{day} IS NULL OR year({day}) BETWEEN 1583 AND 2999"), F.col("easter"))
+    checked = known.otherwise(F.raise_error(F.concat(F.lit("no Easter rule for "), F.col(day).cast("string"))))
+    joined = df.join(F.broadcast(years), F.expr(f"year({day}) = easter_year"), "left").drop("easter_year")
+    return joined.withColumn("easter", checked)
 
 
 def is_holiday(day: str = "date") -> str:

@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daytally.functions import measures as m
 from daytally.functions import windows as w
 from daytally.functions.measures import columns, listed
 from daytally.operators.items import SOLD, labelled
+from daytally.session import keep
 
 STORE_DAY = ["store_id", "date"]
-MAX_TARGETS = 60  # one bit each in a bigint
+BITS = 60  # targets in a block, one bit each in a bigint
 
 
 def _store_days_counted(unique_keys: bool) -> str:
@@ -97,36 +99,52 @@ def seasonal_items(
     return found.select("item_id", "artigo", "codigo", "qtd_pico", "qtd_fora", "racio")
 
 
-def bundles_per_target(g: DataFrame, i: DataFrame, targets: DataFrame, window: w.Window, min_days: int = 1) -> DataFrame:
-    """Store-days each partner item shares with each of a few targets.
+def numbered_targets(targets: DataFrame) -> DataFrame:
+    """item_id, block, bit: each target's bit in a block of at most BITS targets.
 
-    targets holds at most MAX_TARGETS rows (item_id). Each store-day carries one
-    bit per target that sold there; a partner adds up bits, so its row is never
-    repeated per target. A target also counts as partner of the other targets.
+    Targets are dealt into buckets by hash and numbered within their bucket, so no
+    task numbers them all. The small table is stored; both its uses read the same.
     """
-    few = targets.select("item_id").distinct().orderBy("item_id").limit(MAX_TARGETS + 1)
-    # more than MAX_TARGETS is an error, not a silent cut
-    bits = few.agg(F.expr("sort_array(collect_list(item_id)) AS ids")).selectExpr(
-        f"posexplode(CASE WHEN size(ids) <= {MAX_TARGETS} THEN ids "
-        f"ELSE raise_error('at most {MAX_TARGETS} targets') END) AS (bit, item_id)"
-    )
+    ids = keep(targets.select("item_id").distinct(), "targets")
+    buckets = max(1, ids.count() * 2 // BITS)
+    number = F.row_number().over(W.partitionBy("bucket").orderBy("item_id")) - 1
+    dealt = ids.withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets))).withColumn("n", number)
+    return keep(dealt.selectExpr("item_id", f"struct(bucket, n DIV {BITS} AS part) AS block", f"CAST(n % {BITS} AS INT) AS bit"), "bits")
+
+
+def bundles_per_target(
+    g: DataFrame, i: DataFrame, targets: DataFrame, window: w.Window, min_days: int = 1, k: int | None = None
+) -> DataFrame:
+    """Store-days each partner item shares with each target: pairs with at least
+    min_days of them, and of each target the k partners with most (None: all).
+
+    targets (item_id) may be any number. Each store-day carries one bit per target
+    that sold there, in blocks of BITS targets; a partner adds up bits, so its
+    row is repeated per block that sold there and not per target. A target also
+    counts as partner of the other targets.
+    """
+    slots = numbered_targets(targets)
     sales = w.clip(g, window).filter(SOLD)
     flags = (
-        sales.join(F.broadcast(bits), "item_id")  # at most MAX_TARGETS rows
-        .groupBy(*STORE_DAY)
+        sales.join(slots, "item_id")
+        .groupBy(*STORE_DAY, "block")
         .agg(F.expr("bit_or(shiftleft(1L, bit)) AS flags"))
     )
-    every_bit = range(MAX_TARGETS)
+    every_bit = range(BITS)
     shared = (
         sales.join(flags, STORE_DAY)
-        .groupBy("item_id")
+        .groupBy("item_id", "block")
         .agg(*columns(**{f"b{b}": f"sum(shiftright(flags, {b}) & 1L)" for b in every_bit}))
     )
     counted = shared.selectExpr(
         "item_id AS partner_id",
+        "block",
         f"posexplode(array({', '.join(f'b{b}' for b in every_bit)})) AS (bit, co_occurrence_days)",
     ).filter(f"co_occurrence_days >= {max(min_days, 1)}")
-    pairs = counted.join(F.broadcast(bits.withColumnRenamed("item_id", "target_id")), "bit").filter("partner_id != target_id")
+    pairs = counted.join(slots.withColumnRenamed("item_id", "target_id"), ["block", "bit"]).filter("partner_id != target_id")
+    if k is not None:
+        rank = F.row_number().over(W.partitionBy("target_id").orderBy(F.desc("co_occurrence_days"), "partner_id"))
+        pairs = pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
     return (
         pairs.join(i.selectExpr("id AS partner_id", "description AS parceiro"), "partner_id")
         .join(i.selectExpr("id AS target_id", "description AS artigo"), "target_id")

@@ -17,6 +17,19 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return counts.withColumn("texto", F.concat_ws(": ", "tabela", F.col("linhas").cast("string")))
 
 
+def key_counts(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Rows and distinct keys per table; they differ where a key is repeated."""
+    parts = [
+        df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("linhas"), F.count("*").alias("chaves"))
+        .select(F.lit(name).alias("tabela"), "linhas", "chaves")
+        for name, (df, keys) in tables.items()
+    ]
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.unionByName(part)
+    return counts
+
+
 def load_delta(rows_before: int, facts: DataFrame) -> DataFrame:
     """Rows before and after a load, and the dates now covered."""
     return facts.agg(

@@ -1,24 +1,33 @@
-"""The load job: route by date range, check keys, write, reload."""
+"""The load job: stage, route by date range, check keys, write."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytally.schemas import KEYS, LAYOUTS, Layout
+from daytally.session import size_shuffles
 
 # How a fact table is written:
+#   merge - rows are put in by key: a key already stored is replaced, all other
+#           stored rows stay; running a load twice changes nothing
+#   append - rows are added; a key that is already stored stops the load
+#   replace_directories - the year or month directories that the data touches
+#           hold afterwards what the data holds for them, and nothing else
 #   replace - the whole table is dropped and written again
-#   refresh - only the year or month directories present in the data are
-#             rewritten, so that running a load twice changes nothing
-#   append  - rows are added to what is there
-MODES = ("replace", "refresh", "append")
+MODES = ("merge", "append", "replace_directories", "replace")
 
 
 class DuplicateKeyError(ValueError):
-    """A table to be loaded holds two rows with one key."""
+    """Rows to be loaded repeat a key, among themselves or one that is stored."""
+
+
+class OutOfRangeError(ValueError):
+    """Rows to be loaded have dates that no range takes."""
 
 
 @dataclass(frozen=True)
@@ -62,8 +71,30 @@ def write_dimension(df: DataFrame, path: str, table: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_facts(df: DataFrame, path: str, layout: Layout, mode: str = "refresh", check: bool = True) -> None:
-    """Write facts into year or year/month directories.
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _touched(dated: DataFrame, layout: Layout) -> Column:
+    """A condition on the partition columns for the directories the rows fall
+    into: a list of years or months, as short as the layout is."""
+    parts = dated.select(*layout.columns).distinct().collect()
+    each = [reduce(Column.__and__, [F.col(c) == row[c] for c in layout.columns]) for row in parts]
+    return reduce(Column.__or__, each, F.lit(False))
+
+
+def write_facts(df: DataFrame, path: str, layout: Layout, mode: str = "merge", check: bool = True) -> None:
+    """Write facts into year or year/month directories, in one of MODES.
+
+    Only the stored directories that the rows fall into are read and rewritten.
+    Spark writes the new directories beside the table and swaps them in when all
+    are complete, so a load that fails leaves the table as it was.
 
     Rows are rebalanced by directory: AQE splits a month that holds most rows
     over several tasks and merges small ones, so neither one hot task nor many
@@ -72,39 +103,70 @@ def write_facts(df: DataFrame, path: str, layout: Layout, mode: str = "refresh",
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
+    spark, keys = df.sparkSession, KEYS[layout.table]
+    size_shuffles(spark, df)
     if check:
-        require_unique(df, KEYS[layout.table], layout.table)
+        require_unique(df, keys, layout.table)
     dated = df.withColumn("year", F.year("date"))
     if layout.unit == "month":
         dated = dated.withColumn("month", F.month("date"))
-    sort_key = KEYS[layout.table][0]
+    overwrite = "static" if mode == "replace" else "dynamic"
+    if mode in ("merge", "append") and _exists(spark, path):
+        stored = spark.read.parquet(path).filter(_touched(dated, layout))
+        if mode == "append":
+            twice = stored.select(*keys).join(dated.select(*keys), keys, "left_semi").head(1)
+            if twice:
+                raise DuplicateKeyError(f"{layout.table}: key {twice[0].asDict()} is stored already")
+        else:
+            dated = dated.unionByName(stored.join(dated.select(*keys), keys, "left_anti"), allowMissingColumns=True)
     writer = (
         dated.hint("rebalance", *layout.columns)
-        .sortWithinPartitions(*layout.columns, sort_key, "date")
+        .sortWithinPartitions(*layout.columns, keys[0], "date")
         .write.partitionBy(*layout.columns)
     )
     if mode == "append":
         writer.mode("append").parquet(path)
     else:
-        overwrite = "dynamic" if mode == "refresh" else "static"
         writer.mode("overwrite").option("partitionOverwriteMode", overwrite).parquet(path)
 
 
-def load(source, root: str, layouts: dict[str, Layout] | None = None, mode: str = "refresh") -> dict[str, DataFrame]:
+def load(
+    source, root: str, layouts: dict[str, Layout] | None = None, mode: str = "merge", rejects: str = "stop"
+) -> dict[str, DataFrame]:
     """Load dimensions and facts of a source below root.
 
-    Returns the rejected fact rows per fact table. Keys of rolled-up facts are
-    unique by construction (they are grouping keys) and are not checked again.
+    The facts are computed once, into a staging table below root. Rows that no date
+    range takes stop the load before anything of their table is written, or, with
+    rejects="keep", are added to root/rejected/<table>. Returns this load's
+    rejected rows of each fact table. Keys of rolled-up facts are unique by
+    construction (they are grouping keys) and are not checked again; stored keys
+    are, in the modes where they matter.
+
+    A source that has nothing for a fact table (`None`) leaves it as it is.
     """
-    layouts = layouts or LAYOUTS
+    if rejects not in ("stop", "keep"):
+        raise ValueError("rejects is stop or keep")
+    spark, layouts = source.spark, layouts or LAYOUTS
     for table, df in {"stores": source.located_stores, "items": source.items}.items():
         write_dimension(df, f"{root}/{table}", table)
     rejected = {}
-    facts = {"da_stores_date": source.store_days(), "da_items_stores_date": source.item_days()}
-    for table, df in facts.items():
-        routed = route(df, layouts[table])
+    for table, facts in {"da_stores_date": source.store_days(), "da_items_stores_date": source.item_days()}.items():
+        if facts is None:
+            continue
+        size_shuffles(spark, facts)
+        staging = f"{root}/staging/{table}-{uuid.uuid4().hex}"
+        facts.write.parquet(staging)
+        routed = route(spark.read.schema(facts.schema).parquet(staging), layouts[table])
+        out = routed.rejected.count()
+        if out and rejects == "stop":
+            _delete(spark, staging)
+            raise OutOfRangeError(f"{table}: {out} rows have dates that no range takes")
         write_facts(routed.accepted, f"{root}/{table}", layouts[table], mode, check=not source.keys_are_grouped)
-        rejected[table] = routed.rejected
+        place = f"{root}/rejected/{table}/load={uuid.uuid4().hex}"
+        if out:
+            routed.rejected.write.parquet(place)
+        rejected[table] = spark.read.schema(facts.schema).parquet(place) if out else spark.createDataFrame([], facts.schema)
+        _delete(spark, staging)
     return rejected
 
 

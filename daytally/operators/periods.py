@@ -11,6 +11,13 @@ from daytally.functions.measures import columns
 from daytally.operators.stores import per_day
 
 
+def years_of(f: DataFrame) -> range:
+    """The years the facts lie in, and the one before, whose last period may reach
+    into them; two numbers from the dates alone."""
+    first, last = f.agg(F.expr("min(year(date))"), F.expr("max(year(date))")).first()
+    return range(0) if first is None else range(first - 1, last + 1)
+
+
 def sales_in_periods(f: DataFrame, s: DataFrame, cal: DataFrame) -> DataFrame:
     """Totals per calendar event.
 

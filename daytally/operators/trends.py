@@ -19,10 +19,13 @@ from daytally.functions.measures import columns
 from daytally.operators.items import SOLD, labelled
 from daytally.operators.stores import again, named, per_day, per_store
 
-def day_features(f: DataFrame) -> DataFrame:
-    """Calendar, lag and rolling-mean features of every store-day.
+FEATURE_DAYS = 365  # how far back a feature looks
 
-    Lags look an exact number of days back and are NULL when that day has no
+
+def day_features(f: DataFrame, window: w.Window | None = None) -> DataFrame:
+    """Calendar, lag and rolling-mean features of every store-day in the window.
+
+    f holds the facts of the window and of the FEATURE_DAYS days before it. Lags look an exact number of days back and are NULL when that day has no
     fact. Rolling means cover the day and the days before it, over the days
     that have facts. All frames share one sort per store.
     """
@@ -35,7 +38,7 @@ def day_features(f: DataFrame) -> DataFrame:
         frame = f"OVER ({by_day} {days - 1} PRECEDING AND CURRENT ROW)"
         return m.mean(f"sum(total_net) {frame}", f"count(total_net) {frame}")
 
-    return cal.with_easter(f).select(
+    featured = cal.with_easter(f).select(
         "store_id",
         "date",
         "total_net",
@@ -52,6 +55,7 @@ def day_features(f: DataFrame) -> DataFrame:
             **{f"rolling_mean_{n}": rolling(n) for n in (7, 30)},
         ),
     )
+    return featured if window is None else featured.filter(w.in_window(window))
 
 
 def monthly_forecast(f: DataFrame, as_of: date, horizon: int = 3) -> DataFrame:
@@ -59,8 +63,11 @@ def monthly_forecast(f: DataFrame, as_of: date, horizon: int = 3) -> DataFrame:
 
     A month is forecast as the same month a year earlier times the growth of the
     last twelve months over the twelve before. The band adds the 10 % and 90 %
-    quantiles of what that rule missed in the last twelve months.
+    quantiles of what that rule missed in the last twelve months. The horizon is
+    twelve months at most: beyond, the month a year earlier is itself a forecast.
     """
+    if not 1 <= horizon <= 12:
+        raise ValueError("the horizon is 1 to 12 months")
     first_open = as_of.replace(day=1)
     last = first_open.year * 12 + first_open.month - 1
     monthly = (

@@ -7,7 +7,7 @@ measures it needs, and returns a DataFrame. AS_OF stands in for "today".
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 from zlib import crc32
 
 from pyspark.sql import DataFrame
@@ -17,9 +17,11 @@ from pyspark.sql.types import DecimalType, IntegralType
 from daytally.functions import windows as w
 from daytally.functions.calendar import calendar
 from daytally.operators import bundles, checks, compare, items, loading, periods, stores, trends
-from daytally.schemas import Layout
+from daytally.schemas import KEYS, Layout
 from daytally.session import shared_folder
 from daytally.sources.lake import Lake
+from daytally.sources.landing import Landing
+from daytally.sources.transactions import ITEM_MEASURES
 
 AS_OF = date(2001, 6, 30)
 LEAP_DAY = date(2000, 2, 29)
@@ -28,12 +30,18 @@ CHRISTMAS = (date(2000, 12, 24), date(2000, 12, 25))
 HISTORY = w.trailing_years(AS_OF, 3)
 SUMMER = (date(2000, 6, 1), date(2000, 9, 1))
 TARGET = 7
+MANY_TARGETS = list(range(1, 41))
 STORE = "Supplier#000000001"
 LFL = (date(2000, 6, 24), date(2000, 6, 27)), (date(2001, 6, 24), date(2001, 6, 27))
-CALENDAR_YEARS = range(AS_OF.year - 5, AS_OF.year + 1)
 # ranges that leave some facts in the past range and some without a range
 STORE_LAYOUT = Layout("da_stores_date", "year", 1996, 2000)
 ITEM_LAYOUT = Layout("da_items_stores_date", "month", 1996, 2000)
+# ranges that take every fact
+WIDE = {
+    "da_stores_date": Layout("da_stores_date", "year", 1990, 2030),
+    "da_items_stores_date": Layout("da_items_stores_date", "month", 1990, 2030),
+}
+EPOCH, END = date(1970, 1, 1), date(2100, 1, 1)
 
 NET = ("total_net",)
 FLOW = ("nr_sales", "nr_persons", "total_net")
@@ -53,25 +61,82 @@ def _named_window(name: str) -> w.Window:
     return w.date_window(name, AS_OF)
 
 
-def _load_and_count(source) -> DataFrame:
-    """Load everything and count what arrived. The folder belongs to this
-    application and source, so that a second run replaces the first."""
+def _fresh(source, name: str) -> str:
+    """A folder that belongs to this application, source and entry, so that a
+    second run replaces the first."""
     application = source.spark.sparkContext.applicationId
-    root = f"{shared_folder(source.spark)}/lake-{application}-{crc32(source.folder.encode()):08x}"
-    layouts = {layout.table: layout for layout in (STORE_LAYOUT, ITEM_LAYOUT)}
-    loading.load(source, root, layouts, mode="replace")
+    return f"{shared_folder(source.spark)}/{name}-{application}-{crc32(source.folder.encode()):08x}"
+
+
+def _stored_counts(source, root: str, **more: DataFrame) -> DataFrame:
     lake = Lake(source.spark, root)
-    names = ("stores", "items", "da_stores_date", "da_items_stores_date")
-    return checks.row_counts({name: lake.table(name) for name in names})
+    return checks.row_counts({name: lake.table(name) for name in KEYS} | more)
+
+
+class Part:
+    """The facts of a source inside a window, as one delivery."""
+
+    keys_are_grouped = True
+
+    def __init__(self, source, window: w.Window):
+        self.spark, self.source, self.window = source.spark, source, window
+        self.located_stores, self.items = source.located_stores, source.items
+
+    def store_days(self) -> DataFrame:
+        return self.source.store_days(self.window)
+
+    def item_days(self) -> DataFrame:
+        return self.source.item_days(self.window)
+
+
+def _load_and_count(source) -> DataFrame:
+    """Load everything and count what arrived."""
+    root = _fresh(source, "lake")
+    loading.load(source, root, WIDE, mode="replace")
+    return _stored_counts(source, root)
+
+
+def _load_increment_and_count(source) -> DataFrame:
+    """Two deliveries that overlap by a month inside one year directory, then the first day of it again."""
+    root = _fresh(source, "increments")
+    loading.load(Part(source, (EPOCH, date(2000, 7, 1))), root, WIDE, mode="replace")
+    loading.load(Part(source, (date(2000, 6, 1), END)), root, WIDE)
+    loading.load(Part(source, (date(2000, 6, 1), date(2000, 6, 2))), root, WIDE)
+    return _stored_counts(source, root)
+
+
+def _load_rejects_counted(source) -> DataFrame:
+    """Load into ranges that end in 2000, keeping what they do not take."""
+    root = _fresh(source, "rejects")
+    layouts = {layout.table: layout for layout in (STORE_LAYOUT, ITEM_LAYOUT)}
+    rejected = loading.load(source, root, layouts, mode="replace", rejects="keep")
+    return _stored_counts(source, root, **{f"rejected_{name}": df for name, df in rejected.items()})
 
 
 def _load_delta(source) -> DataFrame:
-    before = source.item_days(w.year_of(1999), ()).count()
-    return checks.load_delta(before, source.item_days((date(1999, 1, 1), date(2001, 1, 1)), ()))
+    """Rows before and after the load of the newest deliveries."""
+    root = _fresh(source, "delta")
+    loading.load(Part(source, (EPOCH, date(2000, 1, 1))), root, WIDE, mode="replace")
+    lake = Lake(source.spark, root)
+    before = lake.item_days().count()
+    loading.load(Part(source, (date(2000, 1, 1), END)), root, WIDE, mode="append")
+    return checks.load_delta(before, lake.item_days())
+
 
+def _landed_items(source) -> DataFrame:
+    """Facts exported to CSV landing files, loaded from there, and read back."""
+    files, root = _fresh(source, "landing"), _fresh(source, "landed")
+    for name, df in {"stores": source.located_stores, "items": source.items}.items():
+        loading.write_csv(df, f"{files}/{name}")
+    loading.write_csv(source.store_days(), f"{files}/da_stores_date_all")
+    for part, window in {"old": (EPOCH, date(1999, 1, 1)), "new": (date(1999, 1, 1), END)}.items():
+        loading.write_csv(source.item_days(window), f"{files}/da_items_stores_date_{part}")
+    loading.load(Landing(source.spark, files, "csv"), root, WIDE, mode="replace")
+    return Lake(source.spark, root).item_days(None, ITEM_MEASURES)
 
-def _seasonal(source, k: int | None = None) -> DataFrame:
-    return bundles.seasonal_items(source.item_days(HISTORY, TRADE), source.items, HISTORY, k=k)
+
+def _seasonal(source) -> DataFrame:
+    return bundles.seasonal_items(source.item_days(HISTORY, TRADE), source.items, HISTORY)
 
 
 def _record_days(source) -> DataFrame:
@@ -148,20 +213,32 @@ ENTRIES: dict[str, Entry] = {
         t.item_days(w.month_of(2001, 6), COSTED), t.items, t.stores, w.month_of(2001, 6)
     ),
     # sold together, seasons, calendar
+    "co_occurring_many": lambda t: bundles.co_occurring(
+        t.item_days(HISTORY, TRADE), t.items, MANY_TARGETS, HISTORY, k=None, unique_keys=False
+    ),
     "co_occurring": lambda t: bundles.co_occurring(t.item_days(HISTORY, TRADE), t.items, [TARGET], HISTORY),
     "seasonal_items": lambda t: _seasonal(t),
     "seasonal_bundles": lambda t: bundles.co_occurring(t.item_days(SUMMER, TRADE), t.items, _seasonal(t), SUMMER),
     "bundles_per_seasonal_item": lambda t: bundles.bundles_per_target(
-        t.item_days(SUMMER, TRADE), t.items, _seasonal(t, k=20), SUMMER
+        t.item_days(SUMMER, TRADE), t.items, _seasonal(t), SUMMER
     ),
     "sales_in_retail_periods": lambda t: periods.sales_in_periods(
-        t.store_days((date(1996, 1, 1), date(2002, 1, 2))), t.stores, calendar(t.spark, CALENDAR_YEARS)
+        t.store_days(), t.stores, calendar(t.spark, periods.years_of(t.store_days(None, ())))
     ),
     # load and data checks
     "facts_per_store_day": lambda t: t.store_days(),
     "facts_per_item_day": lambda t: t.item_days(),
     "load_and_count": _load_and_count,
+    "load_increment_and_count": _load_increment_and_count,
+    "load_rejects_counted": _load_rejects_counted,
+    "landed_item_days": _landed_items,
     "load_delta": _load_delta,
+    "key_counts": lambda t: checks.key_counts(
+        {
+            "da_stores_date": (t.store_days(None, ()), KEYS["da_stores_date"]),
+            "da_items_stores_date": (t.item_days(None, ()), KEYS["da_items_stores_date"]),
+        }
+    ),
     "load_progress": lambda t: checks.load_progress(t.item_days(None, ()), 2_500_000),
     "store_partitions": lambda t: loading.partition_sizes(t.store_days(None, ()), STORE_LAYOUT),
     "item_partitions": lambda t: loading.partition_sizes(t.item_days(None, ()), ITEM_LAYOUT),
@@ -180,6 +257,9 @@ ENTRIES: dict[str, Entry] = {
     "missing_days_of_one_store": lambda t: checks.missing_days(
         t.store_days(None, ()).join(t.stores.filter(F.col("name") == STORE).select(F.col("id").alias("store_id")), "store_id")
     ),
+    "missing_days_of_one_location": lambda t: checks.missing_days(
+        t.store_days(None, ()).join(t.located_stores.filter("location = 'PERU'").selectExpr("id AS store_id"), "store_id")
+    ),
     "missing_ranges_by_store": lambda t: checks.missing_ranges(t.store_days(None, ())),
     "data_context": lambda t: checks.data_context(t.store_days(None, ()), t.stores, t.items),
     "active_stores": lambda t: checks.active_stores(t.stores),
@@ -189,7 +269,9 @@ ENTRIES: dict[str, Entry] = {
     "capped_result": lambda t: checks.capped(t.store_days(_days(30), SALES), ["store_id", "date"]),
     "plain_values": lambda t: checks.plain_values(t.store_days(_days(30))),
     # extensions
-    "day_features": lambda t: trends.day_features(t.store_days(HISTORY, NET)),
+    "day_features": lambda t: trends.day_features(
+        t.store_days((HISTORY[0] - timedelta(days=trends.FEATURE_DAYS), HISTORY[1]), NET), HISTORY
+    ),
     "monthly_forecast": lambda t: trends.monthly_forecast(t.store_days((date(1999, 6, 1), date(2001, 6, 1)), NET), AS_OF),
     "forecast_error": lambda t: trends.forecast_error(t.store_days((date(1999, 3, 1), date(2001, 6, 1)), NET), date(2001, 3, 15)),
     "trend_alerts": lambda t: trends.trend_alerts(t.store_days((date(2001, 4, 1), date(2001, 6, 1)), NET), t.stores, AS_OF),

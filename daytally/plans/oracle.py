@@ -195,19 +195,23 @@ summer AS (
 )"""
 
 
-def _together(targets: str, rows: str = "summer") -> str:
+def _together(targets: str, rows: str = "summer", k: int | None = 20) -> str:
     return f"""
       SELECT artigo AS description, COUNT(DISTINCT (store_id, date)) AS co_occurrence_days,
              {total('total_quantity', 'total_qty')}, {total('total_net', 'total_revenue')}
       FROM {rows}
       WHERE item_id NOT IN ({targets})
         AND (store_id, date) IN (SELECT (store_id, date) FROM {rows} WHERE item_id IN ({targets}))
-      GROUP BY item_id, artigo ORDER BY co_occurrence_days DESC, item_id LIMIT 20"""
+      GROUP BY item_id, artigo {f"ORDER BY co_occurrence_days DESC, item_id LIMIT {k}" if k else ""}"""
 
 
 # moveable feasts of the calendar years, as published
-EASTER_SUNDAYS = ("1996-04-07", "1997-03-30", "1998-04-12", "1999-04-04", "2000-04-23", "2001-04-15")
+EASTER_SUNDAYS = (
+    "1994-04-03", "1995-04-16", "1996-04-07", "1997-03-30", "1998-04-12",
+    "1999-04-04", "2000-04-23", "2001-04-15", "2002-03-31", "2003-04-20",
+)
 
+# fixed values: the holidays and retail periods of the calendar
 _FIXED = [
     ("Ano Novo", None, "01-01", "01-01"),
     ("Dia da Liberdade", None, "04-25", "04-25"),
@@ -244,11 +248,11 @@ def _calendar() -> str:
 fixed_dates (event, city, first, last) AS (VALUES {values}),
 sundays (sunday) AS (VALUES {sundays}),
 november AS (
-  SELECT MAX(d) AS friday FROM (SELECT CAST(unnest(generate_series(DATE '1996-11-01', DATE '2001-11-30', INTERVAL 1 DAY)) AS DATE) AS d)
+  SELECT MAX(d) AS friday FROM (SELECT CAST(unnest(generate_series(DATE '1994-11-01', DATE '2003-11-30', INTERVAL 1 DAY)) AS DATE) AS d)
   WHERE month(d) = 11 AND dayname(d) = 'Friday' GROUP BY year(d)
 ),
 august AS (
-  SELECT MIN(d) AS saturday FROM (SELECT CAST(unnest(generate_series(DATE '1996-08-01', DATE '2001-08-31', INTERVAL 1 DAY)) AS DATE) AS d)
+  SELECT MIN(d) AS saturday FROM (SELECT CAST(unnest(generate_series(DATE '1994-08-01', DATE '2003-08-31', INTERVAL 1 DAY)) AS DATE) AS d)
   WHERE month(d) = 8 AND dayname(d) = 'Saturday' GROUP BY year(d)
 ),
 cal AS (
@@ -401,7 +405,7 @@ def _extensions() -> dict[str, tuple[str, str]]:
     apr, may = _net_between("2001-04-01", "2001-04-30"), _net_between("2001-05-01", "2001-05-31")
     before, after = ("COALESCE(SUM(a.total_net) FILTER (a.date < e.day), 0)", "COALESCE(SUM(a.total_net) FILTER (a.date >= e.day), 0)")
     return {
-        "day_features": (f"d AS (SELECT * FROM da_stores_date WHERE {HISTORY}), {FEAST_YEARS}", _features()),
+        "day_features": (f"d AS (SELECT * FROM da_stores_date), {FEAST_YEARS}", _features() + f" WHERE {HISTORY}"),
         "monthly_forecast": (
             _forecast_ctes("1999-06-01", "2001-06-01"),
             f"SELECT store_id, mes, {rnd('base')} AS previsao, {rnd('base + low')} AS minimo, {rnd('base + high')} AS maximo FROM ahead",
@@ -645,18 +649,43 @@ def _selects() -> dict[str, tuple[str, str]]:
                    {dbl('total_discount')} AS total_discount
             FROM da_items_stores_date""",
         "load_and_count": _counts(
+            {
+                "stores": "stores",
+                "items": "items",
+                "da_stores_date": "da_stores_date",
+                "da_items_stores_date": "da_items_stores_date",
+            }
+        ),
+        "load_increment_and_count": _counts({t: t for t in ("stores", "items", "da_stores_date", "da_items_stores_date")}),
+        "load_rejects_counted": _counts(
             {
                 "stores": "stores",
                 "items": "items",
                 "da_stores_date": "(SELECT * FROM da_stores_date WHERE date < DATE '2001-01-01')",
                 "da_items_stores_date": "(SELECT * FROM da_items_stores_date WHERE date < DATE '2001-01-01')",
+                "rejected_da_stores_date": "(SELECT * FROM da_stores_date WHERE date >= DATE '2001-01-01')",
+                "rejected_da_items_stores_date": "(SELECT * FROM da_items_stores_date WHERE date >= DATE '2001-01-01')",
             }
         ),
+        "landed_item_days": f"""
+            SELECT item_id, store_id, date, {dbl('total_quantity')} AS total_quantity, {dbl('total_net')} AS total_net,
+                   {dbl('total_price')} AS total_price, {dbl('latest_price_cost')} AS latest_price_cost,
+                   {dbl('total_discount')} AS total_discount
+            FROM da_items_stores_date""",
+        "key_counts": """
+            SELECT 'da_stores_date' AS tabela, COUNT(*) AS linhas, COUNT(DISTINCT (store_id, date)) AS chaves FROM da_stores_date
+            UNION ALL
+            SELECT 'da_items_stores_date', COUNT(*), COUNT(DISTINCT (item_id, store_id, date)) FROM da_items_stores_date""",
+        "missing_days_of_one_location": """
+            SELECT d AS date FROM (
+              SELECT CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS d
+              FROM f WHERE location = 'PERU')
+            WHERE d NOT IN (SELECT date FROM f WHERE location = 'PERU')""",
         "load_delta": f"""
-            SELECT {big('SUM(CASE WHEN year(date) = 1999 THEN 1 ELSE 0 END)')} AS linhas_antes, COUNT(*) AS linhas_depois,
-                   {big('SUM(CASE WHEN year(date) = 2000 THEN 1 ELSE 0 END)')} AS importadas,
+            SELECT {big("SUM(CASE WHEN date < DATE '2000-01-01' THEN 1 ELSE 0 END)")} AS linhas_antes, COUNT(*) AS linhas_depois,
+                   {big("SUM(CASE WHEN date >= DATE '2000-01-01' THEN 1 ELSE 0 END)")} AS importadas,
                    MIN(date) AS primeira, MAX(date) AS ultima
-            FROM da_items_stores_date WHERE year(date) IN (1999, 2000)""",
+            FROM da_items_stores_date""",
         "load_progress": """
             SELECT COUNT(*) AS linhas, MIN(date) AS primeira, MAX(date) AS ultima,
                    CAST(COUNT(*) * 100 // 2500000 AS BIGINT) AS percent
@@ -712,6 +741,10 @@ def _selects() -> dict[str, tuple[str, str]]:
     together = {
         "like_for_like": (COMPARABLE, _lfl()),
         "comparable_stores": (COMPARABLE, "SELECT store_id FROM both_periods"),
+        "co_occurring_many": (
+            f"sales AS (SELECT * FROM g WHERE {HISTORY} AND total_quantity > 0)",
+            _together(", ".join(map(str, range(1, 41))), "sales", None),
+        ),
         "co_occurring": (f"sales AS (SELECT * FROM g WHERE {HISTORY} AND total_quantity > 0)", _together("7", "sales")),
         "seasonal_items": (
             SEASONAL,
@@ -720,12 +753,10 @@ def _selects() -> dict[str, tuple[str, str]]:
         ),
         "seasonal_bundles": (f"{SEASONAL}, {SUMMER_SALES}", _together("SELECT item_id FROM seasonal")),
         "bundles_per_seasonal_item": (
-            f"""{SEASONAL}, {SUMMER_SALES},
-            strongest AS (SELECT * FROM seasonal
-                          ORDER BY {div('pico', 'fora')} DESC NULLS FIRST, pico DESC, item_id LIMIT 20)""",
+            f"{SEASONAL}, {SUMMER_SALES}",
             """SELECT t.artigo, p.artigo AS parceiro, COUNT(DISTINCT (p.store_id, p.date)) AS co_occurrence_days
                FROM summer t JOIN summer p ON p.store_id = t.store_id AND p.date = t.date AND p.item_id <> t.item_id
-               WHERE t.item_id IN (SELECT item_id FROM strongest)
+               WHERE t.item_id IN (SELECT item_id FROM seasonal)
                GROUP BY t.item_id, t.artigo, p.item_id, p.artigo""",
         ),
         "sales_in_retail_periods": (

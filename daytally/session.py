@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,22 +26,30 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Estimated size of a table, from its file listing; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+NO_ESTIMATE = 1 << 62  # what Spark says of rows that are no table
 
+_ours: dict[int, tuple[str, str]] = {}  # per session: the number found, and the number put
 
-def size_shuffles(
-    spark: SparkSession, df: DataFrame, bytes_per_partition: int = 128 << 20, most: int = 30_000
-) -> SparkSession:
-    """Raise the number of shuffle partitions to suit a large input.
 
-    The number is only ever raised: AQE merges partitions that turn out small,
-    but cannot split a shuffle that has too few.
+def size_shuffles(spark: SparkSession, df: DataFrame, bytes_per_partition: int = 128 << 20) -> SparkSession:
+    """Set the number of shuffle partitions to suit the tables that df reads.
+
+    The session's own number is the least: AQE merges partitions that turn out
+    small, but cannot split an aggregation's shuffle that has too few. The number
+    follows each call, so that a small query after a large one gets the session's
+    own again; a number that somebody else has set meanwhile counts as the own.
     """
-    wanted = min(-(-input_bytes(df) // bytes_per_partition), most)
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    key = "spark.sql.shuffle.partitions"
+    now = spark.conf.get(key)
+    own, put = _ours.get(id(spark), (now, now))
+    if put != now:
+        own = now
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    read = sum(x for x in sizes if x < NO_ESTIMATE)
+    wanted = str(max(int(own), -(-read // bytes_per_partition)))
+    _ours[id(spark)] = own, wanted
+    spark.conf.set(key, wanted)
     return spark
 
 
@@ -68,6 +78,17 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="daytally-")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back; for tables that are
+    small or used more than once. Deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/daytally/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
+    return spark.read.schema(df.schema).parquet(path)

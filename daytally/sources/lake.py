@@ -11,7 +11,11 @@ from daytally.functions.windows import Window, clip
 
 
 class Lake:
-    """The four tables as written by `daytally.operators.loading`."""
+    """The four tables as written by `daytally.operators.loading`.
+
+    Facts have the columns of the other sources; the partition columns serve the
+    window that is asked for here and are then dropped.
+    """
 
     keys_are_grouped = False
 
@@ -39,11 +43,8 @@ class Lake:
         return self._facts("da_items_stores_date", ["item_id", "store_id", "date"], window, measures)
 
     def _facts(self, name: str, keys: list[str], window: Window | None, measures: tuple[str, ...] | None) -> DataFrame:
-        df = clip(self.table(name), window)
-        if measures is None:
-            return df
-        parts = [c for c in ("year", "month") if c in df.columns]
-        return df.select(*keys, *measures, *parts)
+        df = clip(self.table(name), window).drop("year", "month")
+        return df if measures is None else df.select(*keys, *measures)
 
     def newest_date(self, name: str = "da_items_stores_date") -> date | None:
         """Newest fact date, for use as as_of.

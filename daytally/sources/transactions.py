@@ -59,8 +59,11 @@ def _hundredths(name: str) -> str:
     Line amounts are multiplied and summed as scaled integers, which is exact
     and much cheaper than decimals. A sum that leaves the range raises an error
     (ANSI arithmetic); the limit, 9.2e12 with VAT per group, is that of MEASURE.
+    An amount with more decimals raises an error too; nothing is rounded away.
     """
-    return f"CAST(rint({name} * 100) AS BIGINT)"
+    whole = f"rint({name} * 100)"
+    finer = f"raise_error(concat('{name} has more than two decimals: ', CAST({name} AS STRING)))"
+    return f"CASE WHEN abs({name} * 100 - {whole}) > 1e-5 THEN {finer} ELSE CAST({whole} AS BIGINT) END"
 
 
 def sale_lines(lineitem: DataFrame, window: Window | None = None) -> DataFrame:

@@ -1,16 +1,20 @@
 """Hand-made rows for the cases real data rarely holds."""
 
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
 from helpers import d, item_days, items, rows, store_days, stores
 
+from pyspark.sql import functions as F
+
+from daytally.functions import windows as w
 from daytally.functions.calendar import calendar
 from daytally.operators import bundles, checks, compare, loading, periods, trends
 from daytally.operators import items as it
 from daytally.operators import stores as st
 from daytally.schemas import LAYOUTS
+from daytally.sources.transactions import sale_lines
 
 AS_OF = date(2024, 6, 30)
 
@@ -180,11 +184,18 @@ def test_co_occurrence(spark):
     assert rows(bundles.bundles_per_target(g, i, table, window)) == [("item 1", "item 2", 1)]
 
 
-def test_too_many_bundle_targets_is_an_error(spark):
-    g = item_days(spark, (1, 1, "2024-06-01", 1, 1, 1))
-    many = spark.range(bundles.MAX_TARGETS + 1).withColumnRenamed("id", "item_id")
-    with pytest.raises(Exception, match="at most 60 targets"):
-        bundles.bundles_per_target(g, items(spark, 1), many, (d("2024-06-01"), d("2024-07-01"))).collect()
+def test_any_number_of_bundle_targets(spark):
+    """More targets than bits, all sold together; the best partners per target on request."""
+    n = 2 * bundles.BITS + 7
+    g = item_days(spark, *[(item, 1, "2024-06-01", 1, 1, 1) for item in range(n)], *[(item, 2, "2024-06-01", 1, 1, 1) for item in (0, 5)])
+    many, i = spark.range(n).withColumnRenamed("id", "item_id"), items(spark, *range(n))
+    window = (d("2024-06-01"), d("2024-07-01"))
+    got = bundles.bundles_per_target(g, i, many, window).collect()
+    assert len(got) == n * (n - 1)
+    assert {(r.artigo, r.parceiro) for r in got if r.co_occurrence_days == 2} == {("item 0", "item 5"), ("item 5", "item 0")}
+    assert bundles.bundles_per_target(g, i, many, window, min_days=2).count() == 2
+    best = bundles.bundles_per_target(g, i, many, window, k=1)
+    assert best.count() == n and best.filter("artigo = 'item 5'").first().parceiro == "item 0"
 
 
 def test_seasonal_item_without_off_season_sales_comes_first(spark):
@@ -281,3 +292,28 @@ def test_anomalies(spark):
     f = store_days(spark, *quiet, (1, "2024-06-20", 60), (1, "2024-06-21", 900))
     got = rows(trends.daily_anomalies(f, s, (d("2024-06-15"), d("2024-07-01"))), "date", "tipo")
     assert sorted(got) == [(date(2024, 6, 20), "queda"), (date(2024, 6, 21), "pico")]
+
+
+def test_finer_amounts_are_an_error(source):
+    lines = source.table("lineitem").limit(5)
+    assert sale_lines(lines).count() == 5
+    for column, value in (("l_quantity", 0.125), ("l_discount", 0.075)):
+        with pytest.raises(Exception, match="more than two decimals"):
+            sale_lines(lines.withColumn(column, F.lit(value))).collect()
+    row = sale_lines(lines.withColumn("l_discount", F.lit(None).cast("double"))).first()
+    assert row.net is None and row.quantity is not None
+
+
+def test_features_of_a_window_look_back_beyond_it(source):
+    window = (date(2000, 3, 1), date(2000, 6, 1))
+    whole = trends.day_features(source.store_days(None, ("total_net",))).filter(w.in_window(window))
+    early = (window[0] - timedelta(days=trends.FEATURE_DAYS), window[1])
+    part = trends.day_features(source.store_days(early, ("total_net",)), window)
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_years_without_an_easter_rule_and_long_horizons_are_errors(spark):
+    with pytest.raises(Exception, match="no Easter rule"):
+        trends.day_features(store_days(spark, (1, "3001-01-01", 1))).collect()
+    with pytest.raises(ValueError):
+        trends.monthly_forecast(store_days(spark, (1, "2001-01-01", 1)), date(2001, 6, 1), horizon=18)

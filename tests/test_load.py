@@ -12,7 +12,7 @@ from daytally.operators import checks, loading
 from daytally.plans import catalogue
 from daytally.schemas import ITEM_DAYS, ITEMS, LAYOUTS, STORE_DAYS, STORES, Layout
 from daytally.sources.lake import Lake
-from daytally.sources.landing import read_typed
+from daytally.sources.landing import Landing, read_if_there, read_typed
 
 WIDE = {
     "da_stores_date": Layout("da_stores_date", "year", 1996, 2010),
@@ -48,12 +48,18 @@ def test_schemas_have_the_source_columns():
         "coverage",
         "data_context",
         "event_impact",
+        "plain_values",
+        "capped_result",
+        "newest_facts",
+        "facts_per_item_day",
+        "bundles_per_seasonal_item",
     ],
 )
 def test_lake_gives_the_same_results(name, lake, source):
     run = catalogue.ENTRIES[name]
     want = catalogue.comparable_types(run(source))
-    got = catalogue.comparable_types(run(lake)).select(*want.columns)
+    got = catalogue.comparable_types(run(lake))
+    assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
@@ -67,7 +73,7 @@ def plan(df):
 
 def test_date_window_prunes_directories(lake):
     df = lake.item_days((date(2000, 11, 20), date(2001, 2, 10)), ("total_net",))
-    months = {tuple(r) for r in df.select("year", "month").distinct().collect()}
+    months = {(r.date.year, r.date.month) for r in df.select("date").distinct().collect()}
     assert months == {(2000, 11), (2000, 12), (2001, 1), (2001, 2)}
     text = plan(df)
     assert "year" in text.split("PartitionFilters: [")[1].split("]")[0]
@@ -93,25 +99,75 @@ def facts(spark, *days, net=10):
     return store_days(spark, *[(1, day, net) for day in days])
 
 
-def test_refresh_is_idempotent_and_append_is_not(spark, tmp_path):
+def stored(spark, path):
+    return sorted(rows(spark.read.parquet(path), "date", "total_net"))
+
+
+def test_merge_keeps_stored_rows(spark, tmp_path):
+    """One-day increments inside one year directory."""
     path, layout = str(tmp_path / "f"), LAYOUTS["da_stores_date"]
-    loading.write_facts(facts(spark, "2023-05-01", "2024-05-01"), path, layout, "replace")
+    loading.write_facts(facts(spark, "2023-05-01", "2024-01-05", "2024-03-01", "2024-05-01"), path, layout, "replace")
     for _ in range(2):
-        loading.write_facts(facts(spark, "2024-05-01", "2024-05-02", net=20), path, layout, "refresh")
-    got = spark.read.parquet(path)
-    assert sorted(rows(got, "date", "total_net")) == [
+        loading.write_facts(facts(spark, "2024-05-02", net=20), path, layout)
+    loading.write_facts(facts(spark, "2024-03-01", net=30), path, layout, "merge")
+    assert stored(spark, path) == [
         (date(2023, 5, 1), 10),
-        (date(2024, 5, 1), 20),
+        (date(2024, 1, 5), 10),
+        (date(2024, 3, 1), 30),
+        (date(2024, 5, 1), 10),
         (date(2024, 5, 2), 20),
     ]
-    loading.write_facts(facts(spark, "2024-05-02"), path, layout, "append")
-    assert spark.read.parquet(path).count() == 4
+    loading.write_facts(facts(spark, "2024-06-01"), path, layout, "replace_directories")
+    assert stored(spark, path) == [(date(2023, 5, 1), 10), (date(2024, 6, 1), 10)]
     loading.write_facts(facts(spark, "2024-06-01"), path, layout, "replace")
-    assert spark.read.parquet(path).count() == 1
+    assert len(stored(spark, path)) == 1
     with pytest.raises(ValueError):
         loading.write_facts(facts(spark, "2024-06-01"), path, layout, "upsert")
 
 
+def test_append_refuses_stored_keys(spark, tmp_path):
+    path, layout = str(tmp_path / "f"), LAYOUTS["da_stores_date"]
+    loading.write_facts(facts(spark, "2024-05-01"), path, layout, "append")
+    loading.write_facts(facts(spark, "2024-05-02"), path, layout, "append")
+    with pytest.raises(loading.DuplicateKeyError):
+        loading.write_facts(facts(spark, "2024-05-02", "2024-05-03"), path, layout, "append")
+    assert [d.day for d, _ in stored(spark, path)] == [1, 2]
+
+
+class Delivery:
+    keys_are_grouped = False
+
+    def __init__(self, spark, store_rows, item_rows):
+        self.spark, self._facts = spark, (store_rows, item_rows)
+        self.located_stores, self.items = stores(spark, (1, "a", 1)), items(spark, 1)
+
+    def store_days(self):
+        return self._facts[0]
+
+    def item_days(self):
+        return self._facts[1]
+
+
+def test_out_of_range_rows_stop_the_load_or_are_kept(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    late = Delivery(spark, facts(spark, "2024-05-01", "2027-01-01"), None)
+    with pytest.raises(loading.OutOfRangeError, match="1 rows"):
+        loading.load(late, root)
+    assert not (tmp_path / "lake" / "da_stores_date").exists()
+    rejected = loading.load(late, root, rejects="keep")
+    assert rows(rejected["da_stores_date"], "date") == [(date(2027, 1, 1),)]
+    assert spark.read.parquet(f"{root}/rejected/da_stores_date").count() == 1
+    assert spark.read.parquet(f"{root}/da_stores_date").count() == 1
+    assert list((tmp_path / "lake" / "staging").iterdir()) == []
+
+
+def test_load_sizes_its_shuffles(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(loading, "size_shuffles", lambda s, df: seen.append(df.columns))
+    loading.load(Delivery(spark, facts(spark, "2024-05-01"), None), str(tmp_path / "lake"))
+    assert seen and all("total_net" in columns for columns in seen)
+
+
 def test_duplicate_or_missing_key_stops_the_load(spark, tmp_path):
     g = item_days(spark, (1, 1, "2024-06-01", 1, 1, 1), (1, 1, "2024-06-01", 2, 1, 1))
     layout = LAYOUTS["da_items_stores_date"]
@@ -144,10 +200,40 @@ def test_hot_directory_is_rebalanced(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "hot")).count() == 200_000
 
 
-def test_missing_landing_file_is_a_warning(spark, tmp_path, caplog):
-    df = read_typed(spark, "da_stores_date", str(tmp_path / "nothing"))
-    assert df.count() == 0 and df.schema == STORE_DAYS
+def landed(spark, folder, df, table):
+    """df as a CSV delivery, with its columns in reverse."""
+    loading.write_csv(df.select(*reversed(df.columns)), str(folder / table))
+
+
+def test_landing_folder_to_stored_tables(spark, tmp_path, caplog):
+    files, root = tmp_path / "files", str(tmp_path / "lake")
+    landed(spark, files, stores(spark, (1, "a", 1), (2, "b", 1)), "stores")
+    landed(spark, files, items(spark, 1), "items")
+    landed(spark, files, store_days(spark, (1, "2024-06-01", 12.5)), "da_stores_date_2024")
+    landed(spark, files, store_days(spark, (2, "2023-06-01", 7)), "da_stores_date_2023")
+    source = Landing(spark, str(files), "csv")
+    assert loading.load(source, root).keys() == {"da_stores_date"}
+    assert "nothing to load for da_items_stores_date" in caplog.text
+    lake = Lake(spark, root)
+    assert sorted(rows(lake.store_days(), "store_id", "total_net", "total_doc")) == [(1, Decimal("12.5"), 15), (2, 7, Decimal("8.4"))]
+    assert lake.stores.count() == 2
+    # a misspelt path replaces nothing
+    with pytest.raises(Exception):
+        loading.load(Landing(spark, str(tmp_path / "flies"), "csv"), root)
+    assert lake.stores.count() == 2 and lake.store_days().count() == 2
+
+
+def test_missing_fact_files_are_a_warning(spark, tmp_path, caplog):
+    assert read_if_there(spark, "da_stores_date", str(tmp_path / "nothing*")) is None
     assert "nothing to load" in caplog.text
+    with pytest.raises(Exception):
+        read_typed(spark, "stores", str(tmp_path / "nothing"))
+
+
+def test_unknown_csv_column_is_an_error(spark, tmp_path):
+    loading.write_csv(store_days(spark, (1, "2024-06-01", 1)).withColumnRenamed("total_net", "net"), str(tmp_path / "f"))
+    with pytest.raises(ValueError, match="net"):
+        read_typed(spark, "da_stores_date", str(tmp_path / "f"), "csv")
 
 
 def test_csv_landing_and_export(spark, tmp_path):
