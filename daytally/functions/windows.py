@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Window = tuple[date, date]
+WHOLE: Window = (date.min, date.max)  # for facts that come with their window
 
 
 def add_months(day: date, n: int) -> date:

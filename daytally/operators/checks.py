@@ -117,16 +117,13 @@ def capped(df: DataFrame, order: list[Column | str], n: int = 200) -> DataFrame:
     )
 
 
-def newest(facts: DataFrame, keys: list[str], k: int = 10, days: DataFrame | None = None) -> DataFrame:
+def newest(facts: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
     """The k newest facts; equal dates in key order.
 
-    The oldest date among them is found from the keys alone (of `days`, where
-    the caller has the same keys at less cost), so that only facts from that
-    date on are read or rolled up in full.
+    Every date has a fact at least, so the source need only be asked for the facts
+    of its k newest dates (`newest_dates`).
     """
-    order = [F.desc("date"), *keys]
-    wanted = (facts if days is None else days).select("date", *keys).orderBy(*order).limit(k)
-    return facts.filter(F.col("date") >= wanted.agg(F.min("date")).scalar()).orderBy(*order).limit(k)
+    return facts.orderBy(F.desc("date"), *keys).limit(k)
 
 
 def sample_rows(df: DataFrame, key: str = "id", k: int = 5) -> DataFrame:

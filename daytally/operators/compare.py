@@ -33,12 +33,13 @@ def compare(
     active_only: bool = True,
     since: date | None = None,
     until: date | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Revenue per store in two periods, and growth from a to b in percent.
 
     scope "lfl" keeps stores active in both periods (like for like). scope "all"
     keeps every store with a fact in the table, or between `since` and `until`
-    where given, also those without revenue in either period. Both periods are
+    where given, or in `known` (store_id), also those without revenue in either period. Both periods are
     summed in one pass, so that there is neither a self-join nor a second scan.
     """
     a, b = w.in_window(period_a), w.in_window(period_b)
@@ -51,6 +52,8 @@ def compare(
             revenue_a=m.sum_where(a), revenue_b=m.sum_where(b), in_a=f"count_if({a})", in_b=f"count_if({b})"
         )
     )
+    if known is not None:
+        per_id = known.join(per_id, "store_id", "left").fillna(0)
     if scope == "lfl":
         per_id = per_id.filter("in_a > 0 and in_b > 0")
     return (
@@ -63,12 +66,21 @@ def compare(
 
 
 def yoy_by_store(
-    f: DataFrame, s: DataFrame, as_of: date, active_only: bool = True, since: date | None = None
+    f: DataFrame,
+    s: DataFrame,
+    as_of: date,
+    active_only: bool = True,
+    since: date | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """This year so far against the whole of last year, per store."""
+    """This year so far against the whole of last year, per store.
+
+    f need only hold the two years when `known` (store_id) names the stores that
+    have facts at any time; those without any in the two years show no revenue.
+    """
     last, this = w.date_window("last_year", as_of), w.date_window("this_year", as_of)
     return (
-        compare(f, s, last, this, active_only=active_only, since=since)
+        compare(f, s, last, this, active_only=active_only, since=since, known=known)
         .selectExpr(
             "name AS loja",
             "revenue_b AS vendas_este_ano",

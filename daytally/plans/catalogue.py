@@ -180,7 +180,9 @@ ENTRIES: dict[str, Entry] = {
     # comparisons
     "yoy_monthly": lambda t: compare.yoy_monthly(t.store_days(w.trailing_years(AS_OF, 2), NET), t.stores, AS_OF),
     "yoy_monthly_leap_day": lambda t: compare.yoy_monthly(t.store_days(w.trailing_years(LEAP_DAY, 2), NET), t.stores, LEAP_DAY),
-    "yoy_by_store": lambda t: compare.yoy_by_store(t.store_days(None, NET), t.stores, AS_OF),
+    "yoy_by_store": lambda t: compare.yoy_by_store(
+        t.store_days((date(AS_OF.year - 1, 1, 1), AS_OF + timedelta(days=1)), NET), t.stores, AS_OF, known=t.store_ids()
+    ),
     "yoy_by_store_recent": lambda t: compare.yoy_by_store(
         t.store_days(w.trailing_years(AS_OF, 2), NET), t.stores, AS_OF, active_only=False, since=w.add_months(AS_OF, -24)
     ),
@@ -188,7 +190,9 @@ ENTRIES: dict[str, Entry] = {
     "comparable_stores": lambda t: compare.comparable_stores(t.store_days((LFL[0][0], LFL[1][1]), NET), list(LFL)),
     # item analyses
     "top_items_by_revenue": lambda t: items.top_items(t.item_days(_days(30), PRICED), t.items, "revenue", AS_OF),
-    "top_items_by_revenue_newest": lambda t: items.top_items(t.item_days(None, PRICED), t.items, "revenue", t.newest_day()),
+    "top_items_by_revenue_newest": lambda t: items.top_items(
+        t.item_days(t.newest_window(30), PRICED), t.items, "revenue", period=w.WHOLE
+    ),
     "top_items_by_margin": lambda t: items.top_items(t.item_days(_days(30), COSTED), t.items, "margin", AS_OF),
     "top_items_by_quantity": lambda t: items.top_items(t.item_days(_days(30), TRADE), t.items, "quantity", AS_OF),
     "top_items_active_stores": lambda t: items.top_items(
@@ -264,7 +268,7 @@ ENTRIES: dict[str, Entry] = {
     "data_context": lambda t: checks.data_context(t.store_days(None, ()), t.stores, t.items),
     "active_stores": lambda t: checks.active_stores(t.stores),
     "store_list": lambda t: checks.store_list(t.stores),
-    "newest_facts": lambda t: checks.newest(t.store_days(), ["store_id"], days=t.store_days(None, ())),
+    "newest_facts": lambda t: checks.newest(t.store_days(t.newest_dates(10)), ["store_id"]),
     "sample_stores": lambda t: checks.sample_rows(t.located_stores),
     "capped_result": lambda t: checks.capped(t.store_days(_days(30), SALES), ["store_id", "date"]),
     "plain_values": lambda t: checks.plain_values(t.store_days(_days(30))),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daytally.functions.windows import Window, clip
+from daytally.functions.windows import Window, clip, inclusive, trailing_days
 
 
 class Lake:
@@ -62,6 +62,17 @@ class Lake:
                 df = df.filter(F.col(part) == newest[part])
         return df.agg(F.max("date")).first()[0]
 
-    def newest_day(self) -> Column:
-        """Newest item fact date as a scalar subquery."""
-        return self.table("da_items_stores_date").agg(F.max("date")).scalar()
+    def newest_window(self, days: int) -> Window:
+        """The last `days` days up to the newest item fact. The date is fetched first,
+        from the newest directory, so that the window skips directories."""
+        return trailing_days(self.newest_date() or date.min.replace(year=1000), days)
+
+    def newest_dates(self, k: int) -> Window:
+        """The window of the k newest dates with store facts; one date is fetched."""
+        dates = self.table("da_stores_date").select("date").distinct().orderBy(F.desc("date")).limit(k)
+        first, last = dates.agg(F.min("date"), F.max("date")).first()
+        return inclusive(first, last) if first else (date.max, date.max)
+
+    def store_ids(self) -> DataFrame:
+        """Stores with any fact, from the key column alone."""
+        return self.table("da_stores_date").select("store_id").distinct()

@@ -73,8 +73,8 @@ def sale_lines(lineitem: DataFrame, window: Window | None = None) -> DataFrame:
     that it reaches the Parquet scan.
     """
     if window is not None:
-        lo, hi = window
-        lineitem = lineitem.filter(f"l_shipdate >= TIMESTAMP_NTZ'{lo}' AND l_shipdate < TIMESTAMP_NTZ'{hi}'")
+        lo, hi = (x if isinstance(x, Column) else F.expr(f"TIMESTAMP_NTZ'{x}'") for x in window)
+        lineitem = lineitem.filter((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi))
     gross, discount = _hundredths("l_extendedprice"), _hundredths("l_discount")
     return lineitem.selectExpr(
         "l_orderkey AS order_id",
@@ -202,6 +202,21 @@ class Transactions:
     def item_days(self, window: Window | None = None, measures: tuple[str, ...] = ITEM_MEASURES) -> DataFrame:
         return roll_up_item_days(sale_lines(self.table("lineitem"), window), self.table("part"), measures)
 
-    def newest_day(self) -> Column:
-        """Newest sale date as a scalar subquery over the raw date column."""
-        return self.table("lineitem").agg(F.to_date(F.max("l_shipdate"))).scalar()
+    def _newest(self, shift: int) -> Column:
+        newest = F.date_add(F.to_date(F.max("l_shipdate")), shift).cast("timestamp_ntz")
+        return self.table("lineitem").agg(newest).scalar()
+
+    def newest_window(self, days: int) -> tuple[Column, Column]:
+        """The last `days` days up to the newest sale, as bounds of the stored
+        timestamp: subqueries over that column alone, whose values the scan filters on."""
+        return self._newest(-days), self._newest(1)
+
+    def newest_dates(self, k: int) -> tuple[Column, Column]:
+        """The window of the k newest dates with sales."""
+        dates = self.table("lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.lit(1).alias("one"))
+        newest = dates.orderBy(F.desc("date")).limit(k)
+        return newest.agg(F.min("date").cast("timestamp_ntz")).scalar(), self._newest(1)
+
+    def store_ids(self) -> DataFrame:
+        """Stores with any fact, from the key column alone."""
+        return self.table("lineitem").selectExpr("l_suppkey AS store_id").distinct()

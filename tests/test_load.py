@@ -51,6 +51,7 @@ def test_schemas_have_the_source_columns():
         "plain_values",
         "capped_result",
         "newest_facts",
+        "yoy_by_store",
         "facts_per_item_day",
         "bundles_per_seasonal_item",
     ],
@@ -82,6 +83,12 @@ def test_date_window_prunes_directories(lake):
     assert len(files) > 60 and all("month=" in f for f in files)
 
 
+@pytest.mark.parametrize("name", ["top_items_by_revenue_newest", "newest_facts", "yoy_by_store"])
+def test_moving_windows_skip_directories(name, lake):
+    parts = plan(catalogue.ENTRIES[name](lake)).split("PartitionFilters: [")[1:]
+    assert any("year" in part.split("]")[0] for part in parts)
+
+
 def test_window_inside_one_year_and_over_new_year(spark):
     days = spark.sql(
         "select date, year(date) year, month(date) month from (select explode(sequence(date'1999-01-01', date'2002-12-31')) date)"

@@ -195,12 +195,20 @@ def test_hot_store_day_and_hot_order(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
 
 
-def test_newest_date_needs_no_roll_up(source):
-    """The bound of the trailing window comes from the date column alone."""
-    text = plan(catalogue.ENTRIES["top_items_by_revenue_newest"](source))
-    subquery = text.split("Subquery", 1)[1].split("FileScan", 1)
-    assert "hashpartitioning" not in subquery[0]
-    assert re.search(r"ReadSchema: struct<l_shipdate:\w+>", subquery[1].splitlines()[0])
+@pytest.mark.parametrize("name", ["top_items_by_revenue_newest", "newest_facts"])
+def test_moving_window_reaches_the_scan(name, source):
+    """The bounds come from the date column alone, and the scan filters on them."""
+    df = catalogue.ENTRIES[name](source)
+    df.collect()
+    text = plan(df)
+    assert re.search(r"GreaterThanOrEqual\(l_shipdate,|l_shipdate#\d+ >= (Reused)?[sS]ubquery", text)
+    assert re.search(r"ReadSchema: struct<l_shipdate:\w+>", text)
+
+
+def test_yoy_by_store_reads_two_years(source):
+    text = plan(catalogue.ENTRIES["yoy_by_store"](source))
+    scans = [x for x in text.split("FileScan")[1:] if "l_extendedprice" in x.splitlines()[0]]
+    assert len(scans) == 1 and "GreaterThanOrEqual(l_shipdate,2000-01-01" in scans[0]
 
 
 def test_shuffles_are_sized_by_input(spark, source):
