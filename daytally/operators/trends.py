@@ -180,29 +180,34 @@ def correlated_items(g: DataFrame, i: DataFrame, target: int, window: w.Window,
     without sales on a day counts as zero. Each item-day meets at most one day
     of the target, so no pairs of items are formed.
     """
-    daily = (
-        w.clip(g, window)
-        .groupBy("item_id", "date")
-        .agg(*columns(q="CAST(sum(total_quantity) AS DECIMAL(18,5))"))
+    facts = w.clip(g, window)
+    # a row per day of the window, so its totals are taken over few rows
+    days = facts.groupBy("date").agg(
+        *columns(t=f"CAST(sum(CASE WHEN item_id = {int(target)} THEN total_quantity END) AS DECIMAL(18,5))")
+    )
+    days = days.selectExpr(
+        "date",
+        "t",
+        "CAST(count(*) OVER () AS DOUBLE) AS n",
+        "CAST(sum(t) OVER () AS DOUBLE) AS y",
+        "CAST(sum(t * t) OVER () AS DOUBLE) AS yy",
     )
-    own = daily.filter(F.col("item_id") == target).select("date", F.col("q").alias("t"))
-    n_days = daily.agg(F.countDistinct("date")).scalar()
-    t_sum = own.agg(F.sum("t")).scalar()
-    t_squares = own.agg(F.sum(F.col("t") * F.col("t"))).scalar()
     sums = (
-        daily.filter(F.col("item_id") != target)
-        .join(F.broadcast(own), "date", "left")  # at most one row per day of the window
+        facts.filter(F.col("item_id") != target)
+        .groupBy("item_id", "date")
+        .agg(*columns(q="CAST(sum(total_quantity) AS DECIMAL(18,5))"))
+        .join(F.broadcast(days), "date")  # at most one row per day of the window
         .groupBy("item_id")
         .agg(
             *columns(
                 x="CAST(sum(q) AS DOUBLE)",
                 xx="CAST(sum(q * q) AS DOUBLE)",
                 xy="coalesce(CAST(sum(q * t) AS DOUBLE), 0D)",
+                n="max(n)",
+                y="max(y)",
+                yy="max(yy)",
             )
         )
-        .withColumn("n", n_days.cast("double"))
-        .withColumn("y", t_sum.cast("double"))
-        .withColumn("yy", t_squares.cast("double"))
     )
     spread = "nullif(sqrt((n * xx - x * x) * (n * yy - y * y)), 0D)"
     scored = sums.withColumn("correlacao", F.expr(m.rounded(f"(n * xy - x * y) / {spread}", 4)))
