@@ -6,9 +6,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from daytally.session import shared_folder, tune
 
@@ -19,6 +22,8 @@ BLANK = "[\\x20\\x09-\\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # rows are whole texts: keep what a Python worker holds at once to some megabytes
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -72,15 +77,16 @@ FILTER_BITS = 1 << 27
 
 
 def met_twice(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """The bits that two or more rows of `hashes` (column h, long) fall on.
+    """A Bloom filter, with one bit a hash, of the hashes (column h, long) that
+    two or more rows of the table have.
 
-    A Bloom filter with one bit a hash. What comes to the driver is its words
-    with a bit set, at most bits / 64 rows of 16 bytes. The filter errs towards
-    "met twice"; with more hashes than bits it lets more and more through, which
-    costs time and loses nothing.
+    What comes to the driver is the filter's words with a bit set, at most
+    bits / 64 rows of 16 bytes. The filter errs towards "met twice"; with more
+    repeated hashes than bits it lets everything through, which costs time and
+    loses nothing.
     """
-    at = hashes.select(F.pmod("h", F.lit(bits)).alias("at")).groupBy("at").agg(F.count("*").alias("n")).filter("n > 1")
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+    again = hashes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.pmod("h", F.lit(bits)).alias("at"))
+    words = again.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
     got = words.toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
@@ -116,3 +122,16 @@ def components(links: DataFrame, node: str = "binary") -> DataFrame:
         if now == last:
             return links.selectExpr("a AS node", "b AS component").unionAll(links.selectExpr("b AS node", "b AS component").distinct())
         last = now
+
+
+@F.pandas_udf(BinaryType())
+def squeezed(text: pd.Series) -> pd.Series:
+    """Texts compressed for a shuffle; null stays null."""
+    c = zstandard.ZstdCompressor(3)
+    return text.map(lambda t: c.compress(t.encode()), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def unsqueezed(packed: pd.Series) -> pd.Series:
+    d = zstandard.ZstdDecompressor()
+    return packed.map(lambda x: d.decompress(x).decode(), na_action="ignore")

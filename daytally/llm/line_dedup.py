@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daytally.llm.common import documents, each, in_filter, met_twice, stored
+from daytally.llm.common import documents, each, in_filter, met_twice, squeezed, stored, unsqueezed
 
 #: the ASCII white space that is trimmed off lines
 TRIM = " \t\n\x0b\x0c\r"
@@ -191,21 +191,51 @@ def dedup_lines(docs: DataFrame, least: int = 20, blocks: int = 4) -> DataFrame:
     """
     row = F.xxhash64("doc_id", "text")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
-    gone = stored(repeated_lines(keyed, least, blocks).withColumnsRenamed({"row": "_row", "lines": "_gone"}), "gone")
+    gone = stored(repeated_lines(keyed, least, blocks).withColumnsRenamed({"row": "of", "lines": "gone"}), "gone")
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
-    joined = docs.withColumn("_of", row).join(gone, F.expr("_of = _row"), "left")
-    split = joined.withColumn("_lines", F.split("text", "\n"))
+    packed = docs.select(row.alias("row"), squeezed("text").alias("packed"), F.struct("doc_id", *others).alias("rest"))
+    joined = packed.join(gone, F.expr("row = of"), "left").select("rest", "gone", unsqueezed("packed").alias("text"))
+    split = joined.withColumn("lines", F.split("text", "\n"))
     return split.select(
-        "doc_id",
-        F.expr("CAST(coalesce(size(_lines), 0) AS BIGINT) AS n_lines"),
-        F.expr("CAST(coalesce(size(_gone), 0) AS BIGINT) AS n_removed"),
+        "rest.doc_id",
+        F.expr("CAST(coalesce(size(lines), 0) AS BIGINT) AS n_lines"),
+        F.expr("CAST(coalesce(size(gone), 0) AS BIGINT) AS n_removed"),
         F.expr(
-            "CASE WHEN _gone IS NULL THEN text ELSE array_join(filter(_lines, (x, i) -> NOT array_contains(_gone, i)), '\n') END AS text"
+            "CASE WHEN gone IS NULL THEN text ELSE array_join(filter(lines, (x, i) -> NOT array_contains(gone, i)), '\n') END AS text"
         ),
-        *others,
+        *[F.col("rest").getField(c).alias(c) for c in others],
     )
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, i) AS place,
+         trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM lines),
+first AS (SELECT t, length(t) AS n, min(place) AS place FROM numbered WHERE length(t) >= 20 GROUP BY t),
+based AS (SELECT *, unnest([n, n - 1]) AS base FROM first),
+halves AS (
+  SELECT t, n, place, base, 'first' AS half, left(t, base // 2) AS same FROM based
+  UNION ALL SELECT t, n, place, base, 'last', right(t, base - base // 2) FROM based),
+pairs AS (
+  SELECT DISTINCT a.t AS a, b.t AS b, a.n AS n, b.n AS m, a.place AS at_a, b.place AS at_b
+  FROM halves a JOIN halves b ON a.base = b.base AND a.half = b.half AND a.same = b.same AND a.t <> b.t AND a.n <= b.n),
+near AS (
+  SELECT CASE WHEN at_a < at_b THEN b ELSE a END AS t
+  FROM (SELECT *, unnest(generate_series(1, n + 1)) AS i FROM pairs)
+  WHERE left(a, i - 1) = left(b, i - 1) AND ((n = m AND i <= n AND substr(a, i + 1) = substr(b, i + 1)) OR (n + 1 = m AND substr(a, i) = substr(b, i + 1)))),
+judged AS (
+  SELECT l.*, f.t IS NOT NULL AND (l.place > f.place OR l.t IN (SELECT t FROM near)) AS gone
+  FROM numbered l LEFT JOIN first f ON f.t = l.t)
+SELECT d.doc_id, count(j.i) AS n_lines, CAST(coalesce(sum(CAST(gone AS BIGINT)), 0) AS BIGINT) AS n_removed,
+       CASE WHEN any_value(d.text) IS NOT NULL
+            THEN sha256(coalesce(string_agg(raw, chr(10) ORDER BY j.i) FILTER (NOT gone), '')) END AS kept_sha256
+FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+"""
