@@ -85,12 +85,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; see `mix`."""
-    row = F.xxhash64("doc_id", "source", "text")
-    drawn = mix(docs.withColumn("_row", row), **settings, key="_row").groupBy("_row").agg(F.sum("copies").alias("_copies"))
-    drawn = stored(drawn.filter("_copies > 0").withColumnRenamed("_row", "_drawn"), "drawn")
-    once = docs.withColumn("_row", row).dropDuplicates(["_row"])
-    taken = once.join(drawn, F.expr("_row = _drawn")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return taken.select(*docs.columns)
+    row = F.xxhash64("doc_id", "source", "text").alias("row")
+    drawn = mix(docs.select("doc_id", "source", "text", row), **settings, key="row").groupBy("row").agg(F.sum("copies").alias("times"))
+    drawn = stored(drawn.filter("times > 0").withColumnRenamed("row", "drawn"), "drawn")
+    once = docs.select(row, F.struct(*docs.columns).alias("whole")).dropDuplicates(["row"])
+    taken = once.join(drawn, F.expr("row = drawn")).select("whole", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return taken.select("whole.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -126,3 +126,47 @@ def judge(docs: DataFrame, reach: float = 3.0, least: int = 50, k: int = 800) ->
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
+
+
+#: with exact quantiles, which the sketches give for up to k documents of a language
+ORACLE = r"""
+WITH worded AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS whole, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+placed AS (SELECT doc_id, unnest(generate_series(1, len(w) - 4)) AS i, w FROM worded WHERE len(w) > 4),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(w, i, i + 4)) AS n FROM placed),
+repeated AS (
+  SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS spot FROM windows WHERE n > 1) GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(whole, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(string_split(whole, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+              - len(list_distinct(list_filter(string_split(whole, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM worded d LEFT JOIN repeated r ON r.doc_id = d.doc_id),
+shares AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         word_chars / greatest(n_words, 1) AS mean_word, n_symbols / greatest(n_words, 1) AS symbol_share,
+         n_dup_lines / greatest(n_words, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share
+  FROM counted),
+own AS (
+  SELECT lang, source, count(*) AS n, quantile_disc(mean_word, [0.25, 0.75]) AS m, quantile_disc(symbol_share, [0.25, 0.75]) AS s,
+         quantile_disc(dup_line_share, [0.25, 0.75]) AS d, quantile_disc(repeat_share, [0.25, 0.75]) AS r
+  FROM shares WHERE NOT base_failed GROUP BY lang, source),
+whole_lang AS (
+  SELECT lang, quantile_disc(mean_word, [0.25, 0.75]) AS m, quantile_disc(symbol_share, [0.25, 0.75]) AS s,
+         quantile_disc(dup_line_share, [0.25, 0.75]) AS d, quantile_disc(repeat_share, [0.25, 0.75]) AS r
+  FROM shares WHERE NOT base_failed GROUP BY lang),
+cut AS (
+  SELECT o.lang, o.source, CASE WHEN n >= 50 THEN o.m ELSE l.m END AS m, CASE WHEN n >= 50 THEN o.s ELSE l.s END AS s,
+         CASE WHEN n >= 50 THEN o.d ELSE l.d END AS d, CASE WHEN n >= 50 THEN o.r ELSE l.r END AS r
+  FROM own o JOIN whole_lang l ON l.lang IS NOT DISTINCT FROM o.lang),
+judged AS (
+  SELECT x.*, CASE WHEN base_failed THEN 'base'
+         WHEN mean_word > m[2] + 3 * (m[2] - m[1]) + 3 THEN 'mean_word_high'
+         WHEN mean_word < m[1] - 3 * (m[2] - m[1]) - 3 THEN 'mean_word_low'
+         WHEN symbol_share > s[2] + 3 * (s[2] - s[1]) + 0.1 THEN 'symbol_share_high'
+         WHEN dup_line_share > d[2] + 3 * (d[2] - d[1]) + 0.1 THEN 'dup_line_share_high'
+         WHEN repeat_share > r[2] + 3 * (r[2] - r[1]) + 0.2 THEN 'repeat_share_high' END AS failed_rule
+  FROM shares x LEFT JOIN cut c ON c.lang IS NOT DISTINCT FROM x.lang AND c.source IS NOT DISTINCT FROM x.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule IS NULL AS kept, failed_rule FROM judged
+"""
