@@ -232,7 +232,8 @@ def score_documents(docs: DataFrame, learned_from: str, mu: float = 100.0, chunk
     Keys are 64-bit hashes of the words.
     """
     chunks = chunked(docs, f"coalesce({learned_from}, false)", chunk_bytes)
-    buckets = max(1, min(chunks.count(), 1 << 14))
+    n = chunks.count()
+    buckets = max(1, min(n, 64), n // 4)  # a bucket holds the keys of about four chunks
 
     def ask_words(batches):
         for batch in batches:
