@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_quality_rules": quality.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }

@@ -68,20 +68,20 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def frequencies(docs: DataFrame, width: int, cells: int, block: int = 1 << 14) -> np.ndarray:
-    """How many documents have a shingle in each of `cells` hash cells.
+    """How many documents have a shingle in each of `cells` hash cells, up to 65535.
 
     A task counts in an array of the fixed size and sends it in compressed
     blocks; blocks are added up as they stream in, one small array at a time.
     """
 
     def count(batches):
-        own = np.zeros(cells, np.int64)
+        own = np.zeros(cells, np.uint32)
         for batch in batches:
             for t in texts(batch):
                 np.add.at(own, (shingle_set(t, width) % np.uint64(cells)).astype(np.int64), 1)
         squeeze = zstandard.ZstdCompressor(1)
         for i in range(0, cells, block):
-            part = own[i : i + block].astype(np.uint32)
+            part = own[i : i + block]
             if part.any():
                 yield pa.RecordBatch.from_pydict({"at": pa.array([i], pa.int64()), "n": pa.array([squeeze.compress(part.tobytes())], pa.binary())})
 
@@ -93,30 +93,28 @@ def frequencies(docs: DataFrame, width: int, cells: int, block: int = 1 << 14) -
                 part = np.frombuffer(grow.decompress(n), np.uint32)
                 sums[i] = sums[i] + part if i in sums else part.astype(np.uint64)
         for i, x in sums.items():
-            part = np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes()
+            part = np.minimum(x, 0xFFFF).astype(np.uint16).tobytes()
             yield pa.RecordBatch.from_pydict({"at": pa.array([i], pa.int64()), "n": pa.array([part], pa.binary())})
 
     schema = "at long, n binary"
     got = docs.select("text").mapInArrow(count, schema).repartition("at").mapInArrow(add, schema).toArrow()
-    out = np.zeros(cells, np.uint32)
+    out = np.zeros(cells, np.uint16)
     for i, n in zip(got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True):
-        out[i : i + block] = np.frombuffer(n, np.uint32)
+        out[i : i + block] = np.frombuffer(n, np.uint16)
     return out
 
 
-def ordered(s: np.ndarray, seen: np.ndarray, usual: int) -> np.ndarray:
-    """The set in the order the prefixes are cut in: cells met a usual number of
-    times first, by hash, then frequent ones from rarer to more frequent."""
-    n = seen[(s % np.uint64(len(seen))).astype(np.int64)]
-    level = np.where(n <= usual, 0, n)
-    return s[np.lexsort((s, level))]
+def ordered(s: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The set in the order the prefixes are cut in: from rarer cells to more
+    frequent ones, then by hash. A passage that documents share counts on top of
+    what its cells hold by chance, so it comes late and leads to few candidates."""
+    return s[np.lexsort((s, seen[(s % np.uint64(len(seen))).astype(np.int64)]))]
 
 
 def _prepared(docs: DataFrame, width: int, percent: int, seen: np.ndarray) -> DataFrame:
     """A row per row of docs: its set's size and digest, its prefix and the prefix's
     digest (the group), and how frequent its shingles are on the whole."""
     shared = docs.sparkSession.sparkContext.broadcast(seen)
-    usual = int(2 * seen.mean() + 32)
 
     def one(batch):
         seen, out = shared.value, ([], [], [], [], [])
@@ -124,7 +122,7 @@ def _prepared(docs: DataFrame, width: int, percent: int, seen: np.ndarray) -> Da
             s = shingle_set(t, width)
             n = len(s)
             if n:
-                p = ordered(s, seen, usual)[: n - -(-percent * n // 100) + 1]
+                p = ordered(s, seen)[: n - -(-percent * n // 100) + 1]
                 rank = float(np.log(seen[(s % np.uint64(len(seen))).astype(np.int64)] + 1.0).mean())
                 row = (
                     n,
@@ -201,7 +199,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
     return stored(read.mapInArrow(each(one, {"a": pa.binary(), "b": pa.binary()}), "a binary, b binary"), "verified")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: int = 1 << 22) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: int = 1 << 23) -> DataFrame:
     """doc_id, row, n_shingles, component_id, part, one row per row of docs; part is
     the component's own key, null for an empty set.
 
@@ -210,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     documents are linked when 100 * intersection >= percent * union;
     component_id is the smallest doc_id that links reach.
 
-    Grouped prefix join: each set is ordered alike everywhere, usual shingles
+    Grouped prefix join: each set is ordered alike everywhere, rarer shingles
     before frequent ones, and two linked sets share one in their first few. All
     documents with one prefix and size are one group; groups are joined on tokens,
     the pairs are filtered by size and place, expanded to sets and verified on the
@@ -312,10 +310,32 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     found = stored(near_duplicates(docs, width, percent), "near")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("best")
     stay = found.filter("part IS NOT NULL").groupBy("part").agg(best).select("best.row")
-    stay = stay.unionAll(found.filter("part IS NULL").select("row")).distinct().withColumnRenamed("row", "_stay")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(stored(stay, "stay"), F.expr("_row = _stay"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    stay = stay.unionAll(found.filter("part IS NULL").select("row")).distinct().withColumnRenamed("row", "stay")
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.struct(*docs.columns).alias("whole"))
+    return keyed.join(stored(stay, "stay"), F.expr("row = stay"), "left_semi").dropDuplicates(["row"]).select("whole.*")
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+placed AS (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM worded WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
