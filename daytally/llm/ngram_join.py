@@ -146,7 +146,7 @@ def _prepared(docs: DataFrame, width: int, percent: int, seen: np.ndarray) -> Da
 
 
 def _posts(rows: DataFrame) -> DataFrame:
-    """token, at, grp, n: where each prefix group has a token that another group may have too."""
+    """token, at, grp, n, rank: where each prefix group has a token that another group has too."""
     exploded = rows.select(F.explode("prefix").alias("h"))
     shared = rows.sparkSession.sparkContext.broadcast(met_twice(exploded))
 
@@ -159,12 +159,12 @@ def _posts(rows: DataFrame) -> DataFrame:
         at, of = np.arange(len(tokens)) - start, np.repeat(np.arange(len(size)), size)
         keep = np.flatnonzero(in_filter(bits, tokens)) if len(tokens) else np.zeros(0, np.int64)
         of = pa.array(of[keep])
-        return [pa.array(tokens[keep]), pa.array(at[keep]), batch.column("grp").take(of), batch.column("n").take(of)]
+        return [pa.array(tokens[keep]), pa.array(at[keep]), *(batch.column(c).take(of) for c in ("grp", "n", "rank"))]
 
-    columns = {"token": pa.int64(), "at": pa.int64(), "grp": pa.int64(), "n": pa.int64()}
-    posts = rows.select("prefix", "grp", "n").filter("grp IS NOT NULL")
-    posts = posts.mapInArrow(each(one, columns), "token long, at long, grp long, n long").distinct()
-    posts = stored(posts, "posts")
+    columns = {"token": pa.int64(), "at": pa.int64(), "grp": pa.int64(), "n": pa.int64(), "rank": pa.float64()}
+    posts = rows.select("prefix", "grp", "n", "rank").filter("grp IS NOT NULL")
+    posts = posts.mapInArrow(each(one, columns), "token long, at long, grp long, n long, rank double")
+    posts = stored(posts.groupBy("token", "at", "grp", "n").agg(F.max("rank").alias("rank")), "posts")
     met = posts.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).filter("least <> most").select(F.col("token").alias("met"))
     return stored(posts.join(stored(met, "met"), F.expr("token = met")).drop("met"), "shared_posts")
 
@@ -249,14 +249,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     # round 1: stars. In a group the set with the most frequent shingles stands for
     # it; on a token the group whose stand-in has the most frequent shingles.
     lead = members.groupBy("grp").agg(F.max(F.struct("rank", "sig")).alias("lead"))
-    lead = stored(lead.selectExpr("grp AS g", "lead.rank AS lead_rank", "lead.sig AS lead"), "leads")
+    lead = stored(lead.selectExpr("grp AS g", "lead.sig AS lead"), "leads")
     within = members.join(lead, F.expr("grp = g AND sig <> lead")).selectExpr("sig AS a", "lead AS b")
-    led = stored(posts.join(lead, F.expr("grp = g")).drop("g"), "led")
-    pivot = led.groupBy("token").agg(F.max(F.struct("lead_rank", "grp", "n", "at", "lead")).alias("p"))
-    pivot = stored(
-        pivot.selectExpr("token AS t", "p.grp AS pivot", "p.n AS pivot_n", "p.at AS pivot_at", "p.lead AS pivot_lead"), "pivots"
-    )
-    star = led.join(pivot, F.expr(f"token = t AND grp <> pivot AND {_fits(percent)}")).selectExpr("lead AS a", "pivot_lead AS b")
+    pivot = posts.groupBy("token").agg(F.max(F.struct("rank", "grp", "n", "at")).alias("p"))
+    pivot = stored(pivot.selectExpr("token AS t", "p.grp AS pivot", "p.n AS pivot_n", "p.at AS pivot_at"), "pivots")
+    star = posts.join(pivot, F.expr(f"token = t AND grp <> pivot AND {_fits(percent)}")).select("grp", "pivot").distinct()
+    star = star.join(lead.selectExpr("g", "lead AS a"), F.expr("grp = g")).select("a", "pivot")
+    star = star.join(lead.selectExpr("g", "lead AS b"), F.expr("pivot = g")).select("a", "b")
     first = stored(within.unionAll(star).distinct(), "stars")
     links = _verified(first, sets, width, percent)
 
@@ -266,7 +265,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     parted = members.join(parts, F.expr("sig = node"), "left").select("grp", "n", "sig", F.coalesce("component", "sig").alias("part"))
     parted = stored(parted, "parted")
     cells_of = stored(parted.select("grp", "part").distinct().withColumnsRenamed({"grp": "g"}), "cells")
-    spread = stored(posts.join(cells_of, F.expr("grp = g")).drop("g"), "spread")
+    spread = stored(posts.drop("rank").join(cells_of, F.expr("grp = g")).drop("g"), "spread")
     # the part with the most groups on a token is its main one
     ranked = spread.groupBy("token", "part").agg(F.count("*").alias("k"))
     top = ranked.groupBy("token").agg(F.max(F.struct("k", "part")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
