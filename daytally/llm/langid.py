@@ -24,10 +24,12 @@ class Settings:
     #: documents a language is learned from, at most; the rows are the ones with the smallest hashes
     per_language: int = 300
     centroids: int = 3
-    #: a text is rejected when it is further than this share of the cosine that
-    #: `quantile` of the centroid's own documents have
+    #: a text is rejected below this share of the cosine that `quantile` of the
+    #: language's held-out pieces of its size stay under
     quantile: float = 0.02
-    slack: float = 0.06
+    slack: float = 0.5
+    #: parts of the sample that are held out in turn to measure these cosines
+    parts: int = 4
     seed: int = 0
 
 
@@ -36,7 +38,7 @@ class Model:
     languages: list[str] = field(default_factory=list)  # of each centroid
     idf: np.ndarray | None = None
     centroids: np.ndarray | None = None  # one row each, of length 1
-    least: np.ndarray | None = None  # the smallest cosine that is not rejected
+    least: np.ndarray | None = None  # the smallest cosine that is not rejected, a row per centroid, a column per size
 
 
 def ngram_counts(text: str, s: Settings) -> np.ndarray:
@@ -56,6 +58,17 @@ def ngram_counts(text: str, s: Settings) -> np.ndarray:
     return counts
 
 
+def pieces(text: str) -> list[str]:
+    """The text, then from its middle 1, 2, 4, ... code points, as far as it goes."""
+    lengths = [1 << i for i in range(len(text).bit_length()) if 1 << i < len(text)]
+    return [text, *[p for n in lengths if has_letter(p := text[(len(text) - n) // 2 :][:n])]]
+
+
+def sizes(counts: np.ndarray) -> np.ndarray:
+    """Of each row the number of different n-grams, in powers of two."""
+    return np.frexp((counts > 0).sum(axis=1))[1]
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -82,6 +95,21 @@ def clustered(v: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-9)
 
 
+def cutoffs(near: np.ndarray, size: np.ndarray, s: Settings) -> np.ndarray:
+    """For every size the cosine under which a text is rejected, from the cosines
+    `near` of held-out pieces of these sizes. A size without a piece takes the
+    next smaller one's; a larger size never has a lower cut-off than a smaller one.
+    """
+    cut = np.full(s.dims.bit_length() + 1, np.nan)
+    for k in np.unique(size):
+        cut[k] = s.slack * np.quantile(near[size == k], s.quantile)
+    known = np.flatnonzero(~np.isnan(cut))
+    if not len(known):
+        return np.zeros(len(cut))
+    cut[known] = np.minimum.accumulate(cut[known][::-1])[::-1]
+    return cut[known[np.maximum(np.searchsorted(known, np.arange(len(cut)), "right") - 1, 0)]]
+
+
 def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model:
     """Fit on a bounded sample: of the rows the SQL condition names, those with a
     language, and of each language at most s.per_language documents with a letter.
@@ -89,7 +117,12 @@ def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model
     The sample is drawn in two steps, first within 64 parts of a language, so
     that a hot one is ranked by many tasks. What the driver gets is bounded by
     s.per_language times the number of languages: the n-gram counts of these
-    documents, sparse.
+    documents, sparse, and of their pieces, which are twice as long together.
+
+    Cut-offs come from documents that were not learned from: each of s.parts parts
+    of a language's sample is held against centroids of the other parts, as
+    whole documents and in pieces of every length, since the cosine of a text grows
+    with the number of its n-grams. A language with one document has no cut-off.
     """
     rows = docs.filter(f"({learned_from}) AND lang IS NOT NULL AND text RLIKE '\\\\p{{L}}'").select(
         "doc_id", F.col("lang").alias("language"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(s.seed)).alias("draw")
@@ -100,35 +133,55 @@ def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model
     drawn = drawn.withColumn("n", F.row_number().over(whole)).filter(F.col("n") <= s.per_language)
     drawn = stored(drawn.select(F.col("doc_id").alias("drawn_id"), "language").distinct(), "sample")
 
+    def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+        counts = ngram_counts(text, s)  # dense ones of a whole batch would not fit
+        at = np.flatnonzero(counts)
+        return at, counts[at]
+
     def one(batch):
-        counts = [ngram_counts(t, s) for t in batch.column("text").to_pylist()]
-        at = [np.flatnonzero(c) for c in counts]
-        return [batch.column("language"), [a.tolist() for a in at], [c[a].tolist() for c, a in zip(counts, at, strict=True)]]
+        found = [[sparse(p) for p in pieces(t)] for t in batch.column("text").to_pylist()]
+        return [batch.column("language"), *([[piece[k] for piece in x] for x in found] for k in (0, 1))]
 
-    types = {"language": pa.string(), "at": pa.list_(pa.int64()), "n": pa.list_(pa.int64())}
+    lists = pa.list_(pa.list_(pa.int64()))
+    types = {"language": pa.string(), "at": lists, "n": lists}
     sampled = docs.select("doc_id", "lang", "text").filter("text IS NOT NULL")
     sampled = sampled.join(F.broadcast(drawn), F.expr("doc_id = drawn_id AND lang = language"))
-    got = sampled.select("language", "text").mapInArrow(each(one, types), "language string, at array<long>, n array<long>").toArrow()
+    made = sampled.select("language", "text").mapInArrow(each(one, types), "language string, at array<array<long>>, n array<array<long>>")
+    got = made.toArrow()
     names, ats, ns = (got.column(c).to_pylist() for c in types)
-    order = sorted(range(len(names)), key=lambda i: (names[i], ats[i], ns[i]))
+    order = sorted(range(len(names)), key=lambda i: (names[i], ats[i][0], ns[i][0]))
     df = np.zeros(s.dims)
     for at in ats:
-        df[at] += 1
+        df[at[0]] += 1
     model = Model(idf=(np.log((len(names) + 1) / (df + 1)) + 1).astype(np.float32))
+
+    def dense(i: int, some: slice) -> np.ndarray:
+        counts = np.zeros((len(ats[i][some]), s.dims), np.float32)
+        for row, (at, n) in enumerate(zip(ats[i][some], ns[i][some], strict=True)):
+            counts[row, at] = n
+        return counts
+
     centroids, least = [], []
     for name in sorted(set(names)):
         own = [i for i in order if names[i] == name]
-        counts = np.zeros((len(own), s.dims), np.float32)
-        for row, i in enumerate(own):
-            counts[row, ats[i]] = ns[i]
-        v = vectors(counts, model.idf)
+        v = vectors(np.concatenate([dense(i, slice(1)) for i in own]), model.idf)
         c = clustered(v, s.centroids, np.random.default_rng(s.seed))
-        near = v @ c.T
+        # copies stay in one part, or a document would be held against itself
+        text = np.cumsum([0, *[(ats[i][0], ns[i][0]) != (ats[j][0], ns[j][0]) for j, i in zip(own, own[1:])]])
+        near, size = [], []
+        for part in range(s.parts):
+            out = text % s.parts == part
+            if out.any() and not out.all():
+                others = clustered(v[~out], s.centroids, np.random.default_rng(s.seed))
+                for i in np.flatnonzero(out):
+                    counts = dense(own[i], slice(None))
+                    near.append((vectors(counts, model.idf) @ others.T).max(axis=1))
+                    size.append(sizes(counts))
+        cut = cutoffs(np.concatenate(near or [np.zeros(0)]), np.concatenate(size or [np.zeros(0, int)]), s)
         for k in range(len(c)):
-            mine = near[near.argmax(axis=1) == k, k]
             model.languages.append(name)
             centroids.append(c[k])
-            least.append(s.slack * np.quantile(mine if len(mine) else near.max(axis=1), s.quantile))
+            least.append(cut)
     model.centroids = np.array(centroids, np.float32) if centroids else np.zeros((0, s.dims), np.float32)
     model.least = np.array(least, np.float32)
     return model
@@ -139,8 +192,10 @@ def identify(docs: DataFrame, learned_from: str, s: Settings = Settings(), *keep
 
     The text alone decides: its hashed n-grams, as a TF-IDF vector, are compared
     with the centroids by cosine; the nearest one names the language and its
-    cosine is the score. `rejected` says that the text has no letter, or lies too
-    far from the centroid it is nearest to for its language to be believed.
+    cosine is the score. `rejected` says that the text has no letter, or lies
+    further from the centroid it is nearest to than held-out documents of that
+    language do at this number of n-grams (`learn`). Of a text of a word or two
+    there is little to tell, and its cut-off is as low as theirs.
 
     Null text, or one without a letter, gives `und`, score 0 and rejected; so does
     every text when there is nothing to learn from. Whole texts are used, however
@@ -160,11 +215,12 @@ def identify(docs: DataFrame, learned_from: str, s: Settings = Settings(), *keep
                 name, score, out = [NONE] * len(texts), [0.0] * len(texts), [True] * len(texts)
                 at = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
                 if at and len(model.languages):
-                    v = vectors(np.array([ngram_counts(texts[i], s) for i in at]), model.idf)
-                    near = v @ model.centroids.T
+                    counts = np.array([ngram_counts(texts[i], s) for i in at])
+                    near = vectors(counts, model.idf) @ model.centroids.T
                     best = near.argmax(axis=1)
-                    for i, k, x in zip(at, best.tolist(), near.max(axis=1).tolist(), strict=True):
-                        name[i], score[i], out[i] = model.languages[k], min(1.0, max(0.0, x)), x < float(model.least[k])
+                    least = model.least[best, sizes(counts)].tolist()
+                    for i, k, x, low in zip(at, best.tolist(), near.max(axis=1).tolist(), least, strict=True):
+                        name[i], score[i], out[i] = model.languages[k], min(1.0, max(0.0, x)), x < low
                 kept = [part.column(i) for i in range(1 + len(keep))]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],

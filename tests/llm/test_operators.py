@@ -220,6 +220,28 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def test_language_id_rejects_latin_junk_and_unlearned_languages(spark):
+    folder = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(folder)
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    fi = "tämä on suomenkielinen teksti jossa kerrotaan talosta ja metsästä sekä siitä miten ihmiset elävät pohjoisessa kun talvi tulee".split()
+    pl = "to jest tekst w języku polskim który opowiada o domu i lesie oraz o tym jak ludzie żyją na północy kiedy przychodzi zima".split()
+    odd = [
+        " ".join("".join(rng.choices(letters, k=6)) for _ in range(60)),
+        "".join(rng.choices(letters + letters.upper() + "0123456789+/", k=400)),
+        "".join(rng.choices("0123456789abcdef", k=400)),
+        " ".join(rng.choices(fi, k=60)),
+        " ".join(rng.choices(pl, k=60)),
+        '<div class="c1"><span id=x2></span></div><br/>' * 9,
+    ]
+    more = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in langid.identify(docs.unionByName(more, True), f"NOT {langid.FOLD}").collect()}
+    assert [found[10**9 + i]["rejected"] for i in range(len(odd))] == [True] * len(odd)
+    held = [r["doc_id"] for r in docs.filter("text RLIKE '\\\\p{L}'").collect() if fold(r["doc_id"], 4)]
+    assert sum(found[d]["rejected"] for d in held) <= 0.02 * len(held)
+
+
 def test_lm_scoring(docs, rows):
     df = lm.score_documents(docs, f"NOT {lm.FOLD}", mu=50.0, chunk_bytes=3000)
     found = got(df, "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
