@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from daytally.llm.common import BLANK, documents, stored
 
 
+def filter_bits(rows: int, bits_per_row: int, most_bits: int) -> int:
+    """A power of two above bits_per_row for each row, but not above most_bits; 64 at least."""
+    return 1 << max(6, min(most_bits.bit_length() - 1, (bits_per_row * rows).bit_length()))
+
+
 def exact_duplicates(docs: DataFrame, bits_per_row: int = 16, most_bits: int = 1 << 27) -> DataFrame:
     """One row per document with the document that stays for it.
 
@@ -15,7 +20,8 @@ def exact_duplicates(docs: DataFrame, bits_per_row: int = 16, most_bits: int = 1
     The longest original text (in code points) stays, then the smallest doc_id.
 
     First pass: each row's hash picks one bit of the filter, and rows are counted
-    per bit, so that only words with a bit met twice are left. Second pass: the
+    per bit, so that only words with a bit met twice are left; a key of 12 bytes and
+    a count shuffle for each bit that a task has met. Second pass: the
     filter, at most most_bits / 64 words of 16 bytes whatever the input, is
     broadcast. A row whose bit was met once has no equal and passes straight
     through; the others shuffle on the SHA-256 of their text. The filter errs
@@ -33,7 +39,7 @@ def exact_duplicates(docs: DataFrame, bits_per_row: int = 16, most_bits: int = 1
         docs.select("doc_id", F.char_length(text).alias("chars"), F.unhex(F.sha2(F.regexp_replace(text, BLANK, ""), 256)).alias("sha")),
         "prints",
     )
-    bits = 1 << max(6, min(most_bits, bits_per_row * prints.count()).bit_length())
+    bits = filter_bits(prints.count(), bits_per_row, most_bits)
     at = F.pmod(F.xxhash64("sha"), F.lit(bits))
     marked = prints.withColumns({"word": F.shiftright(at, 6), "bit": (at % 64).cast("int")})
     twice = (

@@ -155,6 +155,13 @@ def test_exact_dedup(docs, rows):
     assert df.filter("NOT kept AND doc_id <=> keep_id").count() == 0
 
 
+def test_exact_dedup_filter_stays_under_its_bound():
+    for rows in (0, 1, 1000, 1 << 22, 1 << 23, 10**9):
+        assert 64 <= exact_dedup.filter_bits(rows, 16, 1 << 27) <= 1 << 27
+    assert exact_dedup.filter_bits(10**9, 16, (1 << 27) + 5) == 1 << 27
+    assert exact_dedup.filter_bits(1000, 16, 1 << 27) >= 16 * 1000
+
+
 def test_exact_dedup_ties(spark):
     rows = [(5, "a b"), (3, "a b"), (4, "a  b"), (4, "a  b"), (9, None), (8, "\n"), (None, "a\tb")]
     df = exact_dedup.exact_duplicates(table(spark, rows))
