@@ -218,6 +218,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     against the one whose shingles are most frequent, which in a family of
     copies is the original. Then what the stars left in different components
     is joined, however much that is, so no link between components is missed.
+    Links are not returned, and those inside a component that stars have made are not
+    all looked for: neither pairs nor a document's number of links can be had.
 
     Null, empty or blank text has an empty set, linked with nothing, and its own
     doc_id as component. Missing doc_ids do not count as the smallest; rows
