@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from daytally.llm import bpe, exact_dedup, langid, licenses, line_dedup, lm, mixing, ngram_join, quality, substring_dedup
+from daytally.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    langid,
+    licenses,
+    line_dedup,
+    lm,
+    mixing,
+    negatives,
+    ngram_join,
+    periodic,
+    quality,
+    substring_dedup,
+)
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_decontamination": decontaminate.op12_decontamination,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 SQL = {
@@ -23,4 +40,7 @@ SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
+    "op12_decontamination": decontaminate.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }

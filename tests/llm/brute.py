@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = " \t\n\x0b\x0c\r"
@@ -165,3 +166,69 @@ def lm(rows, mu):
         )
         out.append((len(w), sum(one[x] > 0 for x in w), total, sum(map(math.log10, p)), score))
     return out
+
+
+def cycled(words, doc_id):
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return list(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def runs(words):
+    """(start, length, period) of all runs: period by period, word by word."""
+    n, found = len(words), {}
+    for p in range(1, n // 4 + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and words[j] == words[j + p]:
+                j += 1
+            if j > i and j - i + p >= max(6, 4 * p):
+                found.setdefault((i, j - i + p), p)
+            i = j + 1
+    return sorted(((s, n, p) for (s, n), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text):
+    words = cycled(WORD.findall(text or ""), doc_id)
+    found = runs(words)
+    gone = {i for s, n, p in found for i in range(s + p, s + n)}
+    best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+    listed = "".join(f"{s},{n},{p}\n" for s, n, p in found)
+    milli = 1000 * best[1] // best[2] if found else None
+    return len(found), *best, milli, sha(listed), sha(" ".join(w for i, w in enumerate(words) if i not in gone))
+
+
+def spans(text, items, size):
+    """Which words of the text stand in a window of an item, and whose windows occur."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words, hit, named = word.findall(lower(text)), set(), set()
+    for item_id, item in items:
+        w = word.findall(lower(item))
+        for i in range(max(1, len(w) - size + 1)) if w else ():
+            part = w[i : i + size]
+            for j in range(len(words) - len(part) + 1):
+                if words[j : j + len(part)] == part:
+                    hit |= set(range(j, j + len(part)))
+                    named.add(str(item_id))
+    return len(words), hit, sorted(named)
+
+
+def negatives(rows, is_anchor, positives=5, best=10, low=30, high=90):
+    """rows: vec_id, label, vector"""
+    good = {}
+    for i, label, v in rows:
+        if i is not None and label is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            made = (label, [math.floor(256 * x) for x in v])
+            good[i] = min(good.get(i, made), made)
+    out = []
+    for a in filter(is_anchor, good):
+        scored = sorted((-sum(map(int.__mul__, good[a][1], v)), i, label) for i, (label, v) in good.items() if i != a)
+        for s, i, _ in [x for x in scored if x[2] == good[a][0]][:positives]:
+            fits = [(n, -t) for t, n, label in scored if label != good[a][0] and -low * s <= -100 * t <= -high * s][:best]
+            out += [(a, i, k + 1, n, -s, t) for k, (n, t) in enumerate(fits)]
+    return sorted(out)
