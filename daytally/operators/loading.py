@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytally.schemas import KEYS, LAYOUTS, Layout
 from daytally.session import size_shuffles
+from daytally.sources.versions import Change, Stored, read, typed
 
 # How a fact table is written:
 #   merge - rows are put in by key: a key already stored is replaced, all other
@@ -66,108 +66,119 @@ def require_unique(df: DataFrame, keys: list[str], table: str) -> None:
         raise DuplicateKeyError(f"{table}: key {bad[0].asDict()}")
 
 
-def write_dimension(df: DataFrame, path: str, table: str) -> None:
-    require_unique(df, KEYS[table], table)
-    df.write.mode("overwrite").parquet(path)
-
+def put_dimension(change: Change, df: DataFrame, table: str) -> None:
+    change.write(table, typed(df, table), KEYS[table], anew=True)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def write_dimension(df: DataFrame, root: str, table: str) -> None:
+    """Replace a dimension of the lake below root."""
+    require_unique(df, KEYS[table], table)
+    with Change(df.sparkSession, root) as change:
+        put_dimension(change, df, table)
 
 
-def _touched(dated: DataFrame, layout: Layout) -> Column:
-    """A condition on the partition columns for the directories the rows fall
-    into: a list of years or months, as short as the layout is."""
-    parts = dated.select(*layout.columns).distinct().collect()
-    each = [reduce(Column.__and__, [F.col(c) == row[c] for c in layout.columns]) for row in parts]
-    return reduce(Column.__or__, each, F.lit(False))
+def dated(facts: DataFrame, layout: Layout) -> DataFrame:
+    """Facts with the columns of their directories."""
+    df = facts.withColumn("year", F.year("date"))
+    return df.withColumn("month", F.month("date")) if layout.unit == "month" else df
 
 
-def write_facts(df: DataFrame, path: str, layout: Layout, mode: str = "merge", check: bool = True) -> None:
-    """Write facts into year or year/month directories, in one of MODES.
+def ranges_of(facts: DataFrame, layout: Layout) -> list[dict[str, int]]:
+    """The years or months that dated facts fall into: a list as short as the layout is."""
+    return [r.asDict() for r in facts.select(*layout.columns).distinct().collect()]
 
-    Only the stored directories that the rows fall into are read and rewritten.
-    Spark writes the new directories beside the table and swaps them in when all
-    are complete, so a load that fails leaves the table as it was.
 
-    Rows are rebalanced by directory: AQE splits a month that holds most rows
-    over several tasks and merges small ones, so neither one hot task nor many
-    tiny files come out. Inside a file rows are sorted by the leading key, which
-    keeps its row-group statistics narrow.
-    """
+def check_facts(change: Change, df: DataFrame, layout: Layout, mode: str, check: bool = True) -> None:
+    """Stop the load when keys repeat, among the rows or, in append mode, with stored ones."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    spark, keys = df.sparkSession, KEYS[layout.table]
-    size_shuffles(spark, df)
+    keys = KEYS[layout.table]
     if check:
         require_unique(df, keys, layout.table)
-    dated = df.withColumn("year", F.year("date"))
-    if layout.unit == "month":
-        dated = dated.withColumn("month", F.month("date"))
-    overwrite = "static" if mode == "replace" else "dynamic"
-    if mode in ("merge", "append") and _exists(spark, path):
-        stored = spark.read.parquet(path).filter(_touched(dated, layout))
-        if mode == "append":
-            twice = stored.select(*keys).join(dated.select(*keys), keys, "left_semi").head(1)
-            if twice:
-                raise DuplicateKeyError(f"{layout.table}: key {twice[0].asDict()} is stored already")
-        else:
-            dated = dated.unionByName(stored.join(dated.select(*keys), keys, "left_anti"), allowMissingColumns=True)
-    writer = (
-        dated.hint("rebalance", *layout.columns)
-        .sortWithinPartitions(*layout.columns, keys[0], "date")
-        .write.partitionBy(*layout.columns)
-    )
-    if mode == "append":
-        writer.mode("append").parquet(path)
-    else:
-        writer.mode("overwrite").option("partitionOverwriteMode", overwrite).parquet(path)
+    if mode == "append" and change.stored(layout.table).directories:
+        held = change.read(layout.table, change.touched(layout.table, ranges_of(dated(df, layout), layout)))
+        twice = held.select(*keys).join(df.select(*keys), keys, "left_semi").head(1)
+        if twice:
+            raise DuplicateKeyError(f"{layout.table}: key {twice[0].asDict()} is stored already")
+
+
+def put_facts(change: Change, df: DataFrame, layout: Layout, mode: str = "merge") -> None:
+    """Write checked facts into year or year/month directories, in one of MODES.
+
+    Only the stored directories that the rows fall into are read and written anew.
+    Stored columns that a delivery does not have stay, and are NULL in its rows; a
+    row that is delivered again replaces the stored one in all columns.
+    """
+    table, keys = layout.table, KEYS[layout.table]
+    size_shuffles(df.sparkSession, df)
+    rows = dated(typed(df, table), layout)
+    held = [] if mode in ("append", "replace") else change.touched(table, ranges_of(rows, layout))
+    if mode == "merge" and held:
+        rows = rows.unionByName(change.read(table, held).join(rows.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    change.write(table, rows, [keys[0], "date"], tuple(layout.columns), held, anew=mode == "replace")
+
+
+def write_facts(df: DataFrame, root: str, layout: Layout, mode: str = "merge", check: bool = True) -> None:
+    """Check facts and write them to the lake below root, in one of MODES."""
+    size_shuffles(df.sparkSession, df)
+    with Change(df.sparkSession, root) as change:
+        check_facts(change, df, layout, mode, check)
+        put_facts(change, df, layout, mode)
+
+
+def put_rejected(change: Change, df: DataFrame, table: str, mode: str) -> None:
+    """Keep rows without a date range, by key, so that a load that is run again adds nothing."""
+    name, rows = f"rejected_{table}", typed(df, table)
+    if mode != "replace" and name in change.tables:
+        same = [F.col(f"held.{k}").eqNullSafe(F.col(f"new.{k}")) for k in KEYS[table]]
+        old = change.read(name).alias("held").join(rows.alias("new"), reduce(Column.__and__, same), "left_anti")
+        rows = rows.unionByName(old, allowMissingColumns=True)
+    change.write(name, rows, KEYS[table], replaces=change.stored(name).directories, anew=mode == "replace")
 
 
 def load(
     source, root: str, layouts: dict[str, Layout] | None = None, mode: str = "merge", rejects: str = "stop"
 ) -> dict[str, DataFrame]:
-    """Load dimensions and facts of a source below root.
-
-    The facts are computed once, into a staging table below root. Rows that no date
-    range takes stop the load before anything of their table is written, or, with
-    rejects="keep", are added to root/rejected/<table>. Returns this load's
-    rejected rows of each fact table. Keys of rolled-up facts are unique by
-    construction (they are grouping keys) and are not checked again; stored keys
-    are, in the modes where they matter.
-
+    """Load dimensions and facts of a source into the lake below root, all or nothing.
+
+    The facts are computed once, into a staging folder below root, and everything is
+    checked before anything is written: keys, and that a date range takes every
+    row. Rows that none takes stop the load or, with rejects="keep", go to the lake's
+    tables rejected_<table>, by key. The new directories of all tables become
+    live in one step (`daytally.sources.versions`); a load that fails, at whatever point,
+    leaves the lake as it was and can be run again. Returns the rejected rows the lake
+    holds for each fact table.
+
+    Keys of rolled-up facts are unique by construction (they are grouping keys) and are
+    not checked again; stored keys are, in the modes where they matter.
     A source that has nothing for a fact table (`None`) leaves it as it is.
     """
     if rejects not in ("stop", "keep"):
         raise ValueError("rejects is stop or keep")
     spark, layouts = source.spark, layouts or LAYOUTS
-    for table, df in {"stores": source.located_stores, "items": source.items}.items():
-        write_dimension(df, f"{root}/{table}", table)
-    rejected = {}
-    for table, facts in {"da_stores_date": source.store_days(), "da_items_stores_date": source.item_days()}.items():
-        if facts is None:
-            continue
-        size_shuffles(spark, facts)
-        staging = f"{root}/staging/{table}-{uuid.uuid4().hex}"
-        facts.write.parquet(staging)
-        routed = route(spark.read.schema(facts.schema).parquet(staging), layouts[table])
-        out = routed.rejected.count()
-        if out and rejects == "stop":
-            _delete(spark, staging)
-            raise OutOfRangeError(f"{table}: {out} rows have dates that no range takes")
-        write_facts(routed.accepted, f"{root}/{table}", layouts[table], mode, check=not source.keys_are_grouped)
-        place = f"{root}/rejected/{table}/load={uuid.uuid4().hex}"
-        if out:
-            routed.rejected.write.parquet(place)
-        rejected[table] = spark.read.schema(facts.schema).parquet(place) if out else spark.createDataFrame([], facts.schema)
-        _delete(spark, staging)
-    return rejected
+    dimensions = {"stores": source.located_stores, "items": source.items}
+    facts = {"da_stores_date": source.store_days(), "da_items_stores_date": source.item_days()}
+    facts = {table: df for table, df in facts.items() if df is not None}
+    with Change(spark, root) as change:
+        for table, df in dimensions.items():
+            require_unique(df, KEYS[table], table)
+        routed, out = {}, {}
+        for table, df in facts.items():
+            size_shuffles(spark, df)
+            routed[table] = route(change.staged(df, table), layouts[table])
+            out[table] = routed[table].rejected.count()
+            if out[table] and rejects == "stop":
+                raise OutOfRangeError(f"{table}: {out[table]} rows have dates that no range takes")
+            check_facts(change, routed[table].accepted, layouts[table], mode, check=not source.keys_are_grouped)
+        for table, df in dimensions.items():
+            put_dimension(change, df, table)
+        for table in facts:
+            put_facts(change, routed[table].accepted, layouts[table], mode)
+            if out[table] or mode == "replace" and f"rejected_{table}" in change.tables:
+                put_rejected(change, routed[table].rejected, table, mode)
+        tables = change.tables
+    held = {table: tables.get(f"rejected_{table}", Stored(tuple(df.columns))) for table, df in facts.items()}
+    return {table: read(spark, root, f"rejected_{table}", stored) for table, stored in held.items()}
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    BooleanType,
     DateType,
     DecimalType,
     IntegerType,
@@ -29,6 +30,7 @@ MEASURE = DecimalType(18, 5)
 _TYPES = {
     "id": LongType(),
     "count": LongType(),
+    "flag": BooleanType(),
     "int": IntegerType(),
     "text": StringType(),
     "date": DateType(),
@@ -113,6 +115,23 @@ ITEM_DAYS = _table("""
     measure: total_discount
 """)
 
+#: sums of sales lines that daily facts are rolled up from, as whole numbers of the
+#: smallest unit (see `daytally.sources.transactions.SUMS`): one row per order, store
+#: and day, or per item, store and day, and delivery
+ORDER_PARTS = _table("""
+    id: store_id
+    date: date
+    id: order_id customer_id
+    flag: returned
+    count: total_quantity total_net total_doc credits_total_net total_discount
+""")
+
+ITEM_PARTS = _table("""
+    id: item_id store_id
+    date: date
+    count: total_quantity total_net total_price total_discount
+""")
+
 TABLES = {
     "stores": STORES,
     "items": ITEMS,
@@ -120,6 +139,14 @@ TABLES = {
     "da_items_stores_date": ITEM_DAYS,
 }
 
+#: what a stored lake can hold: the four tables, rows that no date range takes, and parts
+LAKE_TABLES = TABLES | {
+    "rejected_da_stores_date": STORE_DAYS,
+    "rejected_da_items_stores_date": ITEM_DAYS,
+    "order_parts": ORDER_PARTS,
+    "item_parts": ITEM_PARTS,
+}
+
 KEYS = {
     "stores": ["id"],
     "items": ["id"],

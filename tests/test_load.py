@@ -13,6 +13,7 @@ from daytally.plans import catalogue
 from daytally.schemas import ITEM_DAYS, ITEMS, LAYOUTS, STORE_DAYS, STORES, Layout
 from daytally.sources.lake import Lake
 from daytally.sources.landing import Landing, read_if_there, read_typed
+from daytally.sources.versions import Change, ConcurrentLoadError, vacuum
 
 WIDE = {
     "da_stores_date": Layout("da_stores_date", "year", 1996, 2010),
@@ -102,12 +103,17 @@ def test_window_inside_one_year_and_over_new_year(spark):
         assert w.clip(days, window).count() == (window[1] - window[0]).days
 
 
+def written(root):
+    """Data files below a lake's folder."""
+    return sorted(root.rglob("*.parquet"))
+
+
 def facts(spark, *days, net=10):
     return store_days(spark, *[(1, day, net) for day in days])
 
 
-def stored(spark, path):
-    return sorted(rows(spark.read.parquet(path), "date", "total_net"))
+def stored(spark, root):
+    return sorted(rows(Lake(spark, root).store_days(), "date", "total_net"))
 
 
 def test_merge_keeps_stored_rows(spark, tmp_path):
@@ -160,12 +166,13 @@ def test_out_of_range_rows_stop_the_load_or_are_kept(spark, tmp_path):
     late = Delivery(spark, facts(spark, "2024-05-01", "2027-01-01"), None)
     with pytest.raises(loading.OutOfRangeError, match="1 rows"):
         loading.load(late, root)
-    assert not (tmp_path / "lake" / "da_stores_date").exists()
-    rejected = loading.load(late, root, rejects="keep")
-    assert rows(rejected["da_stores_date"], "date") == [(date(2027, 1, 1),)]
-    assert spark.read.parquet(f"{root}/rejected/da_stores_date").count() == 1
-    assert spark.read.parquet(f"{root}/da_stores_date").count() == 1
-    assert list((tmp_path / "lake" / "staging").iterdir()) == []
+    assert Lake(spark, root).version().tables == {} and written(tmp_path / "lake") == []
+    for _ in range(2):  # running a load again keeps the same rejects once
+        rejected = loading.load(late, root, rejects="keep")
+        assert rows(rejected["da_stores_date"], "date") == [(date(2027, 1, 1),)]
+    assert Lake(spark, root).table("rejected_da_stores_date").count() == 1
+    assert Lake(spark, root).store_days().count() == 1
+    assert list((tmp_path / "lake" / "_staging").iterdir()) == []
 
 
 def test_load_sizes_its_shuffles(spark, tmp_path, monkeypatch):
@@ -180,7 +187,7 @@ def test_duplicate_or_missing_key_stops_the_load(spark, tmp_path):
     layout = LAYOUTS["da_items_stores_date"]
     with pytest.raises(loading.DuplicateKeyError):
         loading.write_facts(g, str(tmp_path / "g"), layout)
-    assert not (tmp_path / "g").exists()
+    assert written(tmp_path / "g") == []
     keyless = g.limit(1).withColumn("store_id", F.lit(None).cast("bigint"))
     with pytest.raises(loading.DuplicateKeyError):
         loading.write_facts(keyless, str(tmp_path / "g"), layout)
@@ -202,9 +209,9 @@ def test_hot_directory_is_rebalanced(spark, tmp_path):
         loading.write_facts(g, str(tmp_path / "hot"), LAYOUTS["da_items_stores_date"], "replace", check=False)
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", keep)
-    hot = list((tmp_path / "hot" / "year=2024" / "month=6").glob("*.parquet"))
+    hot = list((tmp_path / "hot" / "da_items_stores_date").glob("load=*/year=2024/month=6/*.parquet"))
     assert len(hot) > 1
-    assert spark.read.parquet(str(tmp_path / "hot")).count() == 200_000
+    assert Lake(spark, str(tmp_path / "hot")).item_days().count() == 200_000
 
 
 def landed(spark, folder, df, table):
@@ -270,3 +277,155 @@ def test_counts_progress_and_delta(spark):
     assert rows(checks.row_counts({"items": i, "facts": f}), "texto") == [("items: 2",), ("facts: 3",)]
     assert rows(checks.load_progress(f, 7), "percent") == [(42,)]
     assert rows(checks.load_delta(1, f)) == [(1, 3, 2, date(2024, 5, 1), date(2024, 5, 3))]
+
+
+# --- all or nothing ---
+
+
+class Broken(Delivery):
+    """Item facts of which one row fails when it is computed."""
+
+    def item_days(self):
+        return self._facts[1].withColumn("total_net", F.expr("CASE WHEN item_id = 3 THEN raise_error('bad row') ELSE total_net END"))
+
+
+def contents(root, spark):
+    lake = Lake(spark, root)
+    return {name: sorted(map(tuple, lake.table(name).collect()), key=repr) for name in lake.version().tables}
+
+
+def first_load(spark, root):
+    i = item_days(spark, (1, 1, "2023-05-01", 1, 10, 4), (1, 1, "2024-05-01", 1, 10, 4), (3, 1, "2024-06-01", 2, 9, 4))
+    loading.load(Delivery(spark, facts(spark, "2023-05-01", "2024-05-01"), i), root)
+    return i
+
+
+def test_a_failing_task_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    i = first_load(spark, root)
+    before, files = contents(root, spark), written(tmp_path)
+    with pytest.raises(Exception, match="bad row"):
+        loading.load(Broken(spark, facts(spark, "2024-05-01", "2025-01-01", net=70), i), root)
+    assert contents(root, spark) == before and written(tmp_path) == files
+    assert list((tmp_path / "lake" / "_staging").iterdir()) == []
+
+
+@pytest.mark.parametrize("mode", loading.MODES)
+@pytest.mark.parametrize("after", [1, 2, 3])
+def test_an_error_between_two_writes_changes_nothing(spark, tmp_path, monkeypatch, mode, after):
+    """Dimensions and one fact table are written, the next write fails."""
+    root = str(tmp_path / "lake")
+    first_load(spark, root)
+    before, files = contents(root, spark), written(tmp_path)
+    write, calls = Change.write, []
+
+    def failing(self, *args, **more):
+        calls.append(args[0])
+        if len(calls) > after:
+            raise RuntimeError("killed")
+        return write(self, *args, **more)
+
+    monkeypatch.setattr(Change, "write", failing)
+    new = Delivery(spark, facts(spark, "2024-07-01", "2025-01-01", net=70), item_days(spark, (9, 1, "2024-05-02", 1, 1, 1)))
+    new.located_stores = stores(spark, (1, "a", 1), (2, "b", 1))
+    with pytest.raises(RuntimeError, match="killed"):
+        loading.load(new, root, mode=mode)
+    assert len(calls) == after + 1 and contents(root, spark) == before and written(tmp_path) == files
+    monkeypatch.undo()
+    loading.load(new, root, mode=mode)  # and it can be run again
+    assert len(contents(root, spark)["stores"]) == 2
+
+
+def test_facts_are_checked_before_anything_is_written(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    first_load(spark, root)
+    before, files = contents(root, spark), written(tmp_path)
+    good = facts(spark, "2024-09-01")
+    twice = item_days(spark, (1, 1, "2024-09-01", 1, 1, 1), (1, 1, "2024-09-01", 2, 1, 1))
+    late = item_days(spark, (1, 1, "2030-09-01", 1, 1, 1))
+    for bad, error in ((twice, loading.DuplicateKeyError), (late, loading.OutOfRangeError)):
+        with pytest.raises(error):
+            loading.load(Delivery(spark, good, bad), root)
+    assert contents(root, spark) == before and written(tmp_path) == files
+
+
+def test_two_loads_at_once(spark, tmp_path):
+    """The load that ends last was checked against tables that are no longer the live ones."""
+    root, layout = str(tmp_path / "lake"), LAYOUTS["da_stores_date"]
+    with pytest.raises(ConcurrentLoadError), Change(spark, root) as slow:
+        loading.put_facts(slow, facts(spark, "2024-05-01"), layout)
+        loading.write_facts(facts(spark, "2024-05-02"), root, layout)
+    assert [d.day for d, _ in stored(spark, root)] == [2]
+    loading.write_facts(facts(spark, "2024-05-01"), root, layout)
+    assert [d.day for d, _ in stored(spark, root)] == [1, 2]
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    root, layout = str(tmp_path / "lake"), LAYOUTS["da_stores_date"]
+    loading.write_facts(facts(spark, "2024-05-01"), root, layout)
+    old, frame = Lake(spark, root).pinned(), Lake(spark, root).store_days()
+    loading.write_facts(facts(spark, "2024-05-01", net=50), root, layout)
+    assert rows(frame, "total_net") == rows(old.store_days(), "total_net") == [(10,)]
+    assert rows(Lake(spark, root).store_days(), "total_net") == [(50,)]
+    assert vacuum(spark, root, hours=1) == ["_versions/1.json"]  # young folders may belong to a running load
+    gone = vacuum(spark, root, hours=-1)
+    assert len([g for g in gone if g.startswith("da_stores_date/load=")]) == 1
+    assert rows(Lake(spark, root).store_days(), "total_net") == [(50,)]
+
+
+# --- columns ---
+
+
+def narrow(spark, *days, net=10):
+    return facts(spark, *days, net=net).drop("total_doc", "total_discount")
+
+
+@pytest.mark.parametrize("wide_first", [True, False])
+def test_merges_keep_columns_that_a_delivery_lacks(spark, tmp_path, wide_first):
+    root, layout = str(tmp_path / "lake"), LAYOUTS["da_stores_date"]
+    deliveries = [facts(spark, "2024-01-01"), narrow(spark, "2023-01-01")]
+    for df in deliveries if wide_first else deliveries[::-1]:
+        loading.write_facts(df, root, layout)
+    loading.write_facts(narrow(spark, "2024-01-02", net=20), root, layout)
+    loading.write_facts(narrow(spark, "2023-01-02", net=20), root, layout)
+    lake = Lake(spark, root)
+    assert sorted(rows(lake.store_days(), "date", "total_net", "total_doc")) == [
+        (date(2023, 1, 1), 10, None),
+        (date(2023, 1, 2), 20, None),
+        (date(2024, 1, 1), 10, 12),
+        (date(2024, 1, 2), 20, None),
+    ]
+    assert lake.store_days().columns == facts(spark, "2024-01-01").columns
+    assert all(f.dataType == STORE_DAYS[f.name].dataType for f in lake.store_days().schema)
+
+
+def test_unknown_columns_and_values_outside_a_type_stop_a_load(spark, tmp_path):
+    root, layout = str(tmp_path / "lake"), LAYOUTS["da_stores_date"]
+    with pytest.raises(ValueError, match="colour"):
+        loading.write_facts(facts(spark, "2024-05-01").withColumn("colour", F.lit(1)), root, layout)
+    with pytest.raises(Exception):
+        loading.write_facts(facts(spark, "2024-05-01").withColumn("total_net", F.lit("ten")), root, layout)
+    assert Lake(spark, root).version().tables == {}
+    with pytest.raises(ValueError, match="nothing is stored"):
+        Lake(spark, root).store_days()
+
+
+def test_newest_dates_open_the_newest_directories_only(spark, tmp_path):
+    root, layout = str(tmp_path / "lake"), LAYOUTS["da_stores_date"]
+    loading.write_facts(facts(spark, "2022-01-01", "2023-01-01", "2024-01-01", "2024-01-02"), root, layout)
+    lake = Lake(spark, root)
+    opened = []
+    newest = Lake._newest_directories
+
+    def noted(self, name):
+        for df in newest(self, name):
+            opened.append(len(df.inputFiles()))
+            yield df
+
+    Lake._newest_directories = noted
+    try:
+        assert lake.newest_dates(2) == (date(2024, 1, 1), date(2024, 1, 3)) and len(opened) == 1
+        assert lake.newest_dates(3) == (date(2023, 1, 1), date(2024, 1, 3)) and len(opened) == 3
+        assert lake.newest_dates(9) == (date(2022, 1, 1), date(2024, 1, 3))
+    finally:
+        Lake._newest_directories = newest
