@@ -27,7 +27,10 @@ from daytally.sources.lake import Lake  # noqa: E402
 from daytally.sources.transactions import Transactions  # noqa: E402
 
 # entries that write stored tables, or copy them, while they are built; the load is timed as lake_load
-LOADS = {"load_and_count", "load_increment_and_count", "load_rejects_counted", "load_delta", "landed_item_days"}
+LOADS = {
+    "load_and_count", "load_increment_and_count", "load_rejects_counted", "load_delta", "landed_item_days",
+    "merged_store_days", "mixed_store_days", "mixed_item_days", "late_lines_store_days", "late_lines_item_days",
+}
 # entries over the raw tables only, and the facts themselves
 NOT_ON_LAKE = LOADS | {"duplicate_line_keys"}
 

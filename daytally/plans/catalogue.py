@@ -6,6 +6,7 @@ measures it needs, and returns a DataFrame. AS_OF stands in for "today".
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
 from zlib import crc32
@@ -16,7 +17,7 @@ from pyspark.sql.types import DecimalType, IntegralType
 
 from daytally.functions import windows as w
 from daytally.functions.calendar import calendar
-from daytally.operators import bundles, checks, compare, items, loading, periods, stores, trends
+from daytally.operators import bundles, checks, compare, increments, items, loading, periods, stores, trends
 from daytally.schemas import KEYS, Layout
 from daytally.session import shared_folder
 from daytally.sources.lake import Lake
@@ -123,6 +124,62 @@ def _load_delta(source) -> DataFrame:
     return checks.load_delta(before, lake.item_days())
 
 
+def _merged_store_days(source) -> DataFrame:
+    """The stored values after deliveries that overlap inside a year, one of them sent twice."""
+    root = _fresh(source, "merged")
+    loading.load(Part(source, (EPOCH, date(2000, 7, 1))), root, WIDE, mode="replace")
+    for _ in range(2):
+        loading.load(Part(source, (date(2000, 6, 1), END)), root, WIDE)
+    return Lake(source.spark, root).store_days()
+
+
+class Narrow(Part):
+    """A delivery with fewer measures than others have."""
+
+    def store_days(self) -> DataFrame:
+        return self.source.store_days(self.window, FLOW)
+
+    def item_days(self) -> DataFrame:
+        return self.source.item_days(self.window, COSTED)
+
+
+WIDE_DELIVERY, NARROW_YEAR, NARROW_DAY = (EPOCH, date(2000, 1, 1)), (date(2000, 1, 1), END), (date(1999, 6, 1), date(1999, 6, 2))
+
+
+def _mixed_lake(source, name: str, wide_first: bool) -> Lake:
+    """Deliveries with all and with few measures, in either order, then one more day
+    with few of a year that has all."""
+    root = _fresh(source, name)
+    deliveries = [Part(source, WIDE_DELIVERY), Narrow(source, NARROW_YEAR)]
+    for i, delivery in enumerate(deliveries if wide_first else deliveries[::-1]):
+        loading.load(delivery, root, WIDE, mode="merge" if i else "replace")
+    loading.load(Narrow(source, NARROW_DAY), root, WIDE)
+    return Lake(source.spark, root)
+
+
+class Lines:
+    """Part of a source's sales lines, as a delivery of its own."""
+
+    def __init__(self, source, condition: str):
+        self.spark, self.source, self.condition = source.spark, source, condition
+
+    def table(self, name: str) -> DataFrame:
+        df = self.source.table(name)
+        return df.filter(self.condition) if name == "lineitem" else df
+
+
+def _late_lines(source) -> Lake:
+    """Three deliveries: lines up to 2000, those of 2000 and later, and, last, the late ones, which
+    belong to orders, stores and days of both. The second one is sent again."""
+    root = f"{shared_folder(source.spark)}/late-{uuid.uuid4().hex}"
+    late, recent = "l_linenumber >= 6 AND l_shipdate >= '1999-10-01' AND l_shipdate < '2000-03-01'", "l_shipdate >= '2000-01-01'"
+    increments.add_lines(Lines(source, f"NOT ({late}) AND NOT ({recent})"), root, "old", WIDE)
+    increments.add_lines(Lines(source, f"NOT ({late}) AND {recent}"), root, "new", WIDE)
+    increments.add_lines(Lines(source, late), root, "late", WIDE)
+    increments.add_lines(Lines(source, recent), root, "new", WIDE)
+    return Lake(source.spark, root)
+
+
 def _landed_items(source) -> DataFrame:
     """Facts exported to CSV landing files, loaded from there, and read back."""
     files, root = _fresh(source, "landing"), _fresh(source, "landed")
@@ -237,6 +294,11 @@ ENTRIES: dict[str, Entry] = {
     "load_rejects_counted": _load_rejects_counted,
     "landed_item_days": _landed_items,
     "load_delta": _load_delta,
+    "merged_store_days": _merged_store_days,
+    "mixed_store_days": lambda t: _mixed_lake(t, "mixed", True).store_days(),
+    "mixed_item_days": lambda t: _mixed_lake(t, "mixed-narrow", False).item_days(),
+    "late_lines_store_days": lambda t: _late_lines(t).store_days(),
+    "late_lines_item_days": lambda t: _late_lines(t).item_days(None, ITEM_MEASURES),
     "key_counts": lambda t: checks.key_counts(
         {
             "da_stores_date": (t.store_days(None, ()), KEYS["da_stores_date"]),

@@ -311,6 +311,17 @@ _FACT_COLUMNS = f"""store_id, date, nr_sales, nr_persons, {dbl('total_quantity')
   {dbl('total_net')} AS total_net, {dbl('total_doc')} AS total_doc, nr_credits,
   {dbl('credits_total_net')} AS credits_total_net, {dbl('total_discount')} AS total_discount"""
 
+
+def _mixed(keys: str, columns: str, kept: str) -> str:
+    """Facts of which the narrow deliveries have the `kept` measures only."""
+    narrow = "date >= DATE '2000-01-01' OR date = DATE '1999-06-01'"
+    counts = ("nr_sales", "nr_persons", "nr_credits")
+    values = {c: c if c in counts else dbl(c) for c in columns.split()}
+    return ", ".join(
+        [keys, *(f"{v} AS {c}" if c in kept.split() else f"CASE WHEN {narrow} THEN NULL ELSE {v} END AS {c}" for c, v in values.items())]
+    )
+
+
 MAY = "date BETWEEN DATE '2001-05-01' AND DATE '2001-05-31'"
 LFL_A = "date BETWEEN DATE '2000-06-24' AND DATE '2000-06-26'"
 LFL_B = "date BETWEEN DATE '2001-06-24' AND DATE '2001-06-26'"
@@ -672,6 +683,27 @@ def _selects() -> dict[str, tuple[str, str]]:
                    {dbl('total_price')} AS total_price, {dbl('latest_price_cost')} AS latest_price_cost,
                    {dbl('total_discount')} AS total_discount
             FROM da_items_stores_date""",
+        "merged_store_days": f"SELECT {_FACT_COLUMNS} FROM da_stores_date",
+        "mixed_store_days": "SELECT "
+        + _mixed(
+            "store_id, date",
+            "nr_sales nr_persons total_quantity total_net total_doc nr_credits credits_total_net total_discount",
+            "nr_sales nr_persons total_net",
+        )
+        + " FROM da_stores_date",
+        "mixed_item_days": "SELECT "
+        + _mixed(
+            "item_id, store_id, date",
+            "total_quantity total_net total_price latest_price_cost total_discount",
+            "total_quantity total_net latest_price_cost",
+        )
+        + " FROM da_items_stores_date",
+        "late_lines_store_days": f"SELECT {_FACT_COLUMNS} FROM da_stores_date",
+        "late_lines_item_days": f"""
+            SELECT item_id, store_id, date, {dbl('total_quantity')} AS total_quantity, {dbl('total_net')} AS total_net,
+                   {dbl('total_price')} AS total_price, {dbl('latest_price_cost')} AS latest_price_cost,
+                   {dbl('total_discount')} AS total_discount
+            FROM da_items_stores_date""",
         "key_counts": """
             SELECT 'da_stores_date' AS tabela, COUNT(*) AS linhas, COUNT(DISTINCT (store_id, date)) AS chaves FROM da_stores_date
             UNION ALL

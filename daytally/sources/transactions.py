@@ -149,6 +149,48 @@ def roll_up_item_days(lines: DataFrame, part: DataFrame, measures: tuple[str, ..
     return facts.selectExpr(*keys, *made)
 
 
+# --- parts: sums that late lines can be added to ---
+
+ORDER_SUMS = tuple(name for name in STORE_MEASURES if name in SUMS)
+ITEM_SUMS = tuple(name for name in ITEM_MEASURES if name in SUMS)
+
+
+def order_parts(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """One row per order, store and day: sums of its lines as scaled integers, the
+    customer, and whether a line was returned."""
+    headers = orders.selectExpr("o_orderkey AS order_id", "o_custkey AS customer_id")
+    sums = {name: SUMS[name][0] for name in ORDER_SUMS}
+    kept = columns(customer_id="max(customer_id)", returned="max(returned)", **sums)
+    return lines.join(headers, "order_id", "left").groupBy("store_id", "date", "order_id").agg(*kept)
+
+
+def item_parts(lines: DataFrame) -> DataFrame:
+    """One row per item, store and day: sums of its lines as scaled integers."""
+    return lines.groupBy("item_id", "store_id", "date").agg(*columns(**{name: SUMS[name][0] for name in ITEM_SUMS}))
+
+
+def store_days_of(parts: DataFrame) -> DataFrame:
+    """Store-days from order parts of any number of deliveries: an order that several
+    of them have is one sale, and a customer of several orders is one customer."""
+    added = {name: f"sum({name})" for name in ORDER_SUMS}
+    orders = parts.groupBy("store_id", "date", "order_id").agg(
+        *columns(customer_id="max(customer_id)", returned="max(returned)", **added)
+    )
+    daily = orders.groupBy("store_id", "date").agg(*columns(**added, **COUNTS))
+    made = [f"{_measure(name)} AS {name}" if name in SUMS else name for name in STORE_MEASURES]
+    return daily.selectExpr("store_id", "date", *made)
+
+
+def item_days_of(parts: DataFrame, part: DataFrame) -> DataFrame:
+    """Item-days from item parts; the unit cost is the item's list price."""
+    keys = ["item_id", "store_id", "date"]
+    daily = parts.groupBy(*keys).agg(*columns(**{name: f"sum({name})" for name in ITEM_SUMS}))
+    price = f"CAST(p_retailprice AS {MEASURE.simpleString()}) AS latest_price_cost"
+    daily = daily.join(part.selectExpr("p_partkey AS item_id", price), "item_id", "left")
+    made = [f"{_measure(name)} AS {name}" if name in SUMS else name for name in ITEM_MEASURES]
+    return daily.selectExpr(*keys, *made)
+
+
 class Transactions:
     """Dimensions and daily facts over a folder of transaction tables."""
 

@@ -203,6 +203,11 @@ class Change:
         """The live directories that hold one of the date ranges."""
         return [d for d in self.stored(name).directories if values(d) in ranges]
 
+    def several(self, name: str) -> list[str]:
+        """The live directories that share their date range with another one."""
+        held = [tuple(values(d).items()) for d in self.stored(name).directories]
+        return [d for d, v in zip(self.stored(name).directories, held, strict=True) if held.count(v) > 1]
+
     def read(self, name: str, directories: Iterable[str] | None = None) -> DataFrame:
         return read(self.spark, self.root, name, self.stored(name), directories)
 
