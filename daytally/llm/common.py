@@ -40,7 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables whose last reader is done."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def numbered(docs: DataFrame, *columns: str) -> DataFrame:
@@ -85,8 +94,13 @@ def met_twice(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     repeated hashes than bits it lets everything through, which costs time and
     loses nothing.
     """
-    again = hashes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.pmod("h", F.lit(bits)).alias("at"))
-    words = again.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+    return filter_of(hashes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), bits)
+
+
+def filter_of(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter, with one bit a hash, of the hashes (column h, long)."""
+    words = hashes.select(F.pmod("h", F.lit(bits)).alias("at"))
+    words = words.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
     got = words.toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
@@ -114,10 +128,12 @@ def components(links: DataFrame, node: str = "binary") -> DataFrame:
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS u", "least(a, m) AS m"), "least")
         large = both.join(least, F.expr("a = u")).filter("b > a").selectExpr("b AS a", "m AS b").filter("a <> b").distinct()
         large = stored(large, "large")
+        discard(links, least)
         # small star: a node and its neighbours below it go to the smallest of them
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS u", "m"), "least")
         small = large.join(least, F.expr("a = u")).selectExpr("b AS a", "m AS b").unionAll(least.selectExpr("u AS a", "m AS b"))
         links = stored(small.filter("a <> b").distinct(), "links")
+        discard(large, least)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             return links.selectExpr("a AS node", "b AS component").unionAll(links.selectExpr("b AS node", "b AS component").distinct())

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daytally.llm.common import components, documents, each, in_filter, met_twice, stored, texts
+from daytally.llm.common import components, discard, documents, each, filter_of, in_filter, met_twice, stored, texts
 
 #: ASCII white space to a blank, A-Z to a-z
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
@@ -66,19 +66,32 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # --- how frequent shingles are: a count-min row, summed over all documents ---
 
+#: cells of the row: one for about four words of text, and 2^25 at most (32 MB)
+MOST_CELLS = 1 << 25
+BYTES_PER_CELL = 24
 
-def frequencies(docs: DataFrame, width: int, cells: int, block: int = 1 << 14) -> np.ndarray:
-    """How many documents have a shingle in each of `cells` hash cells, up to 65535.
 
-    A task counts in an array of the fixed size and sends it in compressed
+def cells_for(docs: DataFrame, most: int = MOST_CELLS) -> int:
+    """A power of two that follows the size of the texts, so that as many shingles meet in a
+    cell by chance whatever the corpus, as far as `most` allows."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(most, max(1 << 16, 1 << round(np.log2(max(1, size / BYTES_PER_CELL)))))
+
+
+def frequencies(docs: DataFrame, width: int, cells: int, block: int = 1 << 15) -> np.ndarray:
+    """How many documents have a shingle in each of `cells` hash cells, as 16 times the
+    binary logarithm of one more than the count, in a byte.
+
+    A task counts up to 255 in an array of the fixed size and sends it in compressed
     blocks; blocks are added up as they stream in, one small array at a time.
     """
 
     def count(batches):
-        own = np.zeros(cells, np.uint32)
+        own = np.zeros(cells, np.uint8)
         for batch in batches:
             for t in texts(batch):
-                np.add.at(own, (shingle_set(t, width) % np.uint64(cells)).astype(np.int64), 1)
+                at = (shingle_set(t, width) % np.uint64(cells)).astype(np.int64)
+                own[at] += own[at] < 255
         squeeze = zstandard.ZstdCompressor(1)
         for i in range(0, cells, block):
             part = own[i : i + block]
@@ -90,17 +103,17 @@ def frequencies(docs: DataFrame, width: int, cells: int, block: int = 1 << 14) -
         grow = zstandard.ZstdDecompressor()
         for batch in batches:
             for i, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                part = np.frombuffer(grow.decompress(n), np.uint32)
-                sums[i] = sums[i] + part if i in sums else part.astype(np.uint64)
+                part = np.frombuffer(grow.decompress(n), np.uint8)
+                sums[i] = sums[i] + part if i in sums else part.astype(np.uint32)
         for i, x in sums.items():
-            part = np.minimum(x, 0xFFFF).astype(np.uint16).tobytes()
+            part = np.minimum(np.rint(16 * np.log2(1.0 + x)), 255).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_pydict({"at": pa.array([i], pa.int64()), "n": pa.array([part], pa.binary())})
 
     schema = "at long, n binary"
     got = docs.select("text").mapInArrow(count, schema).repartition("at").mapInArrow(add, schema).toArrow()
-    out = np.zeros(cells, np.uint16)
+    out = np.zeros(cells, np.uint8)
     for i, n in zip(got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True):
-        out[i : i + block] = np.frombuffer(n, np.uint16)
+        out[i : i + block] = np.frombuffer(n, np.uint8)
     return out
 
 
@@ -123,7 +136,7 @@ def _prepared(docs: DataFrame, width: int, percent: int, seen: np.ndarray) -> Da
             n = len(s)
             if n:
                 p = ordered(s, seen)[: n - -(-percent * n // 100) + 1]
-                rank = float(np.log(seen[(s % np.uint64(len(seen))).astype(np.int64)] + 1.0).mean())
+                rank = float(seen[(s % np.uint64(len(seen))).astype(np.int64)].mean())
                 row = (
                     n,
                     hashlib.md5(s.tobytes()).digest(),
@@ -166,7 +179,10 @@ def _posts(rows: DataFrame) -> DataFrame:
     posts = posts.mapInArrow(each(one, columns), "token long, at long, grp long, n long, rank double")
     posts = stored(posts.groupBy("token", "at", "grp", "n").agg(F.max("rank").alias("rank")), "posts")
     met = posts.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).filter("least <> most").select(F.col("token").alias("met"))
-    return stored(posts.join(stored(met, "met"), F.expr("token = met")).drop("met"), "shared_posts")
+    met = stored(met, "met")
+    shared_posts = stored(posts.join(met, F.expr("token = met")).drop("met"), "shared_posts")
+    discard(posts, met)
+    return shared_posts
 
 
 #: may two sets with a token at these places of their orders overlap enough? Both
@@ -178,8 +194,22 @@ def _fits(percent: int) -> str:
     return FITS.format(o=f"CAST(ceil({percent} * (n + pivot_n) / {100 + percent}) AS BIGINT)")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set digests that are linked; sets holds (sig, packed text)."""
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set digests that are linked. Of the texts of docs (row, text) only
+    those that some pair needs are packed and shuffled: a filter of their rows goes
+    over the scan."""
+    row_of = members.select("sig", "row")
+    asked = pairs.join(row_of.selectExpr("sig AS a", "row AS row_a"), "a").join(row_of.selectExpr("sig AS b", "row AS row_b"), "b")
+    asked = stored(asked, "asked")
+    needed = filter_of(asked.selectExpr("row_a AS h").unionAll(asked.selectExpr("row_b AS h")))
+    shared = docs.sparkSession.sparkContext.broadcast(needed)
+
+    def pack(batch):
+        rows = batch.column("row")
+        at = np.flatnonzero(in_filter(shared.value, rows.to_numpy()))
+        c = zstandard.ZstdCompressor(3)
+        column = batch.column("text")
+        return [rows.take(pa.array(at)), [c.compress((column[i].as_py() or "").encode()) for i in at.tolist()]]
 
     def one(batch):
         grow = zstandard.ZstdDecompressor()
@@ -193,13 +223,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
         keep = pa.array(keep, pa.int32())
         return [batch.column("a").take(keep), batch.column("b").take(keep)]
 
-    left = sets.selectExpr("sig AS a", "packed AS s")
-    right = sets.selectExpr("sig AS b", "packed AS t")
-    read = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
-    return stored(read.mapInArrow(each(one, {"a": pa.binary(), "b": pa.binary()}), "a binary, b binary"), "verified")
+    packs = docs.select("row", "text").mapInArrow(each(pack, {"at_row": pa.int64(), "packed": pa.binary()}), "at_row long, packed binary")
+    packs = packs.groupBy("at_row").agg(F.first("packed").alias("packed"))  # rows that are repeated in full
+    read = asked.join(packs.selectExpr("at_row AS row_a", "packed AS s"), "row_a")
+    read = read.join(packs.selectExpr("at_row AS row_b", "packed AS t"), "row_b").select("a", "b", "s", "t")
+    made = stored(read.mapInArrow(each(one, {"a": pa.binary(), "b": pa.binary()}), "a binary, b binary"), "verified")
+    discard(asked)
+    return made
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: int = 1 << 23) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: int | None = None) -> DataFrame:
     """doc_id, row, n_shingles, component_id, part, one row per row of docs; part is
     the component's own key, null for an empty set.
 
@@ -227,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     other columns are ignored. Texts are hashed to 64 bits a shingle.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    seen = frequencies(keyed, width, cells)
+    seen = frequencies(keyed, width, cells or cells_for(keyed))
     rows = _prepared(keyed, width, percent, seen)
     sigs = rows.filter("sig IS NOT NULL").groupBy("sig").agg(
         F.min(F.struct("grp", "n", "rank", "row")).alias("x"), F.min("doc_id").alias("least_id")
@@ -235,18 +268,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     sigs = stored(sigs.select("sig", "x.*", "least_id"), "sets")
     posts = _posts(rows)
 
-    # the texts of all sets that can take part: of groups with a shared token, or with several sets
+    # all sets that can take part: of groups with a shared token, or with several sets
     several = sigs.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
     open_groups = stored(posts.select("grp").unionAll(several).distinct().withColumnRenamed("grp", "g"), "open_groups")
     members = stored(sigs.join(open_groups, F.expr("grp = g")).select("grp", "n", "rank", "sig", "row"), "members")
-    squeeze = zstandard.ZstdCompressor
-
-    def packed(batch):
-        c = squeeze(3)
-        return [batch.column("row"), [c.compress(t) for t in texts(batch)]]
-
-    packs = keyed.select("row", "text").mapInArrow(each(packed, {"at_row": pa.int64(), "packed": pa.binary()}), "at_row long, packed binary")
-    sets = stored(members.join(packs, F.expr("row = at_row")).groupBy("sig").agg(F.first("packed").alias("packed")), "packed")
+    discard(open_groups)
 
     # round 1: stars. In a group the set with the most frequent shingles stands for
     # it; on a token the group whose stand-in has the most frequent shingles.
@@ -259,7 +285,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     star = star.join(lead.selectExpr("g", "lead AS a"), F.expr("grp = g")).select("a", "pivot")
     star = star.join(lead.selectExpr("g", "lead AS b"), F.expr("pivot = g")).select("a", "b")
     first = stored(within.unionAll(star).distinct(), "stars")
-    links = _verified(first, sets, width, percent)
+    discard(lead, pivot)
+    links = _verified(first, members, keyed, width, percent)
+    discard(first)
 
     # round 2: whatever the stars left apart. On a token, the groups outside the
     # pivot's component meet all groups of other components; the same within a group.
@@ -268,11 +296,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     parted = stored(parted, "parted")
     cells_of = stored(parted.select("grp", "part").distinct().withColumnsRenamed({"grp": "g"}), "cells")
     spread = stored(posts.drop("rank").join(cells_of, F.expr("grp = g")).drop("g"), "spread")
+    discard(posts, cells_of)
     # the part with the most groups on a token is its main one
     ranked = spread.groupBy("token", "part").agg(F.count("*").alias("k"))
     top = ranked.groupBy("token").agg(F.max(F.struct("k", "part")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
     top = stored(top.selectExpr("token AS t", "m.part AS main"), "mains")
     mixed_posts = stored(spread.join(top, F.expr("token = t")).drop("t"), "mixed")
+    discard(spread, top)
     few = mixed_posts.filter("part <> main")
     other = mixed_posts.selectExpr("token AS t", "grp AS pivot", "n AS pivot_n", "at AS pivot_at", "part AS pivot_part", "main AS pivot_main")
     across = few.join(other, F.expr(f"token = t AND part <> pivot_part AND {_fits(percent)}")).filter(
@@ -288,13 +318,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
     inner = torn.filter("part <> main").selectExpr("grp AS g", "sig AS a", "part AS p").join(torn, F.expr("g = grp AND p <> part"))
     inner = inner.filter("part = main OR p < part").selectExpr("a", "sig AS b")
     second = stored(rest.unionAll(inner).selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "rest")
-    more = _verified(second, sets, width, percent)
+    discard(mixed_posts, parted, torn)
+    more = _verified(second, members, keyed, width, percent)
+    discard(second, members)
     parts = stored(components(links.unionAll(more)), "components")
+    discard(links, more)
 
     known = sigs.join(parts, F.expr("sig = node"), "left").select("sig", F.coalesce("component", "sig").alias("part"), "least_id")
     known = stored(known, "known")
     named = stored(known.groupBy("part").agg(F.min("least_id").alias("component_id")).withColumnRenamed("part", "p"), "named")
     known = stored(known.join(named, F.expr("part = p")).select(F.col("sig").alias("of"), "component_id", "part"), "ids")
+    discard(sigs, parts, named)
     joined = rows.select("doc_id", "row", "n", "sig").join(known, F.expr("sig = of"), "left")
     return joined.select(
         "doc_id",
