@@ -7,6 +7,7 @@ and labels after the join, without the labels in the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -250,6 +251,58 @@ def margin_by_category(g: DataFrame, i: DataFrame, period: w.Window) -> DataFram
     )
 
 
+def margin_cube(
+    g: DataFrame,
+    i: DataFrame,
+    s: DataFrame,
+    period: w.Window,
+    store_ids: list[int] | None = None,
+    item_ids: list[int] | None = None,
+    families: list[int] | None = None,
+) -> DataFrame:
+    """Revenue, margin and distinct store-days per item family, per family and store, per
+    family and month, per store, per month, and over all: one result from one pass.
+
+    nivel is the grouping id of (family_id, store_id, mes), 7 for the total; a column that
+    a row adds up over is NULL. The lists, where given, choose stores, items and
+    families. Facts are summed per family, store and day before they are repeated for each
+    of the groupings, so these see no item rows and distinct store-days are exact.
+    """
+    for column, chosen in (("store_id", store_ids), ("item_id", item_ids)):
+        g = g if chosen is None else g.filter(F.col(column).isin(chosen))
+    of_family = i.selectExpr("id AS item_id", "family_id")
+    of_family = of_family if families is None else of_family.filter(F.col("family_id").isin(families))
+    daily = (
+        selected(g, period=period)
+        .join(of_family, "item_id")
+        .groupBy("family_id", "store_id", "date")
+        .agg(*columns(net="sum(total_net)", margin=MARGIN_SUM))
+        .withColumn("mes", F.expr("CAST(trunc(date, 'month') AS DATE)"))
+    )
+    sets = [["family_id"], ["family_id", "store_id"], ["family_id", "mes"], ["store_id"], ["mes"], []]
+    cube = daily.groupingSets(sets, "family_id", "store_id", "mes").agg(
+        F.grouping_id().alias("nivel"),
+        *columns(
+            lojas_dia="count(DISTINCT store_id, date)",
+            receita="sum(net)",
+            margem="round(sum(margin), 2)",
+            margem_pct=m.percent("sum(margin)", "sum(net)"),
+        ),
+    )
+    names = s.selectExpr("id AS store_id", "name AS loja")
+    return cube.join(names, "store_id", "left").select("nivel", "family_id", "loja", "mes", "lojas_dia", "receita", "margem", "margem_pct")
+
+
+def totals_of_terms(g: DataFrame, terms: Iterable[str], period: w.Window) -> DataFrame:
+    """Monthly totals of measures under the names the business has for them, one row per
+    term and month; an unknown term is an error. A term that says the same as
+    another one is reported as well."""
+    sums = {term: f"sum({m.measure(term)})" for term in terms}
+    monthly = selected(g, period=period).groupBy(F.expr("CAST(trunc(date, 'month') AS DATE)").alias("mes")).agg(*columns(**sums))
+    rows = ", ".join(f"'{term}', CAST(`{term}` AS DECIMAL(38,5))" for term in sums)
+    return monthly.selectExpr("mes", f"stack({len(sums)}, {rows}) AS (termo, total)").withColumn("total", F.expr("round(total, 2)"))
+
+
 def stale_items(g: DataFrame, i: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """Active items without a sale for more than `days` days, or never sold."""
     last = g.filter(f"{SOLD} AND date <= DATE'{as_of}'").groupBy("item_id").agg(*columns(ultima_venda="max(date)"))

@@ -17,7 +17,7 @@ from pyspark.sql.types import DecimalType, IntegralType
 
 from daytally.functions import windows as w
 from daytally.functions.calendar import calendar
-from daytally.operators import bundles, checks, compare, increments, items, loading, periods, stores, trends
+from daytally.operators import baskets, bundles, checks, compare, increments, items, loading, periods, stores, trends
 from daytally.schemas import KEYS, Layout
 from daytally.session import shared_folder
 from daytally.sources.lake import Lake
@@ -44,6 +44,16 @@ WIDE = {
 }
 EPOCH, END = date(1970, 1, 1), date(2100, 1, 1)
 
+# the places of the data that stand for the cities of local events
+CITY_PLACES = {
+    "Porto": ["BRAZIL", "PERU"],
+    "Braga": ["PERU", "FRANCE"],
+    "Guimarães": ["GERMANY"],
+    "Ponte de Lima": ["CANADA"],
+    "Viseu": ["CHINA", "INDIA", "JAPAN"],
+}
+TERMS = ("vendas", "receita", "margem", "quantidade", "desconto")
+
 NET = ("total_net",)
 FLOW = ("nr_sales", "nr_persons", "total_net")
 SALES = ("nr_sales", "total_net")
@@ -286,6 +296,11 @@ ENTRIES: dict[str, Entry] = {
     "sales_in_retail_periods": lambda t: periods.sales_in_periods(
         t.store_days(), t.stores, calendar(t.spark, periods.years_of(t.store_days(None, ())))
     ),
+    "local_event_sales": lambda t: periods.local_event_sales(
+        t.store_days(None, SALES), t.located_stores, calendar(t.spark, periods.years_of(t.store_days(None, ()))), CITY_PLACES
+    ),
+    "correlation_matrix": lambda t: baskets.correlation_matrix(t.item_days(HISTORY, ("total_quantity",)), t.items, HISTORY, top=100),
+    "cross_sell": lambda t: baskets.cross_sell(t.item_days(HISTORY, ("total_quantity",)), t.items, HISTORY, least=2, basket="month"),
     # load and data checks
     "facts_per_store_day": lambda t: t.store_days(),
     "facts_per_item_day": lambda t: t.item_days(),
@@ -326,6 +341,7 @@ ENTRIES: dict[str, Entry] = {
     "missing_days_of_one_location": lambda t: checks.missing_days(
         t.store_days(None, ()).join(t.located_stores.filter("location = 'PERU'").selectExpr("id AS store_id"), "store_id")
     ),
+    "missing_days_of_one_item": lambda t: checks.missing_days(t.item_days(None, ()).filter(F.col("item_id") == TARGET)),
     "missing_ranges_by_store": lambda t: checks.missing_ranges(t.store_days(None, ())),
     "data_context": lambda t: checks.data_context(t.store_days(None, ()), t.stores, t.items),
     "active_stores": lambda t: checks.active_stores(t.stores),
@@ -350,6 +366,11 @@ ENTRIES: dict[str, Entry] = {
     "price_elasticity": lambda t: trends.price_elasticity(t.item_days(HISTORY, TRADE), t.items, HISTORY),
     "kpi_strip": lambda t: trends.kpi_strip(t.store_days((date(2000, 1, 1), date(2001, 7, 1)), NET), t.stores, AS_OF),
     "margin_by_category": lambda t: items.margin_by_category(t.item_days(w.month_of(2001, 6), COSTED), t.items, w.month_of(2001, 6)),
+    "margin_cube": lambda t: items.margin_cube(t.item_days(w.year_of(2000), COSTED), t.items, t.stores, w.year_of(2000)),
+    "margin_cube_of_some": lambda t: items.margin_cube(
+        t.item_days(w.quarter_of(2000, 4), COSTED), t.items, t.stores, w.quarter_of(2000, 4), store_ids=list(range(1, 6)), families=[11, 12, 23]
+    ),
+    "totals_of_terms": lambda t: items.totals_of_terms(t.item_days(w.year_of(2000), (*COSTED, "total_discount")), TERMS, w.year_of(2000)),
     "weekday_month_profile": lambda t: trends.weekday_month_profile(t.store_days(w.year_of(2000), NET), t.stores, w.year_of(2000)),
     "event_impact": lambda t: trends.event_impact(
         t.store_days((date(1999, 12, 18), date(2001, 1, 14)), NET), t.located_stores, _record_days(t)

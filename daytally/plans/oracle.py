@@ -412,6 +412,18 @@ def _kpi() -> str:
       FROM act"""
 
 
+def _margin_cube(where: str) -> str:
+    return f"""
+        SELECT CAST(c.nivel AS BIGINT) AS nivel, CAST(family_id AS BIGINT) AS family_id, s.name AS loja, mes, lojas_dia, receita, margem, margem_pct
+        FROM (
+          SELECT GROUPING(family_id, store_id, mes) AS nivel, family_id, store_id, mes,
+                 COUNT(DISTINCT (store_id, date)) AS lojas_dia, {total('total_net', 'receita')}, {dbl('ROUND(SUM(gain), 2)')} AS margem,
+                 {pct('SUM(gain)', 'SUM(total_net)')} AS margem_pct
+          FROM (SELECT *, CAST(date_trunc('month', date) AS DATE) AS mes FROM g WHERE {where})
+          GROUP BY GROUPING SETS ((family_id), (family_id, store_id), (family_id, mes), (store_id), (mes), ())) c
+        LEFT JOIN stores s ON s.id = c.store_id"""
+
+
 def _extensions() -> dict[str, tuple[str, str]]:
     apr, may = _net_between("2001-04-01", "2001-04-30"), _net_between("2001-05-01", "2001-05-31")
     before, after = ("COALESCE(SUM(a.total_net) FILTER (a.date < e.day), 0)", "COALESCE(SUM(a.total_net) FILTER (a.date >= e.day), 0)")
@@ -508,6 +520,24 @@ compared AS (
                          AS elasticidade FROM sums""",
         ),
         "kpi_strip": ("", _kpi()),
+        "margin_cube": ("", _margin_cube("year(date) = 2000")),
+        "margin_cube_of_some": (
+            "",
+            _margin_cube("year(date) = 2000 AND month(date) >= 10 AND store_id BETWEEN 1 AND 5 AND family_id IN (11, 12, 23)"),
+        ),
+        "totals_of_terms": (
+            "of_year AS (SELECT CAST(date_trunc('month', date) AS DATE) AS mes, * FROM g WHERE year(date) = 2000)",
+            " UNION ALL ".join(
+                f"SELECT mes, '{term}' AS termo, {dbl(f'ROUND(SUM({value}), 2)')} AS total FROM of_year GROUP BY mes"
+                for term, value in {
+                    "vendas": "total_net",
+                    "receita": "total_net",
+                    "margem": "gain",
+                    "quantidade": "total_quantity",
+                    "desconto": "total_discount",
+                }.items()
+            ),
+        ),
         "margin_by_category": (
             "",
             f"""SELECT {big('family_id')} AS family_id, {big('group_id')} AS group_id, COUNT(DISTINCT item_id) AS artigos,
@@ -738,6 +768,11 @@ def _selects() -> dict[str, tuple[str, str]]:
             SELECT d AS date FROM (
               SELECT CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS d FROM da_items_stores_date)
             WHERE d NOT IN (SELECT date FROM da_items_stores_date)""",
+        "missing_days_of_one_item": """
+            SELECT d AS date FROM (
+              SELECT CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS d
+              FROM da_items_stores_date WHERE item_id = 7)
+            WHERE d NOT IN (SELECT date FROM da_items_stores_date WHERE item_id = 7)""",
         "missing_days_of_one_store": """
             SELECT d AS date FROM (
               SELECT CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS d
@@ -800,6 +835,50 @@ def _selects() -> dict[str, tuple[str, str]]:
                 FROM act JOIN cal ON date BETWEEN first AND last GROUP BY event, city, first, last""",
         ),
     }
+    together |= {
+        "local_event_sales": (
+            f"""{_calendar()},
+            places (one_city, location) AS (VALUES ('Porto', 'BRAZIL'), ('Porto', 'PERU'), ('Braga', 'PERU'), ('Braga', 'FRANCE'),
+              ('Guimarães', 'GERMANY'), ('Ponte de Lima', 'CANADA'), ('Viseu', 'CHINA'), ('Viseu', 'INDIA'), ('Viseu', 'JAPAN')),
+            placed AS (
+              SELECT DISTINCT event, first, last, location
+              FROM (SELECT *, unnest(string_split(city, ', ')) AS one_city FROM cal WHERE city IS NOT NULL) JOIN places USING (one_city))""",
+            f"""SELECT event, p.location, first AS "start", last AS "end", COUNT(DISTINCT date) AS dias, COUNT(*) AS lojas_dia,
+                       {count('nr_sales', 'total_vendas')}, {total('total_net', 'vendas_sem_iva')}
+                FROM act JOIN placed p ON p.location = act.location AND date BETWEEN first AND last
+                GROUP BY event, p.location, first, last""",
+        ),
+        "correlation_matrix": (
+            f"""sold AS (SELECT item_id, artigo, store_id, date, total_quantity AS q FROM g WHERE {HISTORY}),
+            best AS (
+              SELECT item_id, artigo, SUM(q) AS x, SUM(q * q) AS xx, row_number() OVER (ORDER BY SUM(q) DESC, item_id) AS no
+              FROM sold GROUP BY item_id, artigo QUALIFY no <= 100),
+            days AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM (SELECT DISTINCT store_id, date FROM sold)),
+            met AS (
+              SELECT a.item_id AS a, b.item_id AS b, SUM(a.q * b.q) AS xy FROM sold a JOIN sold b ON a.store_id = b.store_id AND a.date = b.date
+              WHERE a.item_id IN (SELECT item_id FROM best) AND b.item_id IN (SELECT item_id FROM best) GROUP BY ALL),
+            paired AS (
+              SELECT a.artigo, b.artigo AS outro, n, CAST(a.x AS DOUBLE) AS x, CAST(a.xx AS DOUBLE) AS xx, CAST(b.x AS DOUBLE) AS y,
+                     CAST(b.xx AS DOUBLE) AS yy, COALESCE(CAST(xy AS DOUBLE), 0) AS xy
+              FROM best a JOIN best b ON a.no < b.no CROSS JOIN days LEFT JOIN met ON met.a = a.item_id AND met.b = b.item_id)""",
+            f"""SELECT artigo, outro, {dbl('ROUND(CAST(r AS DECIMAL(28,10)), 4)')} AS correlacao FROM (
+                  SELECT artigo, outro, CASE WHEN n * xx - x * x > 1e-9 * n * xx AND n * yy - y * y > 1e-9 * n * yy
+                    THEN (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) END AS r FROM paired)""",
+        ),
+        "cross_sell": (
+            f"""sold AS (
+              SELECT DISTINCT store_id, date_trunc('month', date) AS mes, item_id, artigo FROM g WHERE {HISTORY} AND total_quantity > 0),
+            support AS (SELECT item_id, artigo, COUNT(*) AS n FROM sold GROUP BY item_id, artigo),
+            met AS (
+              SELECT a.item_id AS a, b.item_id AS b, COUNT(*) AS n FROM sold a JOIN sold b
+                ON a.store_id = b.store_id AND a.mes = b.mes AND a.item_id < b.item_id GROUP BY ALL HAVING COUNT(*) >= 2),
+            every AS (SELECT COUNT(*) AS total FROM (SELECT DISTINCT store_id, mes FROM sold))""",
+            f"""SELECT x.artigo, y.artigo AS outro, met.n AS cestos, {dbl('ROUND(CAST(met.n * 100 / x.n AS DECIMAL(28,10)), 2)')} AS confianca_pct,
+                       {dbl('ROUND(CAST(met.n * 100 / y.n AS DECIMAL(28,10)), 2)')} AS confianca_inversa_pct,
+                       {dbl('ROUND(CAST(CAST(met.n AS DOUBLE) * total / (CAST(x.n AS DOUBLE) * CAST(y.n AS DOUBLE)) AS DECIMAL(28,10)), 4)')} AS lift
+                FROM met JOIN support x ON x.item_id = met.a JOIN support y ON y.item_id = met.b CROSS JOIN every""",
+        ),
+    }
     return {name: ("", select) for name, select in plain.items()} | together | _extensions()
 
 
