@@ -107,6 +107,8 @@ def test_local_events(spark, monkeypatch):
     cities = {"Porto": ["North"], "Braga": ["North", "East"], "Nowhere": ["West"]}
     cal = calendar(spark, range(2022, 2025))
     found = periods.local_event_sales(store_days(spark, *facts), places, cal, cities)
+    assert {e for (e,) in rows(found, "event")} == {"São João", "São João (pico)"}
+    found = found.filter("event = 'São João'")
     assert rows(found, "event", "location", "start", "dias", "lojas_dia", "total_vendas", "vendas_sem_iva") == [
         ("São João", "East", date(2023, 6, 23), 1, 1, 2, 7),
         ("São João", "East", date(2024, 6, 23), 2, 2, 2, 160),
