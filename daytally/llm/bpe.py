@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from daytally.llm.common import documents, each, texts
+from daytally.llm.common import KEPT, documents, each, texts
 
 #: fixed values: how byte-level BPE cuts a text into words
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -146,10 +146,13 @@ class ByteBpe:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBpe:
-    """One vocabulary per worker process."""
+    """One vocabulary per worker process, until a task of another operator runs there."""
     return ByteBpe(path)
 
 
+KEPT["bpe"] = vocabulary.cache_clear
+
+
 def encode_documents(docs: DataFrame, path: str, ids: bool = True, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens and, as asked for, ids (array of int), ids_sha256, decoded_sha256.
 
@@ -178,7 +181,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True, digests: bool
 
     types = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join(f"{c} {types[c]}" for c in columns)
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(each(one, columns), schema)
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(each(one, columns, "bpe"), schema)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +22,9 @@ BLANK = "[\\x20\\x09-\\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # rows are whole texts: keep what a Python worker holds at once to some megabytes
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # rows are whole texts: keep what a Python worker holds at once to some megabytes, or one text
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -66,10 +67,31 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def each(one, columns: dict[str, pa.DataType]):
+#: what operators keep in a worker from task to task, under their names: how to let go of it
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def begun(owner: str = "") -> None:
+    """Let go of what the tasks of other operators have left in this worker."""
+    for name, drop in KEPT.items():
+        if name != owner:
+            drop()
+
+
+def released() -> None:
+    """Give back what a task no longer needs: Python workers stay for the tasks of later stages,
+    and an executor has as many of them as its stages ever ran at once."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def each(one, columns: dict[str, pa.DataType], owner: str = ""):
     """A mapInArrow function from one(batch) -> one list or array for each output column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(owner)
         for batch in batches:
             if batch.num_rows:
                 made = one(batch)
@@ -77,6 +99,7 @@ def each(one, columns: dict[str, pa.DataType]):
                     [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, columns.values(), strict=True)],
                     list(columns),
                 )
+        released()
 
     return run
 
@@ -140,14 +163,14 @@ def components(links: DataFrame, node: str = "binary") -> DataFrame:
         last = now
 
 
-@F.pandas_udf(BinaryType())
-def squeezed(text: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def squeezed(text: pa.Array) -> pa.Array:
     """Texts compressed for a shuffle; null stays null."""
     c = zstandard.ZstdCompressor(3)
-    return text.map(lambda t: c.compress(t.encode()), na_action="ignore")
+    return pa.array([None if t is None else c.compress(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
 
 
-@F.pandas_udf(StringType())
-def unsqueezed(packed: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def unsqueezed(packed: pa.Array) -> pa.Array:
     d = zstandard.ZstdDecompressor()
-    return packed.map(lambda x: d.decompress(x).decode(), na_action="ignore")
+    return pa.array([None if x is None else d.decompress(x) for x in packed.to_pylist()], pa.binary()).cast(pa.string())

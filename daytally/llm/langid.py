@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daytally.llm.common import documents, each, stored
+from daytally.llm.common import begun, documents, each, released, stored
 
 #: what a text without a letter, or no text, is said to be written in
 NONE = "und"
@@ -110,6 +110,17 @@ def cutoffs(near: np.ndarray, size: np.ndarray, s: Settings) -> np.ndarray:
     return cut[known[np.maximum(np.searchsorted(known, np.arange(len(cut)), "right") - 1, 0)]]
 
 
+def pieces_of(column: pa.ChunkedArray) -> list[list[np.ndarray]]:
+    """Lists of lists as views of one array of numbers, at four bytes each."""
+    out = []
+    for chunk in column.chunks:
+        inner = chunk.flatten()
+        flat, ends = inner.flatten().to_numpy(), np.cumsum(np.r_[0, np.asarray(inner.value_lengths())])
+        outer = np.cumsum(np.r_[0, np.asarray(chunk.value_lengths())]).tolist()
+        out += [[flat[ends[k] : ends[k + 1]] for k in range(lo, hi)] for lo, hi in zip(outer, outer[1:])]
+    return out
+
+
 def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model:
     """Fit on a bounded sample: of the rows the SQL condition names, those with a
     language, and of each language at most s.per_language documents with a letter.
@@ -117,7 +128,8 @@ def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model
     The sample is drawn in two steps, first within 64 parts of a language, so
     that a hot one is ranked by many tasks. What the driver gets is bounded by
     s.per_language times the number of languages: the n-gram counts of these
-    documents, sparse, and of their pieces, which are twice as long together.
+    documents and of their pieces, sparse. A piece has s.dims different n-grams at
+    most, and so a document of any length takes some 20 * s.dims * 8 bytes at the worst.
 
     Cut-offs come from documents that were not learned from: each of s.parts parts
     of a language's sample is held against centroids of the other parts, as
@@ -142,14 +154,16 @@ def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model
         found = [[sparse(p) for p in pieces(t)] for t in batch.column("text").to_pylist()]
         return [batch.column("language"), *([[piece[k] for piece in x] for x in found] for k in (0, 1))]
 
-    lists = pa.list_(pa.list_(pa.int64()))
+    lists = pa.list_(pa.list_(pa.int32()))
     types = {"language": pa.string(), "at": lists, "n": lists}
     sampled = docs.select("doc_id", "lang", "text").filter("text IS NOT NULL")
     sampled = sampled.join(F.broadcast(drawn), F.expr("doc_id = drawn_id AND lang = language"))
-    made = sampled.select("language", "text").mapInArrow(each(one, types), "language string, at array<array<long>>, n array<array<long>>")
+    made = sampled.select("language", "text").mapInArrow(each(one, types), "language string, at array<array<int>>, n array<array<int>>")
     got = made.toArrow()
-    names, ats, ns = (got.column(c).to_pylist() for c in types)
-    order = sorted(range(len(names)), key=lambda i: (names[i], ats[i][0], ns[i][0]))
+    names = got.column("language").to_pylist()
+    ats, ns = (pieces_of(got.column(c)) for c in ("at", "n"))
+    first = [(at[0].astype(">u4").tobytes(), n[0].astype(">u4").tobytes()) for at, n in zip(ats, ns, strict=True)]
+    order = sorted(range(len(names)), key=lambda i: (names[i], first[i]))
     df = np.zeros(s.dims)
     for at in ats:
         df[at[0]] += 1
@@ -167,7 +181,7 @@ def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model
         v = vectors(np.concatenate([dense(i, slice(1)) for i in own]), model.idf)
         c = clustered(v, s.centroids, np.random.default_rng(s.seed))
         # copies stay in one part, or a document would be held against itself
-        text = np.cumsum([0, *[(ats[i][0], ns[i][0]) != (ats[j][0], ns[j][0]) for j, i in zip(own, own[1:])]])
+        text = np.cumsum([0, *[first[i] != first[j] for j, i in zip(own, own[1:])]])
         near, size = [], []
         for part in range(s.parts):
             out = text % s.parts == part
@@ -187,8 +201,13 @@ def learn(docs: DataFrame, learned_from: str, s: Settings = Settings()) -> Model
     return model
 
 
-def identify(docs: DataFrame, learned_from: str, s: Settings = Settings(), *keep: str) -> DataFrame:
-    """doc_id, lang_pred, score, rejected and the columns in `keep`.
+#: texts that are scored at once
+SLICE = 64
+
+
+def identify(docs: DataFrame, learned_from: str, s: Settings = Settings(), whole: str | None = None) -> DataFrame:
+    """doc_id, lang_pred, score, rejected and the column `whole`, if there is to be one: a
+    struct with all columns of a document, its text among them.
 
     The text alone decides: its hashed n-grams, as a TF-IDF vector, are compared
     with the centroids by cosine; the nearest one names the language and its
@@ -203,32 +222,41 @@ def identify(docs: DataFrame, learned_from: str, s: Settings = Settings(), *keep
     an empty table gives an empty result, and other columns are ignored.
     """
     model = learn(docs, learned_from, s)
-    schema = docs.select("doc_id", *keep).schema
+    kept = ["doc_id"] if whole is None else ["doc_id", whole]
+    schema = docs.select(*kept).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most s.centroids rows of s.dims numbers a language
 
-    def run(batches):
+    def scored(texts: list[str | None]) -> tuple[list, list, list]:
         model = shared.value
+        name, score, out = [NONE] * len(texts), [0.0] * len(texts), [True] * len(texts)
+        at = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
+        if at and len(model.languages):
+            v = np.stack([np.log1p(ngram_counts(texts[i], s)).astype(np.float32) for i in at])
+            size = sizes(v)
+            v *= model.idf
+            v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], np.float32(1e-30))
+            near = v @ model.centroids.T
+            best = near.argmax(axis=1)
+            least = model.least[best, size].tolist()
+            for i, k, x, low in zip(at, best.tolist(), near.max(axis=1).tolist(), least, strict=True):
+                name[i], score[i], out[i] = model.languages[k], min(1.0, max(0.0, x)), x < low
+        return name, score, out
+
+    def run(batches):
+        begun()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = part.column(part.schema.get_field_index("_text")).to_pylist()
-                name, score, out = [NONE] * len(texts), [0.0] * len(texts), [True] * len(texts)
-                at = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
-                if at and len(model.languages):
-                    counts = np.array([ngram_counts(texts[i], s) for i in at])
-                    near = vectors(counts, model.idf) @ model.centroids.T
-                    best = near.argmax(axis=1)
-                    least = model.least[best, sizes(counts)].tolist()
-                    for i, k, x, low in zip(at, best.tolist(), near.max(axis=1).tolist(), least, strict=True):
-                        name[i], score[i], out[i] = model.languages[k], min(1.0, max(0.0, x)), x < low
-                kept = [part.column(i) for i in range(1 + len(keep))]
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                text = part.column("text") if whole is None else part.column(whole).field("text")
+                name, score, out = scored(text.to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
-                    ["doc_id", *keep, "lang_pred", "score", "rejected"],
+                    [*(part.column(c) for c in kept), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
+                    [*kept, "lang_pred", "score", "rejected"],
                 )
+        released()
 
     out = schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select("doc_id", *keep, F.col("text").alias("_text")).mapInArrow(run, out)
+    return docs.select(*kept, *(["text"] if whole is None else [])).mapInArrow(run, out)
 
 
 #: the fold that is held out when measuring, and the rows that are learned from

@@ -93,26 +93,35 @@ def name_pieces(t: np.ndarray, sorted_places: np.ndarray, places: np.ndarray) ->
     return of[places], int(ranks[-1]) + 1
 
 
-#: reduced texts with more names than this are ordered by doubling ranks: nearly every
-#: bucket would hold one suffix, and a sweep by buckets would have nothing to deal in batches
-MANY_NAMES = 1 << 12
-
-
-def by_doubling(t: np.ndarray) -> np.ndarray:
-    """The suffix array by ranks of pieces of doubling length; used for many names only."""
-    n = len(t)
-    rank, step = t.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
-        rank, step = new, step * 2
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
+#: with more symbols than this nearly every bucket holds one suffix, and a sweep by buckets
+#: would have nothing to deal in batches
+MANY_SYMBOLS = 1 << 12
+
+
+def induce_singly(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
+    """What `induce` gives, place by place: one step a suffix in each direction, however many
+    buckets there are. For reduced texts, whose symbols are names."""
+    ends = np.cumsum(np.bincount(t, minlength=size))
+    front, back = np.r_[0, ends[:-1]].tolist(), ends.tolist()
+    symbols, small, sa = t.tolist(), s_type.tolist(), [-1] * len(t)
+    for i in seeds[::-1].tolist():
+        c = symbols[i]
+        back[c] -= 1
+        sa[back[c]] = i
+    for i in sa:  # grows ahead of the place it is read at
+        if i > 0 and not small[i - 1]:
+            c = symbols[i - 1]
+            sa[front[c]] = i - 1
+            front[c] += 1
+    back = ends.tolist()
+    for at in range(len(sa) - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and small[i - 1]:
+            c = symbols[i - 1]
+            back[c] -= 1
+            sa[back[c]] = i - 1
+    sa[0] = len(t) - 1  # the sentinel
+    return np.array(sa, np.int64)
 
 
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
@@ -121,7 +130,8 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     Suffixes are classified; the leftmost S-type ones are sorted by their pieces,
     by inducing from any order; equal pieces get equal names; the text of
     names, at most half as long, is sorted by recursion unless all differ; and its
-    order induces the order of all suffixes.
+    order induces the order of all suffixes. A text of few symbols is swept by buckets,
+    in array operations, and one of many, as names are, place by place.
     """
     if len(t) < 3:
         return np.argsort(t, kind="stable")
@@ -131,14 +141,15 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
         places = np.array([len(t) - 1])
     is_place = np.zeros(len(t), bool)
     is_place[places] = True
-    rough = induce(t, s_type, places, size)
+    sweep = induce if size <= MANY_SYMBOLS else induce_singly
+    rough = sweep(t, s_type, places, size)
     names, distinct = name_pieces(t, rough[is_place[rough]], places)
     if distinct < len(places):
-        order = suffix_array(names, distinct) if distinct <= MANY_NAMES else by_doubling(names)
+        order = suffix_array(names, distinct)
     else:
         order = np.empty(len(places), np.int64)
         order[names] = np.arange(len(places))
-    return induce(t, s_type, places[order], size)
+    return sweep(t, s_type, places[order], size)
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:

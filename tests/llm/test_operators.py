@@ -99,6 +99,36 @@ def test_quality_counts(docs, rows):
     assert df.filter("base_failed AND kept").count() == 0
 
 
+def test_every_quality_rule_names_a_document(spark):
+    """A page per fence that passes the base rules and fails that fence alone."""
+    rng = random.Random(12)
+    words = [a + b for a in "abcdefghij" for b in ("lon", "mar", "ques", "tive")]
+    usual = [(d, "\n".join(prose(rng, 12, words) for _ in range(8))) for d in range(100)]
+    planted = {
+        "mean_word_high": " ".join(rng.choice(words) * 4 for _ in range(60)),
+        "mean_word_low": " ".join(rng.choice("abc") for _ in range(9)) + " " + " ".join(chr(97 + i) + chr(97 + j) for i in range(9) for j in range(7)),
+        "symbol_share_high": " ".join(f"{w}{'#' if i % 5 else ''}" for i, w in enumerate(prose(rng, 80, words).split())),
+        "dup_line_share_high": "\n".join([prose(rng, 12, words) for _ in range(8)] + ["one two three"] * 6),
+        "repeat_share_high": prose(rng, 70, words) + " " + " ".join(words[:5]) + " x " + " ".join(words[:5]),
+    }
+    rows = usual + [(1000 + i, t) for i, t in enumerate(planted.values())]
+    found = {r["doc_id"]: r for r in quality.judge(table(spark, rows)).collect()}
+    assert [found[1000 + i]["failed_rule"] for i in range(len(planted))] == list(planted)
+    assert not any(found[1000 + i]["base_failed"] for i in range(len(planted)))
+    assert all(found[d]["kept"] for d, _ in usual)
+
+
+def test_quality_fences_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(13)
+    rows = table(spark, [(d, prose(rng, rng.randint(10, 40))) for d in range(1500)])
+    first, second = (sorted(map(tuple, quality.fences(fenced(quality.text_counts(rows.repartition(n))), 3.0, 50).collect())) for n in (2, 7))
+    assert first == second
+
+
+def fenced(counts):
+    return counts.selectExpr("lang", "source", "word_chars / n_words AS mean_word", "0D AS symbol_share", "0D AS dup_line_share", "n_repeat_words / n_words AS repeat_share")
+
+
 def test_quality_follows_the_corpus(spark):
     rng = random.Random(2)
     plain = [(i, prose(rng, 60, [f"v{i}{j}" for j in range(400)]), "en", f"s{i % 2}") for i in range(120)]
