@@ -12,7 +12,7 @@ from daytally.llm.common import BLANK, documents, stored
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised. The languages are learned from
     a bounded sample of the stage's own input."""
-    whole = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("whole"))
+    whole = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("whole"))  # read from `whole` alone when scored
     found = langid.identify(whole, "true", langid.Settings(), "whole")
     return found.filter("NOT rejected").select("whole.*")
 
