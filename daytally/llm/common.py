@@ -8,10 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
 
 from daytally.session import shared_folder, tune
 
@@ -161,16 +159,3 @@ def components(links: DataFrame, node: str = "binary") -> DataFrame:
         if now == last:
             return links.selectExpr("a AS node", "b AS component").unionAll(links.selectExpr("b AS node", "b AS component").distinct())
         last = now
-
-
-@F.arrow_udf(BinaryType())
-def squeezed(text: pa.Array) -> pa.Array:
-    """Texts compressed for a shuffle; null stays null."""
-    c = zstandard.ZstdCompressor(3)
-    return pa.array([None if t is None else c.compress(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
-
-
-@F.arrow_udf(StringType())
-def unsqueezed(packed: pa.Array) -> pa.Array:
-    d = zstandard.ZstdDecompressor()
-    return pa.array([None if x is None else d.decompress(x) for x in packed.to_pylist()], pa.binary()).cast(pa.string())

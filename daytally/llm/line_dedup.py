@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daytally.llm.common import documents, each, in_filter, met_twice, squeezed, stored, unsqueezed
+from daytally.llm.common import documents, each, in_filter, met_twice, stored
 
 #: the ASCII white space that is trimmed off lines
 TRIM = " \t\n\x0b\x0c\r"
@@ -193,8 +193,8 @@ def dedup_lines(docs: DataFrame, least: int = 20, blocks: int = 4) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
     gone = stored(repeated_lines(keyed, least, blocks).withColumnsRenamed({"row": "of", "lines": "gone"}), "gone")
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
-    packed = docs.select(row.alias("row"), squeezed("text").alias("packed"), F.struct("doc_id", *others).alias("rest"))
-    joined = packed.join(gone, F.expr("row = of"), "left").select("rest", "gone", unsqueezed("packed").alias("text"))
+    rows = docs.select(row.alias("row"), "text", F.struct("doc_id", *others).alias("rest"))
+    joined = rows.join(gone, F.expr("row = of"), "left").select("rest", "gone", "text")
     split = joined.withColumn("lines", F.split("text", "\n"))
     return split.select(
         "rest.doc_id",

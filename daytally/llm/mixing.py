@@ -84,8 +84,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; see `mix`."""
-    row = F.xxhash64("doc_id", "source", "text").alias("row")
+    """The rows of docs, each as often as the mix takes it; see `mix`. Rows are told apart by
+    128 bits of all their columns, so that rows repeated in full are one with their copies
+    added up, and rows that differ in any column, whichever, are not."""
+    row = F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(1), *docs.columns).alias("b")).alias("row")
     drawn = mix(docs.select("doc_id", "source", "text", row), **settings, key="row").groupBy("row").agg(F.sum("copies").alias("times"))
     drawn = stored(drawn.filter("times > 0").withColumnRenamed("row", "drawn"), "drawn")
     once = docs.select(row, F.struct(*docs.columns).alias("whole")).dropDuplicates(["row"])

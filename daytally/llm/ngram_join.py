@@ -341,13 +341,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, cells: i
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates: of each component the smallest doc_id stays (a
-    missing one only where there is no other), once. Documents without words stay."""
+    missing one only where there is no other), once. Documents without words stay. Of
+    rows with one doc_id and text the smallest by its other columns stays, so reruns
+    agree. A row goes only when its component keeps another one: rows that stay are
+    found by hash and doc_id, and told apart by 128 bits of their text."""
     found = stored(near_duplicates(docs, width, percent), "near")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("best")
-    stay = found.filter("part IS NOT NULL").groupBy("part").agg(best).select("best.row")
-    stay = stay.unionAll(found.filter("part IS NULL").select("row")).distinct().withColumnRenamed("row", "stay")
-    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.struct(*docs.columns).alias("whole"))
-    return keyed.join(stored(stay, "stay"), F.expr("row = stay"), "left_semi").dropDuplicates(["row"]).select("whole.*")
+    stay = found.filter("part IS NOT NULL").groupBy("part").agg(best).select("best.doc_id", "best.row")
+    stay = stored(stay.unionAll(found.filter("part IS NULL").select("doc_id", "row")).distinct(), "stay")
+    discard(found)
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(F.xxhash64(doc_id, "text").alias("at_row"), doc_id.alias("at_id"), F.md5("text").alias("digest"), F.struct(*docs.columns).alias("whole"))
+    left = keyed.join(stay, F.expr("at_row = row AND at_id <=> doc_id"), "left_semi")
+    return left.groupBy("at_row", "at_id", "digest").agg(F.min("whole").alias("whole")).select("whole.*")
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

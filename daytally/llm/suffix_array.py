@@ -93,9 +93,8 @@ def name_pieces(t: np.ndarray, sorted_places: np.ndarray, places: np.ndarray) ->
     return of[places], int(ranks[-1]) + 1
 
 
-#: with more symbols than this nearly every bucket holds one suffix, and a sweep by buckets
-#: would have nothing to deal in batches
-MANY_SYMBOLS = 1 << 12
+#: suffixes a bucket holds on average at least where a sweep by buckets, in batches, is worth it
+PER_BUCKET = 64
 
 
 def induce_singly(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
@@ -103,23 +102,27 @@ def induce_singly(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, size: in
     buckets there are. For reduced texts, whose symbols are names."""
     ends = np.cumsum(np.bincount(t, minlength=size))
     front, back = np.r_[0, ends[:-1]].tolist(), ends.tolist()
-    symbols, small, sa = t.tolist(), s_type.tolist(), [-1] * len(t)
-    for i in seeds[::-1].tolist():
-        c = symbols[i]
+    sa = [-1] * len(t)
+    for i, c in zip(seeds[::-1].tolist(), t[seeds[::-1]].tolist(), strict=True):
         back[c] -= 1
         sa[back[c]] = i
+    # the symbol before each place where it starts an L-type, or S-type, suffix; -1 where not, and of no place
+    before, small = np.r_[-1, t[:-1]], np.r_[False, s_type[:-1]]
+    large = np.r_[np.where(small, -1, before), -1].tolist()
+    small = np.r_[np.where(small, before, -1), -1].tolist()
     for i in sa:  # grows ahead of the place it is read at
-        if i > 0 and not small[i - 1]:
-            c = symbols[i - 1]
-            sa[front[c]] = i - 1
-            front[c] += 1
+        c = large[i]
+        if c >= 0:
+            at = front[c]
+            sa[at] = i - 1
+            front[c] = at + 1
     back = ends.tolist()
     for at in range(len(sa) - 1, -1, -1):
         i = sa[at]
-        if i > 0 and small[i - 1]:
-            c = symbols[i - 1]
-            back[c] -= 1
-            sa[back[c]] = i - 1
+        c = small[i]
+        if c >= 0:
+            back[c] = at = back[c] - 1
+            sa[at] = i - 1
     sa[0] = len(t) - 1  # the sentinel
     return np.array(sa, np.int64)
 
@@ -141,7 +144,7 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
         places = np.array([len(t) - 1])
     is_place = np.zeros(len(t), bool)
     is_place[places] = True
-    sweep = induce if size <= MANY_SYMBOLS else induce_singly
+    sweep = induce if len(t) >= PER_BUCKET * size else induce_singly
     rough = sweep(t, s_type, places, size)
     names, distinct = name_pieces(t, rough[is_place[rough]], places)
     if distinct < len(places):

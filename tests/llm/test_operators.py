@@ -129,6 +129,17 @@ def fenced(counts):
     return counts.selectExpr("lang", "source", "word_chars / n_words AS mean_word", "0D AS symbol_share", "0D AS dup_line_share", "n_repeat_words / n_words AS repeat_share")
 
 
+def test_rows_that_differ_in_another_column_only(spark):
+    """Which of them stays does not depend on their order, and a mix counts each of them."""
+    rows = [(1, "one two three four five six", lang, "s1") for lang in ("de", "en", "fr")] + [(2, "seven eight nine ten eleven twelve", "en", "s1")]
+    kept = [
+        sorted((r["doc_id"], r["lang"]) for r in ngram_join.one_of_each(table(spark, order)).collect()) for order in (rows, rows[::-1])
+    ]
+    assert kept == [[(1, "de"), (2, "en")]] * 2
+    mixed = mixing.mixed_documents(table(spark, [*rows, rows[0]]), weights=(1,), share=2.0)
+    assert sorted((r["doc_id"], r["lang"]) for r in mixed.collect()) == sorted([(1, "de")] * 4 + [(1, "en"), (1, "fr"), (2, "en")] * 2)
+
+
 def test_quality_follows_the_corpus(spark):
     rng = random.Random(2)
     plain = [(i, prose(rng, 60, [f"v{i}{j}" for j in range(400)]), "en", f"s{i % 2}") for i in range(120)]

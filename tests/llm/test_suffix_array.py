@@ -10,10 +10,10 @@ import pytest
 from daytally.llm import suffix_array as sorting
 
 
-@pytest.mark.parametrize("many", [0, 1 << 12])
-def test_small_texts(monkeypatch, many):
+@pytest.mark.parametrize("per_bucket", [0, 1, 1 << 12])
+def test_small_texts(monkeypatch, per_bucket):
     """Both sweeps, by buckets and place by place."""
-    monkeypatch.setattr(sorting, "MANY_SYMBOLS", many)
+    monkeypatch.setattr(sorting, "PER_BUCKET", per_bucket)
     rng = random.Random(3)
     for _ in range(1000):
         k = rng.choice([1, 2, 3, 9])
@@ -33,7 +33,7 @@ def test_a_whole_shard_is_sorted_by_recursion(monkeypatch):
 
     monkeypatch.setattr(sorting, "suffix_array", noted)
     order = noted(np.r_[np.frombuffer(data, np.uint8).astype(np.int64) + 1, 0], 257)
-    assert len(levels) > 4 and levels[1][1] > sorting.MANY_SYMBOLS
+    assert len(levels) > 4 and levels[1][1] > 1 << 12
     assert all(2 * b <= a for (a, _), (b, _) in zip(levels, levels[1:]))
     assert (np.sort(order) == np.arange(len(data) + 1)).all()
     for k in random.Random(1).sample(range(1, len(data)), 20_000):
