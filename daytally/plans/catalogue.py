@@ -17,7 +17,7 @@ from pyspark.sql.types import DecimalType, IntegralType
 
 from daytally.functions import windows as w
 from daytally.functions.calendar import calendar
-from daytally.operators import baskets, bundles, checks, compare, increments, items, loading, periods, stores, trends
+from daytally.operators import baskets, bundles, checks, compare, forecasts, increments, items, loading, periods, stores, trends
 from daytally.schemas import KEYS, Layout
 from daytally.session import shared_folder
 from daytally.sources.lake import Lake
@@ -356,6 +356,8 @@ ENTRIES: dict[str, Entry] = {
     ),
     "monthly_forecast": lambda t: trends.monthly_forecast(t.store_days((date(1999, 6, 1), date(2001, 6, 1)), NET), AS_OF),
     "forecast_error": lambda t: trends.forecast_error(t.store_days((date(1999, 3, 1), date(2001, 6, 1)), NET), date(2001, 3, 15)),
+    "seasonal_forecast": lambda t: forecasts.seasonal_forecast(t.store_days((date(1997, 6, 1), date(2001, 6, 1)), NET), AS_OF),
+    "rolling_errors": lambda t: forecasts.rolling_errors(t.store_days((date(1996, 6, 1), date(2001, 6, 1)), NET), AS_OF),
     "trend_alerts": lambda t: trends.trend_alerts(t.store_days((date(2001, 4, 1), date(2001, 6, 1)), NET), t.stores, AS_OF),
     "daily_anomalies": lambda t: trends.daily_anomalies(
         t.store_days((date(2001, 4, 1), date(2001, 7, 1)), NET), t.stores, w.month_of(2001, 6)

@@ -424,6 +424,30 @@ def _margin_cube(where: str) -> str:
         LEFT JOIN stores s ON s.id = c.store_id"""
 
 
+def _smoothed(first: str, last: str, months: int) -> str:
+    """series and state: level, trend and seasons after each month, by recursion."""
+    mean = "list_sum(list_slice(s, {}, {})) / 12"
+    return f"""
+spans AS (
+  SELECT store_id, CAST(date_diff('month', DATE '{first}', date) AS INT) AS i, CAST(SUM(total_net) AS DOUBLE) AS net
+  FROM da_stores_date WHERE date >= DATE '{first}' AND date < DATE '{last}' GROUP BY store_id, i),
+series AS (
+  SELECT g.store_id, list(COALESCE(net, 0) ORDER BY g.i) AS s
+  FROM (SELECT store_id, CAST(unnest(range({months})) AS INT) AS i FROM (SELECT DISTINCT store_id FROM spans)) g
+  LEFT JOIN spans p ON p.store_id = g.store_id AND p.i = g.i GROUP BY g.store_id),
+state (store_id, i, level, trend, season) AS (
+  SELECT store_id, 12, {mean.format(1, 12)}, ({mean.format(13, 24)} - {mean.format(1, 12)}) / 12,
+         list_transform(list_slice(s, 1, 12), lambda y: y - {mean.format(1, 12)}) FROM series
+  UNION ALL
+  SELECT store_id, i + 1, l, 0.02::DOUBLE * (l - level) + 0.98::DOUBLE * trend,
+         list_concat(list_slice(season, 2, 12), [0.2::DOUBLE * (y - l) + 0.8::DOUBLE * season[1]])
+  FROM (SELECT t.*, x.s[i + 1] AS y, 0.2::DOUBLE * (x.s[i + 1] - season[1]) + 0.8::DOUBLE * (level + trend) AS l
+        FROM state t JOIN series x ON x.store_id = t.store_id WHERE i < {months}))"""
+
+
+RECURSIVE = ("seasonal_forecast", "rolling_errors")
+
+
 def _extensions() -> dict[str, tuple[str, str]]:
     apr, may = _net_between("2001-04-01", "2001-04-30"), _net_between("2001-05-01", "2001-05-31")
     before, after = ("COALESCE(SUM(a.total_net) FILTER (a.date < e.day), 0)", "COALESCE(SUM(a.total_net) FILTER (a.date >= e.day), 0)")
@@ -433,6 +457,22 @@ def _extensions() -> dict[str, tuple[str, str]]:
             _forecast_ctes("1999-06-01", "2001-06-01"),
             f"SELECT store_id, mes, {rnd('base')} AS previsao, {rnd('base + low')} AS minimo, {rnd('base + high')} AS maximo FROM ahead",
         ),
+        "seasonal_forecast": (
+            _smoothed("1997-06-01", "2001-06-01", 48),
+            f"""SELECT store_id, CAST(DATE '2001-06-01' + to_months(CAST(h - 1 AS INT)) AS DATE) AS mes,
+                       {dbl('ROUND(CAST(level + h * trend + season[h] AS DECIMAL(28,10)), 2)')} AS previsao
+                FROM state, (SELECT unnest(range(1, 4)) AS h) WHERE i = 48""",
+        ),
+        "rolling_errors": (
+            _smoothed("1996-06-01", "2001-06-01", 60)
+            + """,
+scored AS (
+  SELECT t.i, h, x.s[t.i + h] AS net, level + h * trend + season[h] AS previsao
+  FROM state t JOIN series x ON x.store_id = t.store_id, (SELECT unnest(range(1, 4)) AS h) WHERE t.i BETWEEN 46 AND 57)""",
+            f"""SELECT CAST(DATE '1996-06-01' + to_months(CAST(i AS INT)) AS DATE) AS origem, h AS horizonte, COUNT(*) AS lojas,
+                       {dbl('ROUND(CAST(CAST(SUM(CAST(abs(net - previsao) / net AS DECIMAL(20,10))) AS DOUBLE) / COUNT(*) * 100 AS DECIMAL(28,10)), 2)')} AS mape_pct
+                FROM scored WHERE net > 0 GROUP BY i, h""",
+        ),
         "forecast_error": (
             _forecast_ctes("1999-03-01", "2001-03-01")
             + """,
@@ -886,5 +926,5 @@ def statements() -> dict[str, str]:
     made = {}
     for name, (ctes, select) in _selects().items():
         extra = f",{ctes}" if ctes else ""
-        made[name] = f"WITH {TABLES.strip()}{extra}\n{select.strip()}"
+        made[name] = f"WITH {'RECURSIVE ' if name in RECURSIVE else ''}{TABLES.strip()}{extra}\n{select.strip()}"
     return made
