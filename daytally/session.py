@@ -18,11 +18,30 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
+# Most bytes, as stored or shuffled, that one task reads. A row in a sort or hash table takes
+# some ten times its stored bytes; with Spark's 128 MB and 64 MB the memory of a task follows
+# the table up to gigabytes.
+TASK_BYTES = {
+    "spark.sql.files.maxPartitionBytes": 16 << 20,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20,
+}
+UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark's settings name it."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(number) << UNITS[unit]
+
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session somebody else built."""
+    """Apply the run-time settings to a session somebody else built; sizes that are smaller
+    already stay."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    for key, most in TASK_BYTES.items():
+        if _bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -31,7 +50,7 @@ NO_ESTIMATE = 1 << 62  # what Spark says of rows that are no table
 _ours: dict[int, tuple[str, str]] = {}  # per session: the number found, and the number put
 
 
-def size_shuffles(spark: SparkSession, df: DataFrame, bytes_per_partition: int = 128 << 20) -> SparkSession:
+def size_shuffles(spark: SparkSession, df: DataFrame, bytes_per_partition: int = 16 << 20) -> SparkSession:
     """Set the number of shuffle partitions to suit the tables that df reads.
 
     The session's own number is the least: AQE merges partitions that turn out

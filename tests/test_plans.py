@@ -252,3 +252,28 @@ def test_seasonal_bundles_equal_brute_force(source):
                 want[names[t], names[p]] = want.get((names[t], names[p]), 0) + 1
     got = bundles.bundles_per_target(sales, source.items, targets, window).collect()
     assert {(r.artigo, r.parceiro): r.co_occurrence_days for r in got} == want
+
+
+def test_bytes_of_a_task_are_bounded(spark):
+    """Half a gigabyte is read and shuffled in pieces small enough to be sorted in memory."""
+    keys = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    keep = {key: spark.conf.get(key) for key in keys}
+    try:
+        for given, put in (("128MB", 16 << 20), ("64m", 16 << 20), ("1m", "1m"), ("300000", "300000"), ("1g", 16 << 20)):
+            for key in keys:
+                spark.conf.set(key, given)
+            session.tune(spark)
+            assert [spark.conf.get(key) for key in keys] == [str(put)] * 2
+    finally:
+        for key, value in keep.items():
+            spark.conf.set(key, value)
+
+
+def test_shuffle_partitions_follow_the_bytes_read(spark, source):
+    """A tenth of a gigabyte, whatever the session's own number."""
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    big = spark.range(100 << 20 >> 3)  # eight bytes a row
+    session.size_shuffles(spark, big)
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= 6
+    session.size_shuffles(spark, source.stores)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == keep
