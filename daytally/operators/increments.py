@@ -13,23 +13,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daytally.operators.loading import OutOfRangeError, dated, put_facts, ranges_of
+from daytally.operators.loading import OutOfRangeError, dated, put_facts, within
 from daytally.schemas import KEYS, LAYOUTS, Layout
-from daytally.session import size_shuffles
-from daytally.sources.transactions import item_days_of, item_parts, order_parts, sale_lines, store_days_of
-from daytally.sources.versions import Change
+from daytally.session import in_ranges_of, shuffles, size_shuffles
+from daytally.sources.transactions import by_days, item_days_of, item_parts, order_parts, sale_lines, store_days_of
+from daytally.sources.versions import Change, values
 
 
-def _put_parts(change: Change, name: str, parts: DataFrame, layout: Layout) -> None:
-    """Add a delivery's parts; the stored ones stay as they are."""
-    change.write(name, dated(parts, layout), ["store_id", "date"], tuple(layout.columns))
+def _put_parts(change: Change, name: str, parts: DataFrame, layout: Layout, laid_out: bool = False) -> tuple[str, ...]:
+    """Add a delivery's parts; the stored ones stay as they are. Returns the new directories."""
+    rows = dated(parts, layout)
+    laid_out = laid_out or in_ranges_of(rows, "date")
+    return change.write(name, rows, ["store_id", "date"], tuple(layout.columns), laid_out=laid_out)
 
 
-def _touched_parts(change: Change, name: str, new: DataFrame, layout: Layout) -> DataFrame:
-    """The parts of every key that the new ones have, from their directories alone."""
-    keys = KEYS[layout.table]
-    held = change.read(name, change.touched(name, ranges_of(dated(new, layout), layout)))
-    return held.join(new.select(*keys).distinct(), keys, "left_semi").drop(*layout.columns)
+def _touched_parts(change: Change, name: str, new: tuple[str, ...], layout: Layout) -> DataFrame:
+    """The parts of every key that the new directories have: theirs, and those of other
+    deliveries from the same years or months and between the first and the last new day.
+    Parts without a whole key belong to no fact."""
+    keys, rows, touched = KEYS[layout.table], change.read(name, new), change.touched(name, new)
+    if touched:
+        held = change.read(name, touched)
+        inside, _ = within(held, rows)
+        rows = rows.unionByName(held.filter(inside).join(rows.select(*keys).distinct(), keys, "left_semi"))
+    return rows.dropna(subset=keys).drop(*layout.columns)
 
 
 def add_lines(source, root: str, delivery: str, layouts: dict[str, Layout] | None = None) -> bool:
@@ -43,7 +50,10 @@ def add_lines(source, root: str, delivery: str, layouts: dict[str, Layout] | Non
     are not touched.
 
     Reads and rewrites only the directories of years and months that the lines fall
-    into, of the parts only rows of the touched store-days and item-days.
+    into, of the parts only rows of the touched store-days and item-days. Parts of
+    orders are written by the tasks that made them, a file for each of a task's years.
+    Item-days of a month that no other delivery has lines of are the delivery's parts,
+    and take no shuffle.
     Facts must have come in this way from the start: a fact without parts is
     replaced by what the delivery says of its day. A day beyond the layouts' ranges
     stops the load. Amounts are the source's; a line delivered twice under two
@@ -57,17 +67,23 @@ def add_lines(source, root: str, delivery: str, layouts: dict[str, Layout] | Non
         lines = source.table("lineitem")
         size_shuffles(spark, lines)
         lines = sale_lines(lines)
-        by_order = change.staged(order_parts(lines, source.table("orders")), "order_parts")
-        by_item = change.staged(item_parts(lines), "item_parts")
-        out = by_item.filter(~(stores.accepts(by_item["date"]) & items.accepts(by_item["date"]))).count()
+        accepted = stores.accepts(F.col("date")) & items.accepts(F.col("date"))
+        out = lines.filter(~accepted).select(*KEYS[items.table]).distinct().count()
         if out:
             raise OutOfRangeError(f"{delivery}: {out} item-days have dates that no range takes")
-        _put_parts(change, "order_parts", by_order, stores)
-        _put_parts(change, "item_parts", by_item, items)
-        store_days = store_days_of(_touched_parts(change, "order_parts", by_order, stores))
-        put_facts(change, change.staged(store_days, "store_days"), stores)
-        item_days = item_days_of(_touched_parts(change, "item_parts", by_item, items), source.table("part"))
-        put_facts(change, change.staged(item_days, "item_days"), items)
+        by_order = _put_parts(change, "order_parts", order_parts(lines, source.table("orders")), stores, laid_out=True)
+        by_item = _put_parts(change, "item_parts", item_parts(by_days(lines)), items)
+        put_facts(change, store_days_of(by_days(_touched_parts(change, "order_parts", by_order, stores))), stores)
+        held = [values(d) for d in change.touched("item_parts", by_item)]
+        shared = tuple(d for d in by_item if values(d) in held)
+        if shared:
+            parts = by_days(_touched_parts(change, "item_parts", shared, items))
+            put_facts(change, item_days_of(parts, source.table("part")), items)
+        alone = tuple(d for d in by_item if values(d) not in held)
+        if alone:
+            parts = change.read("item_parts", alone).dropna(subset=KEYS[items.table]).drop(*items.columns)
+            item_days = item_days_of(parts, source.table("part"), True)
+            put_facts(change, item_days, items, laid_out=not shuffles(item_days))
         change.applied(delivery)
     return True
 

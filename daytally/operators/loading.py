@@ -1,4 +1,4 @@
-"""The load job: stage, route by date range, check keys, write."""
+"""The load job: route by date range, write beside what is live, check keys, make live."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daytally.schemas import KEYS, LAYOUTS, Layout
-from daytally.session import size_shuffles
+from daytally.session import in_ranges_of, size_shuffles
 from daytally.sources.versions import Change, Stored, read, typed
 
 # How a fact table is written:
@@ -83,47 +83,55 @@ def dated(facts: DataFrame, layout: Layout) -> DataFrame:
     return df.withColumn("month", F.month("date")) if layout.unit == "month" else df
 
 
-def ranges_of(facts: DataFrame, layout: Layout) -> list[dict[str, int]]:
-    """The years or months that dated facts fall into: a list as short as the layout is."""
-    return [r.asDict() for r in facts.select(*layout.columns).distinct().collect()]
+def within(df: DataFrame, rows: DataFrame) -> tuple[Column, Column]:
+    """Conditions on df: dated between the first and the last day of rows, or not."""
+    first, last = rows.agg(F.min("date"), F.max("date")).first()
+    inside = F.coalesce(F.col("date").between(first, last), F.lit(False))
+    return inside, ~inside
 
 
-def check_facts(change: Change, df: DataFrame, layout: Layout, mode: str, check: bool = True) -> None:
-    """Stop the load when keys repeat, among the rows or, in append mode, with stored ones."""
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {MODES}")
-    keys = KEYS[layout.table]
-    if check:
-        require_unique(df, keys, layout.table)
-    if mode == "append" and change.stored(layout.table).directories:
-        held = change.read(layout.table, change.touched(layout.table, ranges_of(dated(df, layout), layout)))
-        twice = held.select(*keys).join(df.select(*keys), keys, "left_semi").head(1)
-        if twice:
-            raise DuplicateKeyError(f"{layout.table}: key {twice[0].asDict()} is stored already")
-
-
-def put_facts(change: Change, df: DataFrame, layout: Layout, mode: str = "merge") -> None:
-    """Write checked facts into year or year/month directories, in one of MODES.
+def put_facts(
+    change: Change, df: DataFrame, layout: Layout, mode: str = "merge", check: bool = False, laid_out: bool = False
+) -> None:
+    """Write facts into year or year/month directories, in one of MODES, and stop the load
+    when keys repeat: among the rows (if they are to be checked) or, in append mode,
+    with stored ones.
 
-    Only the stored directories that the rows fall into are read and written anew.
-    Stored columns that a delivery does not have stay, and are NULL in its rows; a
-    row that is delivered again replaces the stored one in all columns.
+    The rows are computed once, into directories of their own; keys are checked on what
+    is written, and only stored directories of the same years or months are read. Of
+    those, rows outside the delivered days go to their new files as they lie, without
+    a join or a shuffle. Stored columns that a delivery does not have stay, and are NULL in its
+    rows; a row that is delivered again replaces the stored one in all columns.
     """
-    table, keys = layout.table, KEYS[layout.table]
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    table, keys, parts = layout.table, KEYS[layout.table], tuple(layout.columns)
+    order = [keys[0], "date"]
     size_shuffles(df.sparkSession, df)
     rows = dated(typed(df, table), layout)
-    held = [] if mode in ("append", "replace") else change.touched(table, ranges_of(rows, layout))
-    if mode == "merge" and held:
-        rows = rows.unionByName(change.read(table, held).join(rows.select(*keys), keys, "left_anti"), allowMissingColumns=True)
-    change.write(table, rows, [keys[0], "date"], tuple(layout.columns), held, anew=mode == "replace")
+    laid_out = laid_out or in_ranges_of(rows, "date")
+    new = change.write(table, rows, order, parts, anew=mode == "replace", laid_out=laid_out)
+    rows, touched = change.read(table, new), change.touched(table, new)
+    if check:
+        require_unique(rows, keys, table)
+    if mode == "replace_directories":
+        change.retire(table, touched)
+    elif touched:
+        held = change.read(table, touched)
+        inside, outside = within(held, rows)
+        if mode == "append":
+            twice = held.filter(inside).select(*keys).join(rows.select(*keys), keys, "left_semi").head(1)
+            if twice:
+                raise DuplicateKeyError(f"{table}: key {twice[0].asDict()} is stored already")
+        else:
+            kept = held.filter(inside).join(rows.select(*keys), keys, "left_anti").hint("rebalance", *parts)
+            change.write(table, held.filter(outside).unionByName(kept), order, parts, touched, laid_out=True)
 
 
 def write_facts(df: DataFrame, root: str, layout: Layout, mode: str = "merge", check: bool = True) -> None:
     """Check facts and write them to the lake below root, in one of MODES."""
-    size_shuffles(df.sparkSession, df)
     with Change(df.sparkSession, root) as change:
-        check_facts(change, df, layout, mode, check)
-        put_facts(change, df, layout, mode)
+        put_facts(change, df, layout, mode, check)
 
 
 def put_rejected(change: Change, df: DataFrame, table: str, mode: str) -> None:
@@ -141,13 +149,13 @@ def load(
 ) -> dict[str, DataFrame]:
     """Load dimensions and facts of a source into the lake below root, all or nothing.
 
-    The facts are computed once, into a staging folder below root, and everything is
-    checked before anything is written: keys, and that a date range takes every
-    row. Rows that none takes stop the load or, with rejects="keep", go to the lake's
-    tables rejected_<table>, by key. The new directories of all tables become
-    live in one step (`daytally.sources.versions`); a load that fails, at whatever point,
-    leaves the lake as it was and can be run again. Returns the rejected rows the lake
-    holds for each fact table.
+    Rows that no date range takes are looked for first; they stop the load or, with
+    rejects="keep", go to the lake's tables rejected_<table>, by key. The others are computed
+    once, into the directories they will lie in, and their keys are checked there. The
+    new directories of all tables become live in one step
+    (`daytally.sources.versions`); a load that fails, at whatever point, leaves the lake as
+    it was and can be run again. Returns the rejected rows the lake holds for each fact
+    table. A source that can give its facts in ranges of days (`by_day`) is asked to.
 
     Keys of rolled-up facts are unique by construction (they are grouping keys) and are
     not checked again; stored keys are, in the modes where they matter.
@@ -157,7 +165,8 @@ def load(
         raise ValueError("rejects is stop or keep")
     spark, layouts = source.spark, layouts or LAYOUTS
     dimensions = {"stores": source.located_stores, "items": source.items}
-    facts = {"da_stores_date": source.store_days(), "da_items_stores_date": source.item_days()}
+    dealt = getattr(source, "by_day", source)
+    facts = {"da_stores_date": dealt.store_days(), "da_items_stores_date": dealt.item_days()}
     facts = {table: df for table, df in facts.items() if df is not None}
     with Change(spark, root) as change:
         for table, df in dimensions.items():
@@ -165,15 +174,15 @@ def load(
         routed, out = {}, {}
         for table, df in facts.items():
             size_shuffles(spark, df)
-            routed[table] = route(change.staged(df, table), layouts[table])
+            split = route(df, layouts[table])
+            routed[table] = Routed(split.accepted, change.staged(split.rejected, table))
             out[table] = routed[table].rejected.count()
             if out[table] and rejects == "stop":
                 raise OutOfRangeError(f"{table}: {out[table]} rows have dates that no range takes")
-            check_facts(change, routed[table].accepted, layouts[table], mode, check=not source.keys_are_grouped)
         for table, df in dimensions.items():
             put_dimension(change, df, table)
         for table in facts:
-            put_facts(change, routed[table].accepted, layouts[table], mode)
+            put_facts(change, routed[table].accepted, layouts[table], mode, check=not source.keys_are_grouped)
             if out[table] or mode == "replace" and f"rejected_{table}" in change.tables:
                 put_rejected(change, routed[table].rejected, table, mode)
         tables = change.tables

@@ -93,6 +93,10 @@ class Part:
         self.spark, self.source, self.window = source.spark, source, window
         self.located_stores, self.items = source.located_stores, source.items
 
+    @property
+    def by_day(self) -> Part:
+        return type(self)(getattr(self.source, "by_day", self.source), self.window)
+
     def store_days(self) -> DataFrame:
         return self.source.store_days(self.window)
 

@@ -72,6 +72,18 @@ def size_shuffles(spark: SparkSession, df: DataFrame, bytes_per_partition: int =
     return spark
 
 
+def in_ranges_of(df: DataFrame, column: str) -> bool:
+    """Whether the rows of each task are a range of a column, as `repartitionByRange` deals them."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    return plan.outputPartitioning().toString().startswith(f"rangepartitioning({column}#")
+
+
+def shuffles(df: DataFrame) -> bool:
+    """Whether df needs any shuffle."""
+    return "Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (

@@ -106,8 +106,22 @@ def _measure(name: str) -> str:
     return f"CAST(CAST({name} AS DECIMAL(19,0)) * {unit:f}BD AS {MEASURE.simpleString()})"
 
 
-def roll_up_store_days(lines: DataFrame, orders: DataFrame, measures: tuple[str, ...] = STORE_MEASURES) -> DataFrame:
-    """One row per store and day with the chosen measures, or none of them.
+def by_days(df: DataFrame) -> DataFrame:
+    """Rows dealt to tasks by ranges of day and store.
+
+    Groupings by store and day, and finer ones, need no other shuffle, and a task's rows lie
+    in few directories, so that facts are written as they come: one shuffle in place of
+    one for the grouping and one for the write. It is for loads: what one
+    store, or item and store, sells in a day reaches its task unsummed.
+    """
+    return df.repartitionByRange("date", "store_id")
+
+
+def roll_up_store_days(
+    lines: DataFrame, orders: DataFrame, measures: tuple[str, ...] = STORE_MEASURES, by_day: bool = False
+) -> DataFrame:
+    """One row per store and day with the chosen measures, or none of them; in
+    ranges of days if asked for (`by_days`).
 
     Counts of sales come from a first grouping per order, which leaves a single
     distinct count (customers) for the second one, so no row is multiplied for
@@ -120,26 +134,27 @@ def roll_up_store_days(lines: DataFrame, orders: DataFrame, measures: tuple[str,
     counts = {name: COUNTS[name] for name in measures if name in COUNTS}
     if not measures:
         return lines.select(*keys).distinct()
+    dealt = by_days if by_day else lambda df: df
     if not counts:
-        daily = lines.groupBy(*keys).agg(*columns(**sums))
+        daily = dealt(lines).groupBy(*keys).agg(*columns(**sums))
     else:
         per_order = [*keys, "order_id"]
         if "nr_persons" in counts:
             lines = lines.join(orders.selectExpr("o_orderkey AS order_id", "o_custkey AS customer_id"), "order_id", "left")
             per_order.append("customer_id")
-        daily = (
-            lines.groupBy(*per_order)
-            .agg(*columns(returned="max(returned)", **sums))
-            .groupBy(*keys)
-            .agg(*columns(**{name: f"sum({name})" for name in sums}, **counts))
-        )
+        sold = dealt(lines.groupBy(*per_order).agg(*columns(returned="max(returned)", **sums)))
+        daily = sold.groupBy(*keys).agg(*columns(**{name: f"sum({name})" for name in sums}, **counts))
     made = [f"{_measure(name)} AS {name}" if name in sums else name for name in STORE_MEASURES if name in measures]
     return daily.selectExpr(*keys, *made)
 
 
-def roll_up_item_days(lines: DataFrame, part: DataFrame, measures: tuple[str, ...] = ITEM_MEASURES) -> DataFrame:
-    """One row per item, store and day. The unit cost is the item's list price."""
+def roll_up_item_days(
+    lines: DataFrame, part: DataFrame, measures: tuple[str, ...] = ITEM_MEASURES, by_day: bool = False
+) -> DataFrame:
+    """One row per item, store and day, in ranges of days if asked for (`by_days`). The unit
+    cost is the item's list price."""
     keys = ["item_id", "store_id", "date"]
+    lines = by_days(lines) if by_day else lines
     sums = {name: SUMS[name][0] for name in measures if name in SUMS}
     facts = lines.groupBy(*keys).agg(*columns(**sums)) if sums else lines.select(*keys).distinct()
     if "latest_price_cost" in measures:
@@ -181,10 +196,11 @@ def store_days_of(parts: DataFrame) -> DataFrame:
     return daily.selectExpr("store_id", "date", *made)
 
 
-def item_days_of(parts: DataFrame, part: DataFrame) -> DataFrame:
-    """Item-days from item parts; the unit cost is the item's list price."""
+def item_days_of(parts: DataFrame, part: DataFrame, single: bool = False) -> DataFrame:
+    """Item-days from item parts, of a single delivery or of any number of them; the unit
+    cost is the item's list price."""
     keys = ["item_id", "store_id", "date"]
-    daily = parts.groupBy(*keys).agg(*columns(**{name: f"sum({name})" for name in ITEM_SUMS}))
+    daily = parts if single else parts.groupBy(*keys).agg(*columns(**{name: f"sum({name})" for name in ITEM_SUMS}))
     price = f"CAST(p_retailprice AS {MEASURE.simpleString()}) AS latest_price_cost"
     daily = daily.join(part.selectExpr("p_partkey AS item_id", price), "item_id", "left")
     made = [f"{_measure(name)} AS {name}" if name in SUMS else name for name in ITEM_MEASURES]
@@ -196,9 +212,15 @@ class Transactions:
 
     keys_are_grouped = True  # fact keys are grouping keys, hence unique
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, in_ranges: bool = False):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.in_ranges = in_ranges
+
+    @property
+    def by_day(self) -> Transactions:
+        """The same source, with facts that come in ranges of days (`by_days`)."""
+        return Transactions(self.spark, self.folder, True)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
@@ -239,10 +261,10 @@ class Transactions:
         )
 
     def store_days(self, window: Window | None = None, measures: tuple[str, ...] = STORE_MEASURES) -> DataFrame:
-        return roll_up_store_days(sale_lines(self.table("lineitem"), window), self.table("orders"), measures)
+        return roll_up_store_days(sale_lines(self.table("lineitem"), window), self.table("orders"), measures, self.in_ranges)
 
     def item_days(self, window: Window | None = None, measures: tuple[str, ...] = ITEM_MEASURES) -> DataFrame:
-        return roll_up_item_days(sale_lines(self.table("lineitem"), window), self.table("part"), measures)
+        return roll_up_item_days(sale_lines(self.table("lineitem"), window), self.table("part"), measures, self.in_ranges)
 
     def _newest(self, shift: int) -> Column:
         newest = F.date_add(F.to_date(F.max("l_shipdate")), shift).cast("timestamp_ntz")

@@ -191,17 +191,19 @@ class Change:
             raise ConcurrentLoadError(f"{self.root}: version {number} was made by another load")
 
     def staged(self, df: DataFrame, name: str) -> DataFrame:
-        """df computed once, for the checks and the writes of this load."""
+        """df computed once, for what this load does with it."""
         path = f"{self.root}/_staging/{self.id}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def stored(self, name: str) -> Stored:
         return self.tables.get(name, Stored(()))
 
-    def touched(self, name: str, ranges: list[dict[str, int]]) -> list[str]:
-        """The live directories that hold one of the date ranges."""
-        return [d for d in self.stored(name).directories if values(d) in ranges]
+    def touched(self, name: str, new: Iterable[str]) -> list[str]:
+        """The table's other directories that share a date range with one of the new ones."""
+        new = set(new)
+        ranges = [v for v in map(values, new) if v]
+        return [d for d in self.stored(name).directories if d not in new and values(d) in ranges]
 
     def several(self, name: str) -> list[str]:
         """The live directories that share their date range with another one."""
@@ -211,23 +213,39 @@ class Change:
     def read(self, name: str, directories: Iterable[str] | None = None) -> DataFrame:
         return read(self.spark, self.root, name, self.stored(name), directories)
 
-    def write(self, name: str, df: DataFrame, order: list[str], parts: tuple[str, ...] = (), replaces: Iterable[str] = (), anew: bool = False) -> None:
+    def write(
+        self, name: str, df: DataFrame, order: list[str], parts: tuple[str, ...] = (), replaces: Iterable[str] = (),
+        anew: bool = False, laid_out: bool = False,
+    ) -> tuple[str, ...]:
         """Write rows (typed, with the columns of `parts`) and list their directories in
-        place of those they replace; `anew`: in place of all, columns included.
+        place of those they replace; `anew`: in place of all, columns included. Returns
+        the new directories.
 
         Rows are rebalanced by directory: AQE splits a month that holds most rows
         over several tasks and merges small ones, so neither one hot task nor many
-        tiny files come out. Inside a file rows are sorted, which keeps its row-group
-        statistics narrow.
+        tiny files come out. `laid_out`: each task has rows of few directories already, so
+        they are written as they come. Inside a file rows are sorted, which keeps its
+        row-group statistics narrow.
         """
         path = f"{name}/load={self.id}"
+        if path in self.written:  # one more write of this load
+            path += f"-{len(self.written)}"
         self.written.append(path)
-        df.hint("rebalance", *parts).sortWithinPartitions(*parts, *order).write.partitionBy(*parts).parquet(f"{self.root}/{path}")
+        rows = df if laid_out else df.hint("rebalance", *parts)
+        rows.sortWithinPartitions(*parts, *order).write.partitionBy(*parts).option("compression", "zstd").parquet(f"{self.root}/{path}")
         new = tuple(self.files.leaves(path, len(parts)))
+        if not new:
+            self.files.delete(path)
         old = Stored(()) if anew else self.stored(name)
         known = {*old.columns, *df.columns}
         kept = tuple(d for d in old.directories if d not in set(replaces))
         self.tables[name] = Stored(tuple(c for c in LAKE_TABLES[name].names if c in known), tuple(parts), kept + new)
+        return new
+
+    def retire(self, name: str, directories: Iterable[str]) -> None:
+        """Take directories off a table."""
+        held, gone = self.stored(name), set(directories)
+        self.tables[name] = Stored(held.columns, held.parts, tuple(d for d in held.directories if d not in gone))
 
     def applied(self, delivery: str) -> None:
         self.deliveries = (*self.deliveries, delivery)

@@ -1,5 +1,6 @@
 """Late lines on top of a stored lake, by hand and against a full roll-up."""
 
+import re
 from datetime import date, datetime
 
 import pytest
@@ -129,3 +130,47 @@ def test_an_empty_delivery(spark, tmp_path):
     lake = lake_of(spark, str(tmp_path), (FIRST, ORDERS), ([], []))
     same(lake, *whole(spark, FIRST, ORDERS))
     assert lake.newest_date() == date(2024, 1, 5)
+
+
+def moved(work):
+    """Shuffles of the first write of each table, the one that lays rows out included."""
+    texts, write = [], versions.Change.write
+
+    def noted(self, name, df, order, parts=(), *args, **more):
+        if not more.get("laid_out"):
+            df = df.hint("rebalance", *parts)
+        texts.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, name, df, order, parts, *args, **{**more, "laid_out": True})
+
+    versions.Change.write = noted
+    try:
+        work()
+    finally:
+        versions.Change.write = write
+    return {name: len(re.findall(r"(?<!\w)Exchange ", text)) for name, text in reversed(texts)}
+
+
+def test_rows_are_shuffled_once_for_grouping_and_write(spark, tmp_path):
+    """Orders meet their lines, and every other table takes one shuffle or none."""
+    root, files = str(tmp_path / "lake"), str(tmp_path / "part")
+    first = Delivered(spark, FIRST, ORDERS)
+    first.table("part").write.parquet(files)
+
+    class Listed:  # an item list of known size, which is broadcast
+        def table(self, name):
+            return spark.read.parquet(files) if name == "part" else first.table(name)
+
+    Listed.spark = spark
+    n = moved(lambda: increments.add_lines(Listed(), root, "first", LAYOUTS))
+    assert n["item_parts"] == 1 and n["da_stores_date"] == 1 and n["da_items_stores_date"] == 0
+    later = moved(lambda: increments.add_lines(Delivered(spark, LATE, LATE_ORDERS), root, "late", LAYOUTS))
+    assert later["item_parts"] == 1
+    same(Lake(spark, root), *whole(spark, FIRST + LATE, ORDERS + [(4, 72)]))
+
+
+def test_lines_without_a_store_or_item_make_no_fact(spark, tmp_path):
+    lines = [*FIRST, (6, None, 1, "2024-01-05", 1, 8, 0), (7, 1, None, "2024-02-05", 1, 9, 0)]
+    lake = lake_of(spark, str(tmp_path / "lake"), (lines, ORDERS), (LATE, LATE_ORDERS))
+    assert {r.store_id for r in lake.store_days().collect()} == {1, 2}
+    assert all(r.item_id and r.store_id for r in lake.item_days().collect())
+    assert lake.table("order_parts").filter("store_id IS NULL").count() == 1

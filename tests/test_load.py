@@ -11,9 +11,10 @@ from daytally.functions import windows as w
 from daytally.operators import checks, loading
 from daytally.plans import catalogue
 from daytally.schemas import ITEM_DAYS, ITEMS, LAYOUTS, STORE_DAYS, STORES, Layout
+from daytally.session import in_ranges_of
 from daytally.sources.lake import Lake
 from daytally.sources.landing import Landing, read_if_there, read_typed
-from daytally.sources.versions import Change, ConcurrentLoadError, vacuum
+from daytally.sources.versions import Change, ConcurrentLoadError, typed, vacuum
 
 WIDE = {
     "da_stores_date": Layout("da_stores_date", "year", 1996, 2010),
@@ -429,3 +430,37 @@ def test_newest_dates_open_the_newest_directories_only(spark, tmp_path):
         assert lake.newest_dates(9) == (date(2022, 1, 1), date(2024, 1, 3))
     finally:
         Lake._newest_directories = newest
+
+
+def test_rolled_up_facts_take_no_shuffle_for_the_write(source):
+    """Rows come in ranges of days, which the grouping and the directories both follow."""
+    dealt = source.by_day
+    for table, df in (("da_stores_date", dealt.store_days()), ("da_items_stores_date", dealt.item_days())):
+        assert in_ranges_of(loading.dated(typed(df, table), LAYOUTS[table]), "date")
+    assert not in_ranges_of(source.store_days(), "date")
+    for got, want in ((dealt.store_days(), source.store_days()), (dealt.item_days(), source.item_days())):
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_facts_are_written_once(spark, tmp_path, monkeypatch):
+    """Nothing but rows without a date range is staged, and stored rows beside the delivered days are not joined."""
+    root, staged, kept = str(tmp_path / "lake"), [], []
+    stage, write = Change.staged, Change.write
+
+    def staging(self, df, name):
+        out = stage(self, df, name)
+        staged.append(out.count())
+        return out
+
+    def writing(self, name, df, order, parts=(), replaces=(), **more):
+        if replaces:
+            kept.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, name, df, order, parts, replaces, **more)
+
+    monkeypatch.setattr(Change, "staged", staging)
+    monkeypatch.setattr(Change, "write", writing)
+    loading.load(Delivery(spark, facts(spark, "2024-01-05", "2024-05-01", "2024-09-01"), None), root)
+    loading.load(Delivery(spark, facts(spark, "2024-05-01", net=50), None), root)
+    assert staged == [0, 0] and len(kept) == 1
+    assert "Union" in kept[0] and kept[0].index("Union") < kept[0].index("Join LeftAnti")
+    assert stored(spark, root) == [(date(2024, 1, 5), 10), (date(2024, 5, 1), 50), (date(2024, 9, 1), 10)]
