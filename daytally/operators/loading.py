@@ -190,6 +190,6 @@ def load(
     return {table: read(spark, root, f"rejected_{table}", stored) for table, stored in held.items()}
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Export a result as CSV files with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Export a result as CSV files with a header, compressed if asked for (`gzip`)."""
+    df.write.mode("overwrite").option("header", True).option("compression", compression).csv(path)

@@ -197,11 +197,12 @@ def _late_lines(source) -> Lake:
 def _landed_items(source) -> DataFrame:
     """Facts exported to CSV landing files, loaded from there, and read back."""
     files, root = _fresh(source, "landing"), _fresh(source, "landed")
+    dealt = getattr(source, "by_day", source)
     for name, df in {"stores": source.located_stores, "items": source.items}.items():
         loading.write_csv(df, f"{files}/{name}")
-    loading.write_csv(source.store_days(), f"{files}/da_stores_date_all")
+    loading.write_csv(dealt.store_days(), f"{files}/da_stores_date_all", "gzip")
     for part, window in {"old": (EPOCH, date(1999, 1, 1)), "new": (date(1999, 1, 1), END)}.items():
-        loading.write_csv(source.item_days(window), f"{files}/da_items_stores_date_{part}")
+        loading.write_csv(dealt.item_days(window), f"{files}/da_items_stores_date_{part}", "gzip")
     loading.load(Landing(source.spark, files, "csv"), root, WIDE, mode="replace")
     return Lake(source.spark, root).item_days(None, ITEM_MEASURES)
 

@@ -464,3 +464,11 @@ def test_facts_are_written_once(spark, tmp_path, monkeypatch):
     assert staged == [0, 0] and len(kept) == 1
     assert "Union" in kept[0] and kept[0].index("Union") < kept[0].index("Join LeftAnti")
     assert stored(spark, root) == [(date(2024, 1, 5), 10), (date(2024, 5, 1), 50), (date(2024, 9, 1), 10)]
+
+
+def test_landing_files_may_be_compressed(spark, tmp_path):
+    i = item_days(spark, (1, 1, "2024-05-01", 2, 10, 12), (2, 1, "2024-06-01", 1, 5, 6))
+    loading.write_csv(i, str(tmp_path / "da_items_stores_date_all"), "gzip")
+    assert list((tmp_path / "da_items_stores_date_all").glob("*.csv.gz"))
+    got = Landing(spark, str(tmp_path), "csv").item_days().select(*i.columns)
+    assert sorted(rows(got), key=repr) == sorted(rows(i), key=repr)
