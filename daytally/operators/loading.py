@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daytally import session
 from daytally.schemas import KEYS, LAYOUTS, Layout
-from daytally.session import in_ranges_of, size_shuffles
+from daytally.session import in_ranges_of
 from daytally.sources.versions import Change, Stored, read, typed
 
 # How a fact table is written:
@@ -36,6 +37,12 @@ class Routed:
     rejected: DataFrame
 
 
+def size_shuffles(spark: SparkSession, df: DataFrame) -> None:
+    """One shuffle partition for 8 MB read: a task of a load groups rows by order and by day
+    and sorts them for its files, all of which is held at once."""
+    session.size_shuffles(spark, df, 8 << 20)
+
+
 def route(facts: DataFrame, layout: Layout) -> Routed:
     """Split facts into rows some date range takes and rows no range takes."""
     takes = layout.accepts(F.col("date"))

@@ -1,5 +1,6 @@
 """The load job on a fresh folder, and analyses over what it wrote."""
 
+import re
 from datetime import date
 from decimal import Decimal
 
@@ -7,6 +8,7 @@ import pytest
 from helpers import item_days, items, rows, store_days, stores
 from pyspark.sql import functions as F
 
+from daytally import session
 from daytally.functions import windows as w
 from daytally.operators import checks, loading
 from daytally.plans import catalogue
@@ -466,6 +468,26 @@ def test_facts_are_written_once(spark, tmp_path, monkeypatch):
     assert stored(spark, root) == [(date(2024, 1, 5), 10), (date(2024, 5, 1), 50), (date(2024, 9, 1), 10)]
 
 
+def test_lines_of_a_load_are_shuffled_once_and_narrow(source):
+    """Lines are grouped by order where they are grouped by day, and amounts are multiplied there."""
+    for facts in (source.by_day.store_days(), source.by_day.item_days()):
+        text = facts._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in text
+        shuffled = re.search(r"Project \[(.*)", text.split("Exchange rangepartitioning")[1])[1]
+        names = set(re.findall(r"(\w+)#\d+L?(?=[,\]])", shuffled))
+        assert {"quantity", "gross", "rate", "vat_factor"} <= names and not {"net", "discount"} & names
+
+
+def test_loads_take_smaller_shuffle_partitions(spark, source):
+    key = "spark.sql.shuffle.partitions"
+    keep = spark.conf.get(key)
+    big = spark.range(1 << 24)  # 128 MB
+    loading.size_shuffles(spark, big)
+    assert int(spark.conf.get(key)) >= 16
+    session.size_shuffles(spark, source.stores)
+    assert spark.conf.get(key) == keep
+
+
 def test_landing_files_may_be_compressed(spark, tmp_path):
     i = item_days(spark, (1, 1, "2024-05-01", 2, 10, 12), (2, 1, "2024-06-01", 1, 5, 6))
     loading.write_csv(i, str(tmp_path / "da_items_stores_date_all"), "gzip")
