@@ -142,13 +142,15 @@ def write_facts(df: DataFrame, root: str, layout: Layout, mode: str = "merge", c
 
 
 def put_rejected(change: Change, df: DataFrame, table: str, mode: str) -> None:
-    """Keep rows without a date range, by key, so that a load that is run again adds nothing."""
+    """Keep rows without a date range, by key, so that a load that is run again adds nothing.
+    They come from files or a join by key, so they are written as they lie."""
     name, rows = f"rejected_{table}", typed(df, table)
     if mode != "replace" and name in change.tables:
         same = [F.col(f"held.{k}").eqNullSafe(F.col(f"new.{k}")) for k in KEYS[table]]
         old = change.read(name).alias("held").join(rows.alias("new"), reduce(Column.__and__, same), "left_anti")
         rows = rows.unionByName(old, allowMissingColumns=True)
-    change.write(name, rows, KEYS[table], replaces=change.stored(name).directories, anew=mode == "replace")
+    held = change.stored(name).directories
+    change.write(name, rows, KEYS[table], replaces=held, anew=mode == "replace", laid_out=True)
 
 
 def load(

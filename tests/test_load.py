@@ -178,6 +178,21 @@ def test_out_of_range_rows_stop_the_load_or_are_kept(spark, tmp_path):
     assert list((tmp_path / "lake" / "_staging").iterdir()) == []
 
 
+def test_rejects_are_written_as_they_lie(spark, tmp_path, monkeypatch):
+    laid_out, write = {}, Change.write
+
+    def writing(self, name, *args, **more):
+        laid_out[name] = more.get("laid_out", False)
+        return write(self, name, *args, **more)
+
+    monkeypatch.setattr(Change, "write", writing)
+    late = Delivery(spark, facts(spark, "2024-05-01", "2027-01-01", "2027-01-02"), None)
+    for mode in ("replace", "merge"):
+        rejected = loading.load(late, str(tmp_path / "lake"), mode=mode, rejects="keep")
+        assert sorted(rows(rejected["da_stores_date"], "date")) == [(date(2027, 1, 1),), (date(2027, 1, 2),)]
+        assert laid_out["rejected_da_stores_date"]
+
+
 def test_load_sizes_its_shuffles(spark, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(loading, "size_shuffles", lambda s, df: seen.append(df.columns))
